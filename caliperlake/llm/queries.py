@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, sharding, tiff, token_counts
+from . import near_dedup, packing, pii, repeats, sharding, tiff, token_counts
 from .common import documents, tokenizer_path
 
 SHARD_BYTES = 4_000_000
@@ -18,6 +18,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
 
@@ -30,11 +34,15 @@ def op7_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.media_digests(documents(spark, sf_dir))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_digests(documents(spark, sf_dir))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digests(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op4_packing, op6_sharding, op7_tiff, op10_pii)
+    f.__name__: f for f in (op1_token_counts, op3_near_dedup, op4_packing, op6_sharding, op7_tiff, op8_repeats, op10_pii)
 }
 ORACLES: dict[str, str] = {"op6_sharding": sharding.oracle(SHARD_BYTES)}
