@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, packing, pii, repeats, sharding, tiff, token_counts
+from . import near_dedup, packing, pii, repeats, sharding, tiff, token_counts, toxicity
 from .common import documents, tokenizer_path
 
 SHARD_BYTES = 4_000_000
@@ -18,6 +18,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score_documents(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
@@ -43,6 +48,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op3_near_dedup, op4_packing, op6_sharding, op7_tiff, op8_repeats, op10_pii)
+    f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_near_dedup, op4_packing, op6_sharding, op7_tiff, op8_repeats, op10_pii)
 }
 ORACLES: dict[str, str] = {"op6_sharding": sharding.oracle(SHARD_BYTES)}

@@ -257,7 +257,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The table with the repeated bytes cut out of its texts; characters that a cut leaves in part go too."""
     import pandas as pd
 
-    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
+    def cut(text, spans):
         return pd.Series([t if s is None else kept_bytes(t.encode(), removed_runs(list(s))).decode("utf-8", "ignore") for t, s in zip(text, spans, strict=True)])
 
     spans = repeated_spans(docs, id_col, text_col).select(F.col("doc_id").alias("_doc"), F.col("rid").alias("_rid"), F.col("spans").alias("_spans")).hint("shuffle_hash")
