@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, packing, pii, repeats, sharding, tiff, token_counts, toxicity
+from . import edit_fingerprints, near_dedup, packing, pii, repeats, sharding, tiff, token_counts, toxicity
 from .common import documents, tokenizer_path
 
 SHARD_BYTES = 4_000_000
@@ -31,6 +31,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
 
 
+def op5_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprints.compare_with_edits(documents(spark, sf_dir))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, sf_dir), SHARD_BYTES)
 
@@ -48,6 +52,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_near_dedup, op4_packing, op6_sharding, op7_tiff, op8_repeats, op10_pii)
+    f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_near_dedup, op4_packing, op5_edit_fingerprints, op6_sharding, op7_tiff, op8_repeats, op10_pii)
 }
 ORACLES: dict[str, str] = {"op6_sharding": sharding.oracle(SHARD_BYTES)}
