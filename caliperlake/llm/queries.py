@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import edit_fingerprints, near_dedup, packing, pii, repeats, sharding, tiff, token_counts, toxicity
+from . import edit_fingerprints, near_dedup, packing, piece_lattice, pii, repeats, sharding, tiff, token_counts, toxicity
 from .common import documents, tokenizer_path
 
 SHARD_BYTES = 4_000_000
@@ -47,11 +47,15 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeat_digests(documents(spark, sf_dir))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_lattice.piece_digests(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digests(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_near_dedup, op4_packing, op5_edit_fingerprints, op6_sharding, op7_tiff, op8_repeats, op10_pii)
+    f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_near_dedup, op4_packing, op5_edit_fingerprints, op6_sharding, op7_tiff, op8_repeats, op9_sentencepiece, op10_pii)
 }
 ORACLES: dict[str, str] = {"op6_sharding": sharding.oracle(SHARD_BYTES)}
