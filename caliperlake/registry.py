@@ -1,4 +1,4 @@
-"""All registered queries and their SQL twins."""
+"""All registered queries of the library and their SQL twins."""
 
 from __future__ import annotations
 
@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from caliperlake.plans import inspection
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(inspection.QUERIES)
+ORACLES: dict[str, str] = dict(inspection.ORACLES)
