@@ -91,6 +91,6 @@ SELECT doc_id, n_bytes, depth, CASE WHEN depth = 0 THEN '' ELSE right(repeat('0'
 
 def write_shards(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the rows, one folder for each shard; a shard fits its limit, so one task holds it."""
-    shards = assign_shards(docs.select(id_col, text_col), limit, id_col, text_col).select(F.col(id_col).alias("_id"), "shard").dropDuplicates(["_id"])
-    docs.join(shards, same(docs[id_col], F.col("_id")), "inner").drop("_id").repartition("shard").write.partitionBy("shard").parquet(path)
+    shards = assign_shards(docs.select(id_col, text_col), limit, id_col, text_col).select(F.col(id_col).alias("_sharded_id"), "shard").dropDuplicates(["_sharded_id"])
+    docs.join(shards, same(docs[id_col], F.col("_sharded_id")), "inner").drop("_sharded_id").repartition("shard").write.partitionBy("shard").parquet(path)
 
