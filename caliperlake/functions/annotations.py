@@ -25,32 +25,75 @@ OTHER_LABEL, ROUGHNESS_LABEL = "复合", "粗糙度"
 DECIMAL = "decimal(20,6)"
 
 
-def parsed(df: DataFrame, text: str = "normalized_text") -> DataFrame:
-    """df with item_type (null: not parsed), body, quantity, nominal, value, upper, lower, depth, through and thread_spec."""
-    whole = F.col(text)
+def _bound(value: Column, made) -> Column:
+    """made(value), with the value worked out once and not copied into each use, which keeps generated code small."""
+    return F.transform(F.array(value), made)[0]
+
+
+def _body(whole: Column) -> Column:
     sign, rest = group(whole, QUANTITY, 2), group(whole, QUANTITY, 3)
     counted = sign.isNotNull() & ~((sign == "-") & rest.rlike("^[0-9]"))
-    df = df.withColumn("body", F.when(counted, rest).otherwise(whole)).withColumn("quantity", F.when(counted, group(whole, QUANTITY, 1).cast("int")))
-    b = F.col("body")
-    kinds = {"thread": THREAD, "diameter_dimension": DIAMETER, "radius": RADIUS, "angle": ANGLE, "linear_dimension": LINEAR}
-    kind = F.lit(None).cast("string")
-    for name, pattern in reversed(kinds.items()):
-        kind = F.when(b.rlike(pattern), name).otherwise(kind)
-    df = df.withColumn("item_type", kind)
-    is_ = lambda *names: F.col("item_type").isin(*names)
-    symmetric = F.when(is_("angle"), group(b, ANGLE, 2)).when(is_("linear_dimension"), group(b, LINEAR, 2)).cast(DECIMAL)
-    upper = F.coalesce(symmetric, F.when(is_("linear_dimension"), group(b, LINEAR, 3)).cast(DECIMAL))
-    lower = F.coalesce(-symmetric, F.when(is_("linear_dimension"), group(b, LINEAR, 4)).cast(DECIMAL))
-    return df.withColumns(
-        {
-            "nominal_raw": F.when(is_("diameter_dimension"), group(b, DIAMETER, 1)).when(is_("linear_dimension"), group(b, LINEAR, 1)),
-            "value_raw": F.when(is_("radius"), group(b, RADIUS, 1)).when(is_("angle"), group(b, ANGLE, 1)),
-            "upper_tolerance": upper.cast(DECIMAL),
-            "lower_tolerance": lower.cast(DECIMAL),
-            "depth_raw": F.when(is_("thread"), group(b, THREAD, 2)).when(is_("diameter_dimension"), group(b, DIAMETER, 2)),
-            "through": F.when(is_("thread"), group(b, THREAD, 3).isNotNull()).when(is_("diameter_dimension"), group(b, DIAMETER, 3).isNotNull()).otherwise(False),
-            "thread_spec": F.when(is_("thread"), F.regexp_replace(group(b, THREAD, 1), r"\s*[xX×]\s*", "×")),
-        }
+    return F.struct(F.when(counted, rest).otherwise(whole).alias("body"), F.when(counted, group(whole, QUANTITY, 1).cast("int")).alias("quantity"))
+
+
+def _kind(b: Column) -> Column:
+    return F.when(b.rlike(THREAD), "thread").when(b.rlike(DIAMETER), "diameter_dimension").when(b.rlike(RADIUS), "radius").when(b.rlike(ANGLE), "angle").when(b.rlike(LINEAR), "linear_dimension")
+
+
+def _fields(p: Column) -> Column:
+    b, kind = p["body"], p["kind"]
+    thread, diameter, radius, angle, linear = (kind == k for k in ("thread", "diameter_dimension", "radius", "angle", "linear_dimension"))
+    symmetric = F.when(angle, group(b, ANGLE, 2)).when(linear, group(b, LINEAR, 2)).cast(DECIMAL)
+    return F.struct(
+        F.when(diameter, group(b, DIAMETER, 1)).when(linear, group(b, LINEAR, 1)).alias("nominal_raw"),
+        F.when(radius, group(b, RADIUS, 1)).when(angle, group(b, ANGLE, 1)).alias("value_raw"),
+        F.coalesce(symmetric, F.when(linear, group(b, LINEAR, 3)).cast(DECIMAL)).cast(DECIMAL).alias("upper_tolerance"),
+        F.coalesce(-symmetric, F.when(linear, group(b, LINEAR, 4)).cast(DECIMAL)).cast(DECIMAL).alias("lower_tolerance"),
+        F.when(thread, group(b, THREAD, 2)).when(diameter, group(b, DIAMETER, 2)).alias("depth_raw"),
+        F.when(thread, group(b, THREAD, 3).isNotNull()).when(diameter, group(b, DIAMETER, 3).isNotNull()).otherwise(False).alias("through"),
+        F.when(thread, F.regexp_replace(group(b, THREAD, 1), r"\s*[xX×]\s*", "×")).alias("thread_spec"),
+    )
+
+
+def parsed(df: DataFrame, text: str = "normalized_text") -> DataFrame:
+    """df with item_type (null: not parsed), body, quantity, nominal, value, upper, lower, depth, through and thread_spec."""
+    rest = [c for c in df.columns]
+    df = df.withColumn("_b", _bound(F.col(text), _body)).select(*rest, "_b.body", "_b.quantity")
+    df = df.withColumn("item_type", _bound(F.col("body"), _kind))
+    df = df.withColumn("_f", _bound(F.struct("body", F.col("item_type").alias("kind")), _fields))
+    return df.select(*rest, "body", "quantity", "item_type", "_f.*")
+
+
+# Forms of technical requirements.
+DIMENSION_STANDARD = r"未(?:注|标注)(?:尺寸)?公差按\s*GB\s*/\s*T\s*1804\s*[-—]?\s*([FfMmCcVv])(?:级)?\s*执行"
+GEOMETRY_STANDARD = r"未(?:注|标注)形位公差按\s*GB\s*/\s*T\s*1184\s*[-—]?\s*([HhKkLl])\s*执行"
+DEFAULT_CHAMFER = r"未(?:注|标注)(?:的)?倒角\s*[Cc]\s*([0-9]+(?:\.[0-9]+)?)"
+EXPLICIT_CHAMFER = r"(?:检查|检验|测量|确认|验证).*?倒角.*?(?:尺寸)?应为\s*([0-9]+(?:\.[0-9]+)?\s*[×xX]\s*[0-9]+(?:\.[0-9]+)?\s*°?)"
+DEBURR = r"锐边.*?(?:去除?|清除)毛刺|去除?毛刺"
+SURFACE, TREATMENT = r"(?:表面|外观).*?(?:划痕|擦伤|损伤|裂纹)", r"表面.*?阳极氧化.*?处理"
+VERB, CRITERION = r"检查|检验|检测|测量|确认|验证", r"不得|不允许|应为|应达到|应符合|符合|不大于|不小于|≤|≥|无(?:毛刺|裂纹|缺陷|损伤)"
+UNKNOWN_STANDARD = r"未(?:注|标注)(?:尺寸|形位)公差按.+执行"
+
+
+def executable(text: Column) -> Column:
+    """An inspection verb and a criterion to verify."""
+    return text.rlike(VERB) & text.rlike(CRITERION)
+
+
+def requirement_class(text: Column, ordinal: Column) -> Column:
+    """Struct (category, subtype, parameter) of a technical requirement: the first rule that holds."""
+    made = lambda category, subtype, parameter=None: F.struct(F.lit(category).alias("category"), F.lit(subtype).alias("subtype"), (F.lit(None).cast("string") if parameter is None else parameter).alias("parameter"))
+    return (
+        F.when(text.rlike(DIMENSION_STANDARD), made("applicability_rule", "general_dimensional_tolerance", F.concat(F.lit("GB/T 1804-"), F.lower(F.regexp_extract(text, DIMENSION_STANDARD, 1)))))
+        .when(text.rlike(GEOMETRY_STANDARD), made("applicability_rule", "general_geometric_tolerance", F.concat(F.lit("GB/T 1184-"), F.lower(F.regexp_extract(text, GEOMETRY_STANDARD, 1)))))
+        .when(text.rlike(DEFAULT_CHAMFER), made("applicability_rule", "default_chamfer", F.concat(F.lit("C"), F.regexp_extract(text, DEFAULT_CHAMFER, 1))))
+        .when(text.rlike(EXPLICIT_CHAMFER), made("standalone_check", "default_chamfer", F.regexp_replace(F.regexp_extract(text, EXPLICIT_CHAMFER, 1), r"\s*[xX×]\s*", "×")))
+        .when(text.rlike(DEBURR), made("standalone_check", "deburr"))
+        .when(text.rlike(SURFACE), made("standalone_check", "surface_integrity"))
+        .when(text.rlike(TREATMENT), made("standalone_check", "surface_treatment"))
+        .when(ordinal.isNull() & executable(text), made("standalone_check", "ambiguous"))
+        .when(text.rlike(UNKNOWN_STANDARD), made("unsupported", "unsupported"))
+        .otherwise(made("ambiguous", "ambiguous"))
     )
 
 

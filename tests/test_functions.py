@@ -136,3 +136,23 @@ def test_admission(spark):
     calls = spark.createDataFrame([(1, p, 10 * p + i) for p in range(3) for i in range(5)], "doc_id long, page_index int, call_id int")
     rows = ordered.admitted(calls, spark.createDataFrame([(1, 16)], "doc_id long, capacity int")).where("admitted").groupBy("page_index").count().collect()
     assert {r.page_index: r["count"] for r in rows} == {0: 4, 1: 4}
+
+
+def test_requirement_classes(spark):
+    rows = [
+        ("未标注倒角C0.5", "default_chamfer", "C0.5"),
+        ("锐边去除毛刺", "deburr", None),
+        ("零件表面不应有划痕、擦伤等损伤零件外观的缺陷", "surface_integrity", None),
+        ("表面阳极氧化黑色处理", "surface_treatment", None),
+        ("未注公差按GB/T 1804-m级执行", "general_dimensional_tolerance", "GB/T 1804-m"),
+        ("未标注尺寸公差按 GB / T 1804 - M 执行", "general_dimensional_tolerance", "GB/T 1804-m"),
+        ("未注形位公差按GB/T1184-K执行", "general_geometric_tolerance", "GB/T 1184-k"),
+        ("未注尺寸公差按企业标准执行", "unsupported", None),
+        ("检查倒角尺寸应为1 x 45°", "default_chamfer", "1×45°"),
+        ("检查平面度不大于0.1", "ambiguous", None),
+        ("说明", "ambiguous", None),
+    ]
+    df = spark.createDataFrame(rows, "t string, subtype string, parameter string")
+    got = df.select("*", A.requirement_class(F.col("t"), F.lit(None).cast("int")).alias("c")).collect()
+    assert [(r.c.subtype, r.c.parameter) for r in got] == [(r.subtype, r.parameter) for r in got]
+    assert {r.t: r.c.category for r in got}["检查平面度不大于0.1"] == "standalone_check"
