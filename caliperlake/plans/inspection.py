@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,22 +10,9 @@ from caliperlake.functions import geometry as G
 from caliperlake.functions import text as T
 from caliperlake.operators import documents as D
 from caliperlake.operators import ledger, logs, ordered, reports, spatial
+from caliperlake.plans.register import query
 from caliperlake.sources import adapters as S
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
 def _x(text: str, pattern: str, k: int) -> str:
     return f"nullif(regexp_extract({text}, '{pattern}', {k}), '')"
 

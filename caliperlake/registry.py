@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from caliperlake.plans import inspection, review
+from caliperlake.plans.register import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-from caliperlake.plans import inspection
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(inspection.QUERIES)
-ORACLES: dict[str, str] = dict(inspection.ORACLES)
+PLANS = (inspection, review)
+__all__ = ["ORACLES", "PLANS", "QUERIES"]
