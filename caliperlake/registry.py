@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from caliperlake.plans import inspection, layout, review
+from caliperlake.plans import inspection, layout, review, workbench
 from caliperlake.plans.register import ORACLES, QUERIES
 
-PLANS = (inspection, layout, review)
+PLANS = (inspection, layout, review, workbench)
 __all__ = ["ORACLES", "PLANS", "QUERIES"]
