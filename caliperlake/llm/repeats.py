@@ -78,8 +78,8 @@ def anchor_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return text[new], g[new] - (ends - lengths)[text[new]], h[place[new]].view(np.int64)
 
 
-def _gathered(batches: Iterable[pa.RecordBatch], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of about ``most`` bytes of text, one row at least; the text is the last column."""
+def _gathered(batches: Iterable[pa.RecordBatch], most: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``most`` bytes of text, one row at least, so that the arrays stay in the processor cache; the text is the last column."""
     for b in batches:
         sizes = np.asarray(pc.fill_null(pc.binary_length(b.column(b.num_columns - 1)), 0))
         part = np.cumsum(sizes) // most
