@@ -28,7 +28,7 @@ from .run_index import repeated_windows
 
 LENGTH, GRAM, GRAMS = 200, 24, 128
 REACH = LENGTH - GRAM - GRAMS + 1  # a window of LENGTH bytes at s holds the gram windows s .. s + REACH
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES, SEEN = 2_000_000, 500_000
 _PLACE_BITS = 28
 _LOW = np.uint64((1 << _PLACE_BITS) - 1)
 _BASE = 0x9E3779B97F4A7C15
@@ -136,8 +136,10 @@ _SNIPPETS = "doc_id {}, rid bigint, start bigint, windows bigint, anchor bigint,
 
 
 def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Snippets; only the first of equal ones in a task carries its bytes, so a hot snippet is small rows but for one in each task."""
     import xxhash
 
+    given: set[bytes] = set()
     for b in _gathered(batches):
         texts = [t.encode() for t in b.column(3).to_pylist()]
         owner, first, anchor = anchor_runs(texts)
@@ -149,7 +151,11 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             for a, start, windows in snippets(data, first[x:y].tolist(), anchor[x:y].tolist(), {r["anchor"]: r["total"] for r in repeated}):
                 part = data[start : start + windows + LENGTH - 1]
-                rows.append((i, start, windows, a, xxhash.xxh3_128_digest(part), part))
+                sig = xxhash.xxh3_128_digest(part)
+                rows.append((i, start, windows, a, sig, None if sig in given else part))
+                given.add(sig)
+        if len(given) > SEEN:
+            given.clear()
         cols = list(zip(*rows, strict=True)) or [()] * 6
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         own = pa.array(cols[0], pa.int64())
@@ -195,7 +201,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sigs = cut.groupBy("anchor", "sig").agg(F.count("*").alias("n"), F.first("windows").alias("windows"))
     sigs = materialise(sigs, "sigs")
     mixed = sigs.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("anchor")
-    chosen = cut.select("anchor", "sig", "data").join(mixed, "anchor", "left_semi").groupBy("anchor", "sig").agg(F.count("*").alias("n"), F.first("data").alias("data"))
+    wanted = sigs.join(mixed, "anchor", "left_semi").select("anchor", "sig", "n")
+    chosen = cut.where("data is not null").select("anchor", "sig", "data").join(wanted, ["anchor", "sig"]).dropDuplicates(["anchor", "sig"]).select("anchor", "sig", "n", "data")
     marked = chosen.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_index, "anchor bigint, sig binary, off bigint, run bigint")
     copied = sigs.where("n > 1").select("anchor", "sig", F.lit(0).cast("bigint").alias("off"), F.col("windows").alias("run"))
     flags = materialise(marked.unionByName(copied), "flags")
