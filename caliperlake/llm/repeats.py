@@ -6,6 +6,8 @@
    rarest anchors, so comparing snippets of one anchor is enough.
 3. Equal snippets are counted, not compared: their windows repeat.  Anchors with other snippets go to a
    run-length index (see ``run_index``), and its matching statistics mark the windows that also start elsewhere.
+4. An anchor whose distinct snippets have more bytes than an index should hold is not indexed by one task: its windows are dealt by their
+   own digests and counted, so a passage in many differing texts is spread over all tasks.
 
 Defined results: a null text counts as empty; texts under 200 bytes lose nothing; repeated rows are copies
 of each other; strings of one document that repeat within it count; an empty table gives an empty table.  ``repeat_digests`` ignores other
@@ -187,6 +189,45 @@ def _index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield marked(held)
 
 
+def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct snippets (anchor, sig, n, data) -> a row for each of their windows: its digest in two longs, and its place, or -1 where the snippet occurs more than once."""
+    import xxhash
+
+    for b in slices(batches, 512):
+        own, offs, digests = [], [], []
+        for i, (n, data) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+            view, count = memoryview(data), len(data) - LENGTH + 1
+            own += [i] * count
+            offs += range(count) if n == 1 else [-1] * count
+            digests += [xxhash.xxh3_128_digest(view[k : k + LENGTH]) for k in range(count)]
+        pair = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        take = pa.array(own, pa.int64())
+        cols = [b.column(0).take(take), b.column(1).take(take), pa.array(offs, pa.int64()), *(pa.array(np.ascontiguousarray(pair[:, j])) for j in range(2))]
+        yield pa.RecordBatch.from_arrays(cols, ["anchor", "sig", "off", "w0", "w1"])
+
+
+def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(anchor, sig, sorted places of windows) -> runs of places that follow one another."""
+    for b in slices(batches, 4096):
+        own, firsts, sizes = [], [], []
+        for i, offs in enumerate(b.column(2).to_pylist()):
+            at = np.asarray(offs, np.int64)
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(at) != 1) + 1, [len(at)]])
+            own += [i] * (len(cuts) - 1)
+            firsts += at[cuts[:-1]].tolist()
+            sizes += np.diff(cuts).tolist()
+        take = pa.array(own, pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(firsts, pa.int64()), pa.array(sizes, pa.int64())], ["anchor", "sig", "off", "run"])
+
+
+def _dealt(chosen: DataFrame) -> DataFrame:
+    """What ``_index`` gives, by counting the windows of all distinct snippets; no task needs an anchor's snippets together."""
+    each = materialise(chosen.mapInArrow(_windows, "anchor bigint, sig binary, off bigint, w0 bigint, w1 bigint"), "windows", compression="zstd")
+    often = each.groupBy("w0", "w1").agg(F.count("*").alias("times")).where("times > 1").select("w0", "w1")
+    found = each.where("off >= 0").join(often, ["w0", "w1"]).groupBy("anchor", "sig").agg(F.sort_array(F.collect_list("off")).alias("offs"))
+    return found.mapInArrow(_runs, "anchor bigint, sig binary, off bigint, run bigint")
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, rid (hash of id and text) and spans, an array of (start, run): windows start .. start + run - 1 also start elsewhere."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -200,10 +241,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     sigs = cut.groupBy("anchor", "sig").agg(F.count("*").alias("n"), F.first("windows").alias("windows"))
     sigs = materialise(sigs, "sigs")
-    mixed = sigs.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("anchor")
-    wanted = sigs.join(mixed, "anchor", "left_semi").select("anchor", "sig", "n")
-    chosen = cut.where("data is not null").select("anchor", "sig", "data").join(wanted, ["anchor", "sig"]).dropDuplicates(["anchor", "sig"]).select("anchor", "sig", "n", "data")
-    marked = chosen.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_index, "anchor bigint, sig binary, off bigint, run bigint")
+    mixed = sigs.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least"), F.sum(F.col("windows") + LENGTH - 1).alias("size"))
+    mixed = materialise(mixed.where("kinds > 1 and least = 1").select("anchor", "size"), "mixed_anchors")
+
+    def chosen(anchors: DataFrame) -> DataFrame:
+        wanted = sigs.join(anchors.select("anchor"), "anchor", "left_semi").select("anchor", "sig", "n")
+        return cut.where("data is not null").select("anchor", "sig", "data").join(wanted, ["anchor", "sig"]).dropDuplicates(["anchor", "sig"]).select("anchor", "sig", "n", "data")
+
+    small, large = mixed.where(F.col("size") <= CHUNK_BYTES), mixed.where(F.col("size") > CHUNK_BYTES)
+    marked = chosen(small).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_index, "anchor bigint, sig binary, off bigint, run bigint")
+    if not large.isEmpty():
+        marked = marked.unionByName(_dealt(chosen(large)))
     copied = sigs.where("n > 1").select("anchor", "sig", F.lit(0).cast("bigint").alias("off"), F.col("windows").alias("run"))
     flags = materialise(marked.unionByName(copied), "flags")
     places = cut.select("doc_id", "rid", "start", "anchor", "sig").join(flags, ["anchor", "sig"])

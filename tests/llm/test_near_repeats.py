@@ -117,6 +117,30 @@ def test_repeats_in_many_shapes(spark):
     assert Counter(map(tuple, repeats.repeat_digests(df).collect())) == brute_repeats(rows)
 
 
+def test_hot_passages_are_not_indexed_by_one_task(spark, monkeypatch):
+    """A passage amid differing texts: every occurrence gives its own snippets under the same anchors."""
+    rng = random.Random(8)
+    other = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    passage = other(330)
+    rows = [(i, other(rng.randint(40, 160)) + passage[: rng.choice([210, 330])] + other(rng.randint(40, 160))) for i in range(60)]
+    rows += [(100, rows[0][1]), (101, rows[1][1][20:] + "z"), (102, other(300))]
+    index, bound = repeats._index, 5000
+
+    def bounded(batches):
+        sizes = Counter()
+        for b in batches:
+            for anchor, data in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True):
+                sizes[anchor] += len(data)
+                if sizes[anchor] > bound:
+                    raise ValueError("one task holds more of an anchor than the bound")
+            yield from index([b])
+
+    monkeypatch.setattr(repeats, "CHUNK_BYTES", bound)
+    monkeypatch.setattr(repeats, "_index", bounded)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, repeats.repeat_digests(df).collect())) == brute_repeats(rows)
+
+
 def test_removal_keeps_other_columns(docs, texts):
     out = repeats.remove_repeats(docs)
     assert out.columns == docs.columns and out.count() == len(texts)
