@@ -19,6 +19,7 @@ one in its place; an empty table gives an empty table; other columns are ignored
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -133,21 +134,33 @@ def likeness(a: str, b: str) -> float:
     return max(0.0, (equal - 1 / 16) / (15 / 16))
 
 
+#: Lengths of the beginnings of fingerprints from which bands draw their places: a fixed grid, each about a fifth longer than the one before.
+SPANS = sorted({int(np.ceil(2 ** (j / 4))) for j in range(45)})
+#: Equal samples of the longest that a likeness of 0.75 needs; no shorter fingerprint can reach it.
+SHORTEST = 0.75 * 15 / 16 + 1 / 16
+
+
+def spans_of(n: int) -> list[int]:
+    """Spans of a fingerprint of n samples, down to the longest one that every shorter one within reach has as well."""
+    low = max(0, bisect_right(SPANS, SHORTEST * n) - 1)
+    return SPANS[low : bisect_right(SPANS, n)]
+
+
 def bands_of(mark: str, bands: int = BANDS, rows: int = ROWS) -> list[int]:
-    """Keys of bit-sampled bands: samples at places that the seed draws, of the fingerprint thinned to each of two levels."""
+    """Keys of bit-sampled bands: samples at places that the seed draws, of the fingerprint thinned to each of two levels.
+
+    Places are drawn within spans that do not depend on the text's own length, so two texts of about a length share the places of one span at least.
+    """
     level, digits = int(mark.split(":")[0]), mark.split(":")[1]
+    drawn = np.random.Generator(np.random.PCG64(SEED + 1)).random((bands, rows))
     keys = []
     for k in (level, level + 1):
         thin = digits[:: 1 << (k - level)]
-        if len(thin) < 1:
-            continue
-        places = np.random.Generator(np.random.PCG64(SEED + 1)).random((bands, rows)) * len(thin)
-        if len(thin) * 2 >= rows:
-            size = max(1, min(len(thin), SLOTS // 2))
-            places = places / len(thin) * size
-        for b in range(bands):
-            text = f"{k}/{b}/" + "".join(thin[int(p)] for p in places[b])
-            keys.append(int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True))
+        for span in spans_of(len(thin)) if thin else []:
+            places = (drawn * span).astype(np.int64)
+            for b in range(bands):
+                text = f"{k}/{span}/{b}/" + "".join(thin[p] for p in places[b])
+                keys.append(int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True))
     return keys
 
 

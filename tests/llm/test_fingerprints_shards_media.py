@@ -149,3 +149,19 @@ def test_digests_of_stored_texts(docs, texts):
     rows = tiff.media_digests(docs).collect()
     assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in rows) == want
     assert all(r.media_bytes > 0 and len(r.media_sha256) == 64 and r.feature.startswith("pages=") for r in rows)
+
+
+def test_bands_find_near_copies_of_other_lengths():
+    """Against brute force: short texts, insertions, and pairs on two sides of a level boundary."""
+    rng = random.Random(12)
+    pairs = []
+    for n in [60, 90, 150, 250, 380, 400, 500, 800, 1020, 1023, 1024, 2046, 2047] * 12:
+        text = "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+        at = rng.randrange(n)
+        pairs.append((text, text[:at] + "".join(rng.choice("xyz") for _ in range(rng.randint(1, 4))) + text[at:]))
+    marks = E.fingerprints([t for p in pairs for t in p])
+    alike = [(a, b) for a, b in zip(marks[::2], marks[1::2], strict=True) if E.likeness(a, b) >= 0.75]
+    across = [(a, b) for a, b in alike if a.split(":")[0] != b.split(":")[0]]
+    met = lambda some: sum(bool(set(E.bands_of(a)) & set(E.bands_of(b))) for a, b in some) / len(some)
+    assert len(alike) > 80 and len(across) > 10
+    assert met(alike) >= 0.98 and met(across) >= 0.98
