@@ -33,6 +33,7 @@ from .components import components
 SLOTS, STRIDE, SEED = 512, 4, 20240611
 DIGITS = "0123456789abcdef"
 BANDS, ROWS = 32, 8
+BLOCK = 1024
 LANE_CHARS = 4_000_000
 
 
@@ -264,21 +265,60 @@ def fingerprint_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return base.mapInArrow(run, f"doc_id {kind}, fingerprint string").withColumnRenamed("doc_id", id_col)
 
 
+def _alike(least: float):
+    """Pairs of different groups in one block of a band whose likeness reaches ``least``."""
+
+    def run(pdf):
+        import pandas as pd
+
+        rows, cols = pdf[pdf["side"] != 1], pdf[pdf["side"] != 0]
+        level = [np.array([int(m.split(":")[0]) for m in x["fingerprint"]], np.int64) for x in (rows, cols)]
+        found = []
+        for a in np.unique(level[0]):
+            for b in np.unique(level[1]):
+                us, vs = rows[level[0] == a], cols[level[1] == b]
+                thin = [[m.split(":")[1][:: 1 << int(max(a, b) - k)].encode() for m in x["fingerprint"]] for x, k in ((us, a), (vs, b))]
+                sizes = np.array([len(t) for t in thin[1]])
+                table = np.frombuffer(b"".join(t.ljust(sizes.max()) for t in thin[1]), np.uint8).reshape(len(sizes), -1)
+                nodes, labels = vs["node"].to_numpy(), vs["label"].to_numpy()
+                for node, label, mark in zip(us["node"], us["label"], thin[0], strict=True):
+                    n = min(len(mark), table.shape[1])
+                    equal = (table[:, :n] == np.frombuffer(mark[:n], np.uint8)).sum(axis=1) / np.maximum(sizes, len(mark))
+                    near = np.maximum(0.0, (equal - 1 / 16) / (15 / 16)) >= least
+                    found += [(min(node, v), max(node, v)) for v in nodes[near & (labels != label)].tolist()]
+        pairs = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
+
+    return run
+
+
 def similar_texts(docs: DataFrame, least: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and group_id: the least id among texts that verified band matches connect.
 
     Texts with equal fingerprints are one row from the start.  In a band each fingerprint is compared with the band's
-    first one only, so a band of n gives n - 1 pairs; the bands overlap, and groups are closed over all of them.
+    first one; where a band still holds several groups after that, its members of different groups are compared block by block, so no pair of a
+    band is left out.
     """
     marks = materialise(fingerprint_texts(docs, id_col, text_col).withColumnRenamed(id_col, "doc_id"), "fingerprints")
     nodes = materialise(marks.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")).withColumn("node", F.monotonically_increasing_id()), "fingerprint_nodes")
     keyed = nodes.where(F.length("fingerprint") > 2).select("node", F.explode(F.pandas_udf(lambda s: s.map(bands_of), "array<bigint>")("fingerprint")).alias("band"))
-    lead = keyed.groupBy("band").agg(F.min("node").alias("u"), F.max("node").alias("last")).where("u < last").drop("last")
-    pairs = keyed.join(lead, "band").where("node > u").select("u", F.col("node").alias("v")).distinct()
+    lead = keyed.groupBy("band").agg(F.min("node").alias("u"), F.max("node").alias("last"), F.count("*").alias("size")).where("u < last").drop("last")
+    members = materialise(keyed.join(lead, "band"), "fingerprint_members")
+    pairs = members.where("node > u").select("u", F.col("node").alias("v")).distinct()
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("fingerprint").alias(f"{c}_mark"))
     like = F.pandas_udf(lambda a, b: a.combine(b, likeness), "double")
     links = pairs.join(side("u"), "u").join(side("v"), "v").where(like("u_mark", "v_mark") >= least).select("u", "v")
-    labels = components(materialise(links, "fingerprint_links"))
+    links = materialise(links, "fingerprint_links")
+    labels = components(links)
+    labelled = members.where("size > 2").join(labels, "node", "left").select("band", "node", "size", F.coalesce("label", "node").alias("label"))
+    mixed = labelled.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("band")
+    rest = labelled.join(mixed, "band", "left_semi").join(nodes.select("node", "fingerprint"), "node")
+    rest = rest.withColumn("g", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    place = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    rest = rest.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), place.alias("side"), "node", "label", "fingerprint")
+    more = rest.groupBy("band", "i", "j").applyInPandas(_alike(least), "u bigint, v bigint").distinct()
+    labels = components(materialise(links.unionByName(more), "fingerprint_links"))
     grouped = nodes.join(labels, "node", "left").select("fingerprint", "first_id", F.coalesce("label", "node").alias("label"))
     least_id = grouped.groupBy("label").agg(F.min("first_id").alias("group_id"))
     placed = grouped.join(least_id, "label").select(F.col("fingerprint").alias("_mark"), "group_id")

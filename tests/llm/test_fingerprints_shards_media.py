@@ -165,3 +165,27 @@ def test_bands_find_near_copies_of_other_lengths():
     met = lambda some: sum(bool(set(E.bands_of(a)) & set(E.bands_of(b))) for a, b in some) / len(some)
     assert len(alike) > 80 and len(across) > 10
     assert met(alike) >= 0.98 and met(across) >= 0.98
+
+
+def test_groups_match_brute_force_in_a_band_of_half_similar_texts(spark, monkeypatch):
+    """All texts meet in one band only, whose first fingerprint is like one other at most; the band has several blocks."""
+    monkeypatch.setattr(E, "BLOCK", 40)
+    monkeypatch.setattr(E, "bands_of", lambda mark: [7])
+    rng = random.Random(21)
+    other = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    template = other(560)
+    rows = []
+    for k in range(40):
+        t = template + other(rng.choice([400, 463, 900]))
+        rows += [(2 * k, t), (2 * k + 1, t[:900] + "!" + t[900:])]
+    rng.shuffle(rows)
+    marks = dict(zip([i for i, _ in rows], E.fingerprints([t for _, t in rows]), strict=True))
+    group = {i: i for i in marks}
+    for a in sorted(marks):
+        for b in sorted(marks):
+            if a < b and E.likeness(marks[a], marks[b]) >= 0.75:
+                low, high = sorted((group[a], group[b]))
+                group = {i: low if g == high else g for i, g in group.items()}
+    assert len(set(group.values())) > 10
+    got = {r.doc_id: r.group_id for r in E.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == group
