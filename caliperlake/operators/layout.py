@@ -68,10 +68,19 @@ RADIUS, RINGS, DIRECTIONS = 9.0, (1.5, 2.5, 3.5, 5.0, 7.0, 9.0), 8
 PER_TEXT, PER_NEIGHBOUR = 20.0, 4.0
 
 
+# Cells of the grids in which a page's text boxes and taken circles are looked up.
+BOX_CELL, CIRCLE_CELL = 20.0, 5 * RADIUS
+
+
 def _place(width: float, height: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        boxes = list(pdf[["x0", "y0", "x1", "y1"]].itertuples(index=False))
-        taken: list[tuple[float, float]] = []
+        # Each box is in every cell that it comes within a radius of, each circle in the nine cells around it.
+        boxes: dict[tuple[int, int], list] = {}
+        for b in pdf[["x0", "y0", "x1", "y1"]].itertuples(index=False):
+            for i in range(math.floor((b.x0 - RADIUS) / BOX_CELL), math.floor((b.x1 + RADIUS) / BOX_CELL) + 1):
+                for j in range(math.floor((b.y0 - RADIUS) / BOX_CELL), math.floor((b.y1 + RADIUS) / BOX_CELL) + 1):
+                    boxes.setdefault((i, j), []).append(tuple(b))
+        taken: dict[tuple[int, int], list[tuple[float, float]]] = {}
         out = []
         for r in pdf.sort_values("number").itertuples():
             cx, cy = (r.x0 + r.x1) / 2, (r.y0 + r.y1) / 2
@@ -83,17 +92,20 @@ def _place(width: float, height: float):
                     flags = []
                     if not (RADIUS <= x <= width - RADIUS and RADIUS <= y <= height - RADIUS):
                         flags.append("outside_cropbox")
-                    covered = sum(math.hypot(x - min(max(x, b.x0), b.x1), y - min(max(y, b.y0), b.y1)) < RADIUS for b in boxes)
+                    covered = sum(math.hypot(x - min(max(x, x0), x1), y - min(max(y, y0), y1)) < RADIUS for x0, y0, x1, y1 in boxes.get((math.floor(x / BOX_CELL), math.floor(y / BOX_CELL)), ()))
                     if covered:
                         flags.append("source_text_overlap")
-                    if any(math.dist((x, y), t) < 2 * RADIUS for t in taken):
+                    gaps = [math.dist((x, y), t) for t in taken.get((math.floor(x / CIRCLE_CELL), math.floor(y / CIRCLE_CELL)), ())]
+                    if any(g < 2 * RADIUS for g in gaps):
                         flags.append("circle_overlap")
-                    near = sum(math.dist((x, y), t) < 5 * RADIUS for t in taken)
+                    near = sum(g < 5 * RADIUS for g in gaps)
                     key = (len(flags), math.dist((x, y), (cx, cy)) + covered * PER_TEXT + near * PER_NEIGHBOUR, ring, d)
                     if best is None or key < best[0]:
                         best = (key, x, y, flags)
             _, x, y, flags = best
-            taken.append((x, y))
+            i, j = math.floor(x / CIRCLE_CELL), math.floor(y / CIRCLE_CELL)
+            for cell in ((i + p, j + q) for p in (-1, 0, 1) for q in (-1, 0, 1)):
+                taken.setdefault(cell, []).append((x, y))
             out.append((r.doc_id, r.page_index, r.observation_id, x, y, ",".join(flags), "manual_required" if flags else "placed"))
         return pd.DataFrame(out, columns=["doc_id", "page_index", "observation_id", "cx", "cy", "flags", "status"])
 

@@ -40,8 +40,7 @@ def win15_greedy_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def win17_marker_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbered = ordered.numbered(S.observations(spark, sf_dir)).where("y0 < 150")
-    return L.placed_markers(numbered, 620.0, 620.0)
+    return L.placed_markers(ordered.numbered(S.observations(spark, sf_dir)), 620.0, 620.0)
 
 
 @query(f"""{OBS} SELECT a.doc_id, a.page_index, a.observation_id AS left_id, b.observation_id AS right_id FROM obs a JOIN obs b ON a.doc_id = b.doc_id AND a.page_index = b.page_index AND a.observation_id < b.observation_id

@@ -1,7 +1,15 @@
 import math
+import os
 import random
 
+import pytest
+
+from caliperlake import registry
 from caliperlake.operators import layout as L
+from caliperlake.operators import ordered
+from caliperlake.sources import adapters
+
+DATA = "/root/testdata/sf0.001"
 
 SCHEMA = "doc_id long, page_index int, observation_id string, number int, x0 double, y0 double, x1 double, y1 double"
 
@@ -42,3 +50,35 @@ def test_placement_keeps_every_item_and_flags_agree(spark):
     for r in got:
         assert ("outside_cropbox" in r.flags) == (not (9 <= r.cx <= 391 and 9 <= r.cy <= 291))
         assert (r.status == "placed") == (r.flags == "")
+
+
+def brute_placement(rows, width, height):
+    """Every candidate place against every text box and every circle of the page."""
+    taken, out = [], {}
+    for r in sorted(rows, key=lambda r: r.number):
+        cx, cy = (r.x0 + r.x1) / 2, (r.y0 + r.y1) / 2
+        ways = []
+        for ring, reach in enumerate(L.RINGS):
+            for d in range(L.DIRECTIONS):
+                a = 2 * math.pi * d / L.DIRECTIONS
+                x, y = cx + reach * L.RADIUS * math.cos(a), cy + reach * L.RADIUS * math.sin(a)
+                covered = sum(math.hypot(x - min(max(x, b.x0), b.x1), y - min(max(y, b.y0), b.y1)) < L.RADIUS for b in rows)
+                gaps = [math.dist((x, y), t) for t in taken]
+                checks = (("outside_cropbox", not (9 <= x <= width - 9 and 9 <= y <= height - 9)), ("source_text_overlap", covered > 0), ("circle_overlap", any(g < 18 for g in gaps)))
+                flags = [n for n, bad in checks if bad]
+                ways.append((len(flags), math.dist((x, y), (cx, cy)) + 20 * covered + 4 * sum(g < 45 for g in gaps), ring, d, x, y, ",".join(flags)))
+        best = min(ways)
+        taken.append(best[4:6])
+        out[r.observation_id] = best[4:]
+    return out
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are not here")
+def test_placement_query_places_every_marker_as_brute_force_does(spark):
+    got = registry.QUERIES["win17_marker_placement"](spark, DATA).collect()
+    given = ordered.numbered(adapters.observations(spark, DATA)).collect()
+    assert len(got) == len(given)
+    for page in [(1, 0), (2, 3)]:
+        rows = [r for r in given if (r.doc_id, r.page_index) == page]
+        assert len(rows) > 20
+        assert {r.observation_id: (r.cx, r.cy, r.flags) for r in got if (r.doc_id, r.page_index) == page} == brute_placement(rows, 620.0, 620.0)
