@@ -50,9 +50,12 @@ def single_charges(settled: DataFrame, request: str, cost: str) -> DataFrame:
 
 def export_counts(rows: DataFrame, balloons: DataFrame) -> DataFrame:
     """Whether each document's sheet rows and balloons have the same numbers, as multisets."""
-    numbers = lambda df, name: df.groupBy("doc_id").agg(F.sort_array(F.collect_list("number")).alias(name))
-    both = numbers(rows, "a").join(numbers(balloons, "b"), "doc_id", "full_outer")
-    return both.select("doc_id", F.coalesce(F.size("a"), F.lit(0)).alias("n_rows"), F.coalesce(F.size("b"), F.lit(0)).alias("n_balloons"), F.col("a").eqNullSafe(F.col("b")).alias("equal"))
+    side = lambda df, a, b: df.select("doc_id", "number", F.lit(a).alias("a"), F.lit(b).alias("b"))
+    each = side(rows, 1, 0).unionByName(side(balloons, 0, 1)).groupBy("doc_id", "number").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    known = F.col("number").isNotNull()
+    count = lambda c: F.sum(F.when(known, F.col(c)).otherwise(0)).cast("int")
+    equal = F.bool_and(~known | (F.col("a") == F.col("b"))) & ((F.sum("a") > 0) == (F.sum("b") > 0))
+    return each.groupBy("doc_id").agg(count("a").alias("n_rows"), count("b").alias("n_balloons"), equal.alias("equal"))
 
 
 # Order of artifact kinds.

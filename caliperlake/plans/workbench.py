@@ -65,6 +65,14 @@ def agg11_set06_export_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.export_counts(li, li.where("l_quantity > 2"))
 
 
+@query("""WITH a AS (SELECT l_suppkey AS doc_id, list_sort(list(l_linenumber)) AS a FROM lineitem GROUP BY ALL), b AS (SELECT l_suppkey AS doc_id, list_sort(list(l_linenumber)) AS b FROM lineitem WHERE l_quantity > 2 GROUP BY ALL)
+  SELECT doc_id, coalesce(len(a), 0) AS n_rows, coalesce(len(b), 0) AS n_balloons, a IS NOT DISTINCT FROM b AS equal FROM a FULL JOIN b USING (doc_id)""")
+def agg11_set06_export_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As agg11_set06_export_counts, over all lines."""
+    li = S.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.col("l_linenumber").alias("number"), "l_quantity")
+    return W.export_counts(li, li.where("l_quantity > 2"))
+
+
 @query("""WITH a AS (SELECT o_custkey AS doc_id, o_orderkey, ['manifest', 'pdf', 'xlsx', 'log'][CAST(o_orderkey % 4 + 1 AS INT)] AS kind FROM orders)
   SELECT doc_id, o_orderkey, kind, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY CASE kind WHEN 'pdf' THEN 1 WHEN 'xlsx' THEN 2 WHEN 'manifest' THEN 3 ELSE 4 END, o_orderkey) AS INT) AS position FROM a""")
 def srt03_artifact_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,3 +96,11 @@ def evt10_cls26_requirement_coverage(spark: SparkSession, sf_dir: str) -> DataFr
     li = S.table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0")
     req = li.groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("source_ids"), F.bool_or(F.col("l_returnflag") == "R").alias("unconfirmed"))
     return W.needs_confirmation(S.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry_id"), F.col("p_partkey").alias("source_id")), req)
+
+
+@query("""WITH r AS (SELECT l_orderkey, list(l_partkey) AS ids, bool_or(l_returnflag = 'R') AS u FROM lineitem GROUP BY ALL), s AS (SELECT k, bool_or(u) AS open FROM (SELECT unnest(ids) AS k, u FROM r) GROUP BY ALL)
+  SELECT p_partkey AS entry_id, coalesce(open, false) AS requires_confirmation FROM part LEFT JOIN s ON k = p_partkey""")
+def evt10_cls26_requirement_coverage_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As evt10_cls26_requirement_coverage, over all lines."""
+    req = S.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("source_ids"), F.bool_or(F.col("l_returnflag") == "R").alias("unconfirmed"))
+    return W.needs_confirmation(S.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry_id"), F.col("p_partkey").alias("source_id")), req)
