@@ -39,7 +39,12 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+_IBAN_LENGTHS = {
+    c[:2]: int(c[2:])
+    for c in "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 "
+    "LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20".split()
+}
 _NATIONAL = re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _ANY_DIGIT = re.compile(r"[0-9]")
@@ -76,6 +81,22 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", floor)
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Confirmed IBANs, leftmost first.  Words and numbers that follow may look like further groups, so every group border is a
+    possible end: the one at the country's length first, then the others from the longest.  A start has at most 34 characters, so linear in the text."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        s, ends, n = m.start(), [], 0
+        for k in range(s, m.end()):
+            n += text[k] != " "
+            if n >= 15 and text[k] != " " and not (k + 1 < len(text) and text[k + 1].isascii() and text[k + 1].isalnum()):
+                ends.append((n == _IBAN_LENGTHS.get(text[s : s + 2]), n, k + 1))
+        at = next((e for _, _, e in sorted(ends, reverse=True) if mod97(text[s:e].replace(" ", ""))), None)
+        if at:
+            yield s, at
+        at = at or s + 1
+
+
 def _good_ip(s: str) -> bool:
     return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in s.split("."))
 
@@ -113,9 +134,8 @@ def spans_of(text: str | None) -> list[tuple[str, int, int, float]]:
         for m in pattern.finditer(text):
             if good(m[0]):
                 keep(kind, m.start(), m.end(), True)
-    for m in _IBAN.finditer(text):
-        if mod97(m[0].replace(" ", "")):
-            keep("iban", m.start(), m.end(), True)
+    for s, e in _ibans(text):
+        keep("iban", s, e, True)
     for m in _NATIONAL.finditer(text):
         keep("national_id", m.start(), m.end(), False)
     return found

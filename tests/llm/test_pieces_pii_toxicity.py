@@ -100,6 +100,15 @@ def test_checksums_and_context_add_spans():
     assert kinds("ssn 123-45-6789") == ["national_id"] and kinds("part 123-45-6789") == []
 
 
+@pytest.mark.parametrize("after", ["", " BIC COBADEFF", " 2024", " GB82WEST12345698765432", " AND 30 MORE WORDS THAT ARE IN UPPER CASE", ", 5"])
+@pytest.mark.parametrize("iban", ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"])
+def test_ibans_before_upper_case_words_and_numbers(iban, after):
+    text = "REF AB12 CDEF to " + iban + after
+    found = [text[s:e] for k, s, e, _ in pii.spans_of(text) if k == "iban"]
+    assert found == [iban] + [after[1:]] * after.startswith(" GB82")
+    assert iban not in pii.redacted(text)
+
+
 def test_redaction():
     assert pii.redacted("mail a.b@c.org or +1 (743) 555-3824!") == "mail [EMAIL] or [PHONE]!"
     assert pii.redacted(None) is None and pii.redacted("clean") == "clean"
