@@ -6,9 +6,10 @@ that the bits set in the XOR of two sketches tell how many samples differ.
 
 Documents with equal sets are one node.  Each node is confirmed against the most similar, by odd sketch, of the first nodes of its
 band buckets, and then twice against the most similar of other drawn nodes of buckets that still hold several components; nodes
-that this joins need no comparison with each other.  Buckets that hold several components after that are compared block by block on odd sketches, a narrow one first and then one of 1,024 samples in 2,048 bits, each pair in
-the first band that it shares only.  Pairs that the sketches do not rule out are confirmed on full sets.  No pair of a bucket
-is left out, and no bucket is capped.
+that this joins need no comparison with each other.  Buckets that hold several components after that are compared block by block on odd
+sketches, a narrow one first and then one of 1,024 samples in 2,048 bits, each pair in the first band that it shares only.  Members
+with a pair that the sketches do not rule out come back to their block with their full sets; a block compares these and gives only links that join
+components.  So tables grow with the members of buckets, never with their pairs.  No pair of a bucket is left out, and no bucket is capped.
 A pair at the threshold misses all bands with probability (1 - 0.75**4)**32, about 5e-6.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing; repeated
@@ -36,7 +37,8 @@ MOST_BITS = 88
 WIDE_SAMPLES, WIDE_BITS = 1024, 2048
 #: Of the wide sketch: about 403 at the threshold, deviation 22; this is 4.5 deviations more, where the estimate is 0.66.
 MOST_WIDE_BITS = 503
-BLOCK, PIVOT_TURNS = 2048, 2
+#: A block has at most so many members and, but for single larger sets, so many bytes of full sets.
+BLOCK, BLOCK_BYTES, PIVOT_TURNS = 2048, 16_000_000, 2
 _M64 = (1 << 64) - 1
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 _LOW, _HIGH = (_RNG.integers(0, 1 << 32, WIDE_SAMPLES, dtype=np.uint32) | np.uint32(1) for _ in range(2))
@@ -162,13 +164,8 @@ def _likely(a: str, b: str) -> Column:
     return (_bits(a, b) <= MOST_BITS) & (100 * small >= 75 * large)
 
 
-def _blocks(pdf):
-    """Pairs of different components in one block of a bucket that the sketches do not rule out, if the bucket is the first that they share."""
-    import pandas as pd
-
-    rows, cols = pdf[pdf["side"] != 1], pdf[pdf["side"] != 0]
-    if rows.empty or cols.empty:
-        return pd.DataFrame({"u": [], "v": []}, dtype="int64")
+def _likely_pairs(rows, cols) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of different components that the sketches do not rule out, if the bucket of the block is the first that they share."""
     s, t = (x[["s0", "s1", "s2", "s3"]].to_numpy().view(np.uint64) for x in (rows, cols))
     n, m = rows["n_shingles"].to_numpy()[:, None], cols["n_shingles"].to_numpy()[None, :]
     good = (100 * np.minimum(n, m) >= 75 * np.maximum(n, m)) & (rows["label"].to_numpy()[:, None] != cols["label"].to_numpy()[None, :])
@@ -176,20 +173,69 @@ def _blocks(pdf):
     for j in range(4):
         bits += np.bitwise_count(s[:, None, j] ^ t[None, :, j])
     a, b = np.nonzero(good & (bits <= MOST_BITS))
-    ids, other = rows["node"].to_numpy(), cols["node"].to_numpy()
     keys, others = (np.stack(x["bands"].to_numpy()) for x in (rows, cols))
     wide, wides = (np.frombuffer(b"".join(x["wide"]), np.uint64).reshape(len(x), -1) for x in (rows, cols))
-    bucket, found = int(pdf["bucket"].iloc[0]), []
+    bucket, found = int(rows["bucket"].iloc[0]), [np.zeros((2, 0), np.int64)]
     for at in range(0, len(a), 8192):
         i, j = a[at : at + 8192], b[at : at + 8192]
         shared = (keys[i] == others[j]).argmax(axis=1)
         first = keys[i, shared] == bucket
         i, j = i[first], j[first]
         near = np.bitwise_count(wide[i] ^ wides[j]).sum(axis=1, dtype=np.int32) <= MOST_WIDE_BITS
-        found.append(np.stack([ids[i[near]], other[j[near]]], axis=1))
-    pairs = np.sort(np.concatenate(found), axis=1) if found else np.zeros((0, 2), np.int64)
-    pairs = np.unique(pairs, axis=0)
-    return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
+        found.append(np.stack([i[near], j[near]]))
+    return tuple(np.concatenate(found, axis=1))
+
+
+def _sides(pdf):
+    return pdf[pdf["side"] != 1], pdf[pdf["side"] != 0]
+
+
+def _undecided(pdf):
+    """The members of a block that have a pair to compare; one row for each, however many pairs."""
+    rows, cols = _sides(pdf)
+    if rows.empty or cols.empty:
+        return pdf.loc[:, ["bucket", "i", "j", "side", "node"]].iloc[:0]
+    a, b = _likely_pairs(rows, cols)
+    nodes = np.union1d(rows["node"].to_numpy()[a], cols["node"].to_numpy()[b])
+    return pdf.loc[pdf["node"].isin(nodes), ["bucket", "i", "j", "side", "node"]]
+
+
+def _spanning(pdf):
+    """Links of a block, confirmed on full sets: only those that join components, so fewer than members."""
+    import pandas as pd
+
+    rows, cols = _sides(pdf)
+    links: list[tuple[int, int]] = []
+    if not (rows.empty or cols.empty):
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent.setdefault(up, up)
+            return x
+
+        a, b = _likely_pairs(rows, cols)
+        label, other = rows["label"].tolist(), cols["label"].tolist()
+        node, nodes = rows["node"].tolist(), cols["node"].tolist()
+        sets, others = rows["shingles"].tolist(), cols["shingles"].tolist()
+        cuts = [0, *(np.flatnonzero(np.diff(a)) + 1).tolist(), len(a)]
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            if x == y:
+                continue
+            u, own = a[x], root(label[a[x]])
+            v = [k for k in b[x:y].tolist() if root(other[k]) != own]
+            if not v:
+                continue
+            mine = np.sort(sets[u])
+            sizes = np.array([len(others[k]) for k in v])
+            values = np.concatenate([others[k] for k in v])
+            hit = mine[np.minimum(np.searchsorted(mine, values), len(mine) - 1)] == values
+            both = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+            for k in np.flatnonzero(100 * both >= 75 * (len(mine) + sizes - both)).tolist():
+                if (far := root(other[v[k]])) != (near := root(label[u])):
+                    parent[far] = near
+                    links.append((node[u], nodes[v[k]]))
+    return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -208,7 +254,7 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of buckets of three and more that hold several components, with their labels."""
-    labelled = members.where("size > 2").join(labels, "node", "left").select("bucket", "node", "size", F.coalesce("label", "node").alias("label"))
+    labelled = members.where("size > 2").join(labels, "node", "left").select("bucket", "node", "size", "weight", F.coalesce("label", "node").alias("label"))
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("bucket")
     return labelled.join(mixed, "bucket", "left_semi")
 
@@ -222,9 +268,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = sketches.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("first_id"), *(F.first(c).alias(c) for c in alike))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    keyed = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = keyed.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last"), F.count("*").alias("size")).where("lead < last").drop("last")
-    members = materialise(keyed.join(shared, "bucket"), "members")
+    keyed = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
+    shared = keyed.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last"), F.count("*").alias("size"), F.sum("n_shingles").alias("weight")).where("lead < last").drop("last")
+    members = materialise(keyed.drop("n_shingles").join(shared, "bucket"), "members")
     sketch = nodes.select("node", "n_shingles", "s0", "s1", "s2", "s3")
     side = lambda p: sketch.select(*(F.col(c).alias(p + c) for c in sketch.columns))
     stars = members.where("node > lead").groupBy(F.col("lead").alias("u"), F.col("node").alias("v")).agg((F.min("size") == 2).alias("alone"))
@@ -249,13 +295,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # What is still open: pairs that are alone in all their buckets, and blocks of larger buckets.
     compared = nodes.select("node", "n_shingles", "bands", "s0", "s1", "s2", "s3").join(sets.select("node", "wide"), "node")
     rest = _open(members, labels).join(compared, "node")
-    rest = rest.withColumn("g", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+    parts = F.ceil(F.greatest(F.col("size") / BLOCK, 8 * F.col("weight") / BLOCK_BYTES)).cast("int")
+    rest = rest.withColumn("g", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    rest = rest.select("bucket", low.alias("i"), high.alias("j"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "node", "label", "n_shingles", "s0", "s1", "s2", "s3", "bands", "wide")
-    blocks = rest.groupBy("bucket", "i", "j").applyInPandas(_blocks, "u bigint, v bigint")
-    more = _apart(stars.where("alone").select("u", "v"), labels).unionByName(blocks).distinct()
-    labels = components(materialise(links.unionByName(_confirm(more, sets)), "links"))
+    which = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    rest = rest.select("bucket", low.alias("i"), high.alias("j"), which.alias("side"), "node", "label", "n_shingles", "s0", "s1", "s2", "s3", "bands", "wide")
+    block = ["bucket", "i", "j"]
+    left = materialise(rest.groupBy(*block).applyInPandas(_undecided, "bucket bigint, i int, j int, side int, node bigint"), "undecided")
+    full = left.join(compared, "node").join(sets.select("node", "shingles"), "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    exact = full.groupBy(*block).applyInPandas(_spanning, "u bigint, v bigint")
+    alone = _confirm(_apart(stars.where("alone").select("u", "v"), labels), sets)
+    labels = components(materialise(links.unionByName(exact).unionByName(alone), "links"))
 
     least = nodes.join(labels, "node", "left").select("set_key", "first_id", F.coalesce("label", "node").alias("label"))
     ids = least.groupBy("label").agg(F.min("first_id").alias("component_id"))
