@@ -189,43 +189,68 @@ def _index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield marked(held)
 
 
+_WINDOWS = "sid bigint, off bigint, run bigint, w0 bigint, w1 bigint, times int"
+
+
 def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct snippets (anchor, sig, n, data) -> a row for each of their windows: its digest in two longs, and its place, or -1 where the snippet occurs more than once."""
+    """Distinct snippets (sid, n, data) -> runs of windows that repeat within the batch, and one row for each distinct window: its digest in
+    two longs, how often it occurs (two stands for more), and its place if it occurs once, so that a passage of many snippets is few rows."""
     import xxhash
 
-    for b in slices(batches, 512):
+    for b in slices(batches, 2048):
         own, offs, digests = [], [], []
-        for i, (n, data) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+        for i, (n, data) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
             view, count = memoryview(data), len(data) - LENGTH + 1
             own += [i] * count
             offs += range(count) if n == 1 else [-1] * count
             digests += [xxhash.xxh3_128_digest(view[k : k + LENGTH]) for k in range(count)]
         pair = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-        take = pa.array(own, pa.int64())
-        cols = [b.column(0).take(take), b.column(1).take(take), pa.array(offs, pa.int64()), *(pa.array(np.ascontiguousarray(pair[:, j])) for j in range(2))]
-        yield pa.RecordBatch.from_arrays(cols, ["anchor", "sig", "off", "w0", "w1"])
+        own, offs = np.array(own, np.int64), np.array(offs, np.int64)
+        order = np.lexsort((pair[:, 1], pair[:, 0]))
+        new = np.append(True, (np.diff(pair[order], axis=0) != 0).any(axis=1))[: len(order)]
+        group = np.cumsum(new) - 1
+        copied = np.bincount(group, offs[order] < 0) > 0 if len(order) else np.zeros(0, bool)
+        often = (np.bincount(group) > 1) | copied if len(order) else copied
+        first = order[new]
+        single = ~often
+        known = np.zeros(len(own), bool)
+        known[order] = often[group]
+        known &= offs >= 0
+        at = np.flatnonzero(known)
+        cut = np.append(True, (np.diff(at) != 1) | (np.diff(own[at]) != 0))[: len(at)]
+        starts = at[cut]
+        sizes = np.diff(np.append(np.flatnonzero(cut), len(at)))
+        sid = np.asarray(b.column(0))
+        n_runs, n_rows = len(starts), len(first)
+        places = pa.array(np.concatenate([sid[own[starts]], sid[own[first]]]), mask=np.concatenate([np.zeros(n_runs, bool), ~single]))
+        where = pa.array(np.concatenate([offs[starts], offs[first]]), mask=np.concatenate([np.zeros(n_runs, bool), ~single]))
+        runs = pa.array(np.concatenate([sizes, np.zeros(n_rows, np.int64)]), mask=np.append(np.zeros(n_runs, bool), np.ones(n_rows, bool)))
+        w = [pa.array(np.concatenate([np.zeros(n_runs, np.int64), pair[first, j]]), mask=np.append(np.ones(n_runs, bool), np.zeros(n_rows, bool))) for j in range(2)]
+        times = pa.array(np.concatenate([np.zeros(n_runs, np.int32), np.where(single, 1, 2).astype(np.int32)]), pa.int32())
+        yield pa.RecordBatch.from_arrays([places, where, runs, *w, times], ["sid", "off", "run", "w0", "w1", "times"])
 
 
 def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, sig, sorted places of windows) -> runs of places that follow one another."""
+    """(sid, sorted places of windows) -> runs of places that follow one another."""
     for b in slices(batches, 4096):
         own, firsts, sizes = [], [], []
-        for i, offs in enumerate(b.column(2).to_pylist()):
+        for i, offs in enumerate(b.column(1).to_pylist()):
             at = np.asarray(offs, np.int64)
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(at) != 1) + 1, [len(at)]])
             own += [i] * (len(cuts) - 1)
             firsts += at[cuts[:-1]].tolist()
             sizes += np.diff(cuts).tolist()
-        take = pa.array(own, pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(firsts, pa.int64()), pa.array(sizes, pa.int64())], ["anchor", "sig", "off", "run"])
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own, pa.int64())), pa.array(firsts, pa.int64()), pa.array(sizes, pa.int64())], ["sid", "off", "run"])
 
 
 def _dealt(chosen: DataFrame) -> DataFrame:
     """What ``_index`` gives, by counting the windows of all distinct snippets; no task needs an anchor's snippets together."""
-    each = materialise(chosen.mapInArrow(_windows, "anchor bigint, sig binary, off bigint, w0 bigint, w1 bigint"), "windows", compression="zstd")
-    often = each.groupBy("w0", "w1").agg(F.count("*").alias("times")).where("times > 1").select("w0", "w1")
-    found = each.where("off >= 0").join(often, ["w0", "w1"]).groupBy("anchor", "sig").agg(F.sort_array(F.collect_list("off")).alias("offs"))
-    return found.mapInArrow(_runs, "anchor bigint, sig binary, off bigint, run bigint")
+    each = materialise(chosen.select("sid", "n", "data").mapInArrow(_windows, _WINDOWS), "windows", compression="zstd")
+    windows = each.where("run is null")
+    often = windows.groupBy("w0", "w1").agg(F.sum("times").alias("all")).where("all > 1").select("w0", "w1")
+    found = windows.where("off is not null").select("sid", "off", "w0", "w1").join(often, ["w0", "w1"]).groupBy("sid").agg(F.sort_array(F.collect_list("off")).alias("offs"))
+    runs = found.mapInArrow(_runs, "sid bigint, off bigint, run bigint").unionByName(each.where("run is not null").select("sid", "off", "run"))
+    return runs.join(chosen.select("sid", "anchor", "sig"), "sid").select("anchor", "sig", "off", "run")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,18 +265,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cut = materialise(cut, "snippets", compression="zstd")
 
     sigs = cut.groupBy("anchor", "sig").agg(F.count("*").alias("n"), F.first("windows").alias("windows"))
-    sigs = materialise(sigs, "sigs")
+    sigs = materialise(sigs.withColumn("sid", F.monotonically_increasing_id()), "sigs")
     mixed = sigs.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least"), F.sum(F.col("windows") + LENGTH - 1).alias("size"))
-    mixed = materialise(mixed.where("kinds > 1 and least = 1").select("anchor", "size"), "mixed_anchors")
+    mixed = mixed.where("kinds > 1 and least = 1").select("anchor", (F.col("size") > CHUNK_BYTES).alias("large"))
+    wanted = sigs.join(mixed, "anchor").select("anchor", "sig", "sid", "n", "large")
+    chosen = cut.where("data is not null").select("anchor", "sig", "data").join(wanted, ["anchor", "sig"]).dropDuplicates(["anchor", "sig"])
+    chosen = materialise(chosen.select("anchor", "sig", "n", "data", "sid", "large"), "distinct_snippets", compression="zstd")
 
-    def chosen(anchors: DataFrame) -> DataFrame:
-        wanted = sigs.join(anchors.select("anchor"), "anchor", "left_semi").select("anchor", "sig", "n")
-        return cut.where("data is not null").select("anchor", "sig", "data").join(wanted, ["anchor", "sig"]).dropDuplicates(["anchor", "sig"]).select("anchor", "sig", "n", "data")
-
-    small, large = mixed.where(F.col("size") <= CHUNK_BYTES), mixed.where(F.col("size") > CHUNK_BYTES)
-    marked = chosen(small).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_index, "anchor bigint, sig binary, off bigint, run bigint")
+    small, large = chosen.where("not large").drop("sid", "large"), chosen.where("large")
+    marked = small.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_index, "anchor bigint, sig binary, off bigint, run bigint")
     if not large.isEmpty():
-        marked = marked.unionByName(_dealt(chosen(large)))
+        marked = marked.unionByName(_dealt(large))
     copied = sigs.where("n > 1").select("anchor", "sig", F.lit(0).cast("bigint").alias("off"), F.col("windows").alias("run"))
     flags = materialise(marked.unionByName(copied), "flags")
     places = cut.select("doc_id", "rid", "start", "anchor", "sig").join(flags, ["anchor", "sig"])
@@ -316,7 +340,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pd.Series([t if s is None else kept_bytes(t.encode(), removed_runs(list(s))).decode("utf-8", "ignore") for t, s in zip(text, spans, strict=True)])
 
     spans = repeated_spans(docs, id_col, text_col).select(F.col("doc_id").alias("_doc"), F.col("rid").alias("_rid"), F.col("spans").alias("_spans")).hint("shuffle_hash")
-    text = text_or_empty(text_col)
-    joined = docs.join(spans, same(docs[id_col], F.col("_doc")) & (F.xxhash64(docs[id_col], text) == F.col("_rid")), "left")
-    changed = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.pandas_udf(cut, "string")(text, F.col("_spans")))
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    joined = docs.join(spans, same(docs[id_col], spans["_doc"]) & (F.xxhash64(docs[id_col], text) == spans["_rid"]), "left")
+    changed = F.when(spans["_spans"].isNull(), docs[text_col]).otherwise(F.pandas_udf(cut, "string")(text, spans["_spans"]))
     return joined.select(*(changed.alias(text_col) if c == text_col else docs[c] for c in docs.columns))
