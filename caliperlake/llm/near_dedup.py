@@ -109,7 +109,7 @@ def set_key(found: np.ndarray) -> bytes:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
-_SKETCH = "doc_id {}, n_shingles bigint, set_key binary, bands array<bigint>, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
+_SKETCH = "doc_id {}, hash bigint, n_shingles bigint, set_key binary, bands array<bigint>, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
 
 
 def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +129,7 @@ def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = np.stack(odd)
         ends = np.cumsum([0, *map(len, bands)])
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(bands), pa.int64()))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists, *(pa.array(np.ascontiguousarray(s[:, j])) for j in range(4))], ["doc_id", "n_shingles", "set_key", "bands", "s0", "s1", "s2", "s3"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists, *(pa.array(np.ascontiguousarray(s[:, j])) for j in range(4))], ["doc_id", "hash", "n_shingles", "set_key", "bands", "s0", "s1", "s2", "s3"])
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,11 +259,11 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     return labelled.join(mixed, "bucket", "left_semi")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, n_shingles, component_id (least id of the component) and kept of every row."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", detail: bool = False) -> DataFrame:
+    """``id_col``, n_shingles, component_id (least id of the component) and kept of every row; with ``detail`` also text_hash and group_key (null without words)."""
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    sketches = materialise(base.mapInArrow(_sketch, _SKETCH.format(kind)), "sketches")
+    sketches = materialise(base.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(_sketch, _SKETCH.format(kind)), "sketches")
     alike = ("n_shingles", "bands", "s0", "s1", "s2", "s3")
     nodes = sketches.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("first_id"), *(F.first(c).alias(c) for c in alike))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
@@ -310,7 +310,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     least = nodes.join(labels, "node", "left").select("set_key", "first_id", F.coalesce("label", "node").alias("label"))
     ids = least.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    placed = least.join(ids, "label").select(F.col("set_key").alias("_key"), "component_id")
-    out = sketches.select("doc_id", "n_shingles", "set_key").join(placed, F.col("set_key") == F.col("_key"), "left")
+    placed = least.join(ids, "label").select(F.col("set_key").alias("_key"), "component_id", F.col("label").alias("group_key"))
+    out = sketches.select("doc_id", "hash", "n_shingles", "set_key").join(placed, F.col("set_key") == F.col("_key"), "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", same(F.col("doc_id"), F.col("component_id")).alias("kept"))
+    return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", same(F.col("doc_id"), F.col("component_id")).alias("kept"), *([F.col("hash").alias("text_hash"), "group_key"] if detail else []))

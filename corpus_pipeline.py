@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caliperlake.llm import near_dedup, packing, pii, repeats, toxicity
@@ -22,9 +22,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near-duplicates."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), same(F.col("doc_id"), F.col("_kept")), "left_semi")
+    """The document with the least id of each group of near-duplicates; where rows repeat this id, the one whose text has the least hash, once.
+
+    Documents without words are in no group and stay, and so do those without an id, which cannot be the least; repeated rows of one count once.
+    """
+    found = near_dedup.near_duplicates(docs, detail=True)
+    own = F.when(F.col("doc_id").isNull() | F.col("group_key").isNull(), F.col("text_hash"))
+    kept = found.where("kept").groupBy("doc_id", "group_key", own.alias("own")).agg(F.min("text_hash").alias("_hash"))
+    kept = kept.select(F.col("doc_id").alias("_kept"), "_hash").distinct().hint("shuffle_hash")
+    text = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    joined = docs.join(kept, same(docs["doc_id"], kept["_kept"]) & (text == kept["_hash"]), "left_semi")
+    row = joined.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].alias("id"), text.alias("hash"))
+    first = F.row_number().over(Window.partitionBy("id", "hash").orderBy(F.col("row.n_chars") if "n_chars" in docs.columns else F.lit(0)))
+    return row.withColumn("k", first).where("k = 1").select("row.*")
 
 
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,8 +45,9 @@ def texts():
 @pytest.fixture(scope="session")
 def docs(spark, texts):
     """The texts with further columns whose names operators use inside."""
-    rows = [(i, t, "en", "s", None, 1, "u", 0) for i, t in texts]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _id int, node string, uid int").repartition(3)
+    clashing = "node string, uid int, _id int, _spans string, _doc int, _rid int, _kept int, _hash int, shard int, spans int, sid int, hash int, part int, label int, row int"
+    rows = [(i, t, "en", "s", None, *("u" if c.endswith("string") else 1 for c in clashing.split(", "))) for i, t in texts]
+    return spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {clashing}").repartition(3)
 
 
 @pytest.fixture(scope="session")

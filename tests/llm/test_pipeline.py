@@ -33,3 +33,18 @@ def test_stages_take_effect_and_keep_columns(spark, tmp_path):
     assert masked[103].text.startswith("write to [EMAIL] please") and masked[103].n_chars == len(masked[103].text)
     assert {(r.doc_id, r.piece) for r in P.run(spark, str(tmp_path)).collect()} == {(r.doc_id, r.piece) for r in seen["best_fit_packing"].collect()}
     assert seen["pii"].where(F.col("text").contains("@")).isEmpty()
+
+
+def test_near_copies_with_repeated_ids_and_empty_tables(spark):
+    import corpus_pipeline as P
+
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(1, a), (1, a), (1, b), (2, a), (2, b + " x"), (3, b), (None, "no id here at all today"), (None, a), (4, None), (4, None), (5, ""), (6, " ")]
+    docs = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, _kept int")
+    got = sorted(map(str, P.keep_one_of_near_copies(spark, docs, "").collect()))
+    want = [(1, a), (1, b), (None, "no id here at all today"), (4, None), (5, ""), (6, " ")]
+    assert got == sorted(str(r) for r in spark.createDataFrame([(i, t, 7) for i, t in want], docs.schema).collect())
+    none = docs.limit(0)
+    for stage in (P.keep_one_of_near_copies, P.drop_repeated_strings, P.mask_personal_data):
+        out = stage(spark, none, "")
+        assert out.count() == 0 and out.columns == docs.columns
