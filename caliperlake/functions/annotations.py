@@ -40,28 +40,46 @@ def _kind(b: Column) -> Column:
     return F.when(b.rlike(THREAD), "thread").when(b.rlike(DIAMETER), "diameter_dimension").when(b.rlike(RADIUS), "radius").when(b.rlike(ANGLE), "angle").when(b.rlike(LINEAR), "linear_dimension")
 
 
-def _fields(p: Column) -> Column:
-    b, kind = p["body"], p["kind"]
-    thread, diameter, radius, angle, linear = (kind == k for k in ("thread", "diameter_dimension", "radius", "angle", "linear_dimension"))
-    symmetric = F.when(angle, group(b, ANGLE, 2)).when(linear, group(b, LINEAR, 2)).cast(DECIMAL)
-    return F.struct(
-        F.when(diameter, group(b, DIAMETER, 1)).when(linear, group(b, LINEAR, 1)).alias("nominal_raw"),
-        F.when(radius, group(b, RADIUS, 1)).when(angle, group(b, ANGLE, 1)).alias("value_raw"),
-        F.coalesce(symmetric, F.when(linear, group(b, LINEAR, 3)).cast(DECIMAL)).cast(DECIMAL).alias("upper_tolerance"),
-        F.coalesce(-symmetric, F.when(linear, group(b, LINEAR, 4)).cast(DECIMAL)).cast(DECIMAL).alias("lower_tolerance"),
-        F.when(thread, group(b, THREAD, 2)).when(diameter, group(b, DIAMETER, 2)).alias("depth_raw"),
-        F.when(thread, group(b, THREAD, 3).isNotNull()).when(diameter, group(b, DIAMETER, 3).isNotNull()).otherwise(False).alias("through"),
-        F.when(thread, F.regexp_replace(group(b, THREAD, 1), r"\s*[xX×]\s*", "×")).alias("thread_spec"),
-    )
+_CUT = "\u0001"
+
+
+def _groups(text: Column, pattern: str, n: int) -> Column:
+    """All groups of a text that the pattern matches whole, from one run of it: an array of n texts, empty where a group has no part."""
+    return F.split(F.regexp_replace(text, pattern, _CUT.join(f"${k}" for k in range(1, n + 1))), _CUT)
 
 
 def parsed(df: DataFrame, text: str = "normalized_text") -> DataFrame:
-    """df with item_type (null: not parsed), body, quantity, nominal, value, upper, lower, depth, through and thread_spec."""
-    rest = [c for c in df.columns]
-    df = df.withColumn("_b", _bound(F.col(text), _body)).select(*rest, "_b.body", "_b.quantity")
-    df = df.withColumn("item_type", _bound(F.col("body"), _kind))
-    df = df.withColumn("_f", _bound(F.struct("body", F.col("item_type").alias("kind")), _fields))
-    return df.select(*rest, "body", "quantity", "item_type", "_f.*")
+    """df with item_type (null: not parsed), body, quantity, nominal, value, upper, lower, depth, through and thread_spec.
+
+    Each step is a column of its own that the next one uses, and a form is run once to find its type and once to cut it, so all of it stays in generated code.
+    """
+    rest, whole = df.columns, F.col(text)
+    df = df.withColumn("_q", F.when(whole.rlike(QUANTITY), _groups(whole, QUANTITY, 3)))
+    sign, after = F.try_element_at("_q", F.lit(2)), F.try_element_at("_q", F.lit(3))
+    df = df.withColumn("_counted", F.col("_q").isNotNull() & ~((sign == "-") & after.rlike("^[0-9]")))
+    df = df.withColumns({"body": F.when(F.col("_counted"), after).otherwise(whole), "quantity": F.when(F.col("_counted"), F.try_element_at("_q", F.lit(1)).cast("int"))})
+    df = df.withColumn("item_type", _kind(F.col("body")))
+    kind = F.col("item_type")
+    cut = F.lit(None).cast("array<string>")
+    for name, pattern, n in (("thread", THREAD, 3), ("diameter_dimension", DIAMETER, 3), ("radius", RADIUS, 1), ("angle", ANGLE, 2), ("linear_dimension", LINEAR, 4)):
+        cut = F.when(kind == name, _groups(F.col("body"), pattern, n)).otherwise(cut)
+    df = df.withColumn("_g", cut)
+    part = lambda k: F.nullif(F.try_element_at("_g", F.lit(k)), F.lit(""))
+    thread, diameter, radius, angle, linear = (kind == k for k in ("thread", "diameter_dimension", "radius", "angle", "linear_dimension"))
+    symmetric = F.when(angle | linear, part(2)).cast(DECIMAL)
+    return df.select(
+        *rest,
+        "body",
+        "quantity",
+        "item_type",
+        F.when(diameter | linear, part(1)).alias("nominal_raw"),
+        F.when(radius | angle, part(1)).alias("value_raw"),
+        F.coalesce(symmetric, F.when(linear, part(3)).cast(DECIMAL)).cast(DECIMAL).alias("upper_tolerance"),
+        F.coalesce(-symmetric, F.when(linear, part(4)).cast(DECIMAL)).cast(DECIMAL).alias("lower_tolerance"),
+        F.when(thread | diameter, part(2)).alias("depth_raw"),
+        F.when(thread | diameter, part(3).isNotNull()).otherwise(False).alias("through"),
+        F.when(thread, F.regexp_replace(part(1), r"\s*[xX×]\s*", "×")).alias("thread_spec"),
+    )
 
 
 # Forms of technical requirements.
@@ -80,6 +98,12 @@ def executable(text: Column) -> Column:
     return text.rlike(VERB) & text.rlike(CRITERION)
 
 
+def engineering(text: Column) -> Column:
+    """A number, an executable requirement, or an annotation that can be parsed."""
+    parsable = lambda b: _kind(b["body"]).isNotNull()
+    return text.rlike(rf"\A{NUMBER}\z") | executable(text) | _bound(_body(text), parsable)
+
+
 def requirement_class(text: Column, ordinal: Column) -> Column:
     """Struct (category, subtype, parameter) of a technical requirement: the first rule that holds."""
     made = lambda category, subtype, parameter=None: F.struct(F.lit(category).alias("category"), F.lit(subtype).alias("subtype"), (F.lit(None).cast("string") if parameter is None else parameter).alias("parameter"))
@@ -97,6 +121,20 @@ def requirement_class(text: Column, ordinal: Column) -> Column:
     )
 
 
+# Sheet items of the requirement classes.
+REQUIREMENT_ITEMS = {"general_dimensional_tolerance": "未注尺寸公差", "general_geometric_tolerance": "未注形位公差", "deburr": "去毛刺与锐边检查", "surface_integrity": "外观检查", "surface_treatment": "表面处理检查"}
+
+
+def requirement_suggestion(found: Column, text: Column) -> Column:
+    """Struct (inspection_item, inspection_standard, key_dimension) that a classified requirement puts on the sheet; found is its class."""
+    subtype, check = found["subtype"], found["category"] == "standalone_check"
+    item = F.when(subtype == "default_chamfer", F.when(check, "倒角检查").otherwise("未标注倒角")).when((subtype == "ambiguous") & check, "技术要求检查")
+    for name, said in REQUIREMENT_ITEMS.items():
+        item = item.when(subtype == name, said)
+    standard = F.when(subtype.startswith("general_"), found["parameter"]).when(check & (subtype != "default_chamfer"), text)
+    return F.struct(item.alias("inspection_item"), standard.alias("inspection_standard"), F.when(subtype == "default_chamfer", found["parameter"]).alias("key_dimension"))
+
+
 def modifier(text: Column) -> Column:
     """Struct (kind, value) of a depth or through modifier; null for any other text."""
     depth = group(text, DEPTH_MODIFIER, 1)
@@ -111,6 +149,11 @@ def roughness_value(text: Column) -> Column:
     return group(text, rf"Ra\s*({NUMBER})", 1)
 
 
+def explicit_depth(text: Column) -> Column:
+    """Number of a text that is a depth and nothing else."""
+    return group(text, DEPTH_MODIFIER, 1)
+
+
 def type_label(item_type: Column, coarse: Column) -> Column:
     label = F.when(coarse == "roughness", ROUGHNESS_LABEL)
     for name, said in TYPE_LABELS.items():

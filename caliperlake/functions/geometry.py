@@ -48,6 +48,13 @@ def page_matrix(rotation: Column, width: Column, height: Column) -> tuple[Column
     return tuple(out)
 
 
+def from_rendered(rotation: Column, width: Column, height: Column, p: Point) -> Point:
+    """The place on the page of a point of the rendered page: ``page_matrix`` the other way."""
+    x = F.when(rotation == 0, p.x).when(rotation == 90, p.y).when(rotation == 180, width - p.x).when(rotation == 270, width - p.y)
+    y = F.when(rotation == 0, p.y).when(rotation == 90, height - p.x).when(rotation == 180, height - p.y).when(rotation == 270, p.x)
+    return Point(x, y)
+
+
 def valid(b: Box) -> Column:
     """All four finite, and a positive area."""
     finite = [~F.isnan(v) & v.isNotNull() & (F.abs(v) < F.lit(float("inf"))) for v in b]
@@ -169,10 +176,15 @@ def position_bucket(b: Box, grid: float = 0.05) -> Point:
     return Point(F.bround(c.x / grid).cast("int"), F.bround(c.y / grid).cast("int"))
 
 
+def in_padded_frame(text: Box, padded: Box) -> Column:
+    """The centre of a text of some area is in a padded frame, or half of that area is."""
+    c = centre(text)
+    return (area(text) > 0) & ((_inside(c.x, padded.x0, padded.x1) & _inside(c.y, padded.y0, padded.y1)) | (overlap(text, padded) >= 0.5 * area(text)))
+
+
 def belongs_to_frame(text: Box, frame: Box, padding: float) -> Column:
-    """The centre is in the padded frame, or half of the text's area is in the frame."""
-    c, wide = centre(text), expanded(frame, padding)
-    return (_inside(c.x, wide.x0, wide.x1) & _inside(c.y, wide.y0, wide.y1)) | (overlap(text, frame) >= 0.5 * area(text))
+    """The centre is in the padded frame, or half of the text's area is."""
+    return in_padded_frame(text, expanded(frame, padding))
 
 
 def crop(b: Box, width: Column, height: Column) -> Box:

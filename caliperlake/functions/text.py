@@ -55,8 +55,8 @@ def joined_wrapped(parts: Column) -> Column:
 
 
 def standalone_decimals(text: Column) -> Column:
-    """Distinct numbers that stand alone, in the order of their first place."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![0-9.])([0-9]+(?:\.[0-9]+)?)(?![0-9.])"), F.lit(1)))
+    """Distinct numbers that touch no letter, digit or point, in the order of their first place."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![0-9A-Za-z.])([0-9]+(?:\.[0-9]+)?)(?![0-9A-Za-z.])"), F.lit(1)))
 
 
 def decimal_text(value: Column) -> Column:

@@ -48,26 +48,38 @@ def repeated_overlays(texts: DataFrame, text: str, bx: str, by: str) -> DataFram
     return texts.join(repeated, ["doc_id", text, bx, by], "left_semi")
 
 
-# Labels and forms of texts that are not inspected.
-METADATA_LABELS = ("设计", "审核", "物料编码", "比例")
-SCALE, SECTION, NUMBER, ROMAN = r"^[1-9][0-9]*\s*:\s*[1-9][0-9]*$", r"^([A-Z])\s*-\s*([A-Z])$", r"^[0-9]+(\.[0-9]+)?$", r"^[IVX]+$"
+# Labels and forms of texts that are not inspected, words of watermarks, edges of the page and of the title block.
+METADATA_LABELS = ("设计", "校对", "审核", "批准", "签名", "日期", "重量", "比例", "图样代号", "物料编码")
+WATERMARK_LABELS = ("CONFIDENTIAL", "DRAFT", "SAMPLE", "作废", "仅供参考", "仅供审阅", "受控", "机密", "样本", "样张")
+SCALE, SECTION, NUMBER, ROMAN = r"\A[1-9][0-9]*\s*:\s*[1-9][0-9]*\z", r"\A([A-Z])\s*-\s*([A-Z])\z", r"\A[0-9]+(?:\.[0-9]+)?\z", r"\A(?:I|II|III|IV|V|VI|VII|VIII|IX|X)\z"
 EDGE, TITLE_X, TITLE_Y = 0.02, 0.65, 0.82
 
 
-def primary_disposition(text: Column, cx: Column, cy: Column, repeated: Column) -> Column:
-    """Why a text is not inspected, or null: the first rule that holds."""
-    upper = F.upper(text)
+def primary_disposition(text: Column, cx: Column, cy: Column, visual: Column | bool = False, repeated: Column | bool = False, layout: Column | None = None, watermark: Column | bool = False, preserved: Column | bool = False) -> Column:
+    """Struct (disposition, reason, requires_confirmation) of a normalised text, or null: the first rule that holds.
+
+    visual: a drawing beside the text needs it; repeated: it stands in the same place on other pages; layout: what the page's form says of it
+    (a struct of disposition and reason, or null); watermark: part of the page's watermark; preserved: of an engineering meaning.
+    """
+    held = lambda c: F.lit(c) if isinstance(c, bool) else c
+    made = lambda d, r, confirm=False: F.struct(F.lit(d).alias("disposition"), F.lit(r).alias("reason"), F.lit(confirm).alias("requires_confirmation"))
+    upper, none = F.upper(text), F.lit(None)
     section = upper.rlike(SECTION) & (F.regexp_extract(upper, SECTION, 1) == F.regexp_extract(upper, SECTION, 2))
-    number = text.rlike(NUMBER)
+    number, frame = text.rlike(NUMBER), (cy <= EDGE) | (cy >= 1 - EDGE)
+    said = F.when(text.isin(*METADATA_LABELS), made("non_inspection", "exact_metadata_label")).when(text.rlike(SCALE), made("non_inspection", "drawing_scale")).when(section, made("non_inspection", "section_view_label"))
+    if layout is not None:
+        said = said.when(layout.isNotNull(), F.struct(layout["disposition"].alias("disposition"), layout["reason"].alias("reason"), F.lit(False).alias("requires_confirmation")))
     return (
-        F.when(text.isin(*METADATA_LABELS), "exact_metadata_label")
-        .when(text.rlike(SCALE), "drawing_scale")
-        .when(section, "section_view_label")
-        .when(number & ((cy <= EDGE) | (cy >= 1 - EDGE)), "page_frame_number")
-        .when(number & (cx >= TITLE_X) & (cy >= TITLE_Y), "title_block_number")
-        .when(number, F.lit(None))
-        .when(upper.rlike(ROMAN), "standalone_roman_label")
-        .when(repeated, "repeated_page_text")
+        said.when(held(watermark) & held(preserved), none)
+        .when(held(watermark), made("non_inspection", "same_page_watermark"))
+        .when(number & held(visual), none)
+        .when(number & frame, made("non_inspection", "page_frame_number"))
+        .when(number & (cx >= TITLE_X) & (cy >= TITLE_Y), made("ambiguous", "title_block_number", True))
+        .when(number, none)
+        .when(upper.rlike(ROMAN) & held(visual), none)
+        .when(upper.rlike(ROMAN), made("ambiguous", "standalone_roman_label", True))
+        .when(held(repeated) & ~upper.isin(*WATERMARK_LABELS), made("ambiguous", "repeated_page_text", True))
+        .when(held(repeated), made("non_inspection", "repeated_page_overlay"))
     )
 
 

@@ -5,13 +5,13 @@ The greedy operators are order-dependent within a page, so a page is one group;
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caliperlake.functions.geometry import Box, axis_gaps, centre, interval_overlap
+from caliperlake.operators.balloons import DIGIT, FONT, INSET, LINE
 from caliperlake.operators.spatial import PAGE, page_pairs
 
 
@@ -32,28 +32,31 @@ def roles_of(obs: DataFrame, roles: DataFrame) -> DataFrame:
     return hit.groupBy("doc_id", "observation_id").agg(F.count("*").alias("n"), F.min("role").alias("role")).select("doc_id", "observation_id", F.when(F.col("n") == 1, F.col("role")).otherwise("ambiguous").alias("role"))
 
 
-def values_beside(labels: DataFrame, values: DataFrame, least: float = 0.5) -> DataFrame:
-    """For each label the one value to its right in the same row; two and more make it ambiguous."""
+def values_beside(labels: DataFrame, values: DataFrame, least: float = 0.5, band: float = 32.0) -> DataFrame:
+    """For each label the one value to its right in the same row; two and more make it ambiguous.
+
+    Rows meet in horizontal bands, and a pair is made in the band where both have begun, so a page is no nested loop.
+    """
+    rows = lambda df, p: df.withColumn("_band", F.explode(F.sequence(F.floor(F.col(f"{p}y0") / band), F.floor(F.col(f"{p}y1") / band))))
     right = values.select(*PAGE, *(F.col(c).alias(f"v_{c}") for c in ("observation_id", "raw_text", "x0", "y0", "x1", "y1")))
-    pairs = labels.join(right, list(PAGE)).where((F.col("v_x0") >= F.col("x1")) & (interval_overlap(F.col("y0"), F.col("y1"), F.col("v_y0"), F.col("v_y1")) >= least))
+    pairs = rows(labels, "").join(rows(right, "v_"), [*PAGE, "_band"]).where(F.col("_band") == F.floor(F.greatest("y0", "v_y0") / band))
+    pairs = pairs.where((F.col("v_x0") >= F.col("x1")) & (interval_overlap(F.col("y0"), F.col("y1"), F.col("v_y0"), F.col("v_y1")) >= least))
     found = pairs.groupBy("doc_id", "observation_id").agg(F.count("*").alias("n"), F.min("v_observation_id").alias("v"))
     return found.select("doc_id", F.col("observation_id").alias("label_id"), "n", F.when(F.col("n") == 1, F.col("v")).alias("value_id"))
 
 
 def _suppress(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Keep a box unless it overlaps one that is kept already; boxes come in reading order."""
-    kept: list = []
+    """Keep a box unless it overlaps one that is kept already; boxes come in reading order, and each is compared with all kept ones at once."""
     rows = pdf.sort_values(["y0", "x0", "observation_id"])
-    for r in rows.itertuples():
-        for k in kept:
-            w, h = min(r.x1, k.x1) - max(r.x0, k.x0), min(r.y1, k.y1) - max(r.y0, k.y0)
-            if w > 0 and h > 0:
-                both = w * h
-                if both / ((r.x1 - r.x0) * (r.y1 - r.y0) + (k.x1 - k.x0) * (k.y1 - k.y0) - both) >= 0.8:
-                    break
-        else:
-            kept.append(r)
-    return rows[rows["observation_id"].isin([k.observation_id for k in kept])][["doc_id", "page_index", "observation_id"]]
+    boxes = rows[["x0", "y0", "x1", "y1"]].to_numpy()
+    areas = (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1])
+    kept: list[int] = []
+    for k in range(len(boxes)):
+        side = np.minimum(boxes[k, 2:], boxes[kept, 2:]) - np.maximum(boxes[k, :2], boxes[kept, :2])
+        both = np.maximum(side, 0.0).prod(axis=1)
+        if not (both / (areas[k] + areas[kept] - both) >= 0.8).any():
+            kept.append(k)
+    return rows.iloc[kept][["doc_id", "page_index", "observation_id"]]
 
 
 def suppressed(boxes: DataFrame) -> DataFrame:
@@ -63,55 +66,123 @@ def suppressed(boxes: DataFrame) -> DataFrame:
     return distinct.groupBy(*PAGE).applyInPandas(_suppress, "doc_id bigint, page_index int, observation_id string")
 
 
-# Rings, directions, sizes and weights of marker placement.
-RADIUS, RINGS, DIRECTIONS = 9.0, (1.5, 2.5, 3.5, 5.0, 7.0, 9.0), 8
-PER_TEXT, PER_NEIGHBOUR = 20.0, 4.0
+# Fixed values, in points: radius, rings and directions of placement, and weights of texts and leaders that a leader crosses and of near neighbours.
+RADIUS, RINGS = 12.0, (18.0, 30.0, 42.0, 56.0, 72.0, 90.0)
+DIRECTIONS = ((0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1))
+PER_TEXT, PER_LEADER, PER_NEIGHBOUR, NEIGHBOUR = 20.0, 12.0, 4.0, 5 * RADIUS
+_WAYS = np.array([(dx * r, dy * r) for r in RINGS for dx, dy in DIRECTIONS])
+
+
+def _near(c: np.ndarray, b: np.ndarray, radius: float) -> np.ndarray:
+    """Which circles (n, 2) meet which boxes (m, 4)."""
+    d = c[:, None, :] - np.clip(c[:, None, :], b[None, :, :2], b[None, :, 2:])
+    return np.hypot(d[..., 0], d[..., 1]) < radius
+
 
+def _meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which boxes (n, 4) meet which boxes (m, 4), strictly."""
+    return (a[:, None, :2] < b[None, :, 2:]).all(axis=2) & (b[None, :, :2] < a[:, None, 2:]).all(axis=2)
 
-# Cells of the grids in which a page's text boxes and taken circles are looked up.
-BOX_CELL, CIRCLE_CELL = 20.0, 5 * RADIUS
+
+def _crossed_boxes(c: np.ndarray, t: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which leaders from (n, 2) to one target reach which boxes (m, 4): an end inside, or an edge on the way."""
+    low, high = b[None, :, :2], b[None, :, 2:]
+    inside = lambda p: ((p[:, None, :] >= low) & (p[:, None, :] <= high)).all(axis=2)
+    hit = inside(c) | inside(t[None, :])
+    step = t - c
+    for axis in (0, 1):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for edge in (b[:, axis], b[:, axis + 2]):
+                ratio = (edge[None, :] - c[:, None, axis]) / step[:, None, axis]
+                other = c[:, None, 1 - axis] + ratio * step[:, None, 1 - axis]
+                hit |= (step[:, None, axis] != 0) & (ratio >= 0) & (ratio <= 1) & (other >= low[..., 1 - axis]) & (other <= high[..., 1 - axis])
+    return hit
+
+
+def _crossed_leaders(c: np.ndarray, t: np.ndarray, others: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """Which leaders from (n, 2) to one target properly cross which placed ones."""
+    side = lambda p, q, r: (q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0])
+    p, q, r, s = c[:, None, :], t[None, None, :], others[None, :, :], targets[None, :, :]
+    same = lambda u, v: (u == v).all(axis=-1)
+    shared = same(p, r) | same(p, s) | same(q, r) | same(q, s)
+    return ~shared & (side(p, q, r) * side(p, q, s) < 0) & (side(r, s, p) * side(r, s, q) < 0)
 
 
 def _place(width: float, height: float):
+    """One page's markers, in the order of their numbers; every step compares one item's 48 places with the page as arrays."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        # Each box is in every cell that it comes within a radius of, each circle in the nine cells around it.
-        boxes: dict[tuple[int, int], list] = {}
-        for b in pdf[["x0", "y0", "x1", "y1"]].itertuples(index=False):
-            for i in range(math.floor((b.x0 - RADIUS) / BOX_CELL), math.floor((b.x1 + RADIUS) / BOX_CELL) + 1):
-                for j in range(math.floor((b.y0 - RADIUS) / BOX_CELL), math.floor((b.y1 + RADIUS) / BOX_CELL) + 1):
-                    boxes.setdefault((i, j), []).append(tuple(b))
-        taken: dict[tuple[int, int], list[tuple[float, float]]] = {}
-        out = []
-        for r in pdf.sort_values("number").itertuples():
-            cx, cy = (r.x0 + r.x1) / 2, (r.y0 + r.y1) / 2
-            best = None
-            for ring, reach in enumerate(RINGS):
-                for d in range(DIRECTIONS):
-                    a = 2 * math.pi * d / DIRECTIONS
-                    x, y = cx + reach * RADIUS * math.cos(a), cy + reach * RADIUS * math.sin(a)
-                    flags = []
-                    if not (RADIUS <= x <= width - RADIUS and RADIUS <= y <= height - RADIUS):
-                        flags.append("outside_cropbox")
-                    covered = sum(math.hypot(x - min(max(x, x0), x1), y - min(max(y, y0), y1)) < RADIUS for x0, y0, x1, y1 in boxes.get((math.floor(x / BOX_CELL), math.floor(y / BOX_CELL)), ()))
-                    if covered:
-                        flags.append("source_text_overlap")
-                    gaps = [math.dist((x, y), t) for t in taken.get((math.floor(x / CIRCLE_CELL), math.floor(y / CIRCLE_CELL)), ())]
-                    if any(g < 2 * RADIUS for g in gaps):
-                        flags.append("circle_overlap")
-                    near = sum(g < 5 * RADIUS for g in gaps)
-                    key = (len(flags), math.dist((x, y), (cx, cy)) + covered * PER_TEXT + near * PER_NEIGHBOUR, ring, d)
-                    if best is None or key < best[0]:
-                        best = (key, x, y, flags)
-            _, x, y, flags = best
-            i, j = math.floor(x / CIRCLE_CELL), math.floor(y / CIRCLE_CELL)
-            for cell in ((i + p, j + q) for p in (-1, 0, 1) for q in (-1, 0, 1)):
-                taken.setdefault(cell, []).append((x, y))
-            out.append((r.doc_id, r.page_index, r.observation_id, x, y, ",".join(flags), "manual_required" if flags else "placed"))
-        return pd.DataFrame(out, columns=["doc_id", "page_index", "observation_id", "cx", "cy", "flags", "status"])
+        rows = pdf.sort_values(["number", "observation_id"])
+        boxes = rows[["x0", "y0", "x1", "y1"]].to_numpy()
+        n = len(rows)
+        wide = np.maximum(5.0, rows["number"].astype(str).str.len().to_numpy() * DIGIT * FONT) / 2
+        tall = LINE * FONT / 2
+        at, glyphs, targets = np.zeros((n, 2)), np.zeros((n, 4)), (boxes[:, :2] + boxes[:, 2:]) / 2
+        flags, status = [], []
+        for k in range(n):
+            target, half = targets[k], np.array([wide[k], tall])
+            c = target + _WAYS
+            own = np.concatenate([c - half, c + half], axis=1)
+            unreadable = np.full(len(c), np.hypot(*half) > RADIUS - INSET)
+            gap = np.hypot(*(c[:, None, :] - at[None, :k]).transpose(2, 0, 1))
+            hard = {
+                "outside_cropbox": (c < RADIUS).any(axis=1) | (c[:, 0] > width - RADIUS) | (c[:, 1] > height - RADIUS),
+                "owner_glyph_outside_circle": unreadable,
+                "unreadable_number": unreadable,
+                "source_text_overlap": (_near(c, boxes, RADIUS) | _meet(own, boxes)).any(axis=1),
+                "circle_overlap": (gap < 2 * RADIUS).any(axis=1),
+                "glyph_overlap": _meet(own, glyphs[:k]).any(axis=1),
+                "glyph_circle_overlap": (_near(at[:k], own, RADIUS).T | _near(c, glyphs[:k], RADIUS)).any(axis=1),
+            }
+            foreign = (boxes != boxes[k]).any(axis=1)
+            score = np.hypot(*(c - target).T) + _crossed_boxes(c, target, boxes[foreign]).sum(axis=1) * PER_TEXT + _crossed_leaders(c, target, at[:k], targets[:k]).sum(axis=1) * PER_LEADER + (gap < NEIGHBOUR).sum(axis=1) * PER_NEIGHBOUR
+            # Places come ring by ring and direction by direction, so the first of equals is the right one.
+            best = np.lexsort((score, sum(v.astype(int) for v in hard.values())))[0]
+            at[k], glyphs[k] = c[best], own[best]
+            flags.append(",".join(name for name, bad in hard.items() if bad[best]))
+            status.append("manual_required" if flags[-1] else "placed")
+        out = rows[["doc_id", "page_index", "observation_id"]].copy()
+        return out.assign(cx=at[:, 0], cy=at[:, 1], flags=flags, status=status)
 
     return run
 
 
+# Fixed values, in points: radius, gap and inset of a candidate's marker, least leader.
+MARK, MARK_GAP, MARK_INSET, LEAST_LEADER = 10.0, 2.0, 1.0, 15.0
+
+
+def _mark(width: float, height: float):
+    """One page's candidate markers in list order: sixteen places around a box, cut to the page; overlaps, short leaders and distance decide."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values(["number", "observation_id"])
+        boxes = rows[["x0", "y0", "x1", "y1"]].to_numpy()
+        at = np.zeros((len(rows), 2))
+        edge = MARK + MARK_INSET
+        for k, (x0, y0, x1, y1) in enumerate(boxes):
+            mx, my, ways = (x0 + x1) / 2, (y0 + y1) / 2, []
+            for ring in (0, 1):
+                o = MARK + MARK_GAP + ring * (MARK * 2 + MARK_GAP * 2)
+                ways += [(x1 + o, y0 - o), (x1 + o, y1 + o), (x0 - o, y0 - o), (x0 - o, y1 + o), (x1 + o, my), (x0 - o, my), (mx, y0 - o), (mx, y1 + o)]
+            cut = lambda v, size: min(max(v, edge), max(edge, size - edge))
+            c = np.array(list(dict.fromkeys((cut(x, width), cut(y, height)) for x, y in ways)))
+            gap = np.hypot(*(c[:, None, :] - at[None, :k]).transpose(2, 0, 1))
+            closest = np.clip(c, (x0, y0), (x1, y1))
+            leader = np.hypot(*(c - closest).T)
+            inside = (closest == c).all(axis=1)
+            leader[inside] = np.minimum.reduce([c[inside, 0] - x0, x1 - c[inside, 0], c[inside, 1] - y0, y1 - c[inside, 1]])
+            score = (gap < 2 * MARK + MARK_GAP).sum(axis=1) * 1e6 + _near(c, boxes, MARK + MARK_GAP).sum(axis=1) * 500 + np.maximum(0.0, LEAST_LEADER - leader) * 1e4 + np.hypot(*(c - c[0]).T) * 10 + np.arange(len(c))
+            at[k] = c[np.argmin(score)]
+        return rows[["doc_id", "page_index", "observation_id"]].assign(cx=at[:, 0], cy=at[:, 1])
+
+    return run
+
+
+def candidate_markers(items: DataFrame, width: float, height: float) -> DataFrame:
+    """A marker for each candidate of a page, placed in list order."""
+    return items.select(*PAGE, "observation_id", "number", "x0", "y0", "x1", "y1").groupBy(*PAGE).applyInPandas(_mark(width, height), "doc_id bigint, page_index int, observation_id string, cx double, cy double")
+
+
 def placed_markers(items: DataFrame, width: float, height: float) -> DataFrame:
     """Each page's markers in the order of their numbers: fewest hard flags, then the best score, ring and direction.  None is dropped."""
     schema = "doc_id bigint, page_index int, observation_id string, cx double, cy double, flags string, status string"

@@ -83,3 +83,15 @@ def broken_chain(df: DataFrame, key: str, order: list[str], before: str, after:
     """Rows whose ``before`` is not the ``after`` of the row before them."""
     previous = F.lag(after).over(Window.partitionBy(key).orderBy(*order))
     return df.withColumn("previous_after", previous).where(F.col("previous_after").isNotNull() & (F.col(before) != F.col("previous_after")))
+
+
+def ranked(df: DataFrame, by: str, id_col: str) -> DataFrame:
+    """Places over a whole table, the greatest ``by`` first (nulls last), then the greatest id.
+
+    Rows are ranked within each value; the counts of the values, one row each, are added up in order.
+    """
+    within = F.row_number().over(Window.partitionBy(by).orderBy(F.col(id_col).desc()))
+    sizes = df.groupBy(F.col(by).alias("_v")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy(F.col("_v").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
+    return df.withColumn("_k", within).join(starts, F.col(by).eqNullSafe(F.col("_v"))).withColumn("position", (F.col("_before") + F.col("_k")).cast("int")).drop("_k", "_v", "_before")

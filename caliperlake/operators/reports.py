@@ -74,3 +74,28 @@ def cross_view_duplicates(df: DataFrame, text: str, view: str, id_col: str, salt
     right = df.select("doc_id", F.col(text).alias("t"), F.col(view).alias("rv"), F.col(id_col).alias("right_id"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     pairs = left.join(right, ["doc_id", "t", "salt"]).where((F.col("left_id") < F.col("right_id")) & (F.col("lv") != F.col("rv")))
     return pairs.select("doc_id", "left_id", "right_id")
+
+
+def recognition_metrics(pairs: DataFrame, *grains: str) -> DataFrame:
+    """Recall, wrong selection, exact match and character error rate of recognised texts at each level of a rollup.
+
+    pairs: truth and found texts of one item; null truth: nothing should be there, null found: it was missed.
+    """
+    t, f = F.col("truth"), F.col("found")
+    edits = F.when(t.isNotNull(), F.when(f.isNull(), F.length(t)).otherwise(F.levenshtein(t, f)))
+    g = pairs.rollup(*grains).agg(
+        F.count(t).alias("expected"), F.count_if(t.isNotNull() & f.isNotNull()).alias("found"), F.count_if(t.isNull() & f.isNotNull()).alias("extra"), F.count_if(t == f).alias("exact"), F.sum(F.length(t)).cast("bigint").alias("chars"), F.sum(edits).cast("bigint").alias("edits")
+    )
+    ratio = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 6))
+    return g.withColumns({"recall": ratio("found", "expected"), "exact_match": ratio("exact", "expected"), "character_error_rate": ratio("edits", "chars"), "false_selection": F.when(F.col("found") + F.col("extra") > 0, F.round(F.col("extra") / (F.col("found") + F.col("extra")), 6))})
+
+
+def full_manifest(counts: DataFrame, artifacts: DataFrame, versions: dict[str, str]) -> DataFrame:
+    """One JSON document for each export, its keys sorted: counts, versions and the digests of its artifacts by kind.
+
+    counts: doc_id and counts; artifacts: doc_id, kind, filename, sha256, size_bytes.
+    """
+    listed = artifacts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("kind", "filename", "sha256", "size_bytes"))).alias("artifacts"))
+    names = sorted([*(c for c in counts.columns if c != "doc_id"), *versions, "artifacts"])
+    df = counts.join(listed, "doc_id").withColumns({k: F.lit(v) for k, v in versions.items()})
+    return df.select("doc_id", F.to_json(F.struct(*names)).alias("manifest"))

@@ -61,7 +61,7 @@ HIGH, MEDIUM = 0.95, 0.70
 def confidence(signal: Column, eligible: Column, clean: Column) -> Column:
     """Struct (band, disposition): high or medium need an eligible candidate with a valid signal, medium nothing else against it."""
     band = F.when(~eligible | signal.isNull() | (signal < MEDIUM), "low").when((signal >= HIGH) & clean, "high").when(clean, "medium").otherwise("low")
-    return F.struct(band.alias("band"), F.when(band == "high", "auto_accepted").when(band == "medium", "decision_pending").otherwise("review_required").alias("disposition"))
+    return F.struct(band.alias("band"), F.when(band == "high", "auto_accepted").otherwise("review_required").alias("disposition"))
 
 
 def predecessors(docs: DataFrame, key: str, order: list[str], id_col: str) -> DataFrame:
@@ -69,13 +69,3 @@ def predecessors(docs: DataFrame, key: str, order: list[str], id_col: str) -> Da
     linked = docs.withColumn("predecessor", F.lag(id_col).over(Window.partitionBy(key).orderBy(*order)))
     counts = linked.where("predecessor is not null").groupBy(F.col("predecessor").alias("_p")).agg(F.count("*").alias("successors"))
     return linked.join(counts, F.col(id_col) == F.col("_p"), "left").select(id_col, key, "predecessor", F.coalesce("successors", F.lit(0)).alias("successors"))
-
-
-def project_status(working: Column, error: Column, failed: Column, job: Column) -> Column:
-    """A working copy first, then a blocking error, a failed state, the running job."""
-    return F.when(working, "review").when(error, "blocked").when(failed, "failed").when(job.isNotNull(), F.concat(F.lit("processing:"), job)).otherwise("idle")
-
-
-def allowed_access(requests: DataFrame, rules: DataFrame) -> DataFrame:
-    """Requests whose (status, kind) is among the rules, a fixed table."""
-    return requests.join(F.broadcast(rules), ["status", "kind"], "left_semi")

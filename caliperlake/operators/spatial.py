@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caliperlake.functions.geometry import Box, intersect
+from caliperlake.functions.geometry import Box, intersect, overlap_fraction
 
 PAGE = ("doc_id", "page_index")
 
@@ -20,13 +20,13 @@ def page_pairs(left: DataFrame, right: DataFrame, keep: Column, cell: float = 64
 
     def celled(df: DataFrame, p: str) -> DataFrame:
         span = lambda lo, hi: F.sequence(F.floor(F.col(p + lo) / cell), F.floor(F.col(p + hi) / cell))
-        return df.withColumn(p + "cx", F.explode(span("x0", "x1"))).withColumn(p + "cy", F.explode(span("y0", "y1")))
+        return df.withColumn(p + "_gx", F.explode(span("x0", "x1"))).withColumn(p + "_gy", F.explode(span("y0", "y1")))
 
     a = celled(left, "")
     b = celled(right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns)), "r_")
-    on = [F.col(k) == F.col(f"r_{k}") for k in PAGE] + [F.col("cx") == F.col("r_cx"), F.col("cy") == F.col("r_cy")]
-    own = (F.col("cx") == F.floor(F.greatest("x0", "r_x0") / cell)) & (F.col("cy") == F.floor(F.greatest("y0", "r_y0") / cell))
-    return a.join(b, [*on, own, keep], "inner").drop("cx", "cy", "r_cx", "r_cy")
+    on = [F.col(k) == F.col(f"r_{k}") for k in PAGE] + [F.col("_gx") == F.col("r__gx"), F.col("_gy") == F.col("r__gy")]
+    own = (F.col("_gx") == F.floor(F.greatest("x0", "r_x0") / cell)) & (F.col("_gy") == F.floor(F.greatest("y0", "r_y0") / cell))
+    return a.join(b, [*on, own, keep], "inner").drop("_gx", "_gy", "r__gx", "r__gy")
 
 
 def overlapping_pairs(boxes: DataFrame, id_col: str = "observation_id") -> DataFrame:
@@ -54,12 +54,20 @@ def merged_intervals(df: DataFrame, keys: list[str], start: str, end: str) -> Da
     return numbered.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 
-def covered_area(boxes: DataFrame) -> DataFrame:
-    """Area of the union of the boxes of each page: slabs between neighbouring x coordinates, y intervals merged in each."""
-    edges = boxes.select(*PAGE, F.explode(F.array("x0", "x1")).alias("left")).distinct()
-    slabs = edges.withColumn("right", F.lead("left").over(Window.partitionBy(*PAGE).orderBy("left"))).where("right is not null")
-    inside = slabs.join(boxes.select(*PAGE, "x0", "y0", "x1", "y1"), list(PAGE)).where("x0 <= left and x1 >= right").select(*PAGE, "left", "right", "y0", "y1")
-    return merged_intervals(inside, [*PAGE, "left", "right"], "y0", "y1").groupBy(*PAGE).agg(F.sum((F.col("right") - F.col("left")) * (F.col("y1") - F.col("y0"))).alias("covered_area"))
+def covered_area(boxes: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
+    """Area of the union of the boxes of each group: slabs between neighbouring x coordinates, y intervals merged in each.
+
+    Slabs are numbered, and a box goes to the slabs from its left to its right edge only.
+    """
+    edges = boxes.select(*keys, F.explode(F.array("x0", "x1")).alias("left")).distinct()
+    w = Window.partitionBy(*keys).orderBy("left")
+    slabs = edges.withColumn("right", F.lead("left").over(w)).withColumn("slab", F.row_number().over(w))
+    at = lambda side, name: slabs.select(*keys, F.col("left").alias(side), F.col("slab").alias(name))
+    spans = boxes.select(*keys, "x0", "x1", "y0", "y1").where("x0 < x1").join(at("x0", "_first"), [*keys, "x0"]).join(at("x1", "_last"), [*keys, "x1"])
+    inside = spans.select(*keys, "y0", "y1", F.explode(F.sequence("_first", F.col("_last") - 1)).alias("slab"))
+    merged = merged_intervals(inside, [*keys, "slab"], "y0", "y1")
+    sized = merged.join(slabs.select(*keys, "slab", (F.col("right") - F.col("left")).alias("_wide")), [*keys, "slab"])
+    return sized.groupBy(*keys).agg(F.sum(F.col("_wide") * (F.col("y1") - F.col("y0"))).alias("covered_area"))
 
 
 def _union_find(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -83,3 +91,47 @@ def page_groups(edges: DataFrame, id_type: str = "string") -> DataFrame:
     """Transitive groups of edges (left_id, right_id) in each page, named after the least member."""
     schema = f"doc_id bigint, page_index int, node {id_type}, group_id {id_type}"
     return edges.select(*PAGE, "left_id", "right_id").groupBy(*PAGE).applyInPandas(_union_find, schema)
+
+
+def overlap_groups(boxes: DataFrame, least: float, id_col: str = "observation_id", kinds: tuple[str, ...] = ()) -> DataFrame:
+    """Transitive groups of a page's boxes (of one kind) that share at least a part of the smaller one, named after the least member; single boxes have no row.
+
+    Equal boxes are one node from the start, so a stack of them makes no pairs.
+    """
+    box = ("x0", "y0", "x1", "y1")
+    nodes = boxes.groupBy(*PAGE, *kinds, *box).agg(F.min(id_col).alias("_node"), F.count("*").alias("_n"))
+    a, b = Box.of(), Box.of("r_")
+    same = F.lit(True)
+    for k in kinds:
+        same = same & (F.col(k) == F.col(f"r_{k}"))
+    pairs = page_pairs(nodes, nodes, same & (F.col("_node") < F.col("r__node")) & intersect(a, b) & (overlap_fraction(a, b) >= least))
+    groups = page_groups(pairs.select(*PAGE, F.col("_node").alias("left_id"), F.col("r__node").alias("right_id"))).select(*PAGE, F.col("node").alias("_node"), F.col("group_id").alias("_group"))
+    named = nodes.join(groups, [*PAGE, "_node"], "left").withColumn("_group", F.coalesce("_group", F.when(F.col("_n") > 1, F.col("_node")))).where("_group is not null")
+    return boxes.select(*PAGE, *kinds, *box, id_col).join(named.select(*PAGE, *kinds, *box, "_group"), [*PAGE, *kinds, *box]).select(*PAGE, F.col(id_col).alias("node"), F.col("_group").alias("group_id"))
+
+
+def union_boxes(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """The least box around all boxes of each group."""
+    return boxes.groupBy(*keys).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+
+
+def by_group(df: DataFrame, keys: list[str], order: list[str], fold, schema: str) -> DataFrame:
+    """fold(rows) for each group, rows in order as named tuples with the keys first; groups stream through sorted partitions, so a task holds one group at a time."""
+    names, n = [c.split()[0] for c in schema.split(", ")], len(keys)
+
+    def run(batches):
+        held: list = []
+        for pdf in batches:
+            out: list[tuple] = []
+            for row in pdf.itertuples(index=False, name="Row"):
+                if held and held[0][:n] != row[:n]:
+                    out += fold(held)
+                    held = []
+                held.append(row)
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if held and (out := fold(held)):
+            yield pd.DataFrame(out, columns=names)
+
+    columns = [*keys, *(c for c in df.columns if c not in keys)]
+    return df.select(*columns).repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

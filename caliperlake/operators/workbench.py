@@ -13,12 +13,6 @@ def progress(items: DataFrame, reviewed: Column, active: Column, exception: Colu
     )
 
 
-def blockers(items: DataFrame, **rules: Column) -> DataFrame:
-    """The names, in order, of the rules that some row of a document breaks."""
-    flags = items.groupBy("doc_id").agg(*(F.bool_or(c).alias(n) for n, c in rules.items()))
-    return flags.select("doc_id", F.array_join(F.array_compact(F.array(*(F.when(F.col(n), n) for n in sorted(rules)))), ",").alias("blockers"))
-
-
 def merged_fields(rows: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """A field's value where all rows of a key agree on it, else null, and whether any field is in conflict."""
     agg = [F.count_distinct(f).alias(f"_n_{f}") for f in fields] + [F.min(f).alias(f) for f in fields]
@@ -71,6 +65,39 @@ def artifact_order(artifacts: DataFrame, kind: str, id_col: str) -> DataFrame:
     return artifacts.withColumn("position", F.row_number().over(Window.partitionBy("doc_id").orderBy(rank, id_col)))
 
 
+# Rule that fills the sheet, labels and methods by type of item.
+SHEET_RULE = "sip-auto-map/1"
+SHEET_LABELS = {"linear_dimension": "线性尺寸", "diameter_dimension": "直径尺寸", "thread": "螺纹", "radius": "半径", "angle": "角度", "general_requirement": "通用要求", "roughness": "粗糙度"}
+SHEET_METHODS = {"linear_dimension": "游标卡尺", "diameter_dimension": "游标卡尺", "thread": "螺纹规", "radius": "半径规", "angle": "万能角度尺", "general_requirement": "目视", "roughness": "粗糙度仪"}
+
+
+def sheet_fields(df: DataFrame, role: str) -> DataFrame:
+    """Sheet fields of items, and what is still missing.
+
+    A value that an operator set stays; one that this rule made before (its field is in ``by_rule``) is made anew.  df: item_id, item_type, text, quantity, critical, page_index, by_rule and the fields.
+    """
+    ours = lambda f: F.array_contains("by_rule", f)
+    own = lambda f: F.when(~ours(f), F.nullif(F.trim(f), F.lit("")))
+    label, method = F.lit("检验项目"), F.lit(None).cast("string")
+    for kind, said in SHEET_LABELS.items():
+        label = F.when(F.col("item_type") == kind, said).otherwise(label)
+    for kind, said in SHEET_METHODS.items():
+        method = F.when(F.col("item_type") == kind, said).otherwise(method)
+    text = F.nullif(F.trim("text"), F.lit(""))
+    made = F.concat(label, F.when(text.isNotNull(), F.concat(F.lit("："), text)).otherwise(""), F.when(F.col("quantity") >= 1, F.concat(F.lit("（"), F.col("quantity").cast("string"), F.lit("处）"))).otherwise(""))
+    kept_method = own("inspection_method")
+    page = F.coalesce(F.when(~ours("source_page") & (F.col("source_page") >= 1), F.col("source_page")), F.when(F.col("page_index") >= 0, F.col("page_index") + 1))
+    said_role = F.coalesce(own("inspection_role"), F.nullif(F.lit(role.strip()), F.lit("")))
+    composite = F.col("item_type").eqNullSafe(F.lit("composite"))
+    final = F.coalesce(kept_method, F.when(~composite, method))
+    exceptions = F.array_compact(F.array(F.when(kept_method.isNull() & composite, "composite_method_required"), F.when(final.isNull() & ~composite, "unsupported_item_type"), F.when(said_role.isNull(), "missing_inspection_role"), F.when(page.isNull(), "missing_source_page")))
+    remarks = F.when(F.col("remarks").isNull() | ours("remarks"), "").otherwise(F.col("remarks"))
+    return df.select(
+        "item_id", F.coalesce(own("inspection_item"), made).alias("inspection_item"), F.coalesce(own("inspection_standard"), F.lit("图纸要求")).alias("inspection_standard"), final.alias("inspection_method"),
+        F.coalesce(own("key_dimension"), F.when(F.col("critical"), "是").otherwise("否")).alias("key_dimension"), said_role.alias("inspection_role"), page.alias("source_page"), remarks.alias("remarks"), F.array_join(exceptions, ",").alias("exceptions"),
+    )
+
+
 def item_fields(df: DataFrame) -> DataFrame:
     """Sheet fields of an item: label with its count, standard, method, key flag, page; what an operator set stays."""
     count = F.when(F.col("quantity") > 1, F.concat(F.lit("（"), F.col("quantity").cast("string"), F.lit("处）"))).otherwise("")

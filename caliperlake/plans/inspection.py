@@ -73,10 +73,7 @@ _AREA = lambda p: f"(({p}.x1 - {p}.x0) * ({p}.y1 - {p}.y0))"
   r AS (SELECT doc_id, page_index, u AS node, u AS reach FROM s UNION SELECT r.doc_id, r.page_index, r.node, s.v FROM r JOIN s ON s.doc_id = r.doc_id AND s.page_index = r.page_index AND s.u = r.reach)
   SELECT doc_id, page_index, node, min(reach) AS group_id FROM r GROUP BY ALL""")
 def grp01_detection_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = S.observations(spark, sf_dir).select(*spatial.PAGE, "observation_id", "x0", "y0", "x1", "y1")
-    a, b = G.Box.of(), G.Box.of("r_")
-    pairs = spatial.page_pairs(obs, obs, (F.col("observation_id") < F.col("r_observation_id")) & G.intersect(a, b) & (G.overlap_fraction(a, b) >= 0.8))
-    return spatial.page_groups(pairs.select(*spatial.PAGE, F.col("observation_id").alias("left_id"), F.col("r_observation_id").alias("right_id")))
+    return spatial.overlap_groups(S.observations(spark, sf_dir), 0.8)
 
 
 @query(f"""{OBS} SELECT observation_id, CASE page_index % 4 WHEN 0 THEN x0 WHEN 1 THEN 900 - y0 WHEN 2 THEN 600 - x0 ELSE y0 END AS rx,
@@ -115,7 +112,7 @@ def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{_NEIGHBOURS} SELECT observation_id, shared / (a + b - shared) AS iou, shared / least(a, b) AS fraction, greatest(0.0, least(x1, bx1) - greatest(x0, bx0)) / least(x1 - x0, bx1 - bx0) AS x_overlap,
   greatest(0.0, bx0 - x1, x0 - bx1) AS gap_x, greatest(0.0, by0 - y1, y0 - by1) AS gap_y, (x1 > bx0 AND bx1 > x0 AND y1 > by0 AND by1 > y0) AS meets,
-  (((x0 + x1) / 2 BETWEEN bx0 - 2 AND bx1 + 2 AND (y0 + y1) / 2 BETWEEN by0 - 2 AND by1 + 2) OR shared >= 0.5 * a) AS in_frame FROM q""")
+  (((x0 + x1) / 2 BETWEEN bx0 - 2 AND bx1 + 2 AND (y0 + y1) / 2 BETWEEN by0 - 2 AND by1 + 2) OR greatest(0.0, least(x1, bx1 + 2) - greatest(x0, bx0 - 2)) * greatest(0.0, least(y1, by1 + 2) - greatest(y0, by0 - 2)) >= 0.5 * a) AS in_frame FROM q""")
 def geo07_12_18_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = G.Box.of(), G.Box.of("b")
     gap = G.axis_gaps(a, b)
@@ -165,16 +162,21 @@ def agg03_repeated_overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.repeated_overlays(_titles(spark, sf_dir), "text", "gx", "gy").select("doc_id", "observation_id")
 
 
-@query(f"""{_REPEATED} SELECT t.observation_id, CASE WHEN t.text IN ({", ".join(f"'{x}'" for x in D.METADATA_LABELS)}) THEN 'exact_metadata_label' WHEN regexp_matches(t.text, '{D.SCALE}') THEN 'drawing_scale'
-  WHEN regexp_matches(upper(t.text), '{D.SECTION}') AND regexp_extract(upper(t.text), '{D.SECTION}', 1) = regexp_extract(upper(t.text), '{D.SECTION}', 2) THEN 'section_view_label'
-  WHEN regexp_matches(t.text, '{D.NUMBER}') THEN CASE WHEN cy <= 0.02 OR cy >= 0.98 THEN 'page_frame_number' WHEN cx >= 0.65 AND cy >= 0.82 THEN 'title_block_number' END
-  WHEN regexp_matches(upper(t.text), '{D.ROMAN}') THEN 'standalone_roman_label' WHEN g.text IS NOT NULL THEN 'repeated_page_text' END AS reason
-  FROM t LEFT JOIN g USING (doc_id, text, gx, gy)""")
+_EDGES = "(cy <= 0.02 OR cy >= 0.98)"
+
+
+@query(f"""{_REPEATED}, r AS (SELECT t.*, g.text IS NOT NULL AS rep, t.observation_id % 6 = 0 AS visual, t.observation_id % 11 = 0 AS mark, t.observation_id % 22 = 0 AS kept FROM t LEFT JOIN g USING (doc_id, text, gx, gy)),
+v AS (SELECT observation_id, CASE WHEN text = '设计' THEN 'non_inspection:exact_metadata_label:false' WHEN regexp_full_match(text, '[1-9][0-9]*\\s*:\\s*[1-9][0-9]*') THEN 'non_inspection:drawing_scale:false' WHEN text IN ('A-A', 'B - B') THEN 'non_inspection:section_view_label:false' WHEN mark AND kept THEN NULL WHEN mark THEN 'non_inspection:same_page_watermark:false'
+  WHEN text = '12' THEN CASE WHEN visual THEN NULL WHEN {_EDGES} THEN 'non_inspection:page_frame_number:false' WHEN cx >= 0.65 AND cy >= 0.82 THEN 'ambiguous:title_block_number:true' END WHEN text = 'II' THEN CASE WHEN NOT visual THEN 'ambiguous:standalone_roman_label:true' END
+  WHEN rep AND text = 'CONFIDENTIAL' THEN 'non_inspection:repeated_page_overlay:false' WHEN rep THEN 'ambiguous:repeated_page_text:true' END AS v FROM r)
+  SELECT observation_id, nullif(split_part(v, ':', 1), '') AS disposition, nullif(split_part(v, ':', 2), '') AS reason, CASE WHEN v IS NOT NULL THEN split_part(v, ':', 3) = 'true' END AS requires_confirmation FROM v""")
 def cls02_03_dispositions(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _titles(spark, sf_dir)
     marked = D.repeated_overlays(texts, "text", "gx", "gy").select(F.col("observation_id").alias("_id"))
     df = texts.join(marked, F.col("observation_id") == F.col("_id"), "left")
-    return df.select("observation_id", D.primary_disposition(F.col("text"), F.col("cx"), F.col("cy"), F.col("_id").isNotNull()).alias("reason"))
+    k = F.col("observation_id")
+    said = D.primary_disposition(F.col("text"), F.col("cx"), F.col("cy"), visual=k % 6 == 0, repeated=F.col("_id").isNotNull(), watermark=k % 11 == 0, preserved=k % 22 == 0)
+    return df.withColumn("d", said).select("observation_id", "d.*")
 
 
 @query(f"""WITH {S.MODIFIER_SQL}, m AS (SELECT *, regexp_matches(raw_text, '{A.DEPTH_MODIFIER}') OR regexp_matches(raw_text, '{A.THROUGH_MODIFIER}') AS mod FROM lines),
@@ -320,17 +322,6 @@ def snk02_agg12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.manifest(reports.sheet_rows(_parsed(spark, sf_dir)))
 
 
-# The steps that the state machine allows.
-_ALLOWED = (("signup", "view"), ("view", "click"), ("click", "purchase"), ("view", "view"), ("click", "click"), ("purchase", "view"), ("error", "view"))
-
-
-@query(f"""WITH s AS (SELECT user_id, event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_state, event_type AS to_state FROM events)
-  SELECT user_id, event_id, from_state, to_state FROM s WHERE from_state IS NOT NULL AND (from_state, to_state) NOT IN ({", ".join(map(str, _ALLOWED))})""")
-def evt02_invalid_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    allowed = spark.createDataFrame(_ALLOWED, "from_state string, to_state string")
-    return logs.invalid_transitions(S.table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type", allowed).select("user_id", "event_id", "from_state", "to_state")
-
-
 @query("SELECT user_id, event_type, max_by(value, struct_pack(a := ts, b := event_id)) AS value, count(*) AS commands FROM events GROUP BY ALL")
 def evt04_last_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.last_writer(S.table(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"], "value")

@@ -43,12 +43,16 @@ def win17_marker_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.placed_markers(ordered.numbered(S.observations(spark, sf_dir)), 620.0, 620.0)
 
 
+def win18_marker_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.candidate_markers(ordered.numbered(S.observations(spark, sf_dir)), 620.0, 620.0)
+
+
 @query(f"""{OBS} SELECT a.doc_id, a.page_index, a.observation_id AS left_id, b.observation_id AS right_id FROM obs a JOIN obs b ON a.doc_id = b.doc_id AND a.page_index = b.page_index AND a.observation_id < b.observation_id
-  AND sqrt(pow(a.x0 - b.x0, 2) + pow(a.y0 - b.y0, 2)) < 18""")
+  AND sqrt(pow(a.x0 - b.x0, 2) + pow(a.y0 - b.y0, 2)) < 24""")
 def win19_marker_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markers that an operator put at the corner of each text."""
     return L.marker_overlaps(S.observations(spark, sf_dir).withColumnsRenamed({"x0": "cx", "y0": "cy"}))
 
 
-# Order-dependent within a page, so SQL has no short form; tests hold them against brute force.
-QUERIES.update({f.__name__: f for f in (win15_greedy_suppression, win17_marker_placement)})
+# Order-dependent within a page, so SQL has no short form; tests hold them against brute force.  Placement compares every candidate place with the whole page.
+QUERIES.update({f.__name__: f for f in (win15_greedy_suppression, win17_marker_placement, win18_marker_choice)})

@@ -102,22 +102,6 @@ def join24_evt03_predecessors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.predecessors(S.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderkey")
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'review' WHEN o_orderkey % 10 = 0 THEN 'blocked' WHEN o_orderpriority = '1-URGENT' THEN 'failed' WHEN o_orderstatus = 'P' THEN 'processing:' || o_orderpriority ELSE 'idle' END AS status FROM orders""")
-def cls21_project_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    job = F.when(F.col("o_orderstatus") == "P", F.col("o_orderpriority"))
-    return S.table(spark, sf_dir, "orders").select("o_orderkey", R.project_status(F.col("o_orderstatus") == "F", F.col("o_orderkey") % 10 == 0, F.col("o_orderpriority") == "1-URGENT", job).alias("status"))
-
-
-# Which kinds of access each status allows.
-_RULES = (("F", "1-URGENT"), ("F", "2-HIGH"), ("O", "2-HIGH"), ("O", "5-LOW"), ("P", "5-LOW"))
-
-
-@query(f"SELECT o_orderkey, o_orderstatus AS status, o_orderpriority AS kind FROM orders WHERE (o_orderstatus, o_orderpriority) IN ({', '.join(map(str, _RULES))})")
-def cls34_allowed_access(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests = S.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("kind"))
-    return R.allowed_access(requests, spark.createDataFrame(_RULES, "status string, kind string")).select("o_orderkey", "status", "kind")
-
-
 @query("SELECT o_custkey AS doc_id, count(DISTINCT o_orderkey) FILTER (o_orderstatus <> 'F') + count(DISTINCT o_orderdate) FILTER (o_orderstatus = 'F') AS review_count, bool_and(o_orderstatus <> 'P') AS resolved FROM orders GROUP BY ALL")
 def agg15_agg27_review_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = S.table(spark, sf_dir, "orders")

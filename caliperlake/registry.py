@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from caliperlake.plans import inspection, layout, review, workbench
+from caliperlake.plans import balloons, decisions, frames, inspection, layout, profiles, records, releases, requirements, review, routing, titleblocks, visuals, workbench
 from caliperlake.plans.register import ORACLES, QUERIES
 
-PLANS = (inspection, layout, review, workbench)
+PLANS = (balloons, decisions, frames, inspection, layout, profiles, records, releases, requirements, review, routing, titleblocks, visuals, workbench)
 __all__ = ["ORACLES", "PLANS", "QUERIES"]

@@ -81,3 +81,66 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 CALLS_SQL = """calls AS (SELECT user_id AS doc_id, event_id AS call_id, ts, event_type AS mode,
     CAST(round(value * 100) AS BIGINT) % 1000 * 300 AS prompt_tokens, CAST(round(value * 100) AS BIGINT) % 331 * 100 AS completion_tokens,
     CAST(round(value * 100) AS BIGINT) % 7000 + 1 AS duration_ms, CAST(event_id % 3 AS INT) AS page_index FROM events)"""
+
+
+def row_ident() -> "F.Column":
+    """Identity of a lineitem row."""
+    return F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")), F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string"))
+
+
+IDENT_SQL = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT))"
+
+
+def pick(values: tuple, index: "F.Column") -> "F.Column":
+    """The value at a place from 0 of a fixed tuple."""
+    return F.element_at(F.array(*(F.lit(v) for v in values)), (index + 1).cast("int"))
+
+
+def pick_sql(values: tuple, index: str) -> str:
+    return f"[{', '.join('NULL' if v is None else repr(v) for v in values)}][CAST({index} + 1 AS INT)]"
+
+
+def path_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Path items of small framed tables, one for each line of an order: doc_id, page_index, op, ax, ay, bx, by."""
+    li = table(spark, sf_dir, "lineitem")
+    x, y, n = (F.col("l_partkey") % 50 * 10).cast("double"), (F.col("l_orderkey") % 40 * 15).cast("double"), 2 + F.col("l_linenumber") % 2
+    off = F.when(F.col("l_partkey") % 9 == 0, 0.125).otherwise(0.0)
+    item = lambda op, ax, ay, bx, by: F.struct(F.lit(op).alias("op"), ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"))
+    verticals = [F.when(n >= k, item("l", x + 20 * k, y, x + 20 * k, y + 10)) for k in range(4)]
+    parts = [item("l", x, y, x + 20, y), item("l", x + 21, y + off, x + n * 20, y + off), item("l", x + n * 20, y + 10, x, y + 10), F.when(F.col("l_partkey") % 3 == 0, item("re", x + 200, y, x + 230, y + 10)), item("c", x, y, x + 5, y + 5), item("l", x, y, x + 7, y + 9)]
+    each = li.select(F.col("l_suppkey").alias("doc_id"), (F.col("l_linenumber") - 1).cast("int").alias("page_index"), F.explode(F.array_compact(F.array(*parts, *verticals))).alias("i"))
+    return each.select("doc_id", "page_index", "i.*")
+
+
+PATHS_SQL = """paths AS (SELECT doc_id, page_index, i.op AS op, i.ax AS ax, i.ay AS ay, i.bx AS bx, i."by" AS "by" FROM (SELECT doc_id, page_index, unnest(list_filter([
+    {'op': 'l', 'ax': x, 'ay': y, 'bx': x + 20, 'by': y}, {'op': 'l', 'ax': x + 21, 'ay': y + o, 'bx': x + n * 20, 'by': y + o}, {'op': 'l', 'ax': x + n * 20, 'ay': y + 10, 'bx': x, 'by': y + 10},
+    CASE WHEN l_partkey % 3 = 0 THEN {'op': 're', 'ax': x + 200, 'ay': y, 'bx': x + 230, 'by': y + 10} END, {'op': 'c', 'ax': x, 'ay': y, 'bx': x + 5, 'by': y + 5}, {'op': 'l', 'ax': x, 'ay': y, 'bx': x + 7, 'by': y + 9},
+    {'op': 'l', 'ax': x, 'ay': y, 'bx': x, 'by': y + 10}, {'op': 'l', 'ax': x + 20, 'ay': y, 'bx': x + 20, 'by': y + 10}, {'op': 'l', 'ax': x + 40, 'ay': y, 'bx': x + 40, 'by': y + 10},
+    CASE WHEN n >= 3 THEN {'op': 'l', 'ax': x + 60, 'ay': y, 'bx': x + 60, 'by': y + 10} END], lambda i: i IS NOT NULL)) AS i
+  FROM (SELECT l_suppkey AS doc_id, CAST(l_linenumber - 1 AS INT) AS page_index, l_partkey, CAST(l_partkey % 50 * 10 AS DOUBLE) AS x, CAST(l_orderkey % 40 * 15 AS DOUBLE) AS y, 2 + l_linenumber % 2 AS n, CASE WHEN l_partkey % 9 = 0 THEN 0.125::DOUBLE ELSE 0.0::DOUBLE END AS o FROM lineitem)))"""
+
+
+Specs = list[tuple[str, dict[str, str]]]
+
+
+def derived(source: DataFrame, specs: Specs) -> DataFrame:
+    """Rows by fixed rules: each source row gives one row for each (condition, columns) whose condition holds.  Expressions are plain SQL."""
+    parts = [F.when(F.expr(cond), F.struct(*(F.expr(e).alias(c) for c, e in cols.items()))) for cond, cols in specs]
+    return source.select(F.explode(F.array_compact(F.array(*parts))).alias("r")).select("r.*")
+
+
+def derived_sql(name: str, source: str, specs: Specs) -> str:
+    """The same rows as a named subquery."""
+    parts = (f"SELECT {', '.join(f'{e} AS {c}' for c, e in cols.items())} FROM {source} WHERE {cond}" for cond, cols in specs)
+    return f"{name} AS ({' UNION ALL '.join(parts)})"
+
+
+def fixed_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of fixed rules."""
+    return spark.createDataFrame(rows, schema)
+
+
+def fixed_sql(name: str, columns: str, rows: list[tuple]) -> str:
+    """The same table as a named subquery."""
+    value = lambda v: "NULL" if v is None else f"{v!r}::DOUBLE" if isinstance(v, float) else repr(v)
+    return f"{name}({columns}) AS (VALUES {', '.join('(' + ', '.join(map(value, r)) + ')' for r in rows)})"

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caliperlake.functions.geometry import Box, Point, clip, from_rendered
 from caliperlake.functions.text import formula_like
 
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
@@ -65,6 +66,14 @@ def page_box(x: Column, y: Column, origin_x: Column, origin_y: Column, scale: Co
     return origin_x + x / scale, origin_y + y / scale
 
 
+def polygon_box(polygon: Column, origin: Point, rotation: Column, width: Column, height: Column, scale: float) -> Box:
+    """The box on the page of a polygon (array of x, y) in pixels of a crop of the rendered page, cut to the page; null where nothing is left."""
+    point = lambda p: from_rendered(rotation, width, height, Point((p["x"] + origin.x) / scale, (p["y"] + origin.y) / scale))
+    xs, ys = F.transform(polygon, lambda p: point(p).x), F.transform(polygon, lambda p: point(p).y)
+    zero = F.lit(0.0)
+    return clip(Box(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)), Box(zero, zero, width, height))
+
+
 def call_records(lines: DataFrame, fields: list[str], body: str = "body") -> DataFrame:
     """Records as maps with a reason where a field is missing, unknown or forbidden, or a counter negative."""
     df = lines.withColumn("record", F.from_json(body, "map<string,string>"))

@@ -48,28 +48,59 @@ def test_placement_keeps_every_item_and_flags_agree(spark):
     pairs = {(a.observation_id, b.observation_id) for a in got for b in got if a.page_index == b.page_index and a.observation_id < b.observation_id and math.dist((a.cx, a.cy), (b.cx, b.cy)) < 2 * L.RADIUS}
     assert {(r.left_id, r.right_id) for r in L.marker_overlaps(placed).collect()} == pairs
     for r in got:
-        assert ("outside_cropbox" in r.flags) == (not (9 <= r.cx <= 391 and 9 <= r.cy <= 291))
+        assert ("outside_cropbox" in r.flags) == (not (12 <= r.cx <= 388 and 12 <= r.cy <= 288))
         assert (r.status == "placed") == (r.flags == "")
 
 
+def meets(a, b):
+    return not (a[2] <= b[0] or b[2] <= a[0] or a[3] <= b[1] or b[3] <= a[1])
+
+
+def circle_meets(c, r, b):
+    return math.hypot(c[0] - min(max(c[0], b[0]), b[2]), c[1] - min(max(c[1], b[1]), b[3])) < r
+
+
+def reaches(p, q, b):
+    if any(b[0] <= x <= b[2] and b[1] <= y <= b[3] for x, y in (p, q)):
+        return True
+    for axis in (0, 1):
+        step = q[axis] - p[axis]
+        for edge in (b[axis], b[axis + 2]):
+            if step and 0 <= (t := (edge - p[axis]) / step) <= 1 and b[1 - axis] <= p[1 - axis] + t * (q[1 - axis] - p[1 - axis]) <= b[3 - axis]:
+                return True
+    return False
+
+
+def crosses(p, q, r, s):
+    side = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    return not {p, q} & {r, s} and side(p, q, r) * side(p, q, s) < 0 and side(r, s, p) * side(r, s, q) < 0
+
+
 def brute_placement(rows, width, height):
-    """Every candidate place against every text box and every circle of the page."""
+    """Every candidate place against every text box, circle, number and leader of the page."""
     taken, out = [], {}
-    for r in sorted(rows, key=lambda r: r.number):
-        cx, cy = (r.x0 + r.x1) / 2, (r.y0 + r.y1) / 2
+    rings, ways8 = (18, 30, 42, 56, 72, 90), [(0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1)]
+    boxes = [(r.x0, r.y0, r.x1, r.y1) for r in rows]
+    for r in sorted(rows, key=lambda r: (r.number, r.observation_id)):
+        own = (r.x0, r.y0, r.x1, r.y1)
+        target = ((r.x0 + r.x1) / 2, (r.y0 + r.y1) / 2)
+        w, h = max(5.0, len(str(r.number)) * 0.636 * 9) / 2, 1.164 * 9 / 2
         ways = []
-        for ring, reach in enumerate(L.RINGS):
-            for d in range(L.DIRECTIONS):
-                a = 2 * math.pi * d / L.DIRECTIONS
-                x, y = cx + reach * L.RADIUS * math.cos(a), cy + reach * L.RADIUS * math.sin(a)
-                covered = sum(math.hypot(x - min(max(x, b.x0), b.x1), y - min(max(y, b.y0), b.y1)) < L.RADIUS for b in rows)
-                gaps = [math.dist((x, y), t) for t in taken]
-                checks = (("outside_cropbox", not (9 <= x <= width - 9 and 9 <= y <= height - 9)), ("source_text_overlap", covered > 0), ("circle_overlap", any(g < 18 for g in gaps)))
+        for ring, reach in enumerate(rings):
+            for d, (dx, dy) in enumerate(ways8):
+                c = (target[0] + dx * reach, target[1] + dy * reach)
+                g = (c[0] - w, c[1] - h, c[0] + w, c[1] + h)
+                checks = (
+                    ("outside_cropbox", not (12 <= c[0] <= width - 12 and 12 <= c[1] <= height - 12)), ("owner_glyph_outside_circle", math.hypot(w, h) > 11), ("unreadable_number", math.hypot(w, h) > 11),
+                    ("source_text_overlap", any(circle_meets(c, 12, b) or meets(g, b) for b in boxes)), ("circle_overlap", any(math.dist(c, t) < 24 for t, _, _ in taken)), ("glyph_overlap", any(meets(g, o) for _, o, _ in taken)),
+                    ("glyph_circle_overlap", any(circle_meets(t, 12, g) or circle_meets(c, 12, o) for t, o, _ in taken)),
+                )
                 flags = [n for n, bad in checks if bad]
-                ways.append((len(flags), math.dist((x, y), (cx, cy)) + 20 * covered + 4 * sum(g < 45 for g in gaps), ring, d, x, y, ",".join(flags)))
+                score = math.dist(c, target) + 20 * sum(reaches(c, target, b) for b in boxes if b != own) + 12 * sum(crosses(c, target, t, z) for t, _, z in taken) + 4 * sum(math.dist(c, t) < 60 for t, _, _ in taken)
+                ways.append((len(flags), round(score, 9), ring, d, c, g, ",".join(flags)))
         best = min(ways)
-        taken.append(best[4:6])
-        out[r.observation_id] = best[4:]
+        taken.append((best[4], best[5], target))
+        out[r.observation_id] = (*best[4], best[6])
     return out
 
 
@@ -82,3 +113,24 @@ def test_placement_query_places_every_marker_as_brute_force_does(spark):
         rows = [r for r in given if (r.doc_id, r.page_index) == page]
         assert len(rows) > 20
         assert {r.observation_id: (r.cx, r.cy, r.flags) for r in got if (r.doc_id, r.page_index) == page} == brute_placement(rows, 620.0, 620.0)
+
+
+def test_candidate_markers_equal_brute_force(spark):
+    rows = boxes(50, 3)
+    got = {r.observation_id: (r.cx, r.cy) for r in L.candidate_markers(spark.createDataFrame(rows, SCHEMA), 400.0, 300.0).collect()}
+    want = {}
+    for page in (0, 1):
+        mine, placed = sorted((r for r in rows if r[1] == page), key=lambda r: (r[3], r[2])), []
+        for _, _, name, _, x0, y0, x1, y1 in mine:
+            mx, my, ways = (x0 + x1) / 2, (y0 + y1) / 2, []
+            for o in (12, 36):
+                ways += [(x1 + o, y0 - o), (x1 + o, y1 + o), (x0 - o, y0 - o), (x0 - o, y1 + o), (x1 + o, my), (x0 - o, my), (mx, y0 - o), (mx, y1 + o)]
+            ways = list(dict.fromkeys((min(max(x, 11), 389), min(max(y, 11), 289)) for x, y in ways))
+            scored = []
+            for i, c in enumerate(ways):
+                leader = math.hypot(c[0] - min(max(c[0], x0), x1), c[1] - min(max(c[1], y0), y1)) or min(abs(c[0] - x0), abs(x1 - c[0]), abs(c[1] - y0), abs(y1 - c[1]))
+                hits = sum(circle_meets(c, 12, r[4:]) for r in mine)
+                scored.append((sum(math.dist(c, p) < 22 for p in placed) * 1e6 + hits * 500 + max(0, 15 - leader) * 1e4 + math.dist(c, ways[0]) * 10 + i, i))
+            placed.append(ways[min(scored)[1]])
+            want[name] = placed[-1]
+    assert got == want
