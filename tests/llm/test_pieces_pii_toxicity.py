@@ -123,6 +123,47 @@ def test_digests_of_spans(docs, texts):
     assert Counter((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in rows) == want
 
 
+def test_scores_follow_the_spans_and_their_context(spark):
+    rows = [(1, "write to a.b@c.org"), (2, "x a.b@c.org x"), (3, None), (4, "ssn 123-45-6789"), (5, "a 123-45-6789 b")]
+    got = {r.doc_id: (r.spans, r.scores) for r in pii.pii_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[3] == ("", "") and got[5] == ("", "")
+    for i in (1, 2, 4):
+        spans, scores = (x.split(",") for x in got[i])
+        assert len(spans) == len(scores) == 1 and pii.THRESHOLD <= float(scores[0]) <= 1
+
+
+def naive_counts(names, text):
+    """Voters by reading the text word by word."""
+    low = text.lower()
+    runs, start = [], None
+    for k, c in enumerate(low + " "):
+        if c.isalpha() and start is None:
+            start = k
+        elif not c.isalpha() and start is not None:
+            runs.append(low[start:k])
+            start = None
+    out = []
+    for name in names:
+        stem = name.rstrip("*")
+        longer = [w for w in runs if w.startswith(stem) and len(w) > len(stem)]
+        out.append(sum(w == stem for w in runs) if name == stem else len(longer) if name.endswith("*") and not name.endswith("**") else max(0, len(set(longer)) - 2))
+    return np.array(out, float)
+
+
+def test_scores_equal_a_naive_scorer(spark, labelled):
+    docs, labels = labelled
+    model = toxicity.fit(docs, labels)
+    rows = toxicity.score_documents(docs, model).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert len(rows) == len(texts)
+    for r in rows[:300]:
+        text = texts[r.doc_id] or ""
+        c = naive_counts(model.names, text)
+        fired, hits = (c > 0).sum(), c.sum()
+        x = np.array([*np.minimum(c, 3), 1.0, np.log1p(fired), fired > 1, fired > 2, np.log1p(hits), np.log1p(1000 * hits / max(len(text), 50))], float)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30))))
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = random.Random(3)
