@@ -14,7 +14,7 @@ SHARD_BYTES = 4_000_000
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = token_counts.count_tokens(documents(spark, sf_dir), tokenizer_path())
+    counted = token_counts.count_tokens(documents(spark, sf_dir), tokenizer_path(), spark.conf.get(token_counts.CACHE_SETTING, None), detail=True)
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 

@@ -2,7 +2,10 @@
 
 A text's key is the digest of its normalised content together with the digest of the
 tokenizer file.  Keys are joined to the stored counts; only distinct keys without a count are
-encoded, once each, and appended to the cache, a Parquet table that later runs read.
+encoded, once each, and appended to the cache, a Parquet table that later runs read.  The cache may hold a digest more than once (two
+writers at a time, a retried append); it counts once.
+
+The registered query keeps its cache at the path that ``CACHE_SETTING`` names; without that setting each run has a cache of its own.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); an empty table gives an empty
 table; repeated rows each get their row, and their text is encoded once; other columns are
@@ -12,14 +15,16 @@ ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordMemo, same, scratch_path, slices, text_or_empty
+from .common import WordMemo, materialise, same, scratch_path, slices, text_or_empty
 
+CACHE_SETTING = "spark.caliperlake.tokenCache"
 CACHE_SCHEMA = "content_digest string, tokenizer_digest string, n_tokens bigint"
 _ENCODED = "content_digest string, n_tokens bigint"
 
@@ -50,26 +55,29 @@ def _encoder(path: str):
     return run
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, n_bytes and n_tokens of every row; ``cache`` is the path of the stored counts."""
-    spark, version = docs.sparkSession, tokenizer_digest(tokenizer)
+def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, id_col: str = "doc_id", text_col: str = "text", detail: bool = False) -> DataFrame:
+    """``id_col``, n_bytes and n_tokens of every row, and with ``detail`` also cached: the count was stored before this run.  ``cache`` is the path of the stored counts."""
+    spark, version, run = docs.sparkSession, tokenizer_digest(tokenizer), uuid.uuid4().hex
     cache = cache or scratch_path(spark, "token_cache")
     spark.createDataFrame([], CACHE_SCHEMA).coalesce(1).write.mode("append").parquet(cache)
     text = text_or_empty(text_col)
-    keyed = docs.select(F.col(id_col).alias("_id"), content_digest(text).alias("_digest"), F.octet_length(text).cast("bigint").alias("n_bytes"))
+    # The only pass that digests texts.  A plain hash is enough to find the chosen row of an id again.
+    keyed = docs.select(F.col(id_col).alias("_id"), content_digest(text).alias("_digest"), F.xxhash64(text).alias("_hash"), F.octet_length(text).cast("bigint").alias("n_bytes"))
+    keyed = materialise(keyed, "token_keys", compression="zstd")
 
     def stored() -> DataFrame:
-        return spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer_digest") == version)
+        kept = spark.read.schema(CACHE_SCHEMA + ", run string").parquet(cache).where(F.col("tokenizer_digest") == version)
+        return kept.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"), F.bool_or(~same(F.col("run"), F.lit(run))).alias("cached"))
 
     # One row for each distinct digest without a count, pre-aggregated before the shuffle, so a
     # text that a third of all rows share is one row here.
-    missing = keyed.groupBy("_digest").agg(F.min("_id").alias("_first"), F.lit(version).alias("_version"))
-    missing = missing.join(stored(), (F.col("_digest") == F.col("content_digest")) & (F.col("_version") == F.col("tokenizer_digest")), "left_anti")
-    missing = missing.select(F.col("_digest").alias("_missing"), "_first")
-    texts = docs.select(F.col(id_col).alias("_id"), content_digest(text).alias("_digest"), text.alias("_text"))
-    chosen = texts.join(missing.hint("shuffle_hash"), (F.col("_digest") == F.col("_missing")) & same(F.col("_id"), F.col("_first")), "inner").select("_digest", "_text")
+    missing = keyed.groupBy("_digest").agg(F.min(F.struct("_id", "_hash")).alias("_first"))
+    missing = missing.join(stored(), F.col("_digest") == F.col("content_digest"), "left_anti")
+    missing = missing.select("_digest", F.col("_first._id").alias("_first_id"), F.col("_first._hash").alias("_first_hash"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_hash"), text.alias("_text"))
+    chosen = texts.join(missing.hint("shuffle_hash"), (F.col("_hash") == F.col("_first_hash")) & same(F.col("_id"), F.col("_first_id")), "inner").select("_digest", "_text")
     encoded = chosen.mapInArrow(_encoder(tokenizer), _ENCODED).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
-    encoded.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache)
+    encoded.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens", F.lit(run).alias("run")).write.mode("append").parquet(cache)
 
-    counts = stored().select(F.col("content_digest").alias("_content"), "n_tokens")
-    return keyed.join(counts, F.col("_digest") == F.col("_content"), "left").select(F.col("_id").alias(id_col), "n_bytes", "n_tokens")
+    counts = stored().withColumnRenamed("content_digest", "_content")
+    return keyed.join(counts, F.col("_digest") == F.col("_content"), "left").select(F.col("_id").alias(id_col), "n_bytes", "n_tokens", *(["cached"] if detail else []))

@@ -34,6 +34,28 @@ def test_cache_keeps_distinct_digests_and_is_read_again(spark, docs, texts):
     assert spark.read.parquet(cache).count() == stored.count() + 1  # the row added here, and no text encoded twice
 
 
+def test_a_digest_stored_twice_counts_once(spark, docs, texts):
+    cache = scratch_path(spark, "cache")
+    first = Counter(map(tuple, token_counts.count_tokens(docs, tokenizer_path(), cache, detail=True).collect()))
+    assert not any(hit for *_, hit in first)
+    again = spark.read.parquet(cache)
+    again.write.mode("append").parquet(cache)  # what a second writer, or a retried append, leaves
+    second = Counter(map(tuple, token_counts.count_tokens(docs, tokenizer_path(), cache, detail=True).collect()))
+    assert second == Counter((*row, True) for *row, _ in first.elements())
+
+
+def test_the_query_hits_a_lasting_cache(spark, tmp_path):
+    from caliperlake.llm.queries import op1_token_counts
+
+    docs = spark.createDataFrame([(i, f"text number {i % 5}") for i in range(20)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.set(token_counts.CACHE_SETTING, str(tmp_path / "cache"))
+    try:
+        assert [op1_token_counts(spark, str(tmp_path)).where("cached").count() for _ in range(2)] == [0, 20]
+    finally:
+        spark.conf.unset(token_counts.CACHE_SETTING)
+
+
 def test_empty_tables(empty):
     assert token_counts.count_tokens(empty, tokenizer_path()).count() == 0
     assert packing.pack_documents(empty, tokenizer_path()).count() == 0
