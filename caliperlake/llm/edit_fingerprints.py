@@ -13,7 +13,7 @@ fingerprints and verifies them on the whole fingerprints.
 
 Defined results: a null text counts as empty; empty texts have equal fingerprints, without samples; equal texts have equal ones;
 repeated ids follow one another in the order of their texts' hashes; a row with a null id has no next document, and an empty
-one in its place; an empty table gives an empty table; other columns are ignored.
+one in its place; ids of any ordered type will do; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, same, slices, text_or_empty
@@ -35,6 +35,8 @@ DIGITS = "0123456789abcdef"
 BANDS, ROWS = 32, 8
 BLOCK = 1024
 LANE_CHARS = 4_000_000
+#: The driver holds so many sampled ids a part, and as many parts at most; beyond that parts grow, and are sorted and read as streams.
+DRAWN, MOST_PARTS = 20, 20_000
 
 
 def walk_function(steps: int, seed: int = SEED) -> np.ndarray:
@@ -171,27 +173,56 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-_ROW = "part int, tail boolean, doc_id {}, text string"
+_ROW = "part bigint, tail boolean, doc_id {}, hash bigint, text string"
 
 
-def _placed(bounds: list, n_parts: int):
-    """Range part of each row; a row that begins a part also goes to the end of the part before, as the next document."""
+def _placed(bounds: list[tuple], keys: list[int]):
+    """Range part of each row, by id and text hash; a row that begins a part also goes to the end of the part before, as the next document.
+
+    Rows without an id are dealt by their hashes.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = {b: k for k, b in enumerate(bounds)}
+        n = len(keys)
         for b in slices(batches, 4096):
-            ids = b.column(0).to_pylist()
-            part = [-1 if i is None else int(np.searchsorted(bounds, i, "right")) - 1 for i in ids]
-            again = [k for k, i in enumerate(ids) if i in first]
-            take = pa.array([*range(len(ids)), *again], pa.int64())
+            places = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            part = [keys[h % n if i is None else bisect_right(bounds, (i, h)) - 1] for i, h in places]
+            again = [k for k, p in enumerate(places) if p in first]
             # The first part follows the last one.
-            parts = part + [(first[ids[k]] - 1) % n_parts for k in again]
-            tail = [False] * len(ids) + [True] * len(again)
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(tail, pa.bool_()), b.column(0).take(take), b.column(1).take(take)], ["part", "tail", "doc_id", "text"])
+            part += [keys[(first[places[k]] - 1) % n] for k in again]
+            take = pa.array([*range(len(places)), *again], pa.int64())
+            tail = [False] * len(places) + [True] * len(again)
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(tail, pa.bool_()), *(b.column(j).take(take) for j in range(3))], ["part", "tail", "doc_id", "hash", "text"])
 
     return run
 
 
+def _part_keys(spark: SparkSession, n: int) -> list[int]:
+    """For each of n partitions a number that Spark's hash partitioning sends there, so that parts do not share tasks."""
+    sent = spark.range(32 * n).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("place")).groupBy("place").agg(F.min("id").alias("id"))
+    found = dict(sent.select("place", "id").collect())  # one row a part
+    return [found.get(k, -1 - k) for k in range(n)]
+
+
+def _bounds(base: DataFrame, parts: int, rows: int) -> list[tuple]:
+    """First rows (id, hash) of about ``parts`` ranges of like numbers of characters, from a sample of some ``DRAWN`` rows a part, drawn by hash."""
+    known = base.where("doc_id is not null")
+    least = known.agg(F.min(F.struct("doc_id", "hash")).alias("least")).first()[0]
+    if least is None:
+        return []
+    bounds = {tuple(least)}
+    if parts > 1:
+        every = max(1, rows // (DRAWN * parts))
+        drawn = known.where(F.pmod(F.xxhash64("doc_id", "hash"), F.lit(every)) == 0).select("doc_id", "hash", F.char_length("text").alias("n"))
+        sample = sorted(map(tuple, drawn.collect()))
+        passed = np.cumsum([n + 1 for *_, n in sample], dtype=np.int64)
+        if len(sample):
+            cuts = np.searchsorted(passed, passed[-1] * np.arange(1, parts) / parts)
+            bounds |= {sample[min(k, len(sample) - 1)][:2] for k in cuts.tolist()}
+    return sorted(bounds)
+
+
 _OUT = "doc_id {}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -217,15 +248,16 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     size, before = 0, None
     for b in slices(batches, 1024):
-        for part, tail, id_, text in zip(*(b.column(j).to_pylist() for j in range(4)), strict=True):
-            if before is not None and before[0] == part and part >= 0:
-                held.append((before[1], before[2], text))
-                size += len(before[2])
-            if part < 0:
+        for part, tail, id_, text in zip(*(b.column(j).to_pylist() for j in (0, 1, 2, 4)), strict=True):
+            if id_ is None:
                 held.append((id_, text, ""))
                 size += len(text)
+                continue
+            if before is not None and before[0] == part:
+                held.append((before[1], before[2], text))
+                size += len(before[2])
             # Of several rows that end a part, the first is the next document of the part's last row.
-            before = None if tail or part < 0 else (part, id_, text)
+            before = None if tail else (part, id_, text)
             if size > LANE_CHARS:
                 yield done(held)
                 held, size = [], 0
@@ -240,16 +272,13 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     range's first row is sent to the range before it as well, and each range is sorted by itself.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    base = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    seen = base.agg(F.sum(F.char_length("text")), F.min("doc_id")).first()
-    parts = max(1, int(-(-(seen[0] or 0) // chars_a_part)))
-    bounds: list = []
-    if seen[1] is not None:
-        cuts = [k / parts for k in range(1, parts)]
-        middle = base.agg(F.percentile_approx("doc_id", cuts, 10_000)).first()[0] if cuts else []
-        bounds = sorted({seen[1], *(middle or [])})
-    placed = base.mapInArrow(_placed(bounds, max(1, len(bounds))), _ROW.format(kind))
-    ordered = placed.repartition("part").sortWithinPartitions("part", "tail", "doc_id", F.xxhash64("text"))
+    text = text_or_empty(text_col)
+    base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    chars, rows = base.agg(F.sum(F.char_length("text")), F.count("*")).first()
+    bounds = _bounds(base, min(MOST_PARTS, max(1, -(-(chars or 0) // chars_a_part))), rows)
+    keys = _part_keys(docs.sparkSession, max(1, len(bounds)))
+    placed = base.mapInArrow(_placed(bounds, keys), _ROW.format(kind))
+    ordered = placed.repartition(len(keys), "part").sortWithinPartitions("part", "tail", "doc_id", "hash")
     return ordered.mapInArrow(_compare, _OUT.format(kind)).withColumnRenamed("doc_id", id_col)
 
 
