@@ -1,20 +1,24 @@
 """TIFF media columns: walk image directories, decode strips and tiles, one row per page.
 
 Reads both byte orders, any number of directories, strips and tiles, no compression, PackBits, LZW
-and deflate, horizontal differencing, 8- and 16-bit samples.  Writes gray pages of 8-bit samples.
+and deflate, horizontal differencing, 8- and 16-bit samples, channels together.  Writes gray pages of 8-bit samples; a page's
+compression follows from its content's checksum, so all three are used at every size.
 
 Defined results: a null or broken file gives one row with page null and ``error`` set, after the pages that could be read;
-a directory chain that returns to itself ends there; an empty table gives an empty table; other columns
+a page that declares more bytes than ``MOST_PAGE_BYTES``, or than its file can hold at any compression, or whose channels lie in planes of their
+own, is such an error; a directory chain that returns to itself ends there; an empty table gives an empty table; other columns
 are ignored.  For ``media_digests`` a null text counts as empty.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +31,12 @@ from .common import slices, text_or_empty
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
 PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 324, 325
+PLANAR = 284
 TYPE_FORMAT = {1: "B", 3: "H", 4: "I"}
 
 SAMPLES_PER_ROW = 576
+#: Arrow holds a page's samples in one value.  A 12-bit LZW code stands for under 4,096 bytes, more than the other codecs reach.
+MOST_PAGE_BYTES, MOST_EXPANSION = 1 << 30, 3000
 ROWS_PER_PAGE, ROWS_PER_STORED_STRIP, STORED_TILE = 1024, 256, (192, 256)
 
 
@@ -59,22 +66,21 @@ def unpack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
+_RUN = re.compile(rb"(.)\1{2,127}", re.DOTALL)
+
+
 def pack_bits(data: bytes) -> bytes:
     """Runs of three and more as repeats, the rest as literals."""
-    out, at, end = bytearray(), 0, len(data)
-    while at < end:
-        run = 1
-        while run < 128 and at + run < end and data[at + run] == data[at]:
-            run += 1
-        if run >= 3:
-            out += bytes((257 - run, data[at]))
-            at += run
-            continue
-        stop = at
-        while stop < end and stop - at < 128 and not (stop + 2 < end and data[stop] == data[stop + 1] == data[stop + 2]):
-            stop += 1
-        out += bytes((stop - at - 1,)) + data[at:stop]
-        at = stop
+    out, at = bytearray(), 0
+    for m in chain(_RUN.finditer(data), (None,)):
+        stop = m.start() if m else len(data)
+        for k in range(at, stop, 128):
+            part = data[k : min(k + 128, stop)]
+            out.append(len(part) - 1)
+            out += part
+        if m:
+            out += bytes((257 - len(m[0]), m[0][0]))
+            at = m.end()
     return bytes(out)
 
 
@@ -151,7 +157,8 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def _decode(raw: bytes, compression: int) -> bytes:
+def _decode(raw: bytes, compression: int, size: int) -> bytes:
+    """At least the first ``size`` bytes of a strip or tile; deflate stops there."""
     if compression == NONE:
         return raw
     if compression == PACKBITS:
@@ -159,7 +166,7 @@ def _decode(raw: bytes, compression: int) -> bytes:
     if compression == LZW:
         return lzw_decode(raw)
     if compression in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(raw)
+        return zlib.decompressobj().decompress(raw, size)
     raise TiffError(f"compression {compression} is not known")
 
 
@@ -190,6 +197,10 @@ def _page(data: bytes, tags: dict[int, tuple[int, ...]], order: str) -> Page:
     tiled = TILE_OFFSETS in tags
     across, down = (one(TILE_WIDTH), one(TILE_LENGTH)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
     offsets, counts = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_COUNTS])
+    if one(PLANAR, 1) != 1 and channels > 1:
+        raise TiffError("channels in planes of their own")
+    if not (channels and across and down) or max(height * width, across * down) * channels * kind.itemsize > min(MOST_PAGE_BYTES, MOST_EXPANSION * len(data)):
+        raise TiffError("page is larger than its file can hold")
     out = np.zeros((height, width, channels), kind)
     columns = -(-width // across)
     for k, (offset, count) in enumerate(zip(offsets, counts, strict=True)):
@@ -197,7 +208,8 @@ def _page(data: bytes, tags: dict[int, tuple[int, ...]], order: str) -> Page:
         if offset + count > len(data) or top >= height:
             raise TiffError("strip or tile outside the file")
         rows = down if tiled else min(down, height - top)
-        flat = np.frombuffer(_decode(data[offset : offset + count], compression), kind)
+        size = rows * across * channels * kind.itemsize
+        flat = np.frombuffer(_decode(data[offset : offset + count], compression, size)[:size], kind)
         if len(flat) < rows * across * channels:
             raise TiffError("strip or tile too short")
         block = flat[: rows * across * channels].reshape(rows, across, channels)
@@ -223,7 +235,7 @@ def pages_of(data: bytes | None) -> Iterator[Page]:
             tags, following = _directory(data, at, order)
             yield _page(data, tags, order)
             at = following
-    except (struct.error, zlib.error, KeyError, IndexError, ValueError) as e:
+    except (struct.error, zlib.error, KeyError, IndexError, ValueError, MemoryError, OverflowError) as e:
         raise e if isinstance(e, TiffError) else TiffError(str(e)) from e
 
 
@@ -248,12 +260,12 @@ def _blocks(image: np.ndarray, compression: int, tiled: bool) -> list[bytes]:
 
 
 def write_tiff(payload: bytes, width: int = SAMPLES_PER_ROW, compression: int | None = None) -> bytes:
-    """Gray pages of 8-bit samples.  By size: one or two rows LZW, up to four PackBits, else deflate; odd pages in tiles."""
+    """Gray pages of 8-bit samples, each with the compression that its checksum draws; odd pages in tiles."""
     samples = np.frombuffer(payload, np.uint8).reshape(-1, width)
     out, link = bytearray(b"II*\0\0\0\0\0"), 4
     for k, top in enumerate(range(0, len(samples), ROWS_PER_PAGE)):
         image = samples[top : top + ROWS_PER_PAGE]
-        chosen = compression or (LZW if len(image) <= 2 else PACKBITS if len(image) <= 4 else DEFLATE)
+        chosen = compression or (LZW, PACKBITS, DEFLATE)[zlib.crc32(image) % 3]
         tiled = bool(k % 2)
         offsets, counts = [], []
         for block in _blocks(image, chosen, tiled):

@@ -1,11 +1,13 @@
 import hashlib
 import random
+import struct
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from caliperlake.llm import edit_fingerprints as E
 from caliperlake.llm import sharding, tiff
@@ -43,6 +45,58 @@ def test_edits_and_next_documents(spark, docs, texts, part):
     assert E.compare_with_edits(docs).count() == len(texts)  # null ids and repeated rows stay
 
 
+def naive_fingerprint(text):
+    """One walker, one step after another."""
+    level = 0
+    while -(-2 * len(text) // (E.STRIDE * 2**level)) > E.SLOTS:
+        level += 1
+    moves = np.random.Generator(np.random.PCG64(E.SEED)).integers(0, 2, (4096, 256), dtype=np.int64)
+    stride, at, j, out = E.STRIDE * 2**level, 0, 0, []
+    while at < len(text):
+        for k in range(stride):
+            c = (ord(text[at]) * 2654435761 % 2**32 >> 12) % 255 + 1 if at < len(text) else 0
+            if k == 0:
+                out.append("0123456789abcdef"[c * 167 % 256 >> 4])
+            at += int(moves[j % 4096][c]) if c else 0
+            j += 1
+    return f"{level}:" + "".join(out)
+
+
+def naive_likeness(a, b):
+    (la, x), (lb, y) = ((int(m.split(":")[0]), m.split(":")[1]) for m in (a, b))
+    x, y = x[:: 2 ** max(0, lb - la)], y[:: 2 ** max(0, la - lb)]
+    equal = sum(p == q for p, q in zip(x, y, strict=False)) / max(len(x), len(y), 1)
+    return 1.0 if not x and not y else max(0.0, (equal - 1 / 16) * 16 / 15)
+
+
+@pytest.mark.parametrize("text_ids", [False, True])
+def test_the_query_equals_a_naive_walk(spark, texts, tmp_path, text_ids):
+    from caliperlake.llm.queries import op5_edit_fingerprints
+
+    name = (lambda i: f"id{i:03}") if text_ids else (lambda i: i)
+    rows = sorted({name(i): t for i, t in texts if i is not None}.items())
+    spark.createDataFrame([*rows, (None, "nobody's"), (None, None)], f"doc_id {'string' if text_ids else 'long'}, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = op5_edit_fingerprints(spark, str(tmp_path)).collect()
+    want = {}
+    for (i, t), (_, f) in zip(rows, rows[1:] + rows[:1], strict=True):
+        t, f = t or "", f or ""
+        half = len(t) // 2
+        e = t[: len(t) - half] + f[:half]
+        a, b, c = (naive_fingerprint(x) for x in (t, e, f))
+        want[i] = (len(t), hashlib.sha256(e.encode()).hexdigest(), a, b, naive_likeness(a, b), naive_likeness(a, c))
+    assert len(got) == len(rows) + 2
+    for r in got:
+        if r.doc_id is not None:
+            assert tuple(r)[1:5] == want[r.doc_id][:4]
+            assert (r.near_edited, r.near_next) == pytest.approx(want[r.doc_id][4:])
+
+
+def test_parts_have_tasks_of_their_own(spark):
+    keys = E._part_keys(spark, 50)
+    placed = spark.createDataFrame([(k,) for k in keys], "k long").select(F.pmod(F.hash("k"), F.lit(50)))
+    assert sorted(r[0] for r in placed.collect()) == list(range(50))
+
+
 def test_similar_texts_are_grouped(spark):
     rng = random.Random(3)
     rows = []
@@ -189,3 +243,26 @@ def test_groups_match_brute_force_in_a_band_of_half_similar_texts(spark, monkeyp
     assert len(set(group.values())) > 10
     got = {r.doc_id: r.group_id for r in E.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == group
+
+
+def test_compression_does_not_follow_size():
+    rng = random.Random(9)
+    seen = {}
+    for rows in (1, 3, 40, 900):
+        seen[rows] = {next(tiff.pages_of(tiff.write_tiff(bytes(rng.randrange(97, 110) for _ in range(576)) * rows))).compression for _ in range(30)}
+    assert all(s == {tiff.LZW, tiff.PACKBITS, tiff.DEFLATE} for s in seen.values())
+
+
+def test_hostile_and_unknown_files_are_error_rows(spark):
+    def file(tags, body=b""):
+        entries = b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in sorted(tags.items()))
+        return b"II*\0" + struct.pack("<I", 8 + len(body)) + body + struct.pack("<H", len(tags)) + entries + b"\0\0\0\0"
+
+    huge = file({256: 1 << 21, 257: 1 << 21, 258: 8, 259: 1, 273: 8, 277: 1, 278: 1 << 21, 279: 4}, b"abcd")
+    planes = file({256: 2, 257: 1, 258: 8, 259: 1, 273: 8, 277: 3, 278: 1, 279: 6, 284: 2}, b"RRGGBB")
+    bomb = zlib.compress(b"\0" * 50_000_000)
+    small = file({256: 10, 257: 1, 258: 8, 259: 8, 273: 8, 277: 1, 278: 1, 279: len(bomb)}, bomb)
+    rows = spark.createDataFrame([(1, huge), (2, planes), (3, small), (4, None), (5, b"II*\0")], "id long, media binary")
+    got = {r.id: r for r in tiff.read_pages(rows, "id", "media").collect()}
+    assert "larger" in got[1].error and "planes" in got[2].error and got[4].error and got[5].error
+    assert got[3].error is None and bytes(got[3].samples) == b"\0" * 10
