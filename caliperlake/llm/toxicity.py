@@ -7,7 +7,8 @@ Its posteriors are the targets of a logistic regression on what a text alone sho
 fires, how many do, and how densely.
 
 The model is fitted on at most ``SAMPLE`` labelled training rows, those with the least hashes of their ids;
-voters are mined from the same rows.  Every text is scored whole.
+voters are mined from the same rows: at most ``WORDS`` words and ``PATTERNS`` word starts, drawn from the ``MINED`` weightiest of both; a start is
+held against the ``COMPARED`` weightiest words.  These bounds are on features of the model; every text is scored whole.
 
 Defined results: null and empty texts get a score too, from no votes; without a labelled training row, or with one class only,
 the seed voters and a fixed prior make the score; repeated rows get equal scores; an empty table gives an empty
@@ -30,6 +31,7 @@ from .common import slices, text_or_empty
 
 SAMPLE = 20_000
 WORDS, PATTERNS, PREFIXES, FAMILY = 48, 64, (4, 5, 6), 3
+MINED, COMPARED = 4000, 20 * WORDS
 LEAST_G, LEAST_FAMILY_G, LEAST_ROWS = 18.0, 11.0, 3  # families are few, so chance makes fewer of them
 THRESHOLD = 0.3
 # Seed lexicon.
@@ -62,7 +64,7 @@ def _mine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def choose_voters(found: list[tuple[str, int, int, float]]) -> list[str]:
     """Voters from (feature, toxic rows, clean rows, weight), the weightiest first."""
-    words = [f for f in found if not f[0].endswith("*")][: 20 * WORDS]
+    words = [f for f in found if not f[0].endswith("*")][:COMPARED]
     starts: list[str] = []
     for name, pos, _, _ in (f for f in found if f[0].endswith("*")):
         stem = name.rstrip("*")
@@ -201,7 +203,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A model from the labelled rows that are not held out."""
     ids = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_toxic"))
     ids = ids.where(~held_out(F.col("_id"))).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    train = docs.select(F.col(id_col).alias("_doc"), text_or_empty(text_col).alias("_text")).join(F.broadcast(ids), F.col("_doc") == F.col("_id")).select("_toxic", "_text")
+    train = docs.select(F.col(id_col).alias("_doc"), text_or_empty(text_col).alias("_text")).join(F.broadcast(ids), F.col("_doc") == F.col("_id"))
+    # Of rows that repeat an id the least text stands for it, so the bound on ids bounds the rows that come to the driver.
+    train = train.groupBy("_id", "_toxic").agg(F.min("_text").alias("_text")).select("_toxic", "_text")
     sizes = {r[0]: r[1] for r in train.groupBy("_toxic").count().collect()}
     p, n = sizes.get(1, 0), sizes.get(0, 0)
     if not p or not n:
@@ -212,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     g = 2 * (F.col("pos") * F.log(F.col("pos") / (both * share)) + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / (both * (1 - share)))).otherwise(0.0))
     rare = 3 * F.col("neg") / n < F.col("pos") / p
     strong = counted.where((F.col("pos") >= LEAST_ROWS) & rare).withColumn("g", g).where(F.col("g") >= F.when(F.col("feature").endswith("**"), LEAST_FAMILY_G).otherwise(LEAST_G))
-    found = [(r["feature"], r["pos"], r["neg"], r["g"]) for r in strong.orderBy(F.desc("g"), "feature").limit(4000).collect()]
+    found = [(r["feature"], r["pos"], r["neg"], r["g"]) for r in strong.orderBy(F.desc("g"), "feature").limit(MINED).collect()]
     model = ToxicityModel(choose_voters(found))
     rows = train.mapInArrow(_votes(model), "toxic int, n bigint, counts array<float>").toPandas()
     counts, toxic = np.stack(rows["counts"].to_numpy()).astype(float), rows["toxic"].to_numpy()
