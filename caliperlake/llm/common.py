@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a folder of our own is made and set.
+    Only where the session names none and runs on one machine (tests, a laptop) a folder of our own is made and set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     known = spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         known = spark.sparkContext.getCheckpointDir()
     return known.rstrip("/")

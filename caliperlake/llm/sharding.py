@@ -90,7 +90,7 @@ SELECT doc_id, n_bytes, depth, CASE WHEN depth = 0 THEN '' ELSE right(repeat('0'
 
 
 def write_shards(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write the rows, one folder for each shard; a shard fits its limit, so one task holds it."""
-    shards = assign_shards(docs.select(id_col, text_col), limit, id_col, text_col).select(F.col(id_col).alias("_sharded_id"), "shard").dropDuplicates(["_sharded_id"])
-    docs.join(shards, same(docs[id_col], F.col("_sharded_id")), "inner").drop("_sharded_id").repartition("shard").write.partitionBy("shard").parquet(path)
-
+    """Write the rows, one folder for each shard; a shard fits its limit, so one task holds it.  A column named shard gives way to the shard's own."""
+    shards = assign_shards(docs.select(id_col, text_col), limit, id_col, text_col).select(F.col(id_col).alias("_sharded_id"), F.col("shard").alias("_shard")).dropDuplicates(["_sharded_id"])
+    joined = docs.join(shards, same(docs[id_col], shards["_sharded_id"]), "inner")
+    joined.select(*(docs[c] for c in docs.columns if c != "shard"), shards["_shard"].alias("shard")).repartition("shard").write.partitionBy("shard").parquet(path)

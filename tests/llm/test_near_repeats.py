@@ -67,6 +67,30 @@ def test_blocks_of_large_buckets(spark, monkeypatch):
     test_chains_hubs_and_the_threshold(spark)
 
 
+def test_blocks_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 6000)
+    test_chains_hubs_and_the_threshold(spark)
+
+
+def test_blocks_give_fewer_links_than_members():
+    import pandas as pd
+
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for k in range(60):  # a cluster of like texts: all pairs are near
+        words = list(base)
+        words[rng.randrange(200)] = f"x{k}"
+        found = near_dedup.shingles(" ".join(words))
+        samples = near_dedup.minhash(found)
+        bands, sketch = near_dedup.band_keys(samples), near_dedup.odd_sketch(samples)
+        bands[0] = 7
+        rows.append((7, 0, 0, 2, k, k, len(found), *sketch, bands, near_dedup.odd_sketch(near_dedup.minhash(found, 1024), 2048).tobytes(), found.view(np.int64)))
+    pdf = pd.DataFrame(rows, columns=["bucket", "i", "j", "side", "node", "label", "n_shingles", "s0", "s1", "s2", "s3", "bands", "wide", "shingles"])
+    links = near_dedup._spanning(pdf)
+    assert len(near_dedup._undecided(pdf)) == 60 and len(links) == 59
+
+
 def test_odd_sketch_estimates_differences():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 1 << 63, 2000).astype(np.uint64))
