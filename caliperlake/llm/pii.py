@@ -141,12 +141,12 @@ def spans_of(text: str | None) -> list[tuple[str, int, int, float]]:
     return found
 
 
-_DIGEST_FIELDS = [("doc_id", None), *((f"n_{k}", pa.int64()) for k in BASE), ("base_sha256", pa.string()), ("spans", pa.string())]
+_DIGEST_FIELDS = [("doc_id", None), *((f"n_{k}", pa.int64()) for k in BASE), ("base_sha256", pa.string()), ("spans", pa.string()), ("scores", pa.string())]
 
 
 def _digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
-        counts, shas, every = {k: [] for k in BASE}, [], []
+        counts, shas, every, scores = {k: [] for k in BASE}, [], [], []
         for text in b.column(1).to_pylist():
             found = spans_of(text)
             for k in BASE:
@@ -154,14 +154,15 @@ def _digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             said = [(k, f"{k}:{s}:{e}") for k, s, e, _ in found]
             shas.append(hashlib.sha256(",".join(x for k, x in said if k in BASE).encode()).hexdigest())
             every.append(",".join(x for _, x in said))
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(counts[k], pa.int64()) for k in BASE), pa.array(shas, pa.string()), pa.array(every, pa.string())], [n for n, _ in _DIGEST_FIELDS])
+            scores.append(",".join(f"{score:.2f}" for *_, score in found))
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(counts[k], pa.int64()) for k in BASE), pa.array(shas, pa.string()), pa.array(every, pa.string()), pa.array(scores, pa.string())], [n for n, _ in _DIGEST_FIELDS])
 
 
 def pii_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: counts of the base kinds, digest of their spans, all spans."""
+    """One row per document: counts of the base kinds, digest of their spans, all spans and their scores in the same order."""
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    out = base.mapInArrow(_digest, f"doc_id {kind}, " + ", ".join(f"n_{k} bigint" for k in BASE) + ", base_sha256 string, spans string")
+    out = base.mapInArrow(_digest, f"doc_id {kind}, " + ", ".join(f"n_{k} bigint" for k in BASE) + ", base_sha256 string, spans string, scores string")
     return out.withColumnRenamed("doc_id", id_col)
 
 
