@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import materialise, slices, text_or_empty
 
 SPACE, BREAK, WHOLE = "▁", "\n", "\x01"
-LONGEST, COMMON, TAKEN = 60, 200_000, 400_000
+LONGEST, COMMON, TAKEN, HELD = 60, 200_000, 250_000, 100_000
 _UNIT = re.compile(f"\n?{SPACE}*[^{SPACE}\n]+|\n?{SPACE}+|\n")
 _M64 = (1 << 64) - 1
 _P1, _P2, _P3, _P4, _P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
@@ -123,6 +123,7 @@ def _list_units(model: str):
             for word, n in held.items():
                 for u in units_of(word, runs):
                     units[u] += n
+            held.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(units), pa.string()), pa.array(list(units.values()), pa.int64())], ["unit", "n"])
 
         for b in slices(batches):
@@ -130,7 +131,6 @@ def _list_units(model: str):
                 held.update(words_of(text))
             if len(held) > TAKEN:
                 yield given()
-                held.clear()
         if held:
             yield given()
 
@@ -307,7 +307,7 @@ def _put_together(model: str, common) -> object:
         for b in slices(batches):
             own, units, places, totals, digests, whole = [], [], [], [], [], []
             first = uid
-            if len(held) > TAKEN:
+            if len(held) > HELD:
                 held.clear()
                 others.clear()
                 by_place.clear()
