@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import edit_fingerprints, near_dedup, packing, piece_lattice, pii, repeats, sharding, tiff, token_counts, toxicity
+from . import edit_fingerprints, fill_in_middle, near_dedup, packing, piece_lattice, pii, repeats, sharding, tiff, token_counts, toxicity
 from .common import documents, tokenizer_path
 
 SHARD_BYTES = 4_000_000
@@ -55,7 +55,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digests(documents(spark, sf_dir))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.fim_digests(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_near_dedup, op4_packing, op5_edit_fingerprints, op6_sharding, op7_tiff, op8_repeats, op9_sentencepiece, op10_pii)
+    f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_near_dedup, op4_packing, op5_edit_fingerprints, op6_sharding, op7_tiff, op8_repeats, op9_sentencepiece, op10_pii, op11_fill_in_middle)
 }
-ORACLES: dict[str, str] = {"op6_sharding": sharding.oracle(SHARD_BYTES)}
+ORACLES: dict[str, str] = {"op6_sharding": sharding.oracle(SHARD_BYTES), "op11_fill_in_middle": fill_in_middle.ORACLE}
