@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import edit_fingerprints, fill_in_middle, max_score, near_dedup, packing, piece_lattice, pii, repeats, sharding, tiff, token_counts, toxicity
+from . import edit_fingerprints, fill_in_middle, max_score, near_dedup, packing, piece_lattice, pii, repeats, sharding, strata, tiff, token_counts, toxicity
 from .common import documents, tokenizer_path
 
 SHARD_BYTES = 4_000_000
@@ -63,7 +63,11 @@ def op12_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return max_score.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 20 == 0)
 
 
+def op13_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strata.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_near_dedup, op4_packing, op5_edit_fingerprints, op6_sharding, op7_tiff, op8_repeats, op9_sentencepiece, op10_pii, op11_fill_in_middle, op12_max_score)
+    f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_near_dedup, op4_packing, op5_edit_fingerprints, op6_sharding, op7_tiff, op8_repeats, op9_sentencepiece, op10_pii, op11_fill_in_middle, op12_max_score, op13_strata)
 }
-ORACLES: dict[str, str] = {"op6_sharding": sharding.oracle(SHARD_BYTES), "op11_fill_in_middle": fill_in_middle.ORACLE, "op12_max_score": max_score.ORACLE}
+ORACLES: dict[str, str] = {"op6_sharding": sharding.oracle(SHARD_BYTES), "op11_fill_in_middle": fill_in_middle.ORACLE, "op12_max_score": max_score.ORACLE, "op13_strata": strata.ORACLE}
