@@ -179,15 +179,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     blocks, _ = _dealt(asked, min(size, QUERY_ROWS), asked.count())
     blocks = materialise(blocks.withColumnRenamed("number", "block"), "query_blocks", compression="zstd")
     right = shards.select(F.col("number").alias("shard"), *(F.col(c).alias(f"s_{c}") for c in ("ids", "codes", "bits", "width")))
+    # A pair is few bytes and much work, so the number of tasks is stated: twice the shards.
+    paired = lambda df: df.repartition(2 * many, "shard").join(right.hint("shuffle_merge"), "shard")
     # A shard's number may have no rows, so the home is the next number that has some.
     numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(many - 1).cast("bigint"))
     held = shards.select("number").distinct().withColumn("shard", F.col("number"))
     home = blocks.withColumn("number", F.pmod("block", F.lit(many))).join(held, "number", "left").drop("number")
-    first = materialise(home.where("shard is not null").join(right, "shard").mapInArrow(_visit(k, False), _VISITED), "first_visits")
+    first = materialise(paired(home.where("shard is not null")).mapInArrow(_visit(k, False), _VISITED), "first_visits")
     left = home.join(first.select("block", "theta"), "block", "left").withColumn("home", F.coalesce("shard", F.lit(-1))).drop("shard")
     left = left.withColumn("theta", F.coalesce("theta", F.array_repeat(F.lit(None).cast("bigint"), (F.octet_length("ids") / 8).cast("int"))))
     left = left.withColumn("shard", F.explode(numbers)).where("shard <> home").drop("home")
-    second = left.join(right, "shard").mapInArrow(_visit(k, True), _VISITED)
+    second = paired(left).mapInArrow(_visit(k, True), _VISITED)
     hits = first.unionByName(second).select("block", F.explode(F.arrays_zip("query", "query_id", "vec_id", "score")).alias("hit")).select("block", "hit.*")
     rank = F.row_number().over(Window.partitionBy("block", "query").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
