@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caliperlake.scratch import written
+
 # Stages of known errors, transient causes, states of a document and the steps between them, kinds of access by lifecycle status.
 ERROR_STAGES = {
     "project_dispatch_failed": "dispatch", "storage_unavailable": "preflight", "redis_unavailable": "preflight", "celery_worker_unavailable": "preflight", "ocr_provider_unavailable": "preflight", "vision_provider_unavailable": "preflight",
@@ -131,26 +133,32 @@ def closed_entries(entries: DataFrame, items: DataFrame) -> DataFrame:
     return df.select("doc_id", "entry_id", (F.col("requires_confirmation") & F.col("_ok").isNull()).alias("requires_confirmation"), F.col("_ok").alias("confirmation_accepted"))
 
 
-def final_items(lineage: DataFrame, rounds: int = 20) -> DataFrame:
-    """Merged and split items (doc_id, item_id, into_id) -> each item that went into others, with the items that came of it in the end (no further ones).
+def final_items(lineage: DataFrame) -> DataFrame:
+    """Merged and split items (doc_id, item_id, into_id) -> each item that went into others with the items that came of it in the end: doc_id, item_id, into_id, cyclic.
 
-    Links double in reach each round; the last round that changes nothing ends it, so ``rounds`` stands for chains of a million steps.
+    Pointer doubling: after round k a pair spans 2**k links, or ends at an item that went no further.  Each round is one join of the written table with itself,
+    so a plan never grows.  A walk of more links than a document has items goes in circles: items whose pairs are still open then
+    lead into a cycle and give one row with a null into_id and ``cyclic`` true, beside the ends that they reach on other ways.  Links with a null are ignored.
     """
-    step = lineage.select("doc_id", "item_id", "into_id").distinct()
-    while rounds:
-        onward = step.select("doc_id", F.col("item_id").alias("into_id"), F.col("into_id").alias("_next"))
-        more = step.join(onward, ["doc_id", "into_id"], "left").select("doc_id", "item_id", F.coalesce("_next", "into_id").alias("into_id"), F.col("_next").isNotNull().alias("_moved"))
-        if more.where("_moved").isEmpty():
-            break
-        step, rounds = more.select("doc_id", "item_id", "into_id").distinct(), rounds - 1
-    return step
+    links = lineage.select("doc_id", "item_id", "into_id").where("doc_id is not null and item_id is not null and into_id is not null").distinct()
+    source = links.select("doc_id", F.col("item_id").alias("into_id")).distinct().withColumn("open", F.lit(True))
+    pairs = written(links.join(source, ["doc_id", "into_id"], "left").select("doc_id", "item_id", "into_id", F.col("open").isNotNull().alias("open")), "lineage")
+    longest = pairs.groupBy("doc_id").agg(F.count_distinct("item_id").alias("n")).agg(F.max("n")).first()[0] or 0
+    reach = 1
+    while reach <= longest and not pairs.where("open").isEmpty():
+        onward = pairs.select("doc_id", F.col("item_id").alias("into_id"), F.col("into_id").alias("_next"), F.col("open").alias("_open"))
+        moved = pairs.where("open").drop("open").join(onward, ["doc_id", "into_id"]).select("doc_id", "item_id", F.col("_next").alias("into_id"), F.col("_open").alias("open"))
+        pairs = written(pairs.where("not open").unionByName(moved).distinct(), "lineage")
+        reach *= 2
+    item = lineage.schema["into_id"].dataType
+    return pairs.select("doc_id", "item_id", F.when(~F.col("open"), F.col("into_id")).cast(item).alias("into_id"), F.col("open").alias("cyclic")).distinct()
 
 
 def remapped_targets(targets: DataFrame, lineage: DataFrame, excluded: DataFrame) -> DataFrame:
     """Requirement targets (doc_id, requirement_id, outcome, item_id) after merges, splits and exclusions; a requirement that loses all of them, or a global one that
-    does not keep exactly one, is open again."""
+    does not keep exactly one, is open again.  A target that only leads into a cycle is lost."""
     ends = final_items(lineage)
-    moved = targets.join(ends, ["doc_id", "item_id"], "left").select("doc_id", "requirement_id", "outcome", F.coalesce("into_id", "item_id").alias("item_id")).distinct()
+    moved = targets.join(ends, ["doc_id", "item_id"], "left").select("doc_id", "requirement_id", "outcome", F.when(F.col("cyclic").isNull(), F.col("item_id")).otherwise(F.col("into_id")).alias("item_id")).distinct()
     gone = excluded.select("doc_id", "item_id").distinct().withColumn("_out", F.lit(True))
     left = moved.join(gone, ["doc_id", "item_id"], "left").groupBy("doc_id", "requirement_id", "outcome").agg(F.array_sort(F.collect_list(F.when(F.col("_out").isNull(), F.col("item_id")))).alias("ids"))
     lost = (F.size("ids") == 0) | ((F.col("outcome") == "global_scope") & (F.size("ids") != 1))

@@ -151,11 +151,17 @@ def evt07_first_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.first_items(S.derived(S.table(spark, sf_dir, "lineitem"), _STORED))
 
 
-# An order's lines are merged into the last of them, which may be split into items of the next order.
-_LINEAGE = [("l_orderkey % 5 = 0 AND l_linenumber < 3", {"doc_id": "l_orderkey - l_orderkey % 20", "item_id": "l_orderkey * 10 + l_linenumber", "into_id": "l_orderkey * 10 + 3"}), ("l_orderkey % 10 = 0 AND l_linenumber = 3", {"doc_id": "l_orderkey - l_orderkey % 20", "item_id": "l_orderkey * 10 + 3", "into_id": "l_orderkey * 10 + 51"}), ("l_orderkey % 20 = 0 AND l_linenumber = 3", {"doc_id": "l_orderkey", "item_id": "l_orderkey * 10 + 3", "into_id": "l_orderkey * 10 + 7"})]
-_TARGETS = [("true", {"doc_id": "l_orderkey - l_orderkey % 20", "requirement_id": "l_orderkey % 20", "outcome": "CASE WHEN l_orderkey % 3 = 0 THEN 'global_scope' ELSE 'matched_items' END", "item_id": "l_orderkey * 10 + l_linenumber"})]
-_EXCLUDED = [("l_partkey % 3 = 0", {"doc_id": "l_orderkey - l_orderkey % 20", "item_id": "l_orderkey * 10 + l_linenumber"})]
-_ENDS = f"WITH RECURSIVE {S.derived_sql('li', 'lineitem', _LINEAGE)}, e AS (SELECT DISTINCT * FROM li), w AS (SELECT * FROM e UNION SELECT w.doc_id, w.item_id, e.into_id FROM w JOIN e ON e.doc_id = w.doc_id AND e.item_id = w.into_id), ends AS (SELECT * FROM w WHERE (doc_id, into_id) NOT IN (SELECT (doc_id, item_id) FROM e))"
+# Every line goes on to one or two further lines of its document of four orders, or ends; some orders go back to an earlier line.
+_ROW = "(l_orderkey % 4) * 8 + l_linenumber"
+_LINEAGE = [
+    ("true", {"doc_id": "l_orderkey - l_orderkey % 4", "item_id": _ROW, "into_id": f"CASE WHEN l_orderkey % 37 = 5 AND l_linenumber = 6 THEN {_ROW} - 3 WHEN l_partkey % 9 = 0 THEN 100 + l_linenumber ELSE {_ROW} + 1 + CASE WHEN l_linenumber = 7 THEN 1 ELSE 0 END END"}),
+    ("l_partkey % 5 = 0", {"doc_id": "l_orderkey - l_orderkey % 4", "item_id": _ROW, "into_id": f"{_ROW} + 2"}),
+]
+_TARGETS = [("true", {"doc_id": "l_orderkey - l_orderkey % 4", "requirement_id": "l_orderkey % 4", "outcome": "CASE WHEN l_orderkey % 3 = 0 THEN 'global_scope' ELSE 'matched_items' END", "item_id": _ROW})]
+_EXCLUDED = [("l_partkey % 3 = 0", {"doc_id": "l_orderkey - l_orderkey % 4", "item_id": f"{_ROW} + 1"})]
+_ENDS = f"""WITH RECURSIVE {S.derived_sql('li', 'lineitem', _LINEAGE)}, e AS (SELECT DISTINCT * FROM li), w AS (SELECT * FROM e UNION SELECT w.doc_id, w.item_id, e.into_id FROM w JOIN e ON e.doc_id = w.doc_id AND e.item_id = w.into_id),
+  src AS (SELECT DISTINCT doc_id, item_id FROM e), ring AS (SELECT doc_id, item_id AS into_id FROM w WHERE item_id = into_id),
+  ends AS (SELECT w.doc_id, w.item_id, w.into_id, false AS cyclic FROM w ANTI JOIN src s ON s.doc_id = w.doc_id AND s.item_id = w.into_id UNION ALL SELECT DISTINCT w.doc_id, w.item_id, NULL, true FROM w JOIN ring USING (doc_id, into_id))"""
 
 
 @query(f"{_ENDS} SELECT * FROM ends")
@@ -163,8 +169,8 @@ def grp06_final_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.final_items(S.derived(S.table(spark, sf_dir, "lineitem"), _LINEAGE))
 
 
-@query(f"""{_ENDS}, {S.derived_sql('t', 'lineitem', _TARGETS)}, {S.derived_sql('x', 'lineitem', _EXCLUDED)}, m AS (SELECT DISTINCT t.doc_id, requirement_id, outcome, coalesce(into_id, t.item_id) AS item_id FROM t LEFT JOIN ends USING (doc_id, item_id)),
-  l AS (SELECT doc_id, requirement_id, outcome, coalesce(list_sort(list(item_id) FILTER ((doc_id, item_id) NOT IN (SELECT (doc_id, item_id) FROM x))), []) AS ids FROM m GROUP BY ALL), z AS (SELECT *, len(ids) = 0 OR (outcome = 'global_scope' AND len(ids) <> 1) AS lost FROM l)
+@query(f"""{_ENDS}, {S.derived_sql('t', 'lineitem', _TARGETS)}, {S.derived_sql('x', 'lineitem', _EXCLUDED)}, m AS (SELECT DISTINCT t.doc_id, requirement_id, outcome, CASE WHEN cyclic IS NULL THEN t.item_id ELSE into_id END AS item_id FROM t LEFT JOIN ends USING (doc_id, item_id)),
+  l AS (SELECT doc_id, requirement_id, outcome, coalesce(list_sort(list(item_id) FILTER (item_id IS NOT NULL AND (doc_id, item_id) NOT IN (SELECT (doc_id, item_id) FROM x))), []) AS ids FROM m GROUP BY ALL), z AS (SELECT *, len(ids) = 0 OR (outcome = 'global_scope' AND len(ids) <> 1) AS lost FROM l)
   SELECT doc_id, requirement_id, CASE WHEN lost THEN 'unresolved' ELSE outcome END AS outcome, CASE WHEN lost THEN '' ELSE array_to_string(ids, ',') END AS targets FROM z""")
 def grp06_remapped_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = S.table(spark, sf_dir, "lineitem")
