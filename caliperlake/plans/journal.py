@@ -66,7 +66,7 @@ def join22_journal_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_ENTRIES}, z AS ({_TOTALS}) SELECT e.*, z.* EXCLUDE (doc_id) FROM e JOIN z USING (doc_id)")
 def str02_running_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream, through the state machine until all are read; the last word on each attempt and document."""
-    facts = S.derived(spark.readStream.schema(S.table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet"), _FACTS)
+    facts = S.derived(spark.readStream.schema(S.table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet"), _FACTS)  # a stream's path is a folder or a pattern, never one file
     at = new_path(spark, "str02")
     with running.keyed_state(spark):
         q = running.running_entries(facts, _BUDGET).writeStream.outputMode("update").option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
