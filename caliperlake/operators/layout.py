@@ -1,18 +1,21 @@
 """Page layout: items near a text, roles of places, values beside labels, greedy choices in reading order.
 
-The greedy operators are order-dependent within a page, so a page is one group; all else is joins and windows.
+The placements are order-dependent within a page, so a page is one group with an index of its own; all else is joins and windows.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caliperlake.functions.geometry import Box, axis_gaps, centre, interval_overlap
+from caliperlake.functions.geometry import Box, axis_gaps, centre, interval_overlap, iou
 from caliperlake.operators.balloons import DIGIT, FONT, INSET, LINE
 from caliperlake.operators.spatial import PAGE, page_pairs
+from caliperlake.scratch import written
 
 
 def items_near(texts: DataFrame, items: DataFrame, gap: float = 12.0, largest: float = 96.0) -> DataFrame:
@@ -45,25 +48,30 @@ def values_beside(labels: DataFrame, values: DataFrame, least: float = 0.5, band
     return found.select("doc_id", F.col("observation_id").alias("label_id"), "n", F.when(F.col("n") == 1, F.col("v")).alias("value_id"))
 
 
-def _suppress(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Keep a box unless it overlaps one that is kept already; boxes come in reading order, and each is compared with all kept ones at once."""
-    rows = pdf.sort_values(["y0", "x0", "observation_id"])
-    boxes = rows[["x0", "y0", "x1", "y1"]].to_numpy()
-    areas = (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1])
-    kept: list[int] = []
-    for k in range(len(boxes)):
-        side = np.minimum(boxes[k, 2:], boxes[kept, 2:]) - np.maximum(boxes[k, :2], boxes[kept, :2])
-        both = np.maximum(side, 0.0).prod(axis=1)
-        if not (both / (areas[k] + areas[kept] - both) >= 0.8).any():
-            kept.append(k)
-    return rows.iloc[kept][["doc_id", "page_index", "observation_id"]]
-
+def suppressed(boxes: DataFrame, least: float = 0.8) -> DataFrame:
+    """Boxes that stay after greedy suppression by IoU in reading order; exact repeats go first.
 
-def suppressed(boxes: DataFrame) -> DataFrame:
-    """Boxes that stay after greedy suppression at an IoU of 0.8; exact repeats go first, without Python."""
+    The first independent set in reading order, by rounds of joins: a box is kept once all earlier boxes that it overlaps are out, and out once one of them is kept.
+    Pairs come from the page's grid once; a round reads only what is still open, so the rounds are half the longest chain of boxes of which each hangs on the one before.
+    """
     first = F.row_number().over(Window.partitionBy(*PAGE, "x0", "y0", "x1", "y1").orderBy("observation_id"))
     distinct = boxes.select(*PAGE, "observation_id", "x0", "y0", "x1", "y1").withColumn("_k", first).where("_k = 1").drop("_k")
-    return distinct.groupBy(*PAGE).applyInPandas(_suppress, "doc_id bigint, page_index int, observation_id string")
+    earlier = F.struct("r_y0", "r_x0", "r_observation_id") < F.struct("y0", "x0", "observation_id")
+    pairs = page_pairs(distinct, distinct, earlier & (iou(Box.of(), Box.of("r_")) >= least))
+    edges = written(pairs.select(*PAGE, "observation_id", F.col("r_observation_id").alias("before_id")), "suppression")
+    out = None
+    node, open_edges = [*PAGE, "observation_id"], edges
+    while not open_edges.isEmpty():
+        waiting = open_edges.select(*node).distinct()
+        free = open_edges.select(*PAGE, F.col("before_id").alias("observation_id")).distinct().join(waiting, node, "left_anti")  # kept: nothing that is open comes before it
+        kept = free.select(*PAGE, F.col("observation_id").alias("before_id"))
+        gone = written(open_edges.join(kept, [*PAGE, "before_id"], "left_semi").select(*node).distinct(), "suppressed")
+        out = gone if out is None else out.unionByName(gone)
+        # What is out bears on nothing, and what is kept has done its part: a box left without an edge is kept.
+        rest = open_edges.join(gone, node, "left_anti").join(gone.withColumnRenamed("observation_id", "before_id"), [*PAGE, "before_id"], "left_anti")
+        open_edges = written(rest, "suppression")
+    stays = distinct.select(*node)
+    return stays if out is None else stays.join(out, node, "left_anti")
 
 
 # Fixed values, in points: radius, rings and directions of placement, and weights of texts and leaders that a leader crosses and of near neighbours.
@@ -73,29 +81,33 @@ PER_TEXT, PER_LEADER, PER_NEIGHBOUR, NEIGHBOUR = 20.0, 12.0, 4.0, 5 * RADIUS
 _WAYS = np.array([(dx * r, dy * r) for r in RINGS for dx, dy in DIRECTIONS])
 
 
+REACH = float(np.abs(_WAYS).max()) + RADIUS  # of an item's places, with their circles
+_CELL = 2 * (REACH - RADIUS)  # two leaders can only cross if their markers are in neighbouring cells of this size
+
+
 def _near(c: np.ndarray, b: np.ndarray, radius: float) -> np.ndarray:
-    """Which circles (n, 2) meet which boxes (m, 4)."""
-    d = c[:, None, :] - np.clip(c[:, None, :], b[None, :, :2], b[None, :, 2:])
+    """Which circles (.., 2) meet which boxes (.., 4), pair by pair."""
+    d = c - np.clip(c, b[..., :2], b[..., 2:])
     return np.hypot(d[..., 0], d[..., 1]) < radius
 
 
 def _meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which boxes (n, 4) meet which boxes (m, 4), strictly."""
-    return (a[:, None, :2] < b[None, :, 2:]).all(axis=2) & (b[None, :, :2] < a[:, None, 2:]).all(axis=2)
+    """Which boxes meet which, strictly, pair by pair."""
+    return (a[..., :2] < b[..., 2:]).all(axis=-1) & (b[..., :2] < a[..., 2:]).all(axis=-1)
 
 
 def _crossed_boxes(c: np.ndarray, t: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which leaders from (n, 2) to one target reach which boxes (m, 4): an end inside, or an edge on the way."""
-    low, high = b[None, :, :2], b[None, :, 2:]
-    inside = lambda p: ((p[:, None, :] >= low) & (p[:, None, :] <= high)).all(axis=2)
-    hit = inside(c) | inside(t[None, :])
+    """Which leaders from c to t reach which boxes: an end inside, or an edge on the way."""
+    low, high = b[..., :2], b[..., 2:]
+    inside = lambda p: ((p >= low) & (p <= high)).all(axis=-1)
+    hit = inside(c) | inside(t)
     step = t - c
     for axis in (0, 1):
         with np.errstate(divide="ignore", invalid="ignore"):
-            for edge in (b[:, axis], b[:, axis + 2]):
-                ratio = (edge[None, :] - c[:, None, axis]) / step[:, None, axis]
-                other = c[:, None, 1 - axis] + ratio * step[:, None, 1 - axis]
-                hit |= (step[:, None, axis] != 0) & (ratio >= 0) & (ratio <= 1) & (other >= low[..., 1 - axis]) & (other <= high[..., 1 - axis])
+            for edge in (b[..., axis], b[..., axis + 2]):
+                ratio = (edge - c[..., axis]) / step[..., axis]
+                other = c[..., 1 - axis] + ratio * step[..., 1 - axis]
+                hit |= (step[..., axis] != 0) & (ratio >= 0) & (ratio <= 1) & (other >= low[..., 1 - axis]) & (other <= high[..., 1 - axis])
     return hit
 
 
@@ -108,85 +120,174 @@ def _crossed_leaders(c: np.ndarray, t: np.ndarray, others: np.ndarray, targets:
     return ~shared & (side(p, q, r) * side(p, q, s) < 0) & (side(r, s, p) * side(r, s, q) < 0)
 
 
+class _Grid:
+    """Numbers of boxes or points by cell of the page; it grows while markers are placed."""
+
+    def __init__(self, cell: float) -> None:
+        self.cell, self.held = cell, defaultdict(list)
+
+    def add(self, k: int, x0: float, y0: float, x1: float, y1: float) -> None:
+        for gx in range(int(x0 // self.cell), int(x1 // self.cell) + 1):
+            for gy in range(int(y0 // self.cell), int(y1 // self.cell) + 1):
+                self.held[gx, gy].append(k)
+
+    def near(self, x0: float, y0: float, x1: float, y1: float) -> list[int]:
+        """Numbers that may lie in the rectangle, in order."""
+        cells = [(gx, gy) for gx in range(int(x0 // self.cell), int(x1 // self.cell) + 1) for gy in range(int(y0 // self.cell), int(y1 // self.cell) + 1)]
+        found = [self.held[c] for c in cells if c in self.held]
+        return sorted(set().union(*found)) if len(found) > 1 else found[0] if found else []
+
+
+def _around(points: np.ndarray, reach: float, boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (number of a point, number of a box) of boxes within reach of points, by point."""
+    grid = _Grid(max(reach, 1.0))
+    for k, box in enumerate(boxes.tolist()):
+        grid.add(k, *box)
+    found = [grid.near(x - reach, y - reach, x + reach, y + reach) for x, y in points.tolist()]
+    left, right = np.repeat(np.arange(len(points)), [len(f) for f in found]), np.array([k for f in found for k in f], np.int64)
+    b, p = boxes[right], points[left]
+    close = (b[:, :2] <= p + reach).all(axis=1) & (b[:, 2:] >= p - reach).all(axis=1)
+    return left[close], right[close]
+
+
+def _any(n: int, left: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    out = np.zeros((n, hit.shape[1]), bool)
+    np.logical_or.at(out, left, hit)
+    return out
+
+
+def _columns(page: pa.Table, names: list[str], dtype: type = float) -> np.ndarray:
+    return np.column_stack([page.column(c).to_numpy() for c in names]).astype(dtype)
+
+
+_BOX = ["x0", "y0", "x1", "y1"]
+_AT_ONCE = 256  # items whose places are compared with the texts around them in one step
+
+
 def _place(width: float, height: float):
-    """One page's markers, in the order of their numbers; every step compares one item's 48 places with the page as arrays."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["number", "observation_id"])
-        boxes = rows[["x0", "y0", "x1", "y1"]].to_numpy()
-        n = len(rows)
-        wide = np.maximum(5.0, rows["number"].astype(str).str.len().to_numpy() * DIGIT * FONT) / 2
-        tall = LINE * FONT / 2
-        at, glyphs, targets = np.zeros((n, 2)), np.zeros((n, 4)), (boxes[:, :2] + boxes[:, 2:]) / 2
-        flags, status = [], []
-        for k in range(n):
-            target, half = targets[k], np.array([wide[k], tall])
-            c = target + _WAYS
-            own = np.concatenate([c - half, c + half], axis=1)
-            unreadable = np.full(len(c), np.hypot(*half) > RADIUS - INSET)
-            gap = np.hypot(*(c[:, None, :] - at[None, :k]).transpose(2, 0, 1))
-            hard = {
-                "outside_cropbox": (c < RADIUS).any(axis=1) | (c[:, 0] > width - RADIUS) | (c[:, 1] > height - RADIUS),
-                "owner_glyph_outside_circle": unreadable,
-                "unreadable_number": unreadable,
-                "source_text_overlap": (_near(c, boxes, RADIUS) | _meet(own, boxes)).any(axis=1),
-                "circle_overlap": (gap < 2 * RADIUS).any(axis=1),
-                "glyph_overlap": _meet(own, glyphs[:k]).any(axis=1),
-                "glyph_circle_overlap": (_near(at[:k], own, RADIUS).T | _near(c, glyphs[:k], RADIUS)).any(axis=1),
-            }
-            foreign = (boxes != boxes[k]).any(axis=1)
-            score = np.hypot(*(c - target).T) + _crossed_boxes(c, target, boxes[foreign]).sum(axis=1) * PER_TEXT + _crossed_leaders(c, target, at[:k], targets[:k]).sum(axis=1) * PER_LEADER + (gap < NEIGHBOUR).sum(axis=1) * PER_NEIGHBOUR
-            # Places come ring by ring and direction by direction, so the first of equals is the right one.
-            best = np.lexsort((score, sum(v.astype(int) for v in hard.values())))[0]
-            at[k], glyphs[k] = c[best], own[best]
-            flags.append(",".join(name for name, bad in hard.items() if bad[best]))
-            status.append("manual_required" if flags[-1] else "placed")
-        out = rows[["doc_id", "page_index", "observation_id"]].copy()
-        return out.assign(cx=at[:, 0], cy=at[:, 1], flags=flags, status=status)
+    """One page's markers, in the order of their numbers.
+
+    What does not depend on other markers (page, texts, protected boxes, texts under leaders) is worked out for many items at once, each with the boxes within its reach; then
+    each item is compared with the markers placed before it in the cells around.
+    """
+
+    def run(page: pa.Table) -> pa.Table:
+        is_item = page.column("number").is_valid().to_numpy()
+        guarded = _columns(page, _BOX)[~is_item]
+        rows = page.filter(pa.array(is_item)).sort_by([("number", "ascending"), ("observation_id", "ascending")])
+        boxes, n = _columns(rows, _BOX), rows.num_rows
+        wide = np.maximum(5.0, np.char.str_len(rows.column("number").to_numpy().astype(str)) * DIGIT * FONT) / 2
+        half = np.column_stack([wide, np.full(n, LINE * FONT / 2)])
+        targets = (boxes[:, :2] + boxes[:, 2:]) / 2
+        at, glyphs, grid = np.zeros((n, 2)), np.zeros((n, 4)), _Grid(_CELL)
+        flags: list[str] = []
+        for start in range(0, n, _AT_ONCE):
+            t, h = targets[start : start + _AT_ONCE], half[start : start + _AT_ONCE]
+            m = len(t)
+            c = t[:, None, :] + _WAYS
+            own = np.concatenate([c - h[:, None, :], c + h[:, None, :]], axis=2)
+            left, right = _around(t, REACH, boxes)
+            cl, bl = c[left], boxes[right][:, None, :]
+            text = _any(m, left, _near(cl, bl, RADIUS) | _meet(own[left], bl))
+            under = np.zeros((m, len(_WAYS)))
+            foreign = (boxes[right] != boxes[start + left]).any(axis=1)
+            np.add.at(under, left[foreign], _crossed_boxes(cl[foreign], t[left[foreign]][:, None, :], bl[foreign]))
+            left, right = _around(t, REACH, guarded)
+            shut = _any(m, left, _near(c[left], guarded[right][:, None, :], RADIUS) | _meet(own[left], guarded[right][:, None, :]))
+            outside = (c < RADIUS).any(axis=2) | (c[..., 0] > width - RADIUS) | (c[..., 1] > height - RADIUS)
+            unreadable = np.hypot(*h.T) > RADIUS - INSET
+            ahead = np.hypot(*(c - t[:, None, :]).transpose(2, 0, 1)) + under * PER_TEXT
+            fixed = outside.astype(int) + shut + text + 2 * unreadable[:, None]
+            for i in range(m):
+                k, (x, y) = start + i, t[i]
+                near = grid.near(x - _CELL, y - _CELL, x + _CELL, y + _CELL)
+                others, numbers = at[near], glyphs[near]
+                gap = np.hypot(c[i, :, None, 0] - others[None, :, 0], c[i, :, None, 1] - others[None, :, 1])
+                circle = (gap < 2 * RADIUS).any(axis=1)
+                glyph = _meet(own[i][:, None, :], numbers[None]).any(axis=1)
+                mixed = (_near(others[None], own[i][:, None, :], RADIUS) | _near(c[i][:, None, :], numbers[None], RADIUS)).any(axis=1)
+                score = ahead[i] + _crossed_leaders(c[i], t[i], others, targets[near]).sum(axis=1) * PER_LEADER + (gap < NEIGHBOUR).sum(axis=1) * PER_NEIGHBOUR
+                # Places come ring by ring and direction by direction, so the first of equals is the right one.
+                best = np.lexsort((score, fixed[i] + circle + glyph + mixed))[0]
+                at[k], glyphs[k] = c[i, best], own[i, best]
+                grid.add(k, *at[k], *at[k])
+                hard = (outside[i, best], unreadable[i], unreadable[i], shut[i, best], text[i, best], circle[best], glyph[best], mixed[best])
+                flags.append(",".join(name for name, bad in zip(FLAGS, hard, strict=True) if bad))
+        out = rows.select([*PAGE, "observation_id"])
+        status = ["manual_required" if f else "placed" for f in flags]
+        for name, values in (("cx", at[:, 0]), ("cy", at[:, 1]), ("flags", pa.array(flags, pa.string())), ("status", pa.array(status, pa.string()))):
+            out = out.append_column(name, values if isinstance(values, pa.Array) else pa.array(values))
+        return out
 
     return run
 
 
-# Fixed values, in points: radius, gap and inset of a candidate's marker, least leader.
+# Fixed values, in points: radius, gap and inset of a candidate's marker, least leader; hard flags of a placement, in order.
 MARK, MARK_GAP, MARK_INSET, LEAST_LEADER = 10.0, 2.0, 1.0, 15.0
+FLAGS = ("outside_cropbox", "owner_glyph_outside_circle", "unreadable_number", "protected_overlap", "source_text_overlap", "circle_overlap", "glyph_overlap", "glyph_circle_overlap")
 
 
 def _mark(width: float, height: float):
     """One page's candidate markers in list order: sixteen places around a box, cut to the page; overlaps, short leaders and distance decide."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["number", "observation_id"])
-        boxes = rows[["x0", "y0", "x1", "y1"]].to_numpy()
-        at = np.zeros((len(rows), 2))
-        edge = MARK + MARK_INSET
-        for k, (x0, y0, x1, y1) in enumerate(boxes):
-            mx, my, ways = (x0 + x1) / 2, (y0 + y1) / 2, []
-            for ring in (0, 1):
-                o = MARK + MARK_GAP + ring * (MARK * 2 + MARK_GAP * 2)
-                ways += [(x1 + o, y0 - o), (x1 + o, y1 + o), (x0 - o, y0 - o), (x0 - o, y1 + o), (x1 + o, my), (x0 - o, my), (mx, y0 - o), (mx, y1 + o)]
-            cut = lambda v, size: min(max(v, edge), max(edge, size - edge))
-            c = np.array(list(dict.fromkeys((cut(x, width), cut(y, height)) for x, y in ways)))
-            gap = np.hypot(*(c[:, None, :] - at[None, :k]).transpose(2, 0, 1))
-            closest = np.clip(c, (x0, y0), (x1, y1))
-            leader = np.hypot(*(c - closest).T)
-            inside = (closest == c).all(axis=1)
-            leader[inside] = np.minimum.reduce([c[inside, 0] - x0, x1 - c[inside, 0], c[inside, 1] - y0, y1 - c[inside, 1]])
-            score = (gap < 2 * MARK + MARK_GAP).sum(axis=1) * 1e6 + _near(c, boxes, MARK + MARK_GAP).sum(axis=1) * 500 + np.maximum(0.0, LEAST_LEADER - leader) * 1e4 + np.hypot(*(c - c[0]).T) * 10 + np.arange(len(c))
-            at[k] = c[np.argmin(score)]
-        return rows[["doc_id", "page_index", "observation_id"]].assign(cx=at[:, 0], cy=at[:, 1])
+    edge = MARK + MARK_INSET
+
+    def run(page: pa.Table) -> pa.Table:
+        rows = page.sort_by([("number", "ascending"), ("observation_id", "ascending")])
+        boxes, n = _columns(rows, _BOX), rows.num_rows
+        x0, y0, x1, y1 = boxes.T
+        mx, my = (x0 + x1) / 2, (y0 + y1) / 2
+        ways = []
+        for ring in (0, 1):
+            o = MARK + MARK_GAP + ring * (MARK * 2 + MARK_GAP * 2)
+            ways += [(x1 + o, y0 - o), (x1 + o, y1 + o), (x0 - o, y0 - o), (x0 - o, y1 + o), (x1 + o, my), (x0 - o, my), (mx, y0 - o), (mx, y1 + o)]
+        cut = lambda v, size: np.minimum(np.maximum(v, edge), max(edge, size - edge))
+        c = np.stack([np.column_stack([cut(x, width), cut(y, height)]) for x, y in ways], axis=1)
+        again = np.stack([(c[:, :k] == c[:, k : k + 1]).all(axis=2).any(axis=1) for k in range(len(ways))], axis=1)  # a place that came before
+        rank = np.cumsum(~again, axis=1) - 1
+        b = boxes[:, None, :]
+        closest = np.clip(c, b[..., :2], b[..., 2:])
+        leader = np.hypot(*(c - closest).transpose(2, 0, 1))
+        inside = (closest == c).all(axis=2)
+        deep = np.minimum.reduce([c[..., 0] - b[..., 0], b[..., 2] - c[..., 0], c[..., 1] - b[..., 1], b[..., 3] - c[..., 1]])
+        leader = np.where(inside, deep, leader)
+        hits = np.zeros((n, len(ways)))
+        reach = float(np.abs(c - np.column_stack([mx, my])[:, None, :]).max(initial=0.0)) + MARK + MARK_GAP
+        for start in range(0, n, _AT_ONCE):
+            left, right = _around(np.column_stack([mx, my])[start : start + _AT_ONCE], reach, boxes)
+            np.add.at(hits, start + left, _near(c[start + left], boxes[right][:, None, :], MARK + MARK_GAP))
+        ahead = [hits * 500, np.maximum(0.0, LEAST_LEADER - leader) * 1e4, np.hypot(*(c - c[:, :1]).transpose(2, 0, 1)) * 10, rank]
+        at, grid = np.zeros((n, 2)), _Grid(2 * MARK + MARK_GAP)
+        span = np.concatenate([c.min(axis=1) - grid.cell, c.max(axis=1) + grid.cell], axis=1).tolist()
+        for k in range(n):
+            near = grid.near(*span[k])
+            gap = np.hypot(c[k, :, None, 0] - at[near][None, :, 0], c[k, :, None, 1] - at[near][None, :, 1])
+            score = (gap < 2 * MARK + MARK_GAP).sum(axis=1) * 1e6
+            for part in ahead:
+                score = score + part[k]
+            at[k] = c[k, np.argmin(np.where(again[k], np.inf, score))]
+            grid.add(k, *at[k], *at[k])
+        return rows.select([*PAGE, "observation_id"]).append_column("cx", pa.array(at[:, 0])).append_column("cy", pa.array(at[:, 1]))
 
     return run
 
 
 def candidate_markers(items: DataFrame, width: float, height: float) -> DataFrame:
     """A marker for each candidate of a page, placed in list order."""
-    return items.select(*PAGE, "observation_id", "number", "x0", "y0", "x1", "y1").groupBy(*PAGE).applyInPandas(_mark(width, height), "doc_id bigint, page_index int, observation_id string, cx double, cy double")
+    return items.select(*PAGE, "observation_id", "number", "x0", "y0", "x1", "y1").groupBy(*PAGE).applyInArrow(_mark(width, height), "doc_id bigint, page_index int, observation_id string, cx double, cy double")
+
 
+def placed_markers(items: DataFrame, width: float, height: float, protected: DataFrame | None = None) -> DataFrame:
+    """Each page's markers in the order of their numbers: fewest hard flags, then the best score, ring and direction.  None is dropped.
 
-def placed_markers(items: DataFrame, width: float, height: float) -> DataFrame:
-    """Each page's markers in the order of their numbers: fewest hard flags, then the best score, ring and direction.  None is dropped."""
+    protected: page, x0 .. y1 of boxes that a marker should keep off.
+    """
     schema = "doc_id bigint, page_index int, observation_id string, cx double, cy double, flags string, status string"
-    return items.select(*PAGE, "observation_id", "number", "x0", "y0", "x1", "y1").groupBy(*PAGE).applyInPandas(_place(width, height), schema)
+    rows = items.select(*PAGE, "observation_id", "number", "x0", "y0", "x1", "y1")
+    if protected is not None:
+        none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("observation_id", "number")]
+        with_items = protected.join(rows.select(*PAGE).distinct(), [*PAGE], "left_semi")
+        rows = rows.unionByName(with_items.select(*PAGE, *none, "x0", "y0", "x1", "y1"))
+    return rows.groupBy(*PAGE).applyInArrow(_place(width, height), schema)
 
 
 def marker_overlaps(placed: DataFrame, radius: float = RADIUS) -> DataFrame:

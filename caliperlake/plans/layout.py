@@ -35,6 +35,13 @@ def join05_values_beside_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.values_beside(obs.where(F.col("raw_text").startswith("R")), obs.where(F.col("raw_text").startswith("M")))
 
 
+# Box by box in reading order, with the boxes kept so far as a list.
+@query(f"""WITH RECURSIVE {OBS[5:]}, o AS (SELECT doc_id, page_index, observation_id, {{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}} AS b, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY y0, x0, observation_id) AS k FROM obs),
+  g AS (SELECT doc_id, page_index, k, [b] AS kept, observation_id AS id FROM o WHERE k = 1 UNION ALL
+    SELECT o.doc_id, o.page_index, o.k, CASE WHEN hit THEN kept ELSE list_append(kept, b) END, CASE WHEN NOT hit THEN observation_id END FROM (SELECT o.*, g.kept, len(list_filter(g.kept, lambda q: greatest(0, least(q.x1, o.b.x1) - greatest(q.x0, o.b.x0)) * greatest(0, least(q.y1, o.b.y1) - greatest(q.y0, o.b.y0)) /
+      ((q.x1 - q.x0) * (q.y1 - q.y0) + (o.b.x1 - o.b.x0) * (o.b.y1 - o.b.y0) - greatest(0, least(q.x1, o.b.x1) - greatest(q.x0, o.b.x0)) * greatest(0, least(q.y1, o.b.y1) - greatest(q.y0, o.b.y0))) >= 0.8)) > 0 AS hit
+    FROM g JOIN o ON o.doc_id = g.doc_id AND o.page_index = g.page_index AND o.k = g.k + 1) o)
+  SELECT doc_id, page_index, id AS observation_id FROM g WHERE id IS NOT NULL""")
 def win15_greedy_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.suppressed(S.observations(spark, sf_dir))
 
@@ -43,6 +50,13 @@ def win17_marker_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.placed_markers(ordered.numbered(S.observations(spark, sf_dir)), 620.0, 620.0)
 
 
+def win17_protected_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As above, off boxes beside the first text of every line of three, which hold no text themselves."""
+    obs = S.observations(spark, sf_dir)
+    guarded = obs.where(F.col("x0") % 30 == 0).select("doc_id", "page_index", (F.col("x1") + 10).alias("x0"), (F.col("y0") - 20).alias("y0"), (F.col("x1") + 40).alias("x1"), (F.col("y0") + 5).alias("y1"))
+    return L.placed_markers(ordered.numbered(obs), 620.0, 620.0, guarded)
+
+
 def win18_marker_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.candidate_markers(ordered.numbered(S.observations(spark, sf_dir)), 620.0, 620.0)
 
@@ -55,4 +69,4 @@ def win19_marker_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Order-dependent within a page, so SQL has no short form; tests hold them against brute force.  Placement compares every candidate place with the whole page.
-QUERIES.update({f.__name__: f for f in (win15_greedy_suppression, win17_marker_placement, win18_marker_choice)})
+QUERIES.update({f.__name__: f for f in (win17_marker_placement, win17_protected_placement, win18_marker_choice)})

@@ -76,7 +76,7 @@ def crosses(p, q, r, s):
     return not {p, q} & {r, s} and side(p, q, r) * side(p, q, s) < 0 and side(r, s, p) * side(r, s, q) < 0
 
 
-def brute_placement(rows, width, height):
+def brute_placement(rows, width, height, guarded=()):
     """Every candidate place against every text box, circle, number and leader of the page."""
     taken, out = [], {}
     rings, ways8 = (18, 30, 42, 56, 72, 90), [(0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1)]
@@ -92,7 +92,7 @@ def brute_placement(rows, width, height):
                 g = (c[0] - w, c[1] - h, c[0] + w, c[1] + h)
                 checks = (
                     ("outside_cropbox", not (12 <= c[0] <= width - 12 and 12 <= c[1] <= height - 12)), ("owner_glyph_outside_circle", math.hypot(w, h) > 11), ("unreadable_number", math.hypot(w, h) > 11),
-                    ("source_text_overlap", any(circle_meets(c, 12, b) or meets(g, b) for b in boxes)), ("circle_overlap", any(math.dist(c, t) < 24 for t, _, _ in taken)), ("glyph_overlap", any(meets(g, o) for _, o, _ in taken)),
+                    ("protected_overlap", any(circle_meets(c, 12, b) or meets(g, b) for b in guarded)), ("source_text_overlap", any(circle_meets(c, 12, b) or meets(g, b) for b in boxes)), ("circle_overlap", any(math.dist(c, t) < 24 for t, _, _ in taken)), ("glyph_overlap", any(meets(g, o) for _, o, _ in taken)),
                     ("glyph_circle_overlap", any(circle_meets(t, 12, g) or circle_meets(c, 12, o) for t, o, _ in taken)),
                 )
                 flags = [n for n, bad in checks if bad]
@@ -115,6 +115,47 @@ def test_placement_query_places_every_marker_as_brute_force_does(spark):
         assert {r.observation_id: (r.cx, r.cy, r.flags) for r in got if (r.doc_id, r.page_index) == page} == brute_placement(rows, 620.0, 620.0)
 
 
+def test_placement_keeps_off_protected_boxes_as_brute_force_does(spark):
+    rows, rng = boxes(70, 4), random.Random(6)
+    guarded = [(1, rng.randrange(2), *(x := (float(rng.randrange(300)), float(rng.randrange(220)))), x[0] + 30, x[1] + 12) for _ in range(25)] + [(9, 9, 0.0, 0.0, 5.0, 5.0)]
+    given, shut = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(guarded, "doc_id long, page_index int, x0 double, y0 double, x1 double, y1 double")
+    got = L.placed_markers(given, 400.0, 300.0, shut).collect()
+    want = {}
+    for page in (0, 1):
+        want |= brute_placement([r for r in given.collect() if r.page_index == page], 400.0, 300.0, [g[2:] for g in guarded if g[:2] == (1, page)])
+    assert {r.observation_id: (r.cx, r.cy, r.flags) for r in got} == want
+    assert any("protected_overlap" in r.flags for r in got) or len(got) == len(rows)
+    bare = {r.observation_id: (r.cx, r.cy) for r in L.placed_markers(given, 400.0, 300.0).collect()}
+    assert bare != {k: v[:2] for k, v in want.items()}
+
+
+def test_a_page_of_many_markers_takes_time_in_proportion(spark):
+    import time
+
+    import pyarrow as pa
+
+    def seconds(n):
+        side = int(n**0.5)
+        k = range(n)
+        page = pa.table({"doc_id": [1] * n, "page_index": [0] * n, "observation_id": [f"o{i:06}" for i in k], "number": list(range(1, n + 1)), "x0": [i % side * 45.0 for i in k], "y0": [i // side * 45.0 for i in k], "x1": [i % side * 45.0 + 20 for i in k], "y1": [i // side * 45.0 + 10 for i in k]})
+        began = time.process_time()
+        L._place(1e6, 1e6)(page)
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(4000) < 8 * seconds(1000)
+
+
+def test_suppression_of_a_chain_of_shifted_boxes(spark):
+    rows = [(1, 0, f"o{i:02}", i, float(i), 0.0, float(i + 20), 10.0) for i in range(12)]  # each overlaps the next two
+    kept = []
+    for r in rows:
+        if all(iou(k, r) < 0.8 for k in kept):
+            kept.append(r)
+    assert {r.observation_id for r in L.suppressed(spark.createDataFrame(rows, SCHEMA)).collect()} == {k[2] for k in kept}
+    assert L.suppressed(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
 def test_candidate_markers_equal_brute_force(spark):
     rows = boxes(50, 3)
     got = {r.observation_id: (r.cx, r.cy) for r in L.candidate_markers(spark.createDataFrame(rows, SCHEMA), 400.0, 300.0).collect()}
