@@ -87,13 +87,13 @@ _CELL = 2 * (REACH - RADIUS)  # two leaders can only cross if their markers are
 
 def _near(c: np.ndarray, b: np.ndarray, radius: float) -> np.ndarray:
     """Which circles (.., 2) meet which boxes (.., 4), pair by pair."""
-    d = c - np.clip(c, b[..., :2], b[..., 2:])
-    return np.hypot(d[..., 0], d[..., 1]) < radius
+    x, y = c[..., 0], c[..., 1]
+    return np.hypot(x - np.minimum(np.maximum(x, b[..., 0]), b[..., 2]), y - np.minimum(np.maximum(y, b[..., 1]), b[..., 3])) < radius
 
 
 def _meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which boxes meet which, strictly, pair by pair."""
-    return (a[..., :2] < b[..., 2:]).all(axis=-1) & (b[..., :2] < a[..., 2:]).all(axis=-1)
+    return (a[..., 0] < b[..., 2]) & (a[..., 1] < b[..., 3]) & (b[..., 0] < a[..., 2]) & (b[..., 1] < a[..., 3])
 
 
 def _crossed_boxes(c: np.ndarray, t: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -113,9 +113,9 @@ def _crossed_boxes(c: np.ndarray, t: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _crossed_leaders(c: np.ndarray, t: np.ndarray, others: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Which leaders from (n, 2) to one target properly cross which placed ones."""
-    side = lambda p, q, r: (q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0])
-    p, q, r, s = c[:, None, :], t[None, None, :], others[None, :, :], targets[None, :, :]
-    same = lambda u, v: (u == v).all(axis=-1)
+    side = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    p, q, r, s = (c[:, None, 0], c[:, None, 1]), (t[0], t[1]), (others[None, :, 0], others[None, :, 1]), (targets[None, :, 0], targets[None, :, 1])
+    same = lambda u, v: (u[0] == v[0]) & (u[1] == v[1])
     shared = same(p, r) | same(p, s) | same(q, r) | same(q, s)
     return ~shared & (side(p, q, r) * side(p, q, s) < 0) & (side(r, s, p) * side(r, s, q) < 0)
 
@@ -150,9 +150,12 @@ def _around(points: np.ndarray, reach: float, boxes: np.ndarray) -> tuple[np.nda
     return left[close], right[close]
 
 
-def _any(n: int, left: np.ndarray, hit: np.ndarray) -> np.ndarray:
-    out = np.zeros((n, hit.shape[1]), bool)
-    np.logical_or.at(out, left, hit)
+def _by_point(fold: np.ufunc, n: int, left: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Values of pairs folded by their point; the pairs come point by point."""
+    out = np.zeros((n, values.shape[1]), values.dtype)
+    if len(left):
+        starts = np.flatnonzero(np.append(True, left[1:] != left[:-1]))
+        out[left[starts]] = fold.reduceat(values, starts, axis=0)
     return out
 
 
@@ -188,30 +191,50 @@ def _place(width: float, height: float):
             own = np.concatenate([c - h[:, None, :], c + h[:, None, :]], axis=2)
             left, right = _around(t, REACH, boxes)
             cl, bl = c[left], boxes[right][:, None, :]
-            text = _any(m, left, _near(cl, bl, RADIUS) | _meet(own[left], bl))
-            under = np.zeros((m, len(_WAYS)))
+            text = _by_point(np.logical_or, m, left, _near(cl, bl, RADIUS) | _meet(own[left], bl))
             foreign = (boxes[right] != boxes[start + left]).any(axis=1)
-            np.add.at(under, left[foreign], _crossed_boxes(cl[foreign], t[left[foreign]][:, None, :], bl[foreign]))
+            under = _by_point(np.add, m, left[foreign], _crossed_boxes(cl[foreign], t[left[foreign]][:, None, :], bl[foreign]).astype(float))
             left, right = _around(t, REACH, guarded)
-            shut = _any(m, left, _near(c[left], guarded[right][:, None, :], RADIUS) | _meet(own[left], guarded[right][:, None, :]))
+            shut = _by_point(np.logical_or, m, left, _near(c[left], guarded[right][:, None, :], RADIUS) | _meet(own[left], guarded[right][:, None, :]))
             outside = (c < RADIUS).any(axis=2) | (c[..., 0] > width - RADIUS) | (c[..., 1] > height - RADIUS)
             unreadable = np.hypot(*h.T) > RADIUS - INSET
             ahead = np.hypot(*(c - t[:, None, :]).transpose(2, 0, 1)) + under * PER_TEXT
             fixed = outside.astype(int) + shut + text + 2 * unreadable[:, None]
             for i in range(m):
                 k, (x, y) = start + i, t[i]
-                near = grid.near(x - _CELL, y - _CELL, x + _CELL, y + _CELL)
+                near = np.array(grid.near(x - _CELL, y - _CELL, x + _CELL, y + _CELL), np.int64)
+                far, aims = at[near], targets[near]
+                wide_of = REACH - RADIUS
+                low, high = np.minimum(far, aims), np.maximum(far, aims)
+                beside = (low[:, 0] <= x + wide_of) & (high[:, 0] >= x - wide_of) & (low[:, 1] <= y + wide_of) & (high[:, 1] >= y - wide_of)  # leaders that one of this item could cross
+                leaders, aims = far[beside], aims[beside]
+                within = wide_of + NEIGHBOUR
+                near = near[(np.abs(far[:, 0] - x) <= within) & (np.abs(far[:, 1] - y) <= within)]
                 others, numbers = at[near], glyphs[near]
-                gap = np.hypot(c[i, :, None, 0] - others[None, :, 0], c[i, :, None, 1] - others[None, :, 1])
-                circle = (gap < 2 * RADIUS).any(axis=1)
-                glyph = _meet(own[i][:, None, :], numbers[None]).any(axis=1)
-                mixed = (_near(others[None], own[i][:, None, :], RADIUS) | _near(c[i][:, None, :], numbers[None], RADIUS)).any(axis=1)
-                score = ahead[i] + _crossed_leaders(c[i], t[i], others, targets[near]).sum(axis=1) * PER_LEADER + (gap < NEIGHBOUR).sum(axis=1) * PER_NEIGHBOUR
+
+                def against(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                    """Three flags of these places against the markers around, and the distances."""
+                    p, g = c[i, places][:, None, :], own[i, places][:, None, :]  # noqa: B023
+                    gap = np.hypot(p[..., 0] - others[None, :, 0], p[..., 1] - others[None, :, 1])  # noqa: B023
+                    mixed = _near(others[None], g, RADIUS) | _near(p, numbers[None], RADIUS)  # noqa: B023
+                    return np.stack([(gap < 2 * RADIUS).any(axis=1), _meet(g, numbers[None]).any(axis=1), mixed.any(axis=1)]), gap  # noqa: B023
+
+                # Places with the fewest fixed flags first: if one of them has no other flag, no other place can be better.
+                places = np.flatnonzero(fixed[i] == fixed[i].min())
+                moved, gap = against(places)
+                if moved.any(axis=0).all() and len(places) < len(_WAYS):
+                    places = np.arange(len(_WAYS))
+                    moved, gap = against(places)
+                total = fixed[i, places] + moved.sum(axis=0)
+                tied = np.flatnonzero(total == total.min())
+                best = places[tied]
+                score = ahead[i, best] + _crossed_leaders(c[i, best], t[i], leaders, aims).sum(axis=1) * PER_LEADER + (gap[tied] < NEIGHBOUR).sum(axis=1) * PER_NEIGHBOUR
                 # Places come ring by ring and direction by direction, so the first of equals is the right one.
-                best = np.lexsort((score, fixed[i] + circle + glyph + mixed))[0]
+                first = int(np.argmin(score))
+                best, moved = best[first], moved[:, tied[first]]
                 at[k], glyphs[k] = c[i, best], own[i, best]
                 grid.add(k, *at[k], *at[k])
-                hard = (outside[i, best], unreadable[i], unreadable[i], shut[i, best], text[i, best], circle[best], glyph[best], mixed[best])
+                hard = (outside[i, best], unreadable[i], unreadable[i], shut[i, best], text[i, best], *moved)
                 flags.append(",".join(name for name, bad in zip(FLAGS, hard, strict=True) if bad))
         out = rows.select([*PAGE, "observation_id"])
         status = ["manual_required" if f else "placed" for f in flags]
