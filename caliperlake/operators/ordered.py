@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caliperlake.functions.annotations import modifier, parsed
+from caliperlake.scratch import written
 
 READING = ("page_index", "y0", "x0", "observation_id")
 
@@ -88,10 +89,17 @@ def broken_chain(df: DataFrame, key: str, order: list[str], before: str, after:
 def ranked(df: DataFrame, by: str, id_col: str) -> DataFrame:
     """Places over a whole table, the greatest ``by`` first (nulls last), then the greatest id.
 
-    Rows are ranked within each value; the counts of the values, one row each, are added up in order.
+    Ranges of (by, id) are dealt to partitions by Spark's own sampling and written with the partition's number; the partitions' counts, one number each, are added up on the
+    driver, and rows are ranked within their partition.  A value that many rows share is cut by the id.
     """
-    within = F.row_number().over(Window.partitionBy(by).orderBy(F.col(id_col).desc()))
-    sizes = df.groupBy(F.col(by).alias("_v")).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy(F.col("_v").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
-    return df.withColumn("_k", within).join(starts, F.col(by).eqNullSafe(F.col("_v"))).withColumn("position", (F.col("_before") + F.col("_k")).cast("int")).drop("_k", "_v", "_before")
+    spark = df.sparkSession
+    order = [F.col(by).desc_nulls_last(), F.col(id_col).desc()]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranks")
+    before, starts = 0, []
+    for part, n in sorted(tuple(r) for r in rows.groupBy("_part").count().collect()):  # at most ``parts`` rows
+        starts.append((part, before))
+        before += n
+    offsets = spark.createDataFrame(starts, "_part int, _before bigint")
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return rows.withColumn("_k", within).join(F.broadcast(offsets), "_part").withColumn("position", (F.col("_before") + F.col("_k")).cast("int")).drop("_part", "_k", "_before")

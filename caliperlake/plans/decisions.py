@@ -173,7 +173,7 @@ def cls07_assembled_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ROUTED = [("true", {"doc_id": "l_suppkey", "candidate_id": f"'c' || {ID}", "source": f"'s' || {ID}", "coarse_type": "CASE WHEN l_partkey % 9 = 0 THEN 'roughness' WHEN l_partkey % 9 = 1 THEN 'other' END", "item_type": f"CASE WHEN l_partkey % 9 > 1 THEN {_TYPE} END", "requires_confirmation": "l_partkey % 8 = 0", "recognised": "l_partkey % 5 = 0"})]
-_OPEN = [("l_partkey % 4 = 0", {"doc_id": "l_suppkey", "observation_id": f"CASE WHEN l_partkey % 3 = 0 THEN 's' ELSE 'x' END || {ID}", "disposition": "CASE WHEN l_partkey % 20 = 0 THEN 'candidate' ELSE 'ambiguous' END"})]
+_OPEN = [("true", {"doc_id": "l_suppkey", "observation_id": f"CASE WHEN l_partkey % 3 = 0 THEN 's' ELSE 'x' END || {ID}", "disposition": "CASE WHEN l_partkey % 20 = 0 THEN 'candidate' ELSE 'ambiguous' END"})]
 
 
 @query(f"""WITH {S.derived_sql('c', 'lineitem', _ROUTED)}, {S.derived_sql('e', 'lineitem', _OPEN)}, r AS (SELECT doc_id, candidate_id AS subject, CASE WHEN coarse_type = 'roughness' THEN 'coarse_type' WHEN item_type = 'composite' THEN 'composite' WHEN requires_confirmation THEN 'confirmation' WHEN recognised THEN 'ocr_source' END AS reason, CASE WHEN coarse_type = 'roughness' THEN coarse_type WHEN item_type = 'composite' OR requires_confirmation THEN item_type ELSE coalesce(coarse_type, item_type) END AS expected_type FROM c)

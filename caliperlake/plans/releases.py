@@ -46,7 +46,7 @@ _SHEET = [
         },
     )
 ]
-_COVERED = [("o_orderkey % 2 = 0", {"doc_id": "o_custkey", "valid": "o_orderkey % 67 <> 0", "requires_confirmation": "o_orderkey % 71 = 0"})]
+_COVERED = [("true", {"doc_id": "o_custkey", "valid": "o_orderkey % 67 <> 0", "requires_confirmation": "o_orderkey % 71 = 0"})]
 _SHEET_SQL = f"""{S.derived_sql('m', 'customer', _META)}, {S.derived_sql('i', 'orders', _SHEET)}, {S.derived_sql('e', 'orders', _COVERED)},
 sh AS (SELECT m.doc_id, concat_ws(',', CASE WHEN m.material IS NULL OR trim(coalesce(material_code, '')) = '' OR material_name IS NULL THEN 'sip_metadata_unconfirmed' END, CASE WHEN coalesce(o, false) THEN 'sip_detail_fields_unconfirmed' END) AS blockers FROM m LEFT JOIN (SELECT doc_id, bool_or(NOT detail_confirmed OR n_exceptions > 0 OR source_page < 1 OR inspection_item = '' OR inspection_method IS NULL) AS o FROM i WHERE active GROUP BY ALL) x ON x.doc_id = m.doc_id)"""
 
@@ -230,7 +230,7 @@ def join34_published_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
-_ERRORS = [("o_orderkey % 3 = 0", {"doc_id": "o_custkey", "error_id": "o_orderkey", "severity": _case("o_orderkey", "blocking", "warning"), "code": _case("o_orderkey", "coverage_blocking", "zzz", "unsupported_input")})]
+_ERRORS = [("true", {"doc_id": "o_custkey", "error_id": "o_orderkey", "severity": _case("o_orderkey", "blocking", "warning"), "code": _case("o_orderkey", "coverage_blocking", "zzz", "unsupported_input")})]
 
 
 @query(f"WITH {S.derived_sql('e', 'orders', _ERRORS)} SELECT doc_id, error_id, code FROM e WHERE severity = 'blocking' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY error_id DESC) = 1")
@@ -278,7 +278,7 @@ def agg30_review_required(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WORK = [("true", {"doc_id": "l_suppkey", "item_id": ID, "active": "l_quantity > 3", "page_index": "CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE CAST(l_linenumber AS INT) END", "s1": "'p' || CAST(l_partkey AS STRING)", "s2": f"CASE WHEN l_partkey % 9 = 0 THEN 'manual:' || {ID} END"})]
-_WENT = [("l_partkey % 3 = 0", {"doc_id": "l_suppkey", "source_location_id": "'p' || CAST(l_partkey + 1 AS STRING)", "requires_confirmation": "l_linenumber % 2 = 0", "candidate_id": "CASE WHEN l_partkey % 4 = 0 THEN 'c' END", "disposition": "CASE WHEN l_partkey % 5 = 0 THEN 'reference_context' ELSE 'ambiguous' END"})]
+_WENT = [("true", {"doc_id": "l_suppkey", "source_location_id": "'p' || CAST(l_partkey + 1 AS STRING)", "requires_confirmation": "l_linenumber % 2 = 0", "candidate_id": "CASE WHEN l_partkey % 4 = 0 THEN 'c' END", "disposition": "CASE WHEN l_partkey % 5 = 0 THEN 'reference_context' ELSE 'ambiguous' END"})]
 
 
 @query(f"""WITH {S.derived_sql('i', 'lineitem', _WORK)}, {S.derived_sql('e', 'lineitem', _WENT)}, g AS (SELECT DISTINCT l_suppkey AS doc_id, 'p' || l_partkey AS source_id, CAST(l_partkey % 4 AS INT) AS page FROM lineitem WHERE l_partkey % 7 <> 0), x AS (SELECT doc_id, item_id, page_index, unnest(list_filter([s1, s2], lambda s: s IS NOT NULL)) AS source_id FROM i WHERE active),

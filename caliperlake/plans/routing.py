@@ -84,8 +84,8 @@ def grp03_projection_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.projection_components(visuals, _groups(spark, sf_dir))
 
 
-_DEPTHS = [("l_partkey % 3 = 0", {**_DOC, "symbol_id": ID, "depth": "CAST(l_partkey % 4 AS STRING)", "x0": f"{_X} + 5", "y0": _Y, "x1": f"{_X} + 15", "y1": f"{_Y} + 8"})]
-_PRIMARIES = [("l_partkey % 2 = 1", {**_DOC, "candidate_id": f"'c' || {ID}", "item_type": _case("l_orderkey", "thread", "radius", "diameter_dimension", "composite"), "depth": "CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE CAST(l_partkey % 5 AS STRING) || '.0' END", "x0": _X, "y0": _Y, "x1": f"{_X} + 20", "y1": f"{_Y} + 10"})]
+_DEPTHS = [("true", {**_DOC, "symbol_id": ID, "depth": "CAST(l_partkey % 4 AS STRING)", "x0": f"{_X} + 5", "y0": _Y, "x1": f"{_X} + 15", "y1": f"{_Y} + 8"})]
+_PRIMARIES = [("true", {**_DOC, "candidate_id": f"'c' || {ID}", "item_type": _case("l_orderkey", "thread", "radius", "diameter_dimension", "composite"), "depth": "CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE CAST(l_partkey % 5 AS STRING) || '.0' END", "x0": _X, "y0": _Y, "x1": f"{_X} + 20", "y1": f"{_Y} + 10"})]
 
 
 @query(f"""WITH {S.derived_sql('a', 'lineitem', _DEPTHS)}, {S.derived_sql('b', 'lineitem', _PRIMARIES)}, p AS (SELECT a.symbol_id, count(*) AS n, min(candidate_id) AS c, arg_min(b.depth, candidate_id) AS d1, any_value(b.depth) AS d FROM a JOIN b ON a.doc_id = b.doc_id AND a.page_index = b.page_index AND item_type <> 'radius' AND {_SHARED} >= 0.5 GROUP BY ALL)
@@ -95,8 +95,8 @@ def join18_depth_primaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.depth_primaries(S.derived(li, _DEPTHS), S.derived(li, _PRIMARIES))
 
 
-_VIS = [("l_partkey % 3 = 0", {"doc_id": "l_suppkey", "visual_id": f"'v' || {ID}", "a": "l_partkey", "b": "CASE WHEN l_orderkey % 2 = 0 THEN l_partkey + 1 ELSE l_partkey END"})]
-_OWN = [("l_partkey % 5 < 2", {"doc_id": "l_suppkey", "candidate_id": f"'c' || {ID}", "s": "l_partkey", "t": "CASE WHEN l_orderkey % 3 = 0 THEN l_partkey + 1 END", "x0": "CAST(l_partkey % 7 AS DOUBLE)", "x1": "CAST(l_partkey % 7 + CASE WHEN l_linenumber = 2 THEN 9 ELSE 5 END AS DOUBLE)"})]
+_VIS = [("true", {"doc_id": "l_suppkey", "visual_id": f"'v' || {ID}", "a": "l_partkey", "b": "CASE WHEN l_orderkey % 2 = 0 THEN l_partkey + 1 ELSE l_partkey END"})]
+_OWN = [("true", {"doc_id": "l_suppkey", "candidate_id": f"'c' || {ID}", "s": "l_partkey", "t": "CASE WHEN l_orderkey % 3 = 0 THEN l_partkey + 1 END", "x0": "CAST(l_partkey % 7 AS DOUBLE)", "x1": "CAST(l_partkey % 7 + CASE WHEN l_linenumber = 2 THEN 9 ELSE 5 END AS DOUBLE)"})]
 _BOX = "CAST(%s %% 7 AS DOUBLE)"
 
 
@@ -180,7 +180,7 @@ def chk10_router_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "events").select("event_id", R.router_version(mode).alias("router"))
 
 
-_ASKED = [("l_partkey % 2 = 0", {**_DOC, "visual_id": ID, "geometry": "'g' || CAST(l_partkey % 9 AS STRING)", "text": "'t' || CAST(l_orderkey % 2 AS STRING)", "reason": _case("l_partkey", "local_parse_incomplete", "local_parse_incomplete", "unknown_symbol_pattern"), "x0": _X, "y0": _Y, "x1": f"{_X} + 40", "y1": f"{_Y} + 20", "seconds": "CAST(l_quantity AS DOUBLE)"})]
+_ASKED = [("true", {**_DOC, "visual_id": ID, "geometry": "'g' || CAST(l_partkey % 9 AS STRING)", "text": "'t' || CAST(l_orderkey % 2 AS STRING)", "reason": _case("l_partkey", "local_parse_incomplete", "local_parse_incomplete", "unknown_symbol_pattern"), "x0": _X, "y0": _Y, "x1": f"{_X} + 40", "y1": f"{_Y} + 20", "seconds": "CAST(l_quantity AS DOUBLE)"})]
 _JSON = """'{"bbox":[' || CAST(x0 AS VARCHAR) || ',' || CAST(y0 AS VARCHAR) || ',' || CAST(x1 AS VARCHAR) || ',' || CAST(y1 AS VARCHAR) || '],"families":["depth"],"geometry":"' || geometry || '","page_index":' || page_index || ',"reasons":["' || reason || '"],"text_ids":["' || text || '"]}'"""
 _BATCHED = f"""WITH RECURSIVE {S.derived_sql('q', 'lineitem', _ASKED)}, h AS (SELECT *, sha256({_JSON}) AS content FROM q), x AS (SELECT doc_id, page_index, content, geometry, text, reason, x0, y0, x1, y1, list_sort(list(DISTINCT visual_id)) AS ids, max(seconds) AS seconds FROM h GROUP BY ALL),
 e AS (SELECT a.doc_id, a.page_index, a.content AS u, b.content AS v FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.page_index = b.page_index AND a.text = b.text AND a.reason = b.reason AND a.x1 > b.x0 AND b.x1 > a.x0 AND a.y1 > b.y0 AND b.y1 > a.y0),
@@ -199,7 +199,7 @@ def grp02_join20_agg31_escalation_batches(spark: SparkSession, sf_dir: str) -> D
     return _batches(spark, sf_dir).select("doc_id", "page_index", "batch_id", F.array_join("visual_ids", ",").alias("visuals"), "x0", "y0", "x1", "y1", "seconds", "content_sha256", "lineage_sha256")
 
 
-_LIMITED = [("l_partkey % 4 = 0", {"doc_id": "l_orderkey", "page_index": "CAST(l_linenumber % 2 AS INT)", "place": "CAST(l_linenumber AS INT)", "batch_id": ID, "seconds": "CAST(l_partkey % 24 AS DOUBLE)", "capacity": "CAST(1 + l_orderkey % 3 AS INT)"})]
+_LIMITED = [("true", {"doc_id": "l_orderkey", "page_index": "CAST(l_linenumber % 2 AS INT)", "place": "CAST(l_linenumber AS INT)", "batch_id": ID, "seconds": "CAST(l_partkey % 24 AS DOUBLE)", "capacity": "CAST(1 + l_orderkey % 3 AS INT)"})]
 _OVER = "s.n0 + 1 > 4, s.total + 1 > 8"
 
 
@@ -241,21 +241,21 @@ def win11_attempt_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PAIRS = [
     ("true", {"doc_id": "o_custkey", "group_id": "CAST(o_orderkey AS STRING)", "decision_sha": "'d'", "attempt": "CAST(1 AS INT)", "code": "'provider_schema_invalid'", "request_id": "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'r' END", "sha": "'f' || CAST(o_orderkey AS STRING)", "failure_sha": "CAST(NULL AS STRING)", "retry_decision": "CASE WHEN o_orderkey % 11 = 0 THEN 'not_authorized' ELSE 'authorized_schema_retry' END"}),
-    ("o_orderkey % 2 = 0", {"doc_id": "o_custkey", "group_id": "CASE WHEN o_orderkey % 13 = 0 THEN 'x' ELSE CAST(o_orderkey AS STRING) END", "decision_sha": "CASE WHEN o_orderkey % 17 = 0 THEN 'x' ELSE 'd' END", "attempt": "CAST(CASE WHEN o_orderkey % 19 = 0 THEN 2 ELSE 1 END AS INT)", "code": "'retry_scheduled'", "request_id": "CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 9 <> 0 THEN NULL ELSE 'r' END", "sha": "'t' || CAST(o_orderkey AS STRING)", "failure_sha": "CASE WHEN o_orderkey % 23 = 0 THEN 'zzz' ELSE 'f' || CAST(o_orderkey AS STRING) END", "retry_decision": "CAST(NULL AS STRING)"}),
+    ("true", {"doc_id": "o_custkey", "group_id": "CASE WHEN o_orderkey % 13 = 0 THEN 'x' ELSE CAST(o_orderkey AS STRING) END", "decision_sha": "CASE WHEN o_orderkey % 17 = 0 THEN 'x' ELSE 'd' END", "attempt": "CAST(CASE WHEN o_orderkey % 19 = 0 THEN 2 ELSE 1 END AS INT)", "code": "'retry_scheduled'", "request_id": "CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 9 <> 0 THEN NULL ELSE 'r' END", "sha": "'t' || CAST(o_orderkey AS STRING)", "failure_sha": "CASE WHEN o_orderkey % 23 = 0 THEN 'zzz' ELSE 'f' || CAST(o_orderkey AS STRING) END", "retry_decision": "CAST(NULL AS STRING)"}),
 ]
 
 
-@query("SELECT o_custkey AS doc_id, 't' || o_orderkey AS sha, o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0 AND o_orderkey % 19 <> 0 AND o_orderkey % 23 <> 0 AND o_orderkey % 9 <> 0 AS valid FROM orders WHERE o_orderkey % 2 = 0")
+@query("SELECT o_custkey AS doc_id, 't' || o_orderkey AS sha, o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0 AND o_orderkey % 19 <> 0 AND o_orderkey % 23 <> 0 AND o_orderkey % 9 <> 0 AS valid FROM orders")
 def win14_retry_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.retry_pairs(S.derived(S.table(spark, sf_dir, "orders"), _PAIRS))
 
 
 _BLOCKING = [("true", {"doc_id": "o_custkey", "sha": "'b' || CAST(o_orderkey AS STRING)", "group_id": "'g' || CAST(o_orderkey AS STRING)", "code": _case("o_orderkey", "provider_timeout", "advisor_result_missing", "cache_miss"), "schema": "CASE WHEN o_orderkey % 3 = 0 THEN 'visual-symbol-provider-failure/1' ELSE 'visual-symbol-advisor-boundary-failure/1' END", "scope": "CASE WHEN o_orderkey % 11 = 0 THEN 'roi_localized' ELSE 'project_blocking' END"})]
-_STOPPED = [("o_orderkey % 2 = 0", {"doc_id": "o_custkey", "sha": "'s' || CAST(o_orderkey AS STRING)", "group_id": "CASE WHEN o_orderkey % 13 = 0 THEN 'g' || CAST(o_orderkey AS STRING) ELSE 'other' END", "stop_reason": "CASE WHEN o_orderkey % 3 = 0 THEN 'project_blocking_provider_failure' WHEN o_orderkey % 17 = 0 THEN 'zzz' ELSE 'project_blocking_advisor_boundary_failure' END", "blocking_sha": "'b' || CAST(o_orderkey AS STRING)"})]
+_STOPPED = [("true", {"doc_id": "o_custkey", "sha": "'s' || CAST(o_orderkey AS STRING)", "group_id": "CASE WHEN o_orderkey % 13 = 0 THEN 'g' || CAST(o_orderkey AS STRING) ELSE 'other' END", "stop_reason": "CASE WHEN o_orderkey % 3 = 0 THEN 'project_blocking_provider_failure' WHEN o_orderkey % 17 = 0 THEN 'zzz' ELSE 'project_blocking_advisor_boundary_failure' END", "blocking_sha": "'b' || CAST(o_orderkey AS STRING)"})]
 _ENDED = [("o_orderkey % 19 <> 0", {"doc_id": "o_custkey", "group_id": "'g' || CAST(o_orderkey AS STRING)", "terminal": "o_orderkey % 23 <> 0", "own": "CASE WHEN o_orderkey % 29 = 0 THEN 'zzz' ELSE 'b' || CAST(o_orderkey AS STRING) END"})]
 
 
-@query("SELECT o_custkey AS doc_id, 's' || o_orderkey AS sha, o_orderkey % 3 <> 2 AND o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AND (o_orderkey % 3 = 0 OR o_orderkey % 17 <> 0) AND o_orderkey % 19 <> 0 AND o_orderkey % 23 <> 0 AND o_orderkey % 29 <> 0 AS valid FROM orders WHERE o_orderkey % 2 = 0")
+@query("SELECT o_custkey AS doc_id, 's' || o_orderkey AS sha, o_orderkey % 3 <> 2 AND o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AND (o_orderkey % 3 = 0 OR o_orderkey % 17 <> 0) AND o_orderkey % 19 <> 0 AND o_orderkey % 23 <> 0 AND o_orderkey % 29 <> 0 AS valid FROM orders")
 def join29_stop_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = S.table(spark, sf_dir, "orders")
     return R.stop_references(S.derived(o, _STOPPED), S.derived(o, _BLOCKING), S.derived(o, _ENDED).withColumn("shas", F.array("own")))

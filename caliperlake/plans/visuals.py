@@ -28,7 +28,7 @@ _ITEMS = [
     _item("l_partkey % 11 = 0", f"{_X} + 10", f"{_Y} + 2", f"{_X} + 14", f"{_Y} + 45", "l_orderkey % 2 = 0"),
     _item("l_partkey % 13 = 0", f"{_X} - 90", _Y, f"{_X} + 20", f"{_Y} + 2", "false"),
 ]
-_TEXTS = [("l_partkey % 50 < 25", {**_PLACE, "observation_id": ID, "raw_text": "CASE WHEN l_partkey % 6 = 0 THEN 'a1 ' ELSE 'Text' END", "x0": _X, "y0": _Y, "x1": f"{_X} + 20", "y1": f"{_Y} + 10"})]
+_TEXTS = [("true", {**_PLACE, "observation_id": ID, "raw_text": "CASE WHEN l_partkey % 6 = 0 THEN 'a1 ' ELSE 'Text' END", "x0": _X, "y0": _Y, "x1": f"{_X} + 20", "y1": f"{_Y} + 10"})]
 _F = lambda v: f"printf('%.3f', round_even({v}, 3))"
 _CONTENT = f"""'{{"coordinates":["' || {_F('x0')} || '","' || {_F('y0')} || '","' || {_F('x1')} || '","' || {_F('y1')} || '"],"opcode":"re","style":{{"color":null,"fill":' || CASE WHEN fill THEN '"1"' ELSE 'null' END || ',"width":"' || {_F('thick')} || '"}}}}'"""
 _ITEMS_SQL = f"{S.derived_sql('items', 'lineitem', _ITEMS)}, ci AS (SELECT *, {_CONTENT} AS content FROM items)"
@@ -94,7 +94,7 @@ def win09_regions_to_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.regions_to_read(_shares(spark, sf_dir)).select("doc_id", "page_index", "region_id", "place")
 
 
-_SEEN = [("l_partkey % 4 = 0", {"doc_id": "l_suppkey", "visual_id": f"'v' || {ID}", "a": ID, "b": "'p' || CAST(l_partkey AS STRING)"})]
+_SEEN = [("true", {"doc_id": "l_suppkey", "visual_id": f"'v' || {ID}", "a": ID, "b": "'p' || CAST(l_partkey AS STRING)"})]
 _SAID = [
     ("l_partkey % 3 = 0", {"doc_id": "l_suppkey", "observation_id": ID, "disposition": "CASE WHEN l_partkey % 5 = 0 THEN 'candidate' ELSE 'ambiguous' END", "text": "CASE l_orderkey % 4 WHEN 0 THEN 'abc' WHEN 1 THEN 'M' WHEN 2 THEN 'a1' ELSE 'xM' END"}),
 ]
@@ -115,7 +115,7 @@ def win16_packed_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["win16_packed_crops"] = win16_packed_crops
 
-_OWNED = [("l_partkey % 2 = 0", {"doc_id": "l_suppkey", "visual_id": f"'v' || {ID}", "page_index": "CAST(CASE WHEN l_linenumber = 4 THEN 9 ELSE l_partkey % 3 END AS INT)", "a": "l_partkey", "b": "l_partkey + 3"})]
+_OWNED = [("true", {"doc_id": "l_suppkey", "visual_id": f"'v' || {ID}", "page_index": "CAST(CASE WHEN l_linenumber = 4 THEN 9 ELSE l_partkey % 3 END AS INT)", "a": "l_partkey", "b": "l_partkey + 3"})]
 
 
 @query(f"""WITH {S.derived_sql('v', 'lineitem', _OWNED)}, l AS (SELECT DISTINCT l_suppkey AS doc_id, l_partkey AS line_id, CAST(l_partkey % 3 AS INT) AS page_index, l_partkey % 7 <> 0 AS resolved, CASE l_partkey % 5 WHEN 0 THEN 'candidate' WHEN 1 THEN 'reference_context' ELSE 'non_inspection' END AS disposition FROM lineitem),
