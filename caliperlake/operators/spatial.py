@@ -54,20 +54,61 @@ def merged_intervals(df: DataFrame, keys: list[str], start: str, end: str) -> Da
     return numbered.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 
-def covered_area(boxes: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
-    """Area of the union of the boxes of each group: slabs between neighbouring x coordinates, y intervals merged in each.
+class _Cover:
+    """Length of the union of intervals that come and go: a tree over the sorted ends, with how often each stretch is covered as a whole."""
+
+    def __init__(self, ends: list[float]) -> None:
+        self.ends, self.leaves = ends, 1 << max(0, (len(ends) - 2).bit_length())
+        self.times, self.length = [0] * (2 * self.leaves), [0.0] * (2 * self.leaves)
+
+    def change(self, low: int, high: int, by: int) -> None:
+        """An interval from the low-th to the high-th end is added or taken away."""
+        ends, times, length, leaves, most = self.ends, self.times, self.length, self.leaves, len(self.ends) - 1
+        left, right, touched = low + leaves, high + leaves, set()
+        while left < right:  # the nodes that make up the interval, from the leaves up
+            for node in ([left] if left & 1 else []) + ([right - 1] if right & 1 else []):
+                times[node] += by
+                touched.add(node)
+            left, right = (left + 1) >> 1, right >> 1
+        level = touched
+        while level:
+            above = set()
+            for node in sorted(level, reverse=True):
+                if times[node]:
+                    depth = node.bit_length() - 1
+                    span = leaves >> depth
+                    first = (node - (1 << depth)) * span
+                    length[node] = ends[min(first + span, most)] - ends[min(first, most)]
+                else:
+                    length[node] = length[2 * node] + length[2 * node + 1] if node < leaves else 0.0
+                if node > 1:
+                    above.add(node >> 1)
+            level = above
+
+
+def _swept(rows: list, n_keys: int) -> list[tuple]:
+    """One group's covered area: the left and right edges in order, and between two of them the covered length of a tree over y."""
+    boxes = {tuple(r[n_keys:]) for r in rows}
+    boxes = [b for b in boxes if b[0] < b[2] and b[1] < b[3]]
+    if not boxes:
+        return []
+    ends = sorted({y for b in boxes for y in (b[1], b[3])})
+    place = {y: k for k, y in enumerate(ends)}
+    edges = sorted((x, by, place[b[1]], place[b[3]]) for b in boxes for x, by in ((b[0], 1), (b[2], -1)))
+    cover, area, at = _Cover(ends), 0.0, edges[0][0]
+    for x, by, low, high in edges:
+        area += (x - at) * cover.length[1]
+        cover.change(low, high, by)
+        at = x
+    return [(*rows[0][:n_keys], area)]
 
-    Slabs are numbered, and a box goes to the slabs from its left to its right edge only.
-    """
-    edges = boxes.select(*keys, F.explode(F.array("x0", "x1")).alias("left")).distinct()
-    w = Window.partitionBy(*keys).orderBy("left")
-    slabs = edges.withColumn("right", F.lead("left").over(w)).withColumn("slab", F.row_number().over(w))
-    at = lambda side, name: slabs.select(*keys, F.col("left").alias(side), F.col("slab").alias(name))
-    spans = boxes.select(*keys, "x0", "x1", "y0", "y1").where("x0 < x1").join(at("x0", "_first"), [*keys, "x0"]).join(at("x1", "_last"), [*keys, "x1"])
-    inside = spans.select(*keys, "y0", "y1", F.explode(F.sequence("_first", F.col("_last") - 1)).alias("slab"))
-    merged = merged_intervals(inside, [*keys, "slab"], "y0", "y1")
-    sized = merged.join(slabs.select(*keys, "slab", (F.col("right") - F.col("left")).alias("_wide")), [*keys, "slab"])
-    return sized.groupBy(*keys).agg(F.sum(F.col("_wide") * (F.col("y1") - F.col("y0"))).alias("covered_area"))
+
+def covered_area(boxes: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
+    """Area of the union of the boxes of each group: a sweep over x with a tree over y, so n boxes take n log n steps.  Groups without an area give no row; boxes with a null edge are ignored."""
+    edges = ["x0", "y0", "x1", "y1"]
+    df = boxes.select(*keys, *(F.col(e).cast("double").alias(e) for e in edges)).dropna(subset=edges)
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    return by_group(df, list(keys), edges, lambda rows: _swept(rows, len(keys)), f"{kinds}, covered_area double")
 
 
 def _union_find(pdf: pd.DataFrame) -> pd.DataFrame:
