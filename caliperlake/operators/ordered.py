@@ -11,9 +11,16 @@ from caliperlake.scratch import written
 READING = ("page_index", "y0", "x0", "observation_id")
 
 
-def numbered(df: DataFrame, start: int = 1) -> DataFrame:
-    """Reading-order numbers of each document's rows."""
-    return df.withColumn("number", F.row_number().over(Window.partitionBy("doc_id").orderBy(*READING)) + (start - 1))
+def numbered(df: DataFrame, start: int = 1, counting: str | None = None) -> DataFrame:
+    """Reading-order numbers of each document's rows; with ``counting``, of the rows that have a value in this column, and no others.
+
+    Such rows are counted in the window and chosen behind it: a filter ahead of it would be pushed below the columns that it depends on, and work them all out twice.
+    """
+    w = Window.partitionBy("doc_id").orderBy(*READING)
+    if counting is None:
+        return df.withColumn("number", F.row_number().over(w) + (start - 1))
+    so_far = F.count(counting).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    return df.withColumn("number", so_far + (start - 1)).where(F.col(counting).isNotNull())
 
 
 def composites(lines: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{PARSED} SELECT doc_id, observation_id, item_type, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_index, y0, x0, observation_id) AS INT) AS number FROM parsed WHERE item_type IS NOT NULL")
 def win01_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordered.numbered(_parsed(spark, sf_dir).where("item_type is not null")).select("doc_id", "observation_id", "item_type", "number")
+    return ordered.numbered(_parsed(spark, sf_dir), counting="item_type").select("doc_id", "observation_id", "item_type", "number")
 
 
 @query(f"""{PARSED} SELECT observation_id, item_type, quantity,
