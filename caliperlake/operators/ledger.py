@@ -50,3 +50,37 @@ def mode_comparison(calls: DataFrame) -> DataFrame:
     counted = calls.groupBy("mode", "page_index", "duration_ms").agg(F.count("*").alias("_n"))
     share = lambda p: F.round(F.percentile("duration_ms", p, F.col("_n")), 3)
     return counted.cube("mode", "page_index").agg(F.sum("_n").alias("calls"), share(0.5).alias("p50_ms"), share(0.95).alias("p95_ms"))
+
+
+SKETCH_K, RANK_ERROR = 800, 0.02  # the sketch's own error at this size is about 0.4 % of the rows; the bound leaves room for merges
+
+
+def latency_sketches(calls: DataFrame, k: int = SKETCH_K) -> DataFrame:
+    """Calls and KLL sketches of the durations for each mode and page, each mode, each page, and all: mode, page_index, calls, sketch, p50_ms, p95_ms.
+
+    Durations meet the sketches of mode and page only; the wider groups merge those, so no group ever holds all durations, and tables of later days can be merged the same way.
+    Percentiles are values that occur, with a rank within ``RANK_ERROR`` of the stated one.
+    """
+    each = calls.where("duration_ms is not null").groupBy("mode", "page_index").agg(F.count("*").alias("calls"), F.kll_sketch_agg_bigint(F.col("duration_ms").cast("bigint"), k).alias("sketch"))
+    return merged_sketches(each, k)
+
+
+def merged_sketches(sketches: DataFrame, k: int = SKETCH_K) -> DataFrame:
+    """Sketches (mode, page_index, calls, sketch) of any number of tables -> the cube."""
+    df = sketches.cube("mode", "page_index").agg(F.sum("calls").alias("calls"), F.kll_merge_agg_bigint("sketch", k).alias("sketch"))
+    at = lambda p: F.kll_sketch_get_quantile_bigint("sketch", F.lit(p))
+    return df.withColumns({"p50_ms": at(0.5), "p95_ms": at(0.95)})
+
+
+def sketch_errors(calls: DataFrame, found: DataFrame) -> DataFrame:
+    """mode, page_index, calls, and whether each percentile's rank among all durations is within the stated error."""
+    counted = calls.where("duration_ms is not null").groupBy("mode", "page_index", "duration_ms").agg(F.count("*").alias("n"))
+    own, none = (F.col("mode"), F.col("page_index")), (F.lit(None).cast(calls.schema["mode"].dataType), F.lit(None).cast(calls.schema["page_index"].dataType))
+    groups = [F.struct(m.alias("mode"), p.alias("page_index")) for m in (own[0], none[0]) for p in (own[1], none[1])]
+    spread = counted.select(F.explode(F.array(*groups)).alias("g"), "duration_ms", "n").select(F.col("g.mode").alias("_m"), F.col("g.page_index").alias("_p"), "duration_ms", "n")
+    both = found.join(spread, F.col("mode").eqNullSafe(F.col("_m")) & F.col("page_index").eqNullSafe(F.col("_p")))
+    share = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0)) / F.sum("n")
+    parts = [share(F.col("duration_ms") < F.col(f"{p}_ms")).alias(f"{p}_low") for p in ("p50", "p95")] + [share(F.col("duration_ms") <= F.col(f"{p}_ms")).alias(f"{p}_high") for p in ("p50", "p95")]
+    ranks = both.groupBy("mode", "page_index", "calls").agg(*parts)
+    within = lambda p, q: ((F.col(f"{p}_low") <= q + RANK_ERROR) & (F.col(f"{p}_high") >= q - RANK_ERROR)).alias(f"{p}_within")
+    return ranks.select("mode", "page_index", "calls", within("p50", 0.5), within("p95", 0.95))

@@ -264,6 +264,13 @@ def agg24_mode_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.mode_comparison(S.calls(spark, sf_dir))
 
 
+@query(f"WITH {S.CALLS_SQL} SELECT mode, page_index, count(*) AS calls, true AS p50_within, true AS p95_within FROM calls GROUP BY CUBE (mode, page_index)")
+def agg24_latency_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles from mergeable sketches, held against the ranks that they have among all calls."""
+    calls = S.calls(spark, sf_dir)
+    return ledger.sketch_errors(calls, ledger.latency_sketches(calls))
+
+
 @query("SELECT sha256(text) AS content_sha256, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY ALL")
 def src06_unique_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.unique_documents(S.table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
