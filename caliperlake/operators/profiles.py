@@ -169,14 +169,20 @@ def layout_disposition(text: Column, preserved_: Column) -> Column:
 def watermarks(texts: DataFrame, pages: DataFrame, angle: float = -30.0) -> DataFrame:
     """All rotated equal texts of a page, if some of them lie on a lattice of its form's spacing: nine cells, two columns, three rows, no cell twice.
 
-    texts (page, observation_id, text, cx, cy in mm, angle), pages (page, sx, sy).  The self-join has the page and the text as keys.
+    texts (page, observation_id, text, cx, cy in mm, angle), pages (page, sx, sy).  Texts of one lattice have the same residue modulo the spacing, so a text votes for the
+    cell of its residue and meets only texts of that cell and those around it: of texts that lie anywhere, one in some hundreds.
     """
     keys = [*PAGE, "text"]
     turned = texts.where(angles_equal(F.col("angle"), F.lit(angle), 2.0)).join(pages, list(PAGE))
     enough = turned.withColumn("n", F.count("*").over(Window.partitionBy(*keys))).where(F.col("n") >= LEAST_WATERMARKS).drop("n")
-    other = enough.select(*keys, F.col("observation_id").alias("other_id"), F.col("cx").alias("ox"), F.col("cy").alias("oy"))
+    # Residues go round, so each axis has a whole number of cells, each wider than the tolerance.
+    around = lambda s: F.greatest(F.floor(F.col(s) / (1.25 * LATTICE_TOLERANCE)), F.lit(1))
+    cell = lambda v, s: F.least(F.floor(F.pmod(F.col(v), F.col(s)) / F.col(s) * around(s)), around(s) - 1)
+    nearby = lambda v, s: F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(cell(v, s) + d, around(s)))))
+    own = enough.withColumns({"_bx": cell("cx", "sx"), "_by": cell("cy", "sy")})
+    other = enough.select(*keys, F.col("observation_id").alias("other_id"), F.col("cx").alias("ox"), F.col("cy").alias("oy"), nearby("cx", "sx").alias("_bx"), "sy", "cy").withColumn("_by", nearby("cy", "sy")).drop("sy", "cy")
     step = lambda a, b, s: F.bround((F.col(a) - F.col(b)) / F.col(s))
-    pairs = enough.join(other, keys).withColumns({"col": step("ox", "cx", "sx"), "line": step("oy", "cy", "sy")})
+    pairs = own.join(other, [*keys, "_bx", "_by"]).withColumns({"col": step("ox", "cx", "sx"), "line": step("oy", "cy", "sy")})
     on = (F.abs(F.col("ox") - F.col("cx") - F.col("col") * F.col("sx")) <= LATTICE_TOLERANCE) & (F.abs(F.col("oy") - F.col("cy") - F.col("line") * F.col("sy")) <= LATTICE_TOLERANCE)
     cells = pairs.where(on).groupBy(*keys, "observation_id").agg(F.count("*").alias("n"), F.count_distinct("col", "line").alias("cells"), F.count_distinct("col").alias("cols"), F.count_distinct("line").alias("rows"))
     good = cells.where((F.col("n") == F.col("cells")) & (F.col("cells") >= LEAST_WATERMARKS) & (F.col("cols") >= 2) & (F.col("rows") >= 3)).select(*keys).distinct()
