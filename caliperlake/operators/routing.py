@@ -390,17 +390,22 @@ def preview_heads(revisions: DataFrame) -> DataFrame:
     return live.groupBy("doc_id").agg(F.max_by("revision_id", "revision").alias("revision_id"), F.max("revision").alias("revision"), F.max("final_at").isNotNull().alias("terminal"))
 
 
+JOINED = 0.5  # fixed value, in points: ends so near are one vertex
+
+
 def _vertices(rows: list) -> list[tuple]:
-    """Ends of one drawing's segments, each joined to the first vertex within half a point."""
-    vertices: list[tuple[float, float]] = []
-    out = []
+    """Ends of one drawing's segments, each joined to the first vertex within half a point; vertices are looked up by their cell and those around it."""
+    cells: dict[tuple[int, int], list[tuple[int, float, float]]] = {}
+    n, out = 0, []
     for r in rows:
         ends = []
         for x, y in ((r.ax, r.ay), (r.bx, r.by)):
-            k = next((k for k, v in enumerate(vertices) if ((v[0] - x) ** 2 + (v[1] - y) ** 2) ** 0.5 <= 0.5), None)
+            gx, gy = int(x // JOINED), int(y // JOINED)
+            near = (v for dx in (-1, 0, 1) for dy in (-1, 0, 1) for v in cells.get((gx + dx, gy + dy), ()))
+            k = min((k for k, vx, vy in near if ((vx - x) ** 2 + (vy - y) ** 2) ** 0.5 <= JOINED), default=None)
             if k is None:
-                vertices.append((x, y))
-                k = len(vertices) - 1
+                k, n = n, n + 1
+                cells.setdefault((gx, gy), []).append((k, x, y))
             ends.append(k)
         out.append((*rows[0][:2], r.place, min(ends), max(ends)))
     return out
@@ -412,14 +417,19 @@ def clustered_edges(segments: DataFrame) -> DataFrame:
 
 
 def cycles(edges: DataFrame) -> DataFrame:
-    """Triangles and four-sided cycles of each drawing, each counted once, by joins of its edges."""
+    """Triangles and four-sided cycles of each drawing, each counted once, by joins of its edges.
+
+    Vertices are ranked by degree.  A triangle is found at its least vertex, a four-sided cycle at its greatest: two ways of length two from there to the opposite corner.  Ways lead down
+    from the greatest vertex, so a vertex with many edges is no source of pairs of them: a star makes none.
+    """
     key = ["doc_id", "drawing_id"]
     e = edges.where("u <> v").select(*key, "u", "v").distinct()
-    step = lambda a, b: e.select(*key, F.col("u").alias(a), F.col("v").alias(b))
-    triangles = step("a", "b").join(step("b", "c"), [*key, "b"]).join(step("a", "c"), [*key, "a", "c"]).groupBy(*key).agg(F.count("*").alias("triangles"))
     both = e.unionByName(e.select(*key, F.col("v").alias("u"), F.col("u").alias("v")))
-    way = lambda a, b: both.select(*key, F.col("u").alias(a), F.col("v").alias(b))
-    # The least vertex leads, and its lesser neighbour comes first.
-    path = way("a", "b").join(way("b", "c"), [*key, "b"]).where("b > a and c > a")
-    around = path.join(way("a", "d"), [*key, "a"]).where("d > b").join(way("c", "d"), [*key, "c", "d"]).groupBy(*key).agg(F.count("*").alias("squares"))
+    rank = both.groupBy(*key, "u").agg(F.count("*").alias("degree")).select(*key, F.col("u").alias("node"), F.struct("degree", F.col("u").alias("id")).alias("rank"))
+    ranked = both.join(rank.withColumnsRenamed({"node": "u", "rank": "ru"}), [*key, "u"]).join(rank.withColumnsRenamed({"node": "v", "rank": "rv"}), [*key, "v"])
+    up = lambda a, b: ranked.where("ru < rv").select(*key, F.col("ru").alias(a), F.col("rv").alias(b))
+    triangles = up("a", "b").join(up("a", "c"), [*key, "a"]).where("b < c").join(up("b", "c"), [*key, "b", "c"]).groupBy(*key).agg(F.count("*").alias("triangles"))
+    ways = up("u", "top").join(ranked.select(*key, F.col("ru").alias("u"), F.col("rv").alias("far")), [*key, "u"]).where("far < top")
+    corners = ways.groupBy(*key, "top", "far").agg(F.count("*").alias("n")).where("n > 1")
+    around = corners.groupBy(*key).agg(F.sum(F.expr("n * (n - 1) div 2")).alias("squares"))
     return edges.select(*key).distinct().join(triangles, key, "left").join(around, key, "left").fillna(0, ["triangles", "squares"])
