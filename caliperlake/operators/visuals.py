@@ -113,36 +113,95 @@ CROP_SHARE, MOST_PIXELS, MOST_MEMBERS, DPI = 0.075, 1536, 32, 300.0
 _PACKED = "doc_id bigint, page_index int, visual_id string, crop int, x0 double, y0 double, x1 double, y1 double"
 
 
+class _OpenCrops:
+    """Crops of a page that may take one more visual, by cell of the page.
+
+    A crop is listed in the cells that its reach meets: the box that holds every visual which it could take.  The reach shrinks as the crop grows, and a crop with all its members leaves.
+    A cell is half as wide as a square crop, so a page has some sixty of them, whatever its size.
+    """
+
+    def __init__(self, width: float, height: float) -> None:
+        self.page, self.most, self.side = (width, height), width * height * CROP_SHARE, math.sqrt(width * height * CROP_SHARE) / 2
+        self.cells: dict[tuple[int, int], dict[int, None]] = {}
+        self.reach: dict[int, tuple] = {}
+
+    def _span(self, axis: int, low: float, high: float) -> range:
+        at = lambda v: int(min(max(v, 0.0), self.page[axis]) / self.side)
+        return range(at(low), at(high) + 1)
+
+    def _places(self, box: tuple) -> set[tuple[int, int]]:
+        return {(x, y) for x in self._span(0, box[0], box[2]) for y in self._span(1, box[1], box[3])}
+
+    def put(self, k: int, crop: tuple, pad: float, full: bool) -> None:
+        """Lists crop k anew.  A side may grow to the pixels and to the share of the page that are left with the other side as it is; a crop at the edge of the page grows beyond it for nothing."""
+        before = self._places(self.reach[k]) if k in self.reach else set()
+        size = (crop[2] - crop[0], crop[3] - crop[1])
+        low, high = [0.0, 0.0], [0.0, 0.0]
+        for axis in (0, 1):
+            longest = min(MOST_PIXELS * 72.0 / DPI, self.most / size[1 - axis]) + 1e-6
+            low[axis] = crop[axis + 2] - longest + pad if crop[axis + 2] > longest else -math.inf
+            high[axis] = crop[axis] + longest - pad if crop[axis] + longest < self.page[axis] else math.inf
+        self.reach[k] = (*low, *high)
+        after = set() if full else self._places(self.reach[k])
+        for cell in before - after:
+            del self.cells[cell][k]
+        for cell in after - before:
+            self.cells.setdefault(cell, {})[k] = None
+        if full:
+            del self.reach[k]
+
+    def near(self, box: tuple):
+        """Crops in whose reach the box lies, first made first: a crop enters its cells when it is made, and none later."""
+        for k in self.cells.get((self._span(0, box[0], box[0])[0], self._span(1, box[1], box[1])[0]), ()):
+            r = self.reach[k]
+            if r[0] <= box[0] and r[1] <= box[1] and box[2] <= r[2] and box[3] <= r[3]:
+                yield k
+
+
 def _packer(width: float, height: float):
-    def crop_of(u: list[float], n: int) -> tuple | None:
+    def crop_of(u: tuple, n: int) -> tuple[tuple | None, float]:
         pad = min(24, max(6, math.ceil(0.10 * max(u[2] - u[0], u[3] - u[1]))))
         c = (max(0.0, u[0] - pad), max(0.0, u[1] - pad), min(width, u[2] + pad), min(height, u[3] + pad))
         w, h = c[2] - c[0], c[3] - c[1]
         pixels = max(math.ceil(w * DPI / 72.0), math.ceil(h * DPI / 72.0))
-        return None if w * h > width * height * CROP_SHARE or pixels > MOST_PIXELS or n > MOST_MEMBERS else c
+        return (None if w * h > width * height * CROP_SHARE or pixels > MOST_PIXELS or n > MOST_MEMBERS else c), pad
 
     def fold(rows: list) -> list[tuple]:
-        crops: list[dict] = []
+        crops: list[tuple] = []
+        ids: list[list] = []
+        unions: dict[int, tuple] = {}
+        grid = _OpenCrops(width, height)
         for r in rows:
-            own = [r.x0, r.y0, r.x1, r.y1]
-            for k in crops:
-                u = [min(k["u"][0], own[0]), min(k["u"][1], own[1]), max(k["u"][2], own[2]), max(k["u"][3], own[3])]
-                if (c := crop_of(u, len(k["ids"]) + 1)) is not None:
-                    k.update(u=u, c=c)
-                    k["ids"].append(r.visual_id)
+            own = (r.x0, r.y0, r.x1, r.y1)
+            if any(v is None or not math.isfinite(v) for v in own) or not (own[0] <= own[2] and own[1] <= own[3] and own[2] >= 0 and own[3] >= 0 and own[0] <= width and own[1] <= height):
+                crops.append((None,) * 4)
+                ids.append([r.visual_id])
+                continue
+            for k in grid.near(own):
+                v = unions[k]
+                u = (min(v[0], own[0]), min(v[1], own[1]), max(v[2], own[2]), max(v[3], own[3]))
+                c, pad = crop_of(u, len(ids[k]) + 1)
+                if c is not None:
+                    crops[k] = c
                     break
             else:
-                c = crop_of(own, 1)
-                crops.append({"u": own, "c": c or (None,) * 4, "ids": [r.visual_id], "closed": c is None})
-        return [(rows[0].doc_id, rows[0].page_index, v, i, *k["c"]) for i, k in enumerate(crops) for v in k["ids"]]
+                k, u = len(crops), own
+                c, pad = crop_of(own, 1)
+                crops.append(c or (None,) * 4)
+                ids.append([])
+            ids[k].append(r.visual_id)
+            if c is not None and (unions.get(k) != u or len(ids[k]) == MOST_MEMBERS):
+                unions[k] = u
+                grid.put(k, c, pad, len(ids[k]) == MOST_MEMBERS)
+        return [(rows[0].doc_id, rows[0].page_index, v, i, *c) for i, c in enumerate(crops) for v in ids[i]]
 
     return fold
 
 
 def packed_crops(visuals: DataFrame, width: float, height: float) -> DataFrame:
-    """First-fit crops of each page's visuals, by priority and then from the top; a visual that fits no crop has one of its own without a box.
+    """First-fit crops of each page's visuals, by priority and then from the top; a visual that fits no crop has one of its own without a box, and so has one whose box is null, not finite, inverted or off the page.
 
-    visuals: page, visual_id, priority, x0 .. y1.
+    visuals: page, visual_id, priority, x0 .. y1.  A page streams through one task, with an index of its open crops: a visual is compared with those only that have room for it.
     """
     return by_group(visuals.select(*PAGE, "visual_id", "priority", "x0", "y0", "x1", "y1"), list(PAGE), ["priority", "y0", "x0", "visual_id"], _packer(width, height), _PACKED)
 

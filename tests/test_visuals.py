@@ -38,6 +38,51 @@ def test_crops_are_packed_first_fit(spark):
     assert got["v007"][2] is None  # wider than a crop may be
 
 
+def packed_by_trying_all(rows, width, height):
+    crops = []
+    for r in rows:
+        home = next((c for c in crops if fits([b[4:] for b in c] + [r[4:]], width, height)), None)
+        if home is None:
+            crops.append([r])
+        else:
+            home.append(r)
+    return {m[2]: (k, (fits([b[4:] for b in c], width, height) or (None,) * 4)) for k, c in enumerate(crops) for m in c}
+
+
+def test_the_index_of_crops_finds_what_trying_all_of_them_finds():
+    """Pages of any shape, small and large visuals, points, boxes over the edges, more equal boxes than a crop takes."""
+    from collections import namedtuple
+
+    row = namedtuple("Row", "doc_id page_index visual_id priority x0 y0 x1 y1")
+    rng = random.Random(9)
+    for width, height, n in ((600.0, 900.0, 400), (90.0, 5000.0, 300), (5000.0, 3000.0, 300), (40.0, 40.0, 60)):
+        rows = []
+        for i in range(n):
+            w, h = rng.choice([(0.0, 0.0), (4.0, 9.0), (width * 0.2, height * 0.2), (width * 0.27, height * 0.26), (width * 0.6, 3.0)])
+            x, y = rng.uniform(-w / 2, width), rng.uniform(-h / 2, height)
+            rows.append(row(1, 0, f"v{i:04}", 0, x, y, x + w * rng.uniform(0.5, 1), y + h))
+        rows += [row(1, 0, f"w{i:04}", 0, 5.0, 5.0, 9.0, 9.0) for i in range(70)]
+        if width == 600.0:
+            rows.sort(key=lambda r: r.y0)
+        want = packed_by_trying_all(rows, width, height)
+        assert {v: (k, tuple(c)) for _, _, v, k, *c in V._packer(width, height)(rows)} == want
+
+
+def test_crops_of_broken_boxes_and_of_a_page_with_many_visuals():
+    import time
+    from collections import namedtuple
+
+    row = namedtuple("Row", "doc_id page_index visual_id priority x0 y0 x1 y1")
+    broken = [row(1, 0, "a", 0, None, 0.0, 1.0, 1.0), row(1, 0, "b", 0, math.nan, 0.0, 1.0, 1.0), row(1, 0, "c", 0, 9.0, 0.0, 1.0, 1.0), row(1, 0, "d", 0, 700.0, 0.0, 800.0, 1.0), row(1, 0, "e", 0, 1.0, 1.0, 2.0, 2.0)]
+    got = {r[2]: r[3:] for r in V._packer(600.0, 900.0)(broken)}
+    assert [got[v][0] for v in "abcde"] == [0, 1, 2, 3, 4] and all(got[v][1] is None for v in "abcd") and got["e"][1:] == (0.0, 0.0, 8.0, 8.0)
+    rng = random.Random(1)
+    points = [(rng.uniform(0, 590), rng.uniform(0, 890)) for _ in range(100_000)]
+    begin = time.monotonic()
+    out = V._packer(600.0, 900.0)([row(1, 0, f"v{i}", 0, x, y, x + 6, y + 6) for i, (x, y) in enumerate(points)])
+    assert len(out) == 100_000 and time.monotonic() - begin < 30
+
+
 def test_segments_of_one_line_are_joined_and_averaged(spark):
     rows = [(1, 0, "horizontal", 10.0, 0.0, 5.0), (1, 0, "horizontal", 10.125, 6.0, 9.0), (1, 0, "horizontal", 10.125, 11.0, 12.0), (1, 0, "vertical", 10.0, 0.0, 5.0), (2, 0, "horizontal", 10.0, 0.0, 5.0)]
     df = spark.createDataFrame(rows, "doc_id long, page_index int, orientation string, coordinate double, start double, end double")
