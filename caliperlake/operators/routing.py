@@ -142,11 +142,13 @@ def resolution(get) -> Column:
     """Struct (family, reasons) of the local resolution of a visual under its family hypotheses (a sorted array).
 
     get(name) gives: hypotheses, boxed, geometry_matches, n_texts, n_distinct, n_known, n_doubled, same_page, n_overlapping, n_exact, exact_type, n_coarse, coordinates_agree,
-    source_value, candidate_value, reference_ok (for reference families), projection_conflict.
+    source_value, candidate_value, projection_conflict, and for the reference families datum_ok and revision_ok (``marks.reference_marks``): the geometry must prove the one asked for and not the other.
     """
     made = lambda *reasons, family=None: F.struct((F.lit(None).cast("string") if family is None else family).alias("family"), _lits(tuple(sorted(reasons))).alias("reasons"))
     h = get("hypotheses")
     one = F.try_element_at(h, F.lit(1))
+    datum, revision = _yes(get("datum_ok")), _yes(get("revision_ok"))
+    proved, refuted = F.when(one == "datum_reference", datum).otherwise(revision), F.when(one == "datum_reference", revision).otherwise(datum)
     wanted = F.when(one == "diameter", "diameter_dimension").when(one == "depth", "thread").when(one == "surface_roughness", "roughness")
     return (
         F.when(~get("boxed"), made("visual_geometry_invalid"))
@@ -157,7 +159,8 @@ def resolution(get) -> Column:
         .when(F.size(h) != 1, made("local_evidence_conflict"))
         .when(one.isin(*ALWAYS) & (get("n_coarse") > 1), made("local_evidence_conflict"))
         .when(one.isin(*ALWAYS), made("missing_local_discriminator"))
-        .when(one.isin(*REFERENCES) & get("reference_ok"), made("local_projection_complete", "deterministic_geometry_complete", family=one))
+        .when(one.isin(*REFERENCES) & refuted, made("local_evidence_conflict"))
+        .when(one.isin(*REFERENCES) & proved, made("local_projection_complete", "deterministic_geometry_complete", family=one))
         .when(one.isin(*REFERENCES), made("local_parse_incomplete"))
         .when(get("n_overlapping") > 1, made("local_evidence_conflict"))
         .when((get("n_exact") != 1) | ~_yes(get("exact_type") == wanted), made("local_parse_incomplete"))
@@ -393,8 +396,8 @@ def preview_heads(revisions: DataFrame) -> DataFrame:
 JOINED = 0.5  # fixed value, in points: ends so near are one vertex
 
 
-def _vertices(rows: list) -> list[tuple]:
-    """Ends of one drawing's segments, each joined to the first vertex within half a point; vertices are looked up by their cell and those around it."""
+def joined_ends(rows: list) -> list[list[tuple[int, float, float]]]:
+    """Both ends of each of one drawing's segments as vertices (number, x, y): an end is joined to the first vertex within half a point; vertices are looked up by their cell and those around it."""
     cells: dict[tuple[int, int], list[tuple[int, float, float]]] = {}
     n, out = 0, []
     for r in rows:
@@ -402,15 +405,19 @@ def _vertices(rows: list) -> list[tuple]:
         for x, y in ((r.ax, r.ay), (r.bx, r.by)):
             gx, gy = int(x // JOINED), int(y // JOINED)
             near = (v for dx in (-1, 0, 1) for dy in (-1, 0, 1) for v in cells.get((gx + dx, gy + dy), ()))
-            k = min((k for k, vx, vy in near if ((vx - x) ** 2 + (vy - y) ** 2) ** 0.5 <= JOINED), default=None)
-            if k is None:
-                k, n = n, n + 1
-                cells.setdefault((gx, gy), []).append((k, x, y))
-            ends.append(k)
-        out.append((*rows[0][:2], r.place, min(ends), max(ends)))
+            vertex = min((v for v in near if ((v[1] - x) ** 2 + (v[2] - y) ** 2) ** 0.5 <= JOINED), default=None)
+            if vertex is None:
+                vertex, n = (n, x, y), n + 1
+                cells.setdefault((gx, gy), []).append(vertex)
+            ends.append(vertex)
+        out.append(sorted(ends))
     return out
 
 
+def _vertices(rows: list) -> list[tuple]:
+    return [(*r[:2], r.place, a[0], b[0]) for r, (a, b) in zip(rows, joined_ends(rows), strict=True)]
+
+
 def clustered_edges(segments: DataFrame) -> DataFrame:
     """Edges between clustered vertices: doc_id, drawing_id, place, ax, ay, bx, by -> doc_id, drawing_id, place, u, v.  A drawing is one group."""
     return by_group(segments.select("doc_id", "drawing_id", "place", "ax", "ay", "bx", "by"), ["doc_id", "drawing_id"], ["place"], _vertices, "doc_id bigint, drawing_id bigint, place int, u int, v int")

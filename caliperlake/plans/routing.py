@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caliperlake.operators import marks as M
 from caliperlake.operators import routing as R
 from caliperlake.plans.balloons import _ID as ID
 from caliperlake.plans.register import query
@@ -118,21 +119,52 @@ _LOCAL = [
         {
             "event_id": "event_id", "boxed": "event_id % 23 <> 0", "geometry_matches": "event_id % 29 <> 0", "n_texts": "CASE WHEN event_id % 31 = 0 THEN 0 ELSE 2 END", "n_distinct": "CASE WHEN event_id % 31 = 0 THEN 0 WHEN event_id % 37 = 0 THEN 1 ELSE 2 END", "n_known": "CASE WHEN event_id % 31 = 0 THEN 0 WHEN event_id % 41 = 0 THEN 1 ELSE 2 END",
             "n_doubled": "CASE WHEN event_id % 43 = 0 THEN 1 ELSE 0 END", "same_page": "event_id % 19 <> 0", "k": "event_id % 8", "n_overlapping": "CASE WHEN event_id % 17 = 0 THEN 2 ELSE 1 END", "n_exact": "CASE WHEN event_id % 13 = 0 THEN 0 ELSE 1 END", "n_coarse": "CASE WHEN event_id % 5 = 0 THEN 2 ELSE 1 END",
-            "exact_type": "CASE event_id % 8 WHEN 0 THEN 'diameter_dimension' WHEN 1 THEN 'thread' WHEN 2 THEN 'roughness' ELSE 'radius' END", "coordinates_agree": "event_id % 11 <> 0", "source_value": "CASE WHEN event_id % 14 = 0 THEN NULL ELSE '5' END", "candidate_value": "CASE WHEN event_id % 9 = 0 THEN '6' ELSE '5' END", "reference_ok": "event_id % 3 = 0", "projection_conflict": "event_id % 47 = 0",
+            "exact_type": "CASE event_id % 8 WHEN 0 THEN 'diameter_dimension' WHEN 1 THEN 'thread' WHEN 2 THEN 'roughness' ELSE 'radius' END", "coordinates_agree": "event_id % 11 <> 0", "source_value": "CASE WHEN event_id % 14 = 0 THEN NULL ELSE '5' END", "candidate_value": "CASE WHEN event_id % 9 = 0 THEN '6' ELSE '5' END", "projection_conflict": "event_id % 47 = 0",
         },
     )
 ]
+# Drawings around the text of each event, of nine kinds, with sides of 6 to 35 points: a square of lines, a box, both in one place, two boxes, a triangle around two characters, one around a letter, a square
+# with a diagonal, a triangle in a box, a square beside a broken line.
+_KIND, _SIDE, _LEFT = "CAST(floor(abs(value) * 7) AS BIGINT) % 9", "CAST(6 + event_id % 30 AS DOUBLE)", "CAST(event_id % 50 AS DOUBLE)"
+
+
+def _stroke(place: int, kinds: str, opcode: str, ax: str, ay: str, bx: str, by: str) -> tuple[str, dict[str, str]]:
+    return f"{_KIND} IN ({kinds})", {"doc_id": "user_id", "visual_id": "event_id", "place": f"CAST({place} AS INT)", "opcode": f"'{opcode}'", "ax": ax, "ay": ay, "bx": bx, "by": by}
+
+
+_RIGHT, _ZERO = f"{_LEFT} + {_SIDE}", "0e0"
+_MARK_PATHS = [
+    _stroke(0, "0, 2, 4, 5, 6, 7, 8", "l", _LEFT, _ZERO, _RIGHT, _ZERO), _stroke(1, "0, 2, 6, 8", "l", _RIGHT, _ZERO, _RIGHT, _SIDE), _stroke(2, "0, 2, 6, 8", "l", _RIGHT, _SIDE, _LEFT, _SIDE),
+    _stroke(3, "0, 2, 4, 5, 6, 7, 8", "l", _LEFT, _SIDE, _LEFT, "25e-2"), _stroke(4, "4, 5, 6, 7", "l", _RIGHT, _ZERO, _LEFT, _SIDE), _stroke(5, "1, 2, 3, 7", "re", _LEFT, _ZERO, _RIGHT, _SIDE),
+    _stroke(6, "3", "re", f"{_LEFT} - 1e0", "-1e0", f"{_RIGHT} + 1e0", f"{_SIDE} + 1e0"), _stroke(7, "8", "l", _LEFT, "CAST(NULL AS DOUBLE)", _RIGHT, _ZERO),
+]
+_MARK_TEXTS = [("true", {"doc_id": "user_id", "visual_id": "event_id", "raw_text": f"CASE WHEN {_KIND} = 4 THEN 'A1' ELSE ' A' END", "x0": f"{_LEFT} + {_SIDE} / 3 - 1", "y0": f"{_SIDE} / 3 - 1", "x1": f"{_LEFT} + {_SIDE} / 3 + 1", "y1": f"{_SIDE} / 3 + 1"})]
+_MARKED = {"n_boxes": f"CASE WHEN {_KIND} IN (0, 1, 2, 6, 7) THEN 1 WHEN {_KIND} = 3 THEN 2 ELSE 0 END", "n_triangles": f"CASE WHEN event_id % 30 > 18 THEN 0 WHEN {_KIND} IN (4, 5, 7) THEN 1 WHEN {_KIND} = 6 THEN 2 ELSE 0 END"}
+
+
+def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = S.table(spark, sf_dir, "events")
+    visuals = e.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("visual_id"))
+    return M.reference_marks(visuals, S.derived(e, _MARK_TEXTS), S.derived(e, _MARK_PATHS)).withColumnRenamed("visual_id", "event_id").drop("doc_id")
+
+
+@query(f"SELECT event_id, n_boxes, n_triangles, n_boxes = 1 AS datum_ok, n_triangles = 1 AS revision_ok FROM (SELECT event_id, {', '.join(f'{e} AS {c}' for c, e in _MARKED.items())} FROM events)")
+def cls13_reference_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _marks(spark, sf_dir)
+
+
+_LOCAL_SQL = [(_LOCAL[0][0], _LOCAL[0][1] | {"datum_ok": f"{_MARKED['n_boxes']} = 1", "revision_ok": f"{_MARKED['n_triangles']} = 1"})]
 _HYPOTHESES = (("diameter",), ("depth",), ("surface_roughness",), ("datum_reference",), ("counterbore",), (), ("depth", "diameter"), ("zzz",))
 _GUARDS = "WHEN NOT boxed THEN 'visual_geometry_invalid' WHEN NOT geometry_matches THEN 'source_reconstruction_mismatch' WHEN n_texts = 0 OR n_distinct <> n_texts OR n_known <> n_texts OR n_doubled > 0 THEN 'coverage_lineage_incomplete' WHEN NOT same_page THEN 'local_evidence_conflict'"
 _TYPED = "WHEN n_overlapping > 1 THEN 'local_evidence_conflict' WHEN n_exact <> 1 THEN 'local_parse_incomplete' WHEN NOT coordinates_agree THEN 'local_evidence_conflict' WHEN source_value IS NULL THEN 'local_parse_incomplete' WHEN source_value <> candidate_value THEN 'local_evidence_conflict' WHEN projection_conflict THEN 'local_evidence_conflict'"
-_RESOLVED = f"""{S.derived_sql('l', 'events', _LOCAL)}, r AS (SELECT *, CASE {_GUARDS} WHEN k IN (5, 7) THEN 'unknown_symbol_pattern' WHEN k = 6 THEN 'local_evidence_conflict' WHEN k = 4 THEN CASE WHEN n_coarse > 1 THEN 'local_evidence_conflict' ELSE 'missing_local_discriminator' END WHEN k = 3 THEN CASE WHEN reference_ok THEN 'deterministic_geometry_complete,local_projection_complete' ELSE 'local_parse_incomplete' END
+_RESOLVED = f"""{S.derived_sql('l', 'events', _LOCAL_SQL)}, r AS (SELECT *, CASE {_GUARDS} WHEN k IN (5, 7) THEN 'unknown_symbol_pattern' WHEN k = 6 THEN 'local_evidence_conflict' WHEN k = 4 THEN CASE WHEN n_coarse > 1 THEN 'local_evidence_conflict' ELSE 'missing_local_discriminator' END WHEN k = 3 THEN CASE WHEN revision_ok THEN 'local_evidence_conflict' WHEN datum_ok THEN 'deterministic_geometry_complete,local_projection_complete' ELSE 'local_parse_incomplete' END
   {_TYPED} ELSE 'local_projection_complete,native_symbol_explicit' END AS reasons FROM l)"""
 
 
 def _local(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = S.derived(S.table(spark, sf_dir, "events"), _LOCAL)
     h = F.element_at(F.array(*(F.array(*(F.lit(c) for c in hs)).cast("array<string>") for hs in _HYPOTHESES)), (F.col("k") + 1).cast("int"))
-    return e.withColumn("hypotheses", h)
+    return e.withColumn("hypotheses", h).join(_marks(spark, sf_dir), "event_id")
 
 
 @query(f"WITH {_RESOLVED} SELECT event_id, CASE WHEN reasons LIKE '%local_projection_complete%' THEN CASE k WHEN 0 THEN 'diameter' WHEN 1 THEN 'depth' WHEN 2 THEN 'surface_roughness' ELSE 'datum_reference' END END AS family, reasons FROM r")
@@ -140,8 +172,8 @@ def cls13_local_resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _local(spark, sf_dir).select("event_id", R.resolution(F.col).alias("r")).select("event_id", "r.family", F.array_join("r.reasons", ",").alias("reasons"))
 
 
-@query(f"""WITH {S.derived_sql('l', 'events', _LOCAL)}, g AS (SELECT *, CASE {_GUARDS} {_TYPED} END AS typed, CASE {_GUARDS} END AS guard FROM l)
-  SELECT event_id, concat_ws(',', CASE WHEN guard IS NULL AND reference_ok THEN 'datum_reference' END, CASE WHEN typed IS NULL AND exact_type = 'thread' THEN 'depth' END, CASE WHEN typed IS NULL AND exact_type = 'diameter_dimension' THEN 'diameter' END, CASE WHEN guard IS NULL AND reference_ok THEN 'revision_marker' END, CASE WHEN typed IS NULL AND exact_type = 'roughness' THEN 'surface_roughness' END) AS families FROM g""")
+@query(f"""WITH {S.derived_sql('l', 'events', _LOCAL_SQL)}, g AS (SELECT *, CASE {_GUARDS} {_TYPED} END AS typed, CASE {_GUARDS} END AS guard FROM l)
+  SELECT event_id, concat_ws(',', CASE WHEN guard IS NULL AND datum_ok AND NOT revision_ok THEN 'datum_reference' END, CASE WHEN typed IS NULL AND exact_type = 'thread' THEN 'depth' END, CASE WHEN typed IS NULL AND exact_type = 'diameter_dimension' THEN 'diameter' END, CASE WHEN guard IS NULL AND revision_ok AND NOT datum_ok THEN 'revision_marker' END, CASE WHEN typed IS NULL AND exact_type = 'roughness' THEN 'surface_roughness' END) AS families FROM g""")
 def cls32_completed_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _local(spark, sf_dir).select("event_id", F.array_join(R.completed_families(F.col), ",").alias("families"))
 
