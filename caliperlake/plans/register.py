@@ -3,17 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from caliperlake.session import prepared
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def on_prepared(f: Query) -> Query:
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(prepared(spark), sf_dir)
+
+    return run
+
+
 def query(sql: str) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = on_prepared(f)
         ORACLES[f.__name__] = sql
         return f
 
