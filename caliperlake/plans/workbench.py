@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caliperlake.operators import workbench as W
+from caliperlake.operators.merges import merge_outcomes
+from caliperlake.plans.balloons import _ID as ID
 from caliperlake.plans.register import query
 from caliperlake.sources import adapters as S
 
@@ -22,6 +24,43 @@ def agg26_merged_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.merged_fields(S.table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "k"), ["k"], ["l_returnflag", "l_linestatus"])
 
 
+# Decisions on the candidates of a part, each of one of five visuals, the last of which has no place; the fields are spelled out as one column, as all of them change the depth only.
+_N = "CAST(l_quantity AS INT)"
+_DECIDED = [
+    (
+        "true",
+        {
+            "doc_id": "l_suppkey", "decision": ID, "visual_id": "'v' || CAST(l_orderkey % 5 AS STRING)", "existing": "CASE WHEN l_linenumber = 6 THEN NULL ELSE 'p' || CAST(l_partkey AS STRING) END", "own_text": "'t' || CAST(l_linenumber % 2 AS STRING)",
+            "x0": "CAST(l_orderkey % 50 AS DOUBLE)", "y0": "CAST(l_linenumber AS DOUBLE)", "x1": f"CAST(l_orderkey % 50 + {_N} AS DOUBLE)", "y1": "CAST(l_linenumber + 5 AS DOUBLE)", "disposition": f"CASE WHEN {_N} = 1 THEN 'ambiguous' ELSE 'candidate' END",
+            "code": f"CASE WHEN {_N} = 1 THEN 'visual_local_parse_failed' END", "candidate_id": f"CASE WHEN {_N} = 1 THEN NULL ELSE 'p' || CAST(l_partkey AS STRING) END", "requires_confirmation": f"{_N} > 45", "signal": f"CASE WHEN l_linenumber = 5 THEN NULL ELSE CAST({_N} AS DOUBLE) / 64 END",
+            "depth": f"CASE WHEN l_tax = 0 THEN NULL WHEN {_N} = 2 THEN '9' WHEN l_returnflag = 'A' THEN '7' ELSE '5' END",
+        },
+    )
+]
+_SEEN_AT = [("l_orderkey % 5 < 4", {"doc_id": "l_suppkey", "visual_id": "'v' || CAST(l_orderkey % 5 AS STRING)", "page_index": "CAST(l_orderkey % 5 % 2 AS INT)", "y0": "CAST((l_suppkey + l_orderkey % 5) % 3 AS DOUBLE)", "x0": "CAST(l_orderkey % 5 AS DOUBLE)"})]
+_BASES = [("l_partkey % 11 <> 0", {"doc_id": "l_suppkey", "candidate_id": "'p' || CAST(l_partkey AS STRING)"})]
+
+
+@query(f"""WITH {S.derived_sql('d', 'lineitem', _DECIDED)}, {S.derived_sql('w', 'lineitem', _SEEN_AT)}, {S.derived_sql('k', 'lineitem', _BASES)}, v AS (SELECT DISTINCT doc_id, visual_id, page_index AS page, y0 AS vy, x0 AS vx FROM w), b AS (SELECT DISTINCT doc_id, candidate_id AS existing, true AS known FROM k),
+  m AS (SELECT doc_id, existing, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM d WHERE existing IS NOT NULL GROUP BY ALL HAVING count(DISTINCT visual_id || own_text) > 1),
+  r AS (SELECT d.*, row_number() OVER (PARTITION BY d.doc_id, d.existing ORDER BY page IS NULL, page, vy, vx, d.visual_id, decision) AS rk FROM d JOIN m ON d.doc_id = m.doc_id AND d.existing = m.existing LEFT JOIN v ON v.doc_id = d.doc_id AND v.visual_id = d.visual_id),
+  s AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, existing, visual_id, own_text ORDER BY depth IS NULL, decision) = 1),
+  f AS (SELECT doc_id, existing, bool_and(disposition = 'candidate' AND depth IS NOT NULL AND coalesce(known, false)) AND count(DISTINCT depth) FILTER (depth <> '5') < 2 AS good, max(depth) AS deepest, bool_or(requires_confirmation) AS unsure, min(signal) AS least FROM s LEFT JOIN b USING (doc_id, existing) GROUP BY ALL),
+  e AS (SELECT doc_id, existing, source, min(2 * rk + pos) AS first FROM (SELECT doc_id, existing, rk, unnest([visual_id, own_text]) AS source, unnest([0, 1]) AS pos FROM r) GROUP BY ALL),
+  o AS (SELECT e.doc_id, existing, string_agg(source, ',' ORDER BY page IS NULL, page, vy, vx, CASE WHEN page IS NOT NULL THEN source END, first) AS sources FROM e LEFT JOIN v ON v.doc_id = e.doc_id AND v.visual_id = e.source GROUP BY ALL)
+  SELECT d.doc_id, d.decision, CASE WHEN NOT good THEN 'ambiguous' ELSE d.disposition END AS disposition, CASE WHEN NOT good THEN 'visual_projection_conflict' ELSE d.code END AS code, CASE WHEN good IS NOT false THEN d.candidate_id END AS candidate_id, CASE WHEN good THEN unsure WHEN NOT good THEN true ELSE d.requires_confirmation END AS requires_confirmation,
+    CASE WHEN good THEN least ELSE d.signal END AS signal, coalesce(sources, d.visual_id || ',' || d.own_text) AS sources, coalesce(m.x0, d.x0) AS x0, coalesce(m.y0, d.y0) AS y0, coalesce(m.x1, d.x1) AS x1, coalesce(m.y1, d.y1) AS y1,
+    CASE WHEN good THEN CASE WHEN r.rk = 1 THEN 'depth=' || deepest || ',kind=hole' END WHEN good IS NULL THEN 'depth=' || d.depth || ',kind=hole' END AS fields, coalesce(good AND r.rk = 1, false) AS is_primary, CASE WHEN good AND r.rk = 1 THEN NOT unsure END AS truth_preserved
+  FROM d LEFT JOIN m ON m.doc_id = d.doc_id AND m.existing = d.existing LEFT JOIN f ON f.doc_id = d.doc_id AND f.existing = d.existing LEFT JOIN o ON o.doc_id = d.doc_id AND o.existing = d.existing LEFT JOIN r ON r.doc_id = d.doc_id AND r.decision = d.decision""")
+def agg26_merge_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = S.table(spark, sf_dir, "lineitem")
+    fields = lambda depth: F.create_map(F.lit("depth"), depth, F.lit("kind"), F.lit("hole"))
+    decisions = S.derived(li, _DECIDED).withColumns({"source_ids": F.array("visual_id", "own_text"), "fields": F.when(F.col("depth").isNotNull(), fields(F.col("depth")))})
+    out = merge_outcomes(decisions, S.derived(li, _SEEN_AT), S.derived(li, _BASES).withColumn("fields", fields(F.lit("5"))))
+    text = F.array_join(F.array_sort(F.transform(F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+    return out.withColumns({"sources": F.array_join("source_ids", ","), "fields": text}).drop("source_ids", "visual_id").withColumnRenamed("primary", "is_primary")
+
+
 @query("""WITH a AS (SELECT l_orderkey AS v, list_sort(list_distinct(list(l_linenumber))) AS k FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL), b AS (SELECT l_orderkey AS c, list_sort(list_distinct(list(l_linenumber))) AS k FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL)
   SELECT v AS visual_id, c AS candidate_id FROM a JOIN b ON a.k = b.k AND v % 100 = c % 100 AND v // 1000 = c // 1000""")
 def join16_same_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
