@@ -43,20 +43,46 @@ def title_lines(lines: DataFrame) -> DataFrame:
     return kept.where("text <> ''")
 
 
-def _fields(texts: DataFrame) -> DataFrame:
-    field = F.lit(None).cast("string")
-    for name, said in LABELS.items():
-        field = F.when(F.col("text").isin(*said), name).otherwise(field)
-    return texts.withColumn("field", field).where("field is not null")
-
+# A text of a title block as it is held in its page's array.
+_V = ("observation_id", "raw_text", "text", "x0", "y0", "x1", "y1", "page_width")
 
-def _only(rows: DataFrame) -> DataFrame:
-    """Rows (page, field, ...) with how many their page and field have."""
-    keys = [*PAGE, "field"]
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct(*(c for c in rows.columns if c not in keys))).alias("r"))
 
+def _fields(texts: DataFrame) -> DataFrame:
+    """Title lines -> a row for each field that a page has a label or a value of: page, field, n (how many labels or values), observation_id, raw_text and label_id of the value if there is one only.
 
-_V = ("observation_id", "raw_text", "text", "x0", "y0", "x1", "y1")
+    A page's lines meet in one array, which holds its lower right corner only, and each of the few labels passes over it once: nothing is joined, and the lines are made and dealt once.
+    """
+    keys = list(PAGE)
+    pages = texts.groupBy(*keys).agg(F.collect_list(F.struct(*_V)).alias("lines"))
+    among = lambda said: lambda t: t["text"].isin(*said)
+    pages = pages.where(F.size(F.array_distinct(F.transform(F.filter("lines", among(ANCHORS)), lambda t: t["text"]))) >= 2)
+    pages = pages.withColumn("values", F.filter("lines", lambda t: ~t["text"].isin(*_ALL)))
+    labels = [F.struct(F.lit(name).alias("field"), F.filter("lines", among(said)).alias("labels")) for name, said in LABELS.items()]
+    rows = pages.select(*keys, "values", F.explode(F.array(*labels)).alias("l")).select(*keys, "values", "l.field", "l.labels").where(F.size("labels") > 0)
+    rows = rows.select(*keys, "field", F.size("labels").alias("_labels"), F.element_at("labels", 1).alias("label"), F.when(F.size("labels") == 1, F.col("values")).otherwise(F.slice("values", 1, 0)).alias("values"))
+    field, label = F.col("field"), F.col("label")
+
+    def belongs(v: Column) -> Column:
+        gap, middle = v["x0"] - label["x1"], F.abs((v["y0"] + v["y1"]) / 2 - (label["y0"] + label["y1"]) / 2)
+        level = F.greatest(F.lit(2.0), F.least(label["y1"] - label["y0"], v["y1"] - v["y0"]) * 0.4)
+        kind = F.when(field == "material", is_material(v["text"])).otherwise(is_code(v["text"]))
+        beside = (field != "revision") & gap.between(F.lit(1.0), label["page_width"] * 0.17) & (middle <= level) & kind
+        rise = label["y0"] - v["y1"]
+        above = (field == "revision") & rise.between(0.0, 45.0) & (interval_overlap(label["x0"], label["x1"], v["x0"], v["x1"]) >= 0.65) & is_revision(v["text"])
+        return beside | above
+
+    rows = rows.withColumn("found", F.filter("values", belongs)).withColumn("d", F.when((F.size("found") == 1) & (field == "drawing_number"), F.get("found", F.lit(0))))
+    d = F.col("d")
+
+    def names(v: Column) -> Column:
+        rise, shift = d["y0"] - v["y1"], F.abs((v["x0"] + v["x1"]) / 2 - (d["x0"] + d["x1"]) / 2)
+        return rise.between(10.0, 90.0) & (shift <= label["page_width"] * 0.08) & (interval_overlap(d["x0"], d["x1"], v["x0"], v["x1"]) >= 0.5) & is_name(v["text"]) & (v["observation_id"] != d["observation_id"])
+
+    made = lambda name, n, found: F.struct(name.alias("field"), n.alias("n"), F.get(found, F.lit(0)).alias("v"))
+    rows = rows.withColumn("named", F.when(d.isNotNull(), F.filter("values", names)))
+    both = F.array(made(field, F.greatest("_labels", F.size("found")), F.col("found")), made(F.lit("material_name"), F.size(F.coalesce("named", F.slice("found", 1, 0))), F.col("named")))
+    out = rows.select(*keys, label["observation_id"].alias("label_id"), "_labels", F.explode(both).alias("r")).where((F.col("r.n") > 1) | F.col("r.v").isNotNull())
+    return out.select(*keys, "r.field", "r.n", F.col("r.v.observation_id").alias("observation_id"), F.col("r.v.raw_text").alias("raw_text"), "label_id")
 
 
 def suggestions(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -65,30 +91,11 @@ def suggestions(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     A page needs two different anchor labels.  A field with one label takes the one value of its kind in the row to the right (or, for the revision,
     above in the column); two labels or values make it ambiguous.  The one name above the drawing number is the material's name.
     """
-    keys = list(PAGE)
-    anchored = texts.where(F.col("text").isin(*ANCHORS)).groupBy(*keys).agg(F.count_distinct("text").alias("n")).where("n >= 2").select(*keys)
-    texts = texts.join(anchored, keys, "left_semi")
-    labels = _only(_fields(texts).select(*keys, "field", "observation_id", "x0", "y0", "x1", "y1", "page_width"))
-    single = labels.where("n = 1").select(*keys, "field", F.col("r.observation_id").alias("label_id"), *(F.col(f"r.{c}").alias(f"l_{c}") for c in ("x0", "y0", "x1", "y1", "page_width")))
-    values = texts.where(~F.col("text").isin(*_ALL)).select(*keys, *_V)
-    gap, middle = F.col("x0") - F.col("l_x1"), F.abs((F.col("y0") + F.col("y1")) / 2 - (F.col("l_y0") + F.col("l_y1")) / 2)
-    level = F.greatest(F.lit(2.0), F.least(F.col("l_y1") - F.col("l_y0"), F.col("y1") - F.col("y0")) * 0.4)
-    kind = F.when(F.col("field") == "material", is_material(F.col("text"))).otherwise(is_code(F.col("text")))
-    beside = (F.col("field") != "revision") & gap.between(F.lit(1.0), F.col("l_page_width") * 0.17) & (middle <= level) & kind
-    rise = F.col("l_y0") - F.col("y1")
-    above = (F.col("field") == "revision") & rise.between(0.0, 45.0) & (interval_overlap(F.col("l_x0"), F.col("l_x1"), F.col("x0"), F.col("x1")) >= 0.65) & is_revision(F.col("text"))
-    first = _only(single.join(values, keys).where(beside | above).select(*keys, "field", *_V, "label_id", "l_page_width"))
-    drawing = first.where("n = 1 and field = 'drawing_number'").select(*keys, F.col("r.label_id").alias("label_id"), F.col("r.l_page_width").alias("w"), *(F.col(f"r.{c}").alias(f"d_{c}") for c in ("observation_id", "x0", "y0", "x1")))
-    rise = F.col("d_y0") - F.col("y1")
-    shift = F.abs((F.col("x0") + F.col("x1")) / 2 - (F.col("d_x0") + F.col("d_x1")) / 2)
-    over = rise.between(10.0, 90.0) & (shift <= F.col("w") * 0.08) & (interval_overlap(F.col("d_x0"), F.col("d_x1"), F.col("x0"), F.col("x1")) >= 0.5) & is_name(F.col("text")) & (F.col("observation_id") != F.col("d_observation_id"))
-    names = _only(drawing.join(values, keys).where(over).select(*keys, F.lit("material_name").alias("field"), *_V, "label_id", F.col("w").alias("l_page_width")))
-    found = first.unionByName(names)
-    many = labels.where("n > 1").select("doc_id", "field").unionByName(found.where("n > 1").select("doc_id", "field")).distinct()
-    return found.where("n = 1").select(*keys, "field", F.trim("r.raw_text").alias("value"), "r.observation_id", "r.label_id"), many
-
-
-def unique_suggestions(found: DataFrame, ambiguous: DataFrame) -> DataFrame:
-    """Of each document the fields with one suggestion on all its pages, none of which leaves the field ambiguous."""
-    one = found.groupBy("doc_id", "field").agg(F.count("*").alias("n"), F.min(F.struct("page_index", "value", "observation_id")).alias("s")).where("n = 1")
-    return one.join(ambiguous, ["doc_id", "field"], "left_anti").select("doc_id", "field", "s.page_index", "s.value", "s.observation_id")
+    found = _fields(texts)
+    return found.where("n = 1").select(*PAGE, "field", F.trim("raw_text").alias("value"), "observation_id", "label_id"), found.where("n > 1").select("doc_id", "field").distinct()
+
+
+def unique_suggestions(texts: DataFrame) -> DataFrame:
+    """Of each document's title lines the fields with one suggestion on all its pages, none of which leaves the field ambiguous."""
+    one = _fields(texts).groupBy("doc_id", "field").agg(F.count("*").alias("n"), F.max("n").alias("most"), F.min(F.struct("page_index", F.trim("raw_text").alias("value"), "observation_id")).alias("s"))
+    return one.where("n = 1 and most = 1").select("doc_id", "field", "s.page_index", "s.value", "s.observation_id")

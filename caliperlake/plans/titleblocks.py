@@ -66,7 +66,7 @@ def join05_06_07_title_suggestions(spark: SparkSession, sf_dir: str) -> DataFram
 
 @query(f"{_FOUND} SELECT doc_id, field, any_value(page_index) AS page_index, any_value(trim(raw_text)) AS value, any_value(observation_id) AS observation_id FROM f ANTI JOIN amb USING (doc_id, field) WHERE n = 1 GROUP BY doc_id, field HAVING count(*) = 1")
 def agg08_unique_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.unique_suggestions(*B.suggestions(B.title_lines(_lines(spark, sf_dir))))
+    return B.unique_suggestions(B.title_lines(_lines(spark, sf_dir)))
 
 
 @query(f"""WITH {_TITLE} SELECT observation_id, regexp_full_match(t, '[A-Za-z0-9][A-Za-z0-9._/-]{{2,63}}') AS is_code, length(t) <= 64 AND t NOT IN ('物料编码', '图样代号', '材质', '材料', '版本号') AND regexp_matches(t, '[\\p{{L}}\\p{{N}}]') AS is_material,
