@@ -184,6 +184,8 @@ def watermarks(texts: DataFrame, pages: DataFrame, angle: float = -30.0) -> Data
     step = lambda a, b, s: F.bround((F.col(a) - F.col(b)) / F.col(s))
     pairs = own.join(other, [*keys, "_bx", "_by"]).withColumns({"col": step("ox", "cx", "sx"), "line": step("oy", "cy", "sy")})
     on = (F.abs(F.col("ox") - F.col("cx") - F.col("col") * F.col("sx")) <= LATTICE_TOLERANCE) & (F.abs(F.col("oy") - F.col("cy") - F.col("line") * F.col("sy")) <= LATTICE_TOLERANCE)
-    cells = pairs.where(on).groupBy(*keys, "observation_id").agg(F.count("*").alias("n"), F.count_distinct("col", "line").alias("cells"), F.count_distinct("col").alias("cols"), F.count_distinct("line").alias("rows"))
-    good = cells.where((F.col("n") == F.col("cells")) & (F.col("cells") >= LEAST_WATERMARKS) & (F.col("cols") >= 2) & (F.col("rows") >= 3)).select(*keys).distinct()
+    # One pass over the pairs: three distinct counts would write each of them four times.
+    cells = pairs.where(on).groupBy(*keys, "observation_id").agg(F.count("*").alias("n"), F.collect_set(F.struct("col", "line")).alias("cells"))
+    kinds = lambda c: F.size(F.array_distinct(F.col(f"cells.{c}")))
+    good = cells.where((F.col("n") == F.size("cells")) & (F.size("cells") >= LEAST_WATERMARKS) & (kinds("col") >= 2) & (kinds("line") >= 3)).select(*keys).distinct()
     return enough.join(good, keys, "left_semi").select(*keys, "observation_id")
