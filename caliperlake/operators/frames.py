@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caliperlake.functions import tolerances as T
 from caliperlake.functions.geometry import Box, centre, expanded, in_padded_frame
-from caliperlake.operators.spatial import PAGE, by_group, page_pairs
+from caliperlake.operators.spatial import PAGE, page_pairs
+from caliperlake.scratch import written
 
 # Fixed values, in points: tolerance of an axis, gap that is bridged, limits of a frame, padding around it.
 AXIS, GAP = 0.25, 1.5
@@ -32,22 +36,31 @@ def axis_segments(items: DataFrame) -> DataFrame:
     )
 
 
-def _join(rows: list) -> list[tuple]:
-    """Runs of segments of one page and orientation; the coordinate is averaged step by step, so the order counts."""
-    runs: list[list[float]] = []
-    for r in rows:
-        if runs and abs(runs[-1][0] - r.coordinate) <= AXIS and r.start <= runs[-1][2] + GAP:
-            last = runs[-1]
-            runs[-1] = [(last[0] + r.coordinate) / 2.0, min(last[1], r.start), max(last[2], r.end)]
-        else:
-            runs.append([r.coordinate, r.start, r.end])
-    return [(*rows[0][:3], *run) for run in runs]
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs of sorted segments of one page and orientation; the coordinate is averaged step by step, so the order counts.  Only the open run is held, over batches too."""
+    names = [*PAGE, "orientation", "coordinate", "start", "end"]
+    key, at, low, high = None, 0.0, 0.0, 0.0
+    for pdf in batches:
+        done: list[tuple] = []
+        for doc, page, way, c, s, e in zip(*(pdf[n].tolist() for n in names), strict=True):
+            if key is not None and (doc, page, way) == key and abs(at - c) <= AXIS and s <= high + GAP:
+                at, low, high = (at + c) / 2.0, min(low, s), max(high, e)
+                continue
+            if key is not None:
+                done.append((*key, at, low, high))
+            key, at, low, high = (doc, page, way), c, s, e
+        if done:
+            yield pd.DataFrame(done, columns=names)
+    if key is not None:
+        yield pd.DataFrame([(*key, at, low, high)], columns=names)
 
 
 def joined_segments(segments: DataFrame) -> DataFrame:
-    """Collinear segments that touch, or nearly so, as one; the group is one orientation of one page."""
+    """Collinear segments that touch, or nearly so, as one; segments stream through sorted partitions, so a task holds one run at a time."""
     schema = "doc_id bigint, page_index int, orientation string, coordinate double, start double, end double"
-    return by_group(segments, [*PAGE, "orientation"], ["coordinate", "start", "end"], _join, schema)
+    keys = [*PAGE, "orientation"]
+    rows = segments.select(*keys, "coordinate", "start", "end").repartition(*keys).sortWithinPartitions(*keys, "coordinate", "start", "end")
+    return rows.mapInPandas(_runs, schema)
 
 
 def deduped_positions(positions: Column) -> Column:
@@ -68,16 +81,18 @@ def _bands(low: Column, high: Column) -> Column:
 def frames(joined: DataFrame) -> DataFrame:
     """Frames of a page: two horizontals at a frame's distance, at least three verticals from one to the other, and no third full-width line.
 
-    Lines meet within horizontal bands as high as a frame may be, so a page is no nested loop.
+    Lines meet within horizontal bands as high as a frame may be, so a page is no nested loop.  The lines are written once: four joins read them, and each would join the segments again.
     """
+    joined = written(joined, "joined-segments")
     flat = joined.where("orientation = 'horizontal'").select(*PAGE, "coordinate", "start", "end")
     top = flat.select(*PAGE, F.col("coordinate").alias("y0"), F.col("start").alias("ts"), F.col("end").alias("te"), F.explode(_bands(F.col("coordinate"), F.col("coordinate") + MOST_HEIGHT)).alias("band"))
     bottom = flat.select(*PAGE, F.col("coordinate").alias("y1"), F.col("start").alias("bs"), F.col("end").alias("be"), F.floor(F.col("coordinate") / MOST_HEIGHT).alias("band"))
     pairs = top.join(bottom, [*PAGE, "band"]).where((F.col("y1") - F.col("y0")).between(LEAST_HEIGHT, MOST_HEIGHT)).withColumn("band", F.floor(F.col("y0") / MOST_HEIGHT))
     steep = joined.where("orientation = 'vertical'").select(*PAGE, F.col("coordinate").alias("x"), "start", "end", F.explode(_bands(F.col("start") - AXIS, F.col("end") + AXIS)).alias("band"))
     crossing = pairs.join(steep, [*PAGE, "band"]).where((F.col("start") <= F.col("y0") + AXIS) & (F.col("end") >= F.col("y1") - AXIS))
-    found = crossing.groupBy(*PAGE, "y0", "y1", "ts", "te", "bs", "be").agg(deduped_positions(F.collect_list("x")).alias("cells"), F.bool_or((F.col("start") < F.col("y0") - AXIS) | (F.col("end") > F.col("y1") + AXIS)).alias("outside"))
-    found = found.where((F.size("cells") >= 3) & ~F.col("outside")).withColumns({"x0": F.element_at("cells", 1), "x1": F.element_at("cells", -1)})
+    outside = F.bool_or((F.col("start") < F.col("y0") - AXIS) | (F.col("end") > F.col("y1") + AXIS))  # such a frame is none, and its verticals need not be put together
+    found = crossing.groupBy(*PAGE, "y0", "y1", "ts", "te", "bs", "be").agg(F.when(~outside, deduped_positions(F.collect_list("x"))).alias("cells"))
+    found = found.where(F.size("cells") >= 3).withColumns({"x0": F.element_at("cells", 1), "x1": F.element_at("cells", -1)})
     covers = lambda s, e: (F.col(s) <= F.col("x0") + AXIS) & (F.col(e) >= F.col("x1") - AXIS)
     found = found.where((F.col("x1") - F.col("x0")).between(LEAST_WIDTH, MOST_WIDTH) & covers("ts", "te") & covers("bs", "be"))
     found = found.select(*PAGE, "x0", "y0", "x1", "y1", "cells").distinct()
