@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from caliperlake.functions.geometry import Box, axis_gaps, centre, interval_overlap, iou
 from caliperlake.operators.balloons import DIGIT, FONT, INSET, LINE
-from caliperlake.operators.spatial import PAGE, page_pairs
+from caliperlake.operators.spatial import PAGE, _starts, by_tables, page_pairs
 from caliperlake.scratch import written
 
 
@@ -85,36 +85,39 @@ REACH = float(np.abs(_WAYS).max()) + RADIUS  # of an item's places, with their c
 _CELL = 2 * (REACH - RADIUS)  # two leaders can only cross if their markers are in neighbouring cells of this size
 
 
-def _near(c: np.ndarray, b: np.ndarray, radius: float) -> np.ndarray:
-    """Which circles (.., 2) meet which boxes (.., 4), pair by pair."""
-    x, y = c[..., 0], c[..., 1]
-    return np.hypot(x - np.minimum(np.maximum(x, b[..., 0]), b[..., 2]), y - np.minimum(np.maximum(y, b[..., 1]), b[..., 3])) < radius
+_SLACK = 1e-6  # of tests that come before exact ones
 
 
-def _meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _near(x: np.ndarray, y: np.ndarray, box: tuple, radius: float) -> np.ndarray:
+    """Which circles around (x, y) meet which boxes (x0, y0, x1, y1), pair by pair; distances are worked out in the square around the circle only."""
+    dx, dy = x - np.minimum(np.maximum(x, box[0]), box[2]), y - np.minimum(np.maximum(y, box[1]), box[3])
+    hit = (np.abs(dx) < radius + _SLACK) & (np.abs(dy) < radius + _SLACK)
+    hit[hit] = np.hypot(dx[hit], dy[hit]) < radius
+    return hit
+
+
+def _meet(a: tuple, b: tuple) -> np.ndarray:
     """Which boxes meet which, strictly, pair by pair."""
-    return (a[..., 0] < b[..., 2]) & (a[..., 1] < b[..., 3]) & (b[..., 0] < a[..., 2]) & (b[..., 1] < a[..., 3])
+    return (a[0] < b[2]) & (a[1] < b[3]) & (b[0] < a[2]) & (b[1] < a[3])
 
 
-def _crossed_boxes(c: np.ndarray, t: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which leaders from c to t reach which boxes: an end inside, or an edge on the way."""
-    low, high = b[..., :2], b[..., 2:]
-    inside = lambda p: ((p >= low) & (p <= high)).all(axis=-1)
+def _crossed_boxes(c: tuple, t: tuple, b: tuple) -> np.ndarray:
+    """Which leaders from c to t reach which boxes, pair by pair: an end inside, or an edge on the way."""
+    inside = lambda p: (p[0] >= b[0]) & (p[1] >= b[1]) & (p[0] <= b[2]) & (p[1] <= b[3])
     hit = inside(c) | inside(t)
-    step = t - c
     for axis in (0, 1):
+        step, along = t[axis] - c[axis], t[1 - axis] - c[1 - axis]
         with np.errstate(divide="ignore", invalid="ignore"):
-            for edge in (b[..., axis], b[..., axis + 2]):
-                ratio = (edge - c[..., axis]) / step[..., axis]
-                other = c[..., 1 - axis] + ratio * step[..., 1 - axis]
-                hit |= (step[..., axis] != 0) & (ratio >= 0) & (ratio <= 1) & (other >= low[..., 1 - axis]) & (other <= high[..., 1 - axis])
+            for edge in (b[axis], b[axis + 2]):
+                ratio = (edge - c[axis]) / step
+                other = c[1 - axis] + ratio * along
+                hit |= (step != 0) & (ratio >= 0) & (ratio <= 1) & (other >= b[1 - axis]) & (other <= b[3 - axis])
     return hit
 
 
-def _crossed_leaders(c: np.ndarray, t: np.ndarray, others: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """Which leaders from (n, 2) to one target properly cross which placed ones."""
-    side = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
-    p, q, r, s = (c[:, None, 0], c[:, None, 1]), (t[0], t[1]), (others[None, :, 0], others[None, :, 1]), (targets[None, :, 0], targets[None, :, 1])
+def _crossed_leaders(p: tuple, q: tuple, r: tuple, s: tuple) -> np.ndarray:
+    """Which leaders from p to q properly cross which placed ones from r to s, pair by pair."""
+    side = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
     same = lambda u, v: (u[0] == v[0]) & (u[1] == v[1])
     shared = same(p, r) | same(p, s) | same(q, r) | same(q, s)
     return ~shared & (side(p, q, r) * side(p, q, s) < 0) & (side(r, s, p) * side(r, s, q) < 0)
@@ -138,24 +141,40 @@ class _Grid:
         return sorted(set().union(*found)) if len(found) > 1 else found[0] if found else []
 
 
-def _around(points: np.ndarray, reach: float, boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (number of a point, number of a box) of boxes within reach of points, by point."""
-    grid = _Grid(max(reach, 1.0))
-    for k, box in enumerate(boxes.tolist()):
-        grid.add(k, *box)
-    found = [grid.near(x - reach, y - reach, x + reach, y + reach) for x, y in points.tolist()]
-    left, right = np.repeat(np.arange(len(points)), [len(f) for f in found]), np.array([k for f in found for k in f], np.int64)
-    b, p = boxes[right], points[left]
-    close = (b[:, :2] <= p + reach).all(axis=1) & (b[:, 2:] >= p - reach).all(axis=1)
-    return left[close], right[close]
-
-
-def _by_point(fold: np.ufunc, n: int, left: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Values of pairs folded by their point; the pairs come point by point."""
-    out = np.zeros((n, values.shape[1]), values.dtype)
+def _runs(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of numbers as pairs (number of the run, number), run by run."""
+    run = np.repeat(np.arange(len(counts)), counts)
+    return run, starts[run] + np.arange(len(run)) - (np.cumsum(counts) - counts)[run]
+
+
+def _around(points: np.ndarray, pages: np.ndarray, reach: float | np.ndarray, boxes: np.ndarray, box_pages: np.ndarray):
+    """Pairs (number of a point, number of a box) of a page's boxes within reach of its points, by point, for some points at once: first and last point, pairs."""
+    if not len(boxes):
+        return
+    reach, edges = np.broadcast_to(reach, len(points)), np.unique(boxes[:, 0])
+    order = np.lexsort((boxes[:, 0], box_pages))
+    size = len(edges) + 1
+    begun = box_pages[order] * size + np.searchsorted(edges, boxes[order, 0])
+    widest = float((boxes[:, 2] - boxes[:, 0]).max())
+    first = np.searchsorted(begun, pages * size + np.searchsorted(edges, points[:, 0] - reach - max(widest, 0.0) - _SLACK))
+    last = np.searchsorted(begun, pages * size + np.searchsorted(edges, points[:, 0] + reach, "right"))
+    total, start = np.cumsum(last - first), 0
+    while start < len(points):
+        stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + _PAIRS, "right")))
+        left, right = _runs(first[start:stop], (last - first)[start:stop])
+        left, right = left + start, order[right]
+        b, p, r = boxes[right], points[left], reach[left]
+        close = (b[:, 0] <= p[:, 0] + r) & (b[:, 1] <= p[:, 1] + r) & (b[:, 2] >= p[:, 0] - r) & (b[:, 3] >= p[:, 1] - r)
+        yield start, stop, left[close], right[close]
+        start = stop
+
+
+def _by_point(left: np.ndarray, values: np.ndarray, first: int, last: int) -> np.ndarray:
+    """How many pairs of each point hold; the pairs come point by point."""
+    out = np.zeros((last - first, values.shape[1]), np.int64)
     if len(left):
         starts = np.flatnonzero(np.append(True, left[1:] != left[:-1]))
-        out[left[starts]] = fold.reduceat(values, starts, axis=0)
+        out[left[starts] - first] = np.add.reduceat(values, starts, axis=0, dtype=np.int64)
     return out
 
 
@@ -164,78 +183,146 @@ def _columns(page: pa.Table, names: list[str], dtype: type = float) -> np.ndarra
 
 
 _BOX = ["x0", "y0", "x1", "y1"]
-_AT_ONCE = 256  # items whose places are compared with the texts around them in one step
+_PAIRS = 1 << 15  # pairs of items and boxes compared in one step
+_LONG = 4096  # markers of a page before its later ones look for neighbours in a grid
+
+
+def _fixed_flags(t: np.ndarray, h: np.ndarray, page: np.ndarray, boxes: np.ndarray, guarded: np.ndarray, guarded_page: np.ndarray, size: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """What does not depend on other markers, for every place: flags (1 outside, 2 protected, 4 text), and leader lengths with the texts under them."""
+    n, ways = len(t), _WAYS.T[:, None, :]
+    flags, ahead = np.zeros((n, len(_WAYS)), np.uint8), np.zeros((n, len(_WAYS)))
+    for start in range(0, n, _PAIRS // 8):
+        at = slice(start, start + _PAIRS // 8)
+        x, y = t[at, :1] + ways[0], t[at, 1:] + ways[1]
+        flags[at] = (x < RADIUS) | (y < RADIUS) | (x > size[0] - RADIUS) | (y > size[1] - RADIUS)
+        ahead[at] = np.hypot(x - t[at, :1], y - t[at, 1:])
+    for bit, others, pages in ((2, guarded, guarded_page), (4, boxes, page)):
+        for first, last, left, right in _around(t, page, REACH, others, pages):
+            x, y = t[left, :1] + ways[0], t[left, 1:] + ways[1]
+            b, w = tuple(others[right].T[:, :, None]), h[left]
+            own = (x - w[:, :1], y - w[:, 1:], x + w[:, :1], y + w[:, 1:])
+            flags[first:last] |= np.where(_by_point(left, _near(x, y, b, RADIUS) | _meet(own, b), first, last) > 0, bit, 0).astype(np.uint8)
+            if bit == 4:
+                tx, ty = t[left, :1], t[left, 1:]
+                foreign = (boxes[right] != boxes[left]).any(axis=1)[:, None]
+                hit = foreign & (np.minimum(x, tx) <= b[2] + _SLACK) & (np.maximum(x, tx) >= b[0] - _SLACK) & (np.minimum(y, ty) <= b[3] + _SLACK) & (np.maximum(y, ty) >= b[1] - _SLACK)
+                pair, way = np.nonzero(hit)
+                hit[pair, way] = _crossed_boxes((x[pair, way], y[pair, way]), (tx[pair, 0], ty[pair, 0]), tuple(others[right[pair]].T))
+                ahead[first:last] += _by_point(left, hit, first, last) * PER_TEXT
+    return flags, ahead
+
+
+def _turns(turn: np.ndarray):
+    """The k-th items of all pages, some at once, and k."""
+    by_turn = np.argsort(turn, kind="stable")
+    start = 0
+    for k, n in enumerate(np.bincount(turn) if len(turn) else ()):
+        some = max(1, _PAIRS // max(k, 16))
+        for first in range(start, start + n, some):
+            yield by_turn[first : min(first + some, start + n)], k
+        start += n
+
+
+def _before(items: np.ndarray, k: int, start_of: np.ndarray, page: np.ndarray, grids: dict, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (place in items, marker) of the k-th items of some pages and the markers before them: all of the page, or on a long page those in the cells between low and high."""
+    if k < _LONG:
+        return _runs(start_of[items], np.full(len(items), k))
+    found = [grids[int(page[i])].near(*low[i], *high[i]) for i in items]
+    return np.repeat(np.arange(len(items)), [len(f) for f in found]), np.array([j for f in found for j in f], np.int64)
+
+
+def _remember(items: np.ndarray, page: np.ndarray, grids: dict, at: np.ndarray) -> None:
+    """Long pages keep their markers in grids."""
+    for i in items[np.isin(page[items], list(grids))] if grids else ():
+        grids[int(page[i])].add(int(i), *at[i], *at[i])
 
 
 def _place(width: float, height: float):
-    """One page's markers, in the order of their numbers.
+    """The markers of some pages, in the order of their numbers.
 
     What does not depend on other markers (page, texts, protected boxes, texts under leaders) is worked out for many items at once, each with the boxes within its reach; then
-    each item is compared with the markers placed before it in the cells around.
+    the first markers of all pages are placed in one step, then the second ones, each compared with the markers placed before it on its page.
     """
 
-    def run(page: pa.Table) -> pa.Table:
-        is_item = page.column("number").is_valid().to_numpy()
-        guarded = _columns(page, _BOX)[~is_item]
-        rows = page.filter(pa.array(is_item)).sort_by([("number", "ascending"), ("observation_id", "ascending")])
+    def run(table: pa.Table) -> pa.Table:
+        all_pages = np.cumsum(_starts(table, list(PAGE))) - 1
+        is_item = table.column("number").is_valid().to_numpy()
+        guarded, rows, page = _columns(table, _BOX)[~is_item], table.filter(pa.array(is_item)), all_pages[is_item]
         boxes, n = _columns(rows, _BOX), rows.num_rows
         wide = np.maximum(5.0, np.char.str_len(rows.column("number").to_numpy().astype(str)) * DIGIT * FONT) / 2
         half = np.column_stack([wide, np.full(n, LINE * FONT / 2)])
         targets = (boxes[:, :2] + boxes[:, 2:]) / 2
-        at, glyphs, grid = np.zeros((n, 2)), np.zeros((n, 4)), _Grid(_CELL)
-        flags: list[str] = []
-        for start in range(0, n, _AT_ONCE):
-            t, h = targets[start : start + _AT_ONCE], half[start : start + _AT_ONCE]
-            m = len(t)
-            c = t[:, None, :] + _WAYS
-            own = np.concatenate([c - h[:, None, :], c + h[:, None, :]], axis=2)
-            left, right = _around(t, REACH, boxes)
-            cl, bl = c[left], boxes[right][:, None, :]
-            text = _by_point(np.logical_or, m, left, _near(cl, bl, RADIUS) | _meet(own[left], bl))
-            foreign = (boxes[right] != boxes[start + left]).any(axis=1)
-            under = _by_point(np.add, m, left[foreign], _crossed_boxes(cl[foreign], t[left[foreign]][:, None, :], bl[foreign]).astype(float))
-            left, right = _around(t, REACH, guarded)
-            shut = _by_point(np.logical_or, m, left, _near(c[left], guarded[right][:, None, :], RADIUS) | _meet(own[left], guarded[right][:, None, :]))
-            outside = (c < RADIUS).any(axis=2) | (c[..., 0] > width - RADIUS) | (c[..., 1] > height - RADIUS)
-            unreadable = np.hypot(*h.T) > RADIUS - INSET
-            ahead = np.hypot(*(c - t[:, None, :]).transpose(2, 0, 1)) + under * PER_TEXT
-            fixed = outside.astype(int) + shut + text + 2 * unreadable[:, None]
-            for i in range(m):
-                k, (x, y) = start + i, t[i]
-                near = np.array(grid.near(x - _CELL, y - _CELL, x + _CELL, y + _CELL), np.int64)
-                far, aims = at[near], targets[near]
-                wide_of = REACH - RADIUS
-                low, high = np.minimum(far, aims), np.maximum(far, aims)
-                beside = (low[:, 0] <= x + wide_of) & (high[:, 0] >= x - wide_of) & (low[:, 1] <= y + wide_of) & (high[:, 1] >= y - wide_of)  # leaders that one of this item could cross
-                leaders, aims = far[beside], aims[beside]
-                within = wide_of + NEIGHBOUR
-                near = near[(np.abs(far[:, 0] - x) <= within) & (np.abs(far[:, 1] - y) <= within)]
-                others, numbers = at[near], glyphs[near]
-
-                def against(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-                    """Three flags of these places against the markers around, and the distances."""
-                    p, g = c[i, places][:, None, :], own[i, places][:, None, :]  # noqa: B023
-                    gap = np.hypot(p[..., 0] - others[None, :, 0], p[..., 1] - others[None, :, 1])  # noqa: B023
-                    mixed = _near(others[None], g, RADIUS) | _near(p, numbers[None], RADIUS)  # noqa: B023
-                    return np.stack([(gap < 2 * RADIUS).any(axis=1), _meet(g, numbers[None]).any(axis=1), mixed.any(axis=1)]), gap  # noqa: B023
-
-                # Places with the fewest fixed flags first: if one of them has no other flag, no other place can be better.
-                places = np.flatnonzero(fixed[i] == fixed[i].min())
-                moved, gap = against(places)
-                if moved.any(axis=0).all() and len(places) < len(_WAYS):
-                    places = np.arange(len(_WAYS))
-                    moved, gap = against(places)
-                total = fixed[i, places] + moved.sum(axis=0)
-                tied = np.flatnonzero(total == total.min())
-                best = places[tied]
-                score = ahead[i, best] + _crossed_leaders(c[i, best], t[i], leaders, aims).sum(axis=1) * PER_LEADER + (gap[tied] < NEIGHBOUR).sum(axis=1) * PER_NEIGHBOUR
-                # Places come ring by ring and direction by direction, so the first of equals is the right one.
-                first = int(np.argmin(score))
-                best, moved = best[first], moved[:, tied[first]]
-                at[k], glyphs[k] = c[i, best], own[i, best]
-                grid.add(k, *at[k], *at[k])
-                hard = (outside[i, best], unreadable[i], unreadable[i], shut[i, best], text[i, best], *moved)
-                flags.append(",".join(name for name, bad in zip(FLAGS, hard, strict=True) if bad))
+        bits, ahead = _fixed_flags(targets, half, page, boxes, guarded, all_pages[~is_item], (width, height))
+        unreadable = np.hypot(*half.T) > RADIUS - INSET
+        fixed = np.bitwise_count(bits) + 2 * unreadable[:, None].astype(np.uint8)
+        start_of = np.searchsorted(page, page)
+        turn = np.arange(n) - start_of
+        at, glyphs, moved_flags, chosen = np.zeros((n, 2)), np.zeros((n, 4)), np.zeros((3, n), bool), np.zeros(n, np.int64)
+        long_pages = {int(p): _Grid(_CELL) for p in np.unique(page[turn >= _LONG])}
+        cells_low, cells_high = targets - _CELL, targets + _CELL
+
+        def step(items: np.ndarray, k: int) -> None:
+            """The k-th markers of some pages."""
+            who, other = _before(items, k, start_of, page, long_pages, cells_low, cells_high)
+            reach, t, far, aims = REACH - RADIUS, targets[items[who]], at[other], targets[other]
+            low, high = np.minimum(far, aims), np.maximum(far, aims)
+            # Leaders that one of this item could cross, and markers that one of its places could be near.
+            beside = (low[:, 0] <= t[:, 0] + reach) & (high[:, 0] >= t[:, 0] - reach) & (low[:, 1] <= t[:, 1] + reach) & (high[:, 1] >= t[:, 1] - reach)
+            within = (np.abs(far[:, 0] - t[:, 0]) <= reach + NEIGHBOUR) & (np.abs(far[:, 1] - t[:, 1]) <= reach + NEIGHBOUR)
+            m = len(items)
+            by_item = lambda mask: (other[mask], np.cumsum(c := np.bincount(who[mask], minlength=m)) - c, c)
+            (near, near_at, near_n), (lines, line_at, line_n) = by_item(within), by_item(beside)
+
+            def against(i: np.ndarray, way: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                """Three flags of these places of items against the markers around, and how many of those are near neighbours."""
+                one, j = _runs(near_at[i], near_n[i])
+                k, j = items[i[one]], near[j]
+                x, y = targets[k, 0] + _WAYS[way[one], 0], targets[k, 1] + _WAYS[way[one], 1]
+                apart = np.hypot(x - at[j, 0], y - at[j, 1])
+                g, h = (x - half[k, 0], y - half[k, 1], x + half[k, 0], y + half[k, 1]), tuple(glyphs[j].T)
+                count = lambda hit: np.bincount(one[hit], minlength=len(i))
+                mixed = _near(at[j, 0], at[j, 1], g, RADIUS) | _near(x, y, h, RADIUS)
+                return np.stack([count(apart < 2 * RADIUS), count(_meet(g, h)), count(mixed)]) > 0, count(apart < NEIGHBOUR)
+
+            # Places with the fewest fixed flags first: if one of them has no other flag, no other place can be better.
+            f = fixed[items]
+            i, way = np.nonzero(f == f.min(axis=1)[:, None])
+            moved, close = against(i, way)
+            again = np.bincount(i[~moved.any(axis=0)], minlength=m) == 0
+            if again.any():
+                stays = ~again[i]
+                i2, way2 = np.repeat(np.flatnonzero(again), len(_WAYS)), np.tile(np.arange(len(_WAYS)), int(again.sum()))
+                moved2, close2 = against(i2, way2)
+                i, way, moved, close = np.append(i[stays], i2), np.append(way[stays], way2), np.concatenate([moved[:, stays], moved2], axis=1), np.append(close[stays], close2)
+            total = f[i, way] + moved.sum(axis=0)
+            fewest = np.full(m, 127)
+            np.minimum.at(fewest, i, total)
+            tied = total == fewest[i]
+            i, way, moved, close = i[tied], way[tied], moved[:, tied], close[tied]
+            one, j = _runs(line_at[i], line_n[i])
+            k, j = items[i[one]], lines[j]
+            p = (targets[k, 0] + _WAYS[way[one], 0], targets[k, 1] + _WAYS[way[one], 1])
+            crossed = np.bincount(one[_crossed_leaders(p, tuple(targets[k].T), tuple(at[j].T), tuple(targets[j].T))], minlength=len(i))
+            score = ahead[items[i], way] + crossed * PER_LEADER + close * PER_NEIGHBOUR
+            # Places come ring by ring and direction by direction, so the first of equals is the right one.
+            order = np.lexsort((way, score, i))
+            best = order[np.append(True, i[order][1:] != i[order][:-1])]
+            chosen[items], moved_flags[:, items] = way[best], moved[:, best]
+            c = targets[items] + _WAYS[way[best]]
+            at[items], glyphs[items] = c, np.concatenate([c - half[items], c + half[items]], axis=1)
+            _remember(items, page, long_pages, at)
+
+        for items, k in _turns(turn):
+            step(items, k)
+        own = bits[np.arange(n), chosen]
+        hard = np.column_stack([own & 1, unreadable, unreadable, own & 2, own & 4, *moved_flags]).astype(bool) if n else np.zeros((0, 8), bool)
+        said: dict[bytes, str] = {}
+        flags = []
+        for bad in hard:
+            key = bad.tobytes()
+            if key not in said:
+                said[key] = ",".join(name for name, b in zip(FLAGS, bad, strict=True) if b)
+            flags.append(said[key])
         out = rows.select([*PAGE, "observation_id"])
         status = ["manual_required" if f else "placed" for f in flags]
         for name, values in (("cx", at[:, 0]), ("cy", at[:, 1]), ("flags", pa.array(flags, pa.string())), ("status", pa.array(status, pa.string()))):
@@ -251,11 +338,11 @@ FLAGS = ("outside_cropbox", "owner_glyph_outside_circle", "unreadable_number", "
 
 
 def _mark(width: float, height: float):
-    """One page's candidate markers in list order: sixteen places around a box, cut to the page; overlaps, short leaders and distance decide."""
-    edge = MARK + MARK_INSET
+    """Candidate markers of some pages in list order: sixteen places around a box, cut to the page; overlaps, short leaders and distance decide.  The k-th markers of all pages are placed in one step."""
+    edge, apart = MARK + MARK_INSET, 2 * MARK + MARK_GAP
 
-    def run(page: pa.Table) -> pa.Table:
-        rows = page.sort_by([("number", "ascending"), ("observation_id", "ascending")])
+    def run(rows: pa.Table) -> pa.Table:
+        page = np.cumsum(_starts(rows, list(PAGE))) - 1
         boxes, n = _columns(rows, _BOX), rows.num_rows
         x0, y0, x1, y1 = boxes.T
         mx, my = (x0 + x1) / 2, (y0 + y1) / 2
@@ -264,31 +351,36 @@ def _mark(width: float, height: float):
             o = MARK + MARK_GAP + ring * (MARK * 2 + MARK_GAP * 2)
             ways += [(x1 + o, y0 - o), (x1 + o, y1 + o), (x0 - o, y0 - o), (x0 - o, y1 + o), (x1 + o, my), (x0 - o, my), (mx, y0 - o), (mx, y1 + o)]
         cut = lambda v, size: np.minimum(np.maximum(v, edge), max(edge, size - edge))
-        c = np.stack([np.column_stack([cut(x, width), cut(y, height)]) for x, y in ways], axis=1)
-        again = np.stack([(c[:, :k] == c[:, k : k + 1]).all(axis=2).any(axis=1) for k in range(len(ways))], axis=1)  # a place that came before
+        x, y = np.stack([cut(x, width) for x, _ in ways], axis=1), np.stack([cut(y, height) for _, y in ways], axis=1)
+        again = np.stack([((x[:, :k] == x[:, k : k + 1]) & (y[:, :k] == y[:, k : k + 1])).any(axis=1) for k in range(len(ways))], axis=1)  # a place that came before
         rank = np.cumsum(~again, axis=1) - 1
-        b = boxes[:, None, :]
-        closest = np.clip(c, b[..., :2], b[..., 2:])
-        leader = np.hypot(*(c - closest).transpose(2, 0, 1))
-        inside = (closest == c).all(axis=2)
-        deep = np.minimum.reduce([c[..., 0] - b[..., 0], b[..., 2] - c[..., 0], c[..., 1] - b[..., 1], b[..., 3] - c[..., 1]])
-        leader = np.where(inside, deep, leader)
+        bx0, by0, bx1, by1 = boxes.T[:, :, None]
+        near_x, near_y = np.clip(x, bx0, bx1), np.clip(y, by0, by1)
+        leader = np.hypot(x - near_x, y - near_y)
+        deep = np.minimum(np.minimum(x - bx0, bx1 - x), np.minimum(y - by0, by1 - y))
+        leader = np.where((near_x == x) & (near_y == y), deep, leader)
         hits = np.zeros((n, len(ways)))
-        reach = float(np.abs(c - np.column_stack([mx, my])[:, None, :]).max(initial=0.0)) + MARK + MARK_GAP
-        for start in range(0, n, _AT_ONCE):
-            left, right = _around(np.column_stack([mx, my])[start : start + _AT_ONCE], reach, boxes)
-            np.add.at(hits, start + left, _near(c[start + left], boxes[right][:, None, :], MARK + MARK_GAP))
-        ahead = [hits * 500, np.maximum(0.0, LEAST_LEADER - leader) * 1e4, np.hypot(*(c - c[:, :1]).transpose(2, 0, 1)) * 10, rank]
-        at, grid = np.zeros((n, 2)), _Grid(2 * MARK + MARK_GAP)
-        span = np.concatenate([c.min(axis=1) - grid.cell, c.max(axis=1) + grid.cell], axis=1).tolist()
-        for k in range(n):
-            near = grid.near(*span[k])
-            gap = np.hypot(c[k, :, None, 0] - at[near][None, :, 0], c[k, :, None, 1] - at[near][None, :, 1])
-            score = (gap < 2 * MARK + MARK_GAP).sum(axis=1) * 1e6
+        reach = np.maximum(np.abs(x - mx[:, None]), np.abs(y - my[:, None])).max(axis=1, initial=0.0) + MARK + MARK_GAP
+        for first, last, left, right in _around(np.column_stack([mx, my]), page, reach, boxes, page):
+            hits[first:last] = _by_point(left, _near(x[left], y[left], tuple(boxes[right].T[:, :, None]), MARK + MARK_GAP), first, last)
+        ahead = [hits * 500, np.maximum(0.0, LEAST_LEADER - leader) * 1e4, np.hypot(x - x[:, :1], y - y[:, :1]) * 10, rank]
+        at = np.zeros((n, 2))
+        low, high = np.column_stack([x.min(axis=1), y.min(axis=1)]) - apart, np.column_stack([x.max(axis=1), y.max(axis=1)]) + apart
+        start_of = np.searchsorted(page, page)
+        turn = np.arange(n) - start_of
+        long_pages = {int(p): _Grid(apart) for p in np.unique(page[turn >= _LONG])}
+        for items, k in _turns(turn):
+            who, other = _before(items, k, start_of, page, long_pages, low, high)
+            k_of, far = items[who], at[other]
+            close = ((far >= low[k_of]) & (far <= high[k_of])).all(axis=1)
+            who, k_of, far = who[close], k_of[close], far[close]
+            met = np.hypot(x[k_of] - far[:, :1], y[k_of] - far[:, 1:]) < apart
+            score = _by_point(who, met, 0, len(items)) * 1e6
             for part in ahead:
-                score = score + part[k]
-            at[k] = c[k, np.argmin(np.where(again[k], np.inf, score))]
-            grid.add(k, *at[k], *at[k])
+                score = score + part[items]
+            best = np.argmin(np.where(again[items], np.inf, score), axis=1)
+            at[items] = np.column_stack([x[items, best], y[items, best]])
+            _remember(items, page, long_pages, at)
         return rows.select([*PAGE, "observation_id"]).append_column("cx", pa.array(at[:, 0])).append_column("cy", pa.array(at[:, 1]))
 
     return run
@@ -296,7 +388,7 @@ def _mark(width: float, height: float):
 
 def candidate_markers(items: DataFrame, width: float, height: float) -> DataFrame:
     """A marker for each candidate of a page, placed in list order."""
-    return items.select(*PAGE, "observation_id", "number", "x0", "y0", "x1", "y1").groupBy(*PAGE).applyInArrow(_mark(width, height), "doc_id bigint, page_index int, observation_id string, cx double, cy double")
+    return items.select(*PAGE, "observation_id", "number", "x0", "y0", "x1", "y1").transform(by_tables, list(PAGE), ["number", "observation_id"], _mark(width, height), "doc_id bigint, page_index int, observation_id string, cx double, cy double")
 
 
 def placed_markers(items: DataFrame, width: float, height: float, protected: DataFrame | None = None) -> DataFrame:
@@ -310,7 +402,7 @@ def placed_markers(items: DataFrame, width: float, height: float, protected: Dat
         none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("observation_id", "number")]
         with_items = protected.join(rows.select(*PAGE).distinct(), [*PAGE], "left_semi")
         rows = rows.unionByName(with_items.select(*PAGE, *none, "x0", "y0", "x1", "y1"))
-    return rows.groupBy(*PAGE).applyInArrow(_place(width, height), schema)
+    return by_tables(rows, list(PAGE), ["number", "observation_id"], _place(width, height), schema)
 
 
 def marker_overlaps(placed: DataFrame, radius: float = RADIUS) -> DataFrame:
