@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caliperlake.functions.geometry import Box, Point, circle_meets_box, corners_inside_circle, intersect
 from caliperlake.operators.ordered import gaps
-from caliperlake.operators.spatial import PAGE, page_pairs
+from caliperlake.operators.spatial import PAGE, _starts, boxes_meeting, by_tables, meeting, page_pairs
 
 # Fixed values, in points: radius of a balloon, inset and size of its number, widths and height of digits in units of that size.
 RADIUS, INSET, FONT, DIGIT, LINE, LEAST_GLYPH = 12.0, 1.0, 9.0, 0.636, 1.164, 5.0
@@ -67,6 +70,54 @@ def collisions(balloons: DataFrame) -> DataFrame:
     return pairs.select(*PAGE, F.col("balloon_id").alias("left_id"), F.col("r_balloon_id").alias("right_id"), circle.alias("circle_overlap"), number.alias("glyph_overlap"), mixed.alias("glyph_circle_overlap"))
 
 
+_OVERLAPS = ("text", "protected", "circle_overlap", "glyph_overlap", "glyph_circle_overlap")
+
+
+def _into(x: np.ndarray, y: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which balloons around (x, y) meet which boxes (n, 4), pair by pair."""
+    return np.hypot(x - np.minimum(np.maximum(x, b[:, 0]), b[:, 2]), y - np.minimum(np.maximum(y, b[:, 1]), b[:, 3])) < RADIUS
+
+
+def _overlap_flags(table: pa.Table) -> pa.Table:
+    """The balloons of some pages with what each of them meets: texts, protected boxes, and other balloons in three ways."""
+    numbers = lambda names: np.column_stack([table.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in names])
+    kind = table.column("_kind").to_numpy()
+    box, glyphs, centres = numbers(("x0", "y0", "x1", "y1")), numbers(("g_x0", "g_y0", "g_x1", "g_y1")), numbers(("cx", "cy"))
+    page, node = np.cumsum(_starts(table, list(PAGE))) - 1, np.cumsum(_starts(table, [*PAGE, "balloon_id"])) - 1
+    numbered = pc.fill_null(pc.greater_equal(table.column("formal_number"), 1), False).to_numpy()
+    used = np.flatnonzero(np.isfinite(box).all(axis=1) & ((kind > 0) | numbered) & table.column("doc_id").is_valid().to_numpy() & table.column("page_index").is_valid().to_numpy())
+    hits = np.zeros((len(_OVERLAPS), int(node[-1]) + 1 if len(node) else 0), bool)
+    for left, right in boxes_meeting(box[used], page[used], meeting) if len(used) else ():
+        a, b = used[left], used[right]
+        a, b = np.where(kind[a] > 0, b, a), np.where(kind[a] > 0, a, b)  # the balloon first
+        own = kind[a] == 0
+        a, b = a[own], b[own]
+        boxed = kind[b] > 0
+        c, d = a[boxed], b[boxed]
+        met = _into(*centres[c].T, box[d]) | meeting(glyphs[c], box[d])
+        for k in (1, 2):
+            hits[k - 1, node[c[met & (kind[d] == k)]]] = True
+        pair = ~boxed & (node[a] != node[b])
+        c, d = a[pair], b[pair]
+        circle = np.hypot(centres[c, 0] - centres[d, 0], centres[c, 1] - centres[d, 1]) < 2 * RADIUS
+        mixed = _into(*centres[d].T, glyphs[c]) | _into(*centres[c].T, glyphs[d])
+        for k, met in enumerate((circle, meeting(glyphs[c], glyphs[d]), mixed), 2):
+            hits[k, node[c[met]]] = hits[k, node[d[met]]] = True
+    balloons = np.flatnonzero(kind == 0)
+    out = table.take(pa.array(balloons)).drop_columns(["_kind"])
+    for name, hit in zip(_OVERLAPS, hits, strict=True):
+        out = out.append_column(f"_{name}", pa.array(hit[node[balloons]]))
+    return out
+
+
+def with_overlaps(own: DataFrame, texts: DataFrame, protected: DataFrame) -> DataFrame:
+    """Placed balloons with flags of what they meet; those without a number of at least 1 meet nothing.  Balloons and boxes come once, by page, and their pairs are never rows of a table."""
+    of_kind = lambda df, k: df.select(*PAGE, "x0", "y0", "x1", "y1", F.lit(k).alias("_kind"))
+    rows = own.withColumn("_kind", F.lit(0)).unionByName(of_kind(texts, 1), allowMissingColumns=True).unionByName(of_kind(protected, 2), allowMissingColumns=True)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
+    return by_tables(rows, list(PAGE), ["balloon_id"], _overlap_flags, schema + "".join(f", _{name} boolean" for name in _OVERLAPS))
+
+
 def findings(items: DataFrame, balloons: DataFrame, texts: DataFrame, protected: DataFrame, pages: DataFrame) -> DataFrame:
     """doc_id, balloon_id and codes, in the order of the blockers, of every active balloon.
 
@@ -75,22 +126,23 @@ def findings(items: DataFrame, balloons: DataFrame, texts: DataFrame, protected:
     """
     live = balloons.where("status = 'active'")
     owner = items.where("active").select("doc_id", "item_id", F.col("required").alias("_required"), F.col("source_ids").alias("_sources"))
-    df = placed(live).join(owner, ["doc_id", "item_id"], "left").join(pages.select(*PAGE, "width", "height"), list(PAGE), "left")
-    box = lambda df_, name: covered_boxes(live.where("formal_number >= 1"), df_).select(*PAGE, "balloon_id").distinct().withColumn(name, F.lit(True))
-    hits = collisions(live.where("formal_number >= 1"))
     kinds = ("circle_overlap", "glyph_overlap", "glyph_circle_overlap")
-    each = hits.select(*PAGE, F.col("left_id").alias("balloon_id"), *kinds).unionByName(hits.select(*PAGE, F.col("right_id").alias("balloon_id"), *kinds))
-    each = each.groupBy(*PAGE, "balloon_id").agg(*(F.bool_or(k).alias(f"_{k}") for k in kinds))
-    keys = [*PAGE, "balloon_id"]
-    df = df.join(box(texts, "_text"), keys, "left").join(box(protected, "_protected"), keys, "left").join(each, keys, "left")
-    c, good = Point(F.col("cx"), F.col("cy")), F.coalesce(F.col("formal_number") >= 1, F.lit(False))
-    inside = (c.x >= 0) & (c.y >= 0) & (c.x <= F.col("width")) & (c.y <= F.col("height"))
-    readable = corners_inside_circle(Box.of("g_"), c, RADIUS - INSET)
+    c = Point(F.col("cx"), F.col("cy"))
     target = (F.col("tx") >= F.col("a_x0")) & (F.col("tx") <= F.col("a_x1")) & (F.col("ty") >= F.col("a_y0")) & (F.col("ty") <= F.col("a_y1")) & ((F.col("tx") != c.x) | (F.col("ty") != c.y))
+    # What a balloon tells by itself is worked out first, so that rows are narrow when they are shuffled.
+    alone = placed(live).withColumns({"_manual": F.col("placement_status") == "manual_required", "_readable": corners_inside_circle(Box.of("g_"), c, RADIUS - INSET), "_target": target})
+    kept = [*PAGE, "balloon_id", "item_id", "source_id", "formal_number", "cx", "cy", "flags", "_manual", "_readable", "_target"]
+    boxes = [f"{p}{e}" for p in ("", "g_") for e in ("x0", "y0", "x1", "y1")]
+    df = with_overlaps(alone.select(*kept, *boxes), texts, protected).drop(*boxes)
+    df = df.join(pages.select(*PAGE, "width", "height"), list(PAGE), "left")
+    inside = (c.x >= 0) & (c.y >= 0) & (c.x <= F.col("width")) & (c.y <= F.col("height"))
+    df = df.withColumns({"_inside": inside, "_good": F.coalesce(F.col("formal_number") >= 1, F.lit(False))}).drop("cx", "cy", "width", "height", "formal_number", "page_index")
+    df = df.join(owner, ["doc_id", "item_id"], "left")
+    inside, good, readable, target = F.col("_inside"), F.col("_good"), F.col("_readable"), F.col("_target")
     stored = lambda name: F.array_contains("flags", name)
     own = {
         "item_balloon_disconnect": F.col("_required").isNull() | ~F.col("_required") | ~F.array_contains("_sources", F.col("source_id")),
-        "manual_required": F.col("placement_status") == "manual_required",
+        "manual_required": F.col("_manual"),
         "unreadable_number": ~good | ~readable,
         "outside_cropbox": ~inside,
         "owner_glyph_outside_circle": good & ~readable,
