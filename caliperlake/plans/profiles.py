@@ -52,7 +52,7 @@ t AS (SELECT doc_id, concat_ws(',', CASE WHEN bool_or(text = '旧底图总号')
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    c = S.table(spark, sf_dir, "customer").select("c_custkey")
+    c = S.dealt(S.table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
     drawn = c.withColumn("profile", F.expr(_NAME)).join(F.broadcast(_expected(spark)), "profile")
     return S.derived(c, _PAGES), S.derived(drawn, _SEGMENTS), S.derived(c, _TEXTS)
 
@@ -123,7 +123,7 @@ _SPACING = [("true", {**_PAGE, "sx": _SX, "sy": _SY})]
 p AS (SELECT a.doc_id, a.observation_id, round_even((b.cx - a.cx) / a.sx, 0) AS c, round_even((b.cy - a.cy) / a.sy, 0) AS r FROM t a JOIN t b USING (doc_id, text) WHERE abs(b.cx - a.cx - round_even((b.cx - a.cx) / a.sx, 0) * a.sx) <= 2 AND abs(b.cy - a.cy - round_even((b.cy - a.cy) / a.sy, 0) * a.sy) <= 2),
 g AS (SELECT doc_id FROM p GROUP BY doc_id, observation_id HAVING count(*) = count(DISTINCT (c, r)) AND count(*) >= 9 AND count(DISTINCT c) >= 2 AND count(DISTINCT r) >= 3) SELECT doc_id, observation_id FROM t WHERE doc_id IN (SELECT doc_id FROM g)""")
 def agg29_join27_watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = S.table(spark, sf_dir, "customer").select("c_custkey")
+    c = S.dealt(S.table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
     return P.watermarks(S.derived(c, _MARKS), S.derived(c, _SPACING)).select("doc_id", "observation_id")
 
 

@@ -10,6 +10,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows in as many partitions as the session shuffles to, by key.
+
+    A table of few megabytes is read in one task, and whatever is exploded from a row would be made there too.  The number is given, so adaptive execution leaves these small partitions apart.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, page_index, observation_id, raw_text and a box of every text line of all drawings."""
     lines, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select("p_partkey", "p_size")
