@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,30 +38,77 @@ def axis_segments(items: DataFrame) -> DataFrame:
 
 
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Runs of sorted segments of one page and orientation; the coordinate is averaged step by step, so the order counts.  Only the open run is held, over batches too."""
+    """Runs of sorted segments of one page and orientation; the coordinate is averaged step by step, so the order counts.  Only the open run is held, over batches too.
+
+    Segments of one coordinate with no other near it are cut into runs as arrays; the average stays what it is there.  All others are joined step by step.
+    """
     names = [*PAGE, "orientation", "coordinate", "start", "end"]
-    key, at, low, high = None, 0.0, 0.0, 0.0
+    frame = lambda key, at, low, high: pd.DataFrame(dict(zip(names, (*key, at, low, high), strict=True)))
+    going: tuple | None = None  # key, coordinate, start and end of the open run
     for pdf in batches:
-        done: list[tuple] = []
-        for doc, page, way, c, s, e in zip(*(pdf[n].tolist() for n in names), strict=True):
-            if key is not None and (doc, page, way) == key and abs(at - c) <= AXIS and s <= high + GAP:
-                at, low, high = (at + c) / 2.0, min(low, s), max(high, e)
-                continue
-            if key is not None:
-                done.append((*key, at, low, high))
-            key, at, low, high = (doc, page, way), c, s, e
-        if done:
-            yield pd.DataFrame(done, columns=names)
-    if key is not None:
-        yield pd.DataFrame([(*key, at, low, high)], columns=names)
+        n = len(pdf)
+        if not n:
+            continue
+        *key, c, s, e = (pdf[k].to_numpy() for k in names)
+        apart = np.ones(n, bool)  # no run goes on here
+        apart[1:] = ~(np.abs(c[1:] - c[:-1]) <= AXIS)
+        for k in key:
+            apart[1:] |= k[1:] != k[:-1]
+        stepwise = ~(np.isfinite(2 * c) & np.isfinite(s) & np.isfinite(e))
+        stepwise[1:] |= ~apart[1:] & ((c[1:] != c[:-1]) | (s[1:] < s[:-1]))
+        first = np.flatnonzero(apart)
+        stepwise = np.logical_or.reduceat(stepwise, first)
+        stepwise[0] |= going is not None
+        ends, rank = np.unique(e, return_inverse=True)
+        reach = ends[np.maximum.accumulate((np.cumsum(apart) - 1) * len(ends) + rank) % len(ends)]
+        begins = apart.copy()
+        begins[1:] |= ~(s[1:] <= reach[:-1] + GAP)
+        at, low, high = c.astype(float), s.astype(float), e.astype(float)
+        last = np.append(first[1:], n)
+        made = []  # runs that were joined step by step: where they begin, coordinate, start and end
+        for a, b in zip(first[stepwise].tolist(), last[stepwise].tolist(), strict=True):
+            run = going if a == 0 and going is not None and going[0] == tuple(k[0] for k in key) else None
+            where, begins[a:b] = None, False
+            for i, x, y, z in zip(range(a, b), c[a:b].tolist(), s[a:b].tolist(), e[a:b].tolist(), strict=True):
+                if run is not None and abs(run[1] - x) <= AXIS and y <= run[3] + GAP:
+                    run = (run[0], (run[1] + x) / 2.0, min(run[2], y), max(run[3], z))
+                    continue
+                if where is not None:
+                    made.append((where, *run[1:]))
+                elif run is not None:
+                    going = run
+                where, run, begins[i] = i, (None, x, y, z), True
+            if where is not None:
+                made.append((where, *run[1:]))
+            else:
+                going = run
+        rows = np.flatnonzero(begins)
+        if not len(rows):
+            continue
+        high[rows] = np.maximum.reduceat(e, rows)
+        for where, *run in made:
+            at[where], low[where], high[where] = run
+        if going is not None:
+            yield frame([[k] for k in going[0]], *([v] for v in going[1:]))
+        done, i = rows[:-1], rows[-1]
+        going = (tuple(k[i] for k in key), float(at[i]), float(low[i]), float(high[i]))
+        if len(done):
+            yield frame([k[done] for k in key], at[done], low[done], high[done])
+    if going is not None:
+        yield frame([[k] for k in going[0]], *([v] for v in going[1:]))
 
 
 def joined_segments(segments: DataFrame) -> DataFrame:
-    """Collinear segments that touch, or nearly so, as one; segments stream through sorted partitions, so a task holds one run at a time."""
-    schema = "doc_id bigint, page_index int, orientation string, coordinate double, start double, end double"
+    """Collinear segments that touch, or nearly so, as one; segments stream through sorted partitions, so a task holds one run at a time.
+
+    They are dealt and sorted with a boolean in place of the orientation's name.
+    """
+    schema = "doc_id bigint, page_index int, orientation boolean, coordinate double, start double, end double"
+    flat = (F.col("orientation") == "horizontal").alias("orientation")
     keys = [*PAGE, "orientation"]
-    rows = segments.select(*keys, "coordinate", "start", "end").repartition(*keys).sortWithinPartitions(*keys, "coordinate", "start", "end")
-    return rows.mapInPandas(_runs, schema)
+    rows = segments.select(*PAGE, flat, "coordinate", "start", "end").repartition(*keys).sortWithinPartitions(*keys, "coordinate", "start", "end")
+    name = F.when(F.col("orientation"), "horizontal").otherwise("vertical")
+    return rows.mapInPandas(_runs, schema).withColumn("orientation", name)
 
 
 def deduped_positions(positions: Column) -> Column:

@@ -31,3 +31,18 @@ def test_segments_are_joined_once_for_all_that_reads_them(spark):
     for query in (plans.grp05_join26_tolerance_frames, plans.join04_frame_texts, plans.join36_frames_outside_administration):
         plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "MapInPandas" not in plan and "MapInArrow" not in plan
+
+
+def test_runs_of_near_coordinates_and_long_lines(spark):
+    rng = random.Random(7)
+    rows = sorted([d, 0, o, float(rng.randrange(9)) + rng.choice((0, 0, 0, 0.125)), float(s := rng.randrange(300)), s + float(rng.randrange(9))] for d in range(4) for o in ("horizontal", "vertical") for _ in range(400))
+    rows += [[9, 0, "vertical", 1.0, float(k * 9), float(k * 9 + 5)] for k in range(5000)] + [[9, 0, "vertical", 2.0, float(k), float(k + 1)] for k in range(5000)]
+    names = ["doc_id", "page_index", "orientation", "coordinate", "start", "end"]
+    for size in (11, 997, 10_000):
+        batches = (pd.DataFrame(rows[k : k + size], columns=names) for k in range(0, len(rows), size))
+        assert [list(r) for pdf in R._runs(batches) for r in pdf.itertuples(index=False)] == brute(rows)
+    joined = R.joined_segments(spark.createDataFrame(rows, "doc_id long, page_index int, orientation string, coordinate double, start double, end double"))
+    assert sorted(list(r) for r in joined.collect()) == sorted(brute(rows))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    dealt = plan.splitlines()[next(k for k, line in enumerate(plan.splitlines()) if "Exchange hashpartitioning" in line) + 1]
+    assert "= horizontal) AS orientation" in dealt  # a boolean is dealt and sorted, not the name
