@@ -171,9 +171,12 @@ def without_administrative(found: DataFrame, placed: DataFrame, administrative:
 
 
 def tolerance_segments(evidence: DataFrame) -> DataFrame:
-    """Rows with cells (array of role, token) and signal -> the same with code, tolerance_type, value, diameter, modifiers, datums."""
+    """Rows with cells (array of role, token) and signal -> the same with code, tolerance_type, value, diameter, modifiers, datums.
+
+    Cells are read in a generator of one row: a filter on what they say would else be pushed below it, and read them once more.
+    """
     keep = [c for c in evidence.columns if c not in ("cells", "signal")]
-    return evidence.select(*keep, T.segment(F.col("cells"), F.col("signal")).alias("s")).select(*keep, "s.*")
+    return evidence.select(*keep, F.inline(F.array(T.segment(F.col("cells"), F.col("signal")))))
 
 
 def tolerance_texts(segments: DataFrame, key: str, order: str) -> DataFrame:

@@ -46,3 +46,9 @@ def test_runs_of_near_coordinates_and_long_lines(spark):
     plan = joined._jdf.queryExecution().executedPlan().toString()
     dealt = plan.splitlines()[next(k for k, line in enumerate(plan.splitlines()) if "Exchange hashpartitioning" in line) + 1]
     assert "= horizontal) AS orientation" in dealt  # a boolean is dealt and sorted, not the name
+
+
+def test_cells_are_read_once_whatever_asks_for_them(spark):
+    for query in (plans.par07_tolerance_texts, plans.chk14_tolerance_envelopes):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("rlike") + plan.lower().count("regexp_extract(") <= 2  # a datum's letter, and a value
