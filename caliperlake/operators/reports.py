@@ -64,14 +64,20 @@ def reconciled(items: DataFrame, balloons: DataFrame, keys: list[str]) -> DataFr
     return both.withColumn("reason", reason)
 
 
+MANY = 4096  # rows of one text that one task takes
+
+
 def cross_view_duplicates(df: DataFrame, text: str, view: str, id_col: str, salts: int = 8) -> DataFrame:
     """Pairs of a document's rows with equal texts in different views, the lesser id first.
 
-    The result has a row for each pair, so a text of n rows makes up to n * n / 2; a text's rows are salted on one side
-    and copied on the other, so no task gets all of them.
+    The result has a row for each pair, so a text of n rows makes up to n * n / 2.  The rows of a text that more than ``MANY`` rows of a document share are salted on one side, ``salts`` ways or more as it grows,
+    and copied on the other, so no task gets all of them; all other rows are dealt once.  There is one such text for ``MANY`` rows at most, so they are broadcast.
     """
-    left = df.select("doc_id", F.col(text).alias("t"), F.col(view).alias("lv"), F.col(id_col).alias("left_id"), F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int").alias("salt"))
-    right = df.select("doc_id", F.col(text).alias("t"), F.col(view).alias("rv"), F.col(id_col).alias("right_id"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    rows = df.select("doc_id", F.col(text).alias("t"), F.col(view).alias("v"), F.col(id_col).alias("id")).where(F.col("doc_id").isNotNull() & F.col(text).isNotNull())
+    often = rows.groupBy("doc_id", "t").agg(F.count("*").alias("n")).where(F.col("n") > MANY).select("doc_id", "t", F.greatest(F.lit(salts), F.ceil(F.col("n") / (MANY // 4))).cast("int").alias("parts"))
+    known = rows.join(F.broadcast(often), ["doc_id", "t"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    left = known.select("doc_id", "t", F.col("v").alias("lv"), F.col("id").alias("left_id"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("salt"))
+    right = known.select("doc_id", "t", F.col("v").alias("rv"), F.col("id").alias("right_id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
     pairs = left.join(right, ["doc_id", "t", "salt"]).where((F.col("left_id") < F.col("right_id")) & (F.col("lv") != F.col("rv")))
     return pairs.select("doc_id", "left_id", "right_id")
 

@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from caliperlake.operators import reports
 from caliperlake.plans import profiles
 from caliperlake.sources import adapters as S
 
@@ -19,3 +20,15 @@ def test_form_pages_are_exploded_in_many_tasks(spark):
         by_task = made.groupBy(F.spark_partition_id()).count().collect()
         assert len(by_task) == 4
     assert pages.count() == customers == pages.select("doc_id").distinct().count()
+
+
+def test_rows_of_rare_texts_are_not_copied(spark, monkeypatch):
+    rows = [(1, "a", k % 3, f"a{k:03}") for k in range(90)] + [(d, t, k, f"{t}{k}") for d in (1, 2) for t in "bcd" for k in range(3)] + [(2, None, 0, "n0"), (2, None, 1, "n1")]
+    want = sorted((d, i, j) for d, t, v, i in rows for e, u, w, j in rows if d == e and t and t == u and v != w and i < j)
+    df = spark.createDataFrame(rows, "doc_id long, t string, v int, id string")
+    for many, copied in ((4096, False), (16, True)):
+        monkeypatch.setattr(reports, "MANY", many)
+        found = reports.cross_view_duplicates(df, "t", "v", "id")
+        assert sorted(map(tuple, found.collect())) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(0, 7" not in plan and "parts" in plan
