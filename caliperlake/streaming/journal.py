@@ -1,8 +1,9 @@
 """The journal of paid calls as running state: one state machine for each document, fed with facts in any order.
 
 The end state is that of ``operators.journal.entries`` and ``totals`` over the same rows, however they are cut into batches: a fact that comes before the one that it
-follows waits in the state, a replay changes nothing, a second hash makes a conflict.  State lives in the state store (RocksDB), one map entry for each
-64 attempts, so a document's journal may be larger than a task's memory.  A timer tells of calls that were started and not settled in time.
+follows waits in the state, a replay changes nothing, a second hash makes a conflict.  State lives in the state store (RocksDB), one map entry for some
+64 attempts, so a document's journal may be larger than a task's memory.  Attempts are dealt to entries by a hash, whose first bits are taken, as many as the journal needs: numbers that are far apart
+share entries too, as every entry is a call to the store and back.  A timer tells of calls that were started and not settled in time.
 """
 
 from __future__ import annotations
@@ -75,8 +76,19 @@ def judged(facts: dict[str, dict]) -> tuple[str, int, str | None]:
     return state, charged, found
 
 
+_M64 = (1 << 64) - 1
+
+
+def _chunk_of(attempt: int, level: int) -> int:
+    """The chunk of an attempt among 2**level: a one and the first bits of a hash (splitmix64), so chunks of two levels never share a number."""
+    x = (attempt + 0x9E3779B97F4A7C15) & _M64
+    x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & _M64
+    x = ((x ^ x >> 27) * 0x94D049BB133111EB) & _M64
+    return 1 << level | (x ^ x >> 31) >> 64 - level
+
+
 class _Journal(StatefulProcessor):
-    """State of a document: its sums, and its attempts in chunks of 64, so that a batch reads and writes few entries, each of a bounded size."""
+    """State of a document: its sums, and its attempts in chunks of 64 on average at most, so that a batch reads and writes few entries.  Where they fill, all are split, one at a time."""
 
     CHUNK = 64
 
@@ -87,7 +99,7 @@ class _Journal(StatefulProcessor):
         self.handle = handle
         self.chunks = handle.getMapState("chunks", "chunk bigint", "attempts string")  # JSON: attempt -> fact -> columns, and when it is overdue
         self.due = handle.getMapState("due", "chunk bigint", "ms bigint")  # the first of each chunk
-        self.sums = handle.getValueState("sums", "version bigint, committed bigint, last bigint, least bigint, " + ", ".join(f"{c} bigint" for c in _COUNTS))
+        self.sums = handle.getValueState("sums", "version bigint, committed bigint, last bigint, least bigint, " + ", ".join(f"{c} bigint" for c in _COUNTS) + ", level bigint")
 
     def _chunk(self, number: int) -> dict[str, dict]:
         return json.loads(self.chunks.getValue((number,))[0]) if self.chunks.containsKey((number,)) else {}
@@ -105,7 +117,7 @@ class _Journal(StatefulProcessor):
         return True
 
     def _table(self, key: tuple, found: list[tuple[int, dict]], sums: list[int], overdue: bool) -> pd.DataFrame:
-        version, committed, last, least, *counts = sums
+        version, committed, last, least, *counts, _ = sums
         tail = (overdue, version, committed, self.budget - committed, *counts, least == 1 and last == counts[0])
         rows = []
         for attempt, facts in found:
@@ -124,22 +136,49 @@ class _Journal(StatefulProcessor):
         elif self.due.containsKey((number,)):
             self.due.removeKey((number,))
 
+    def _split(self, number: int, before: bool, attempts: dict[str, dict], level: int) -> None:
+        """Puts the attempts of a chunk into those of a higher level."""
+        parts: dict[int, dict] = defaultdict(dict)
+        for attempt, held in attempts.items():
+            parts[_chunk_of(int(attempt), level)][attempt] = held
+        for part, held in parts.items():
+            self._keep(part, held)
+        if before:
+            self.chunks.removeKey((number,))
+            if self.patience_ms is not None and self.due.containsKey((number,)):
+                self.due.removeKey((number,))
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        by_chunk: dict[int, list[dict]] = defaultdict(list)
+        given: dict[int, list[dict]] = defaultdict(list)
         for part in rows:
-            for row in part.astype(object).where(part.notna(), None).to_dict("records"):
-                row = {k: int(v) if v is not None and k in _WHOLE else v for k, v in row.items()}
-                by_chunk[row["attempt"] // self.CHUNK].append(row)
-        sums = list(self.sums.get()) if self.sums.exists() else [0, 0, 0, 0, *(0 for _ in _COUNTS)]
+            columns = {c: [None if v is None or v != v else int(v) if c in _WHOLE else v for v in part[c].tolist()] for c in ("attempt", "fact", *_FIELDS)}
+            for values in zip(*columns.values(), strict=True):
+                row = dict(zip(columns, values, strict=True))
+                given[row["attempt"]].append(row)
+        known_doc = self.sums.exists()
+        sums = list(self.sums.get()) if known_doc else [0, 0, 0, 0, *(0 for _ in _COUNTS), 0]
+        level = sums[-1]
+        while sums[4] + len(given) > self.CHUNK << sums[-1]:
+            sums[-1] += 1
+        if not known_doc:
+            level = sums[-1]
+        grown = sums[-1] > level
+        by_chunk: dict[int, list[int]] = defaultdict(list)
+        for attempt in given:
+            by_chunk[_chunk_of(attempt, level)].append(attempt)
         changed: dict[int, dict] = {}
-        for number, given in by_chunk.items():
-            attempts = self._chunk(number)
-            before = {a: judged(x["facts"]) for a, x in attempts.items()}
-            touched = {r["attempt"]: None for r in given if self._take(attempts.setdefault(str(r["attempt"]), {"facts": {}})["facts"], r)}
-            for attempt in touched:
-                held = attempts[str(attempt)]
+        for number in range(1 << level, 2 << level) if grown else by_chunk:
+            attempts = self._chunk(number) if known_doc else {}
+            before, touched = bool(attempts), False
+            for attempt in by_chunk.get(number, ()):
+                known = str(attempt) in attempts
+                held = attempts.setdefault(str(attempt), {"facts": {}})
+                was = judged(held["facts"]) if known else None
+                if not sum([self._take(held["facts"], r) for r in given[attempt]]):
+                    continue
+                touched = True
                 state, charged, _ = judged(held["facts"])
-                if (was := before.get(str(attempt))) is not None:
+                if was is not None:
                     sums[4 + _COUNTS.index(_GROUP[was[0]])] -= 1
                     sums[1] -= was[1]
                 else:
@@ -150,11 +189,15 @@ class _Journal(StatefulProcessor):
                 waits = self.patience_ms is not None and state == "submission_started_unknown"
                 held["due"] = timerValues.getCurrentProcessingTimeInMs() + self.patience_ms if waits else None
                 changed[attempt] = held["facts"]
-            if touched:
+            if grown:
+                self._split(number, before, attempts, sums[-1])
+            elif touched:
                 self._keep(number, attempts)
         if changed:
             sums[0] += 1
+        if changed or grown:
             self.sums.update(tuple(sums))
+        if changed:
             yield self._table(key, list(changed.items()), sums, False)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +114,61 @@ def test_limits_of_pages_and_subjects(spark):
     made = [base | {"attempt": a, "hash": f"h{a}", "subject": f"s{a if a < 18 else 1}"} for a in range(1, 20)]
     found = journal.entries(spark.createDataFrame([tuple(r[c] for c in COLUMNS) for r in made], journal.FACT_SCHEMA))
     assert {(r.attempt, r.limit) for r in journal.over_limits(found).collect()} == {(17, "page"), (18, "page"), (19, "page")}
+
+
+class Held(dict):
+    """A state variable in memory that counts the calls to the store."""
+
+    calls = 0
+
+    def _called(self):
+        Held.calls += 1
+        return self
+
+    def containsKey(self, k):  # noqa: N802
+        return k in self._called()
+
+    def getValue(self, k):  # noqa: N802
+        return self._called()[k]
+
+    def updateValue(self, k, v):  # noqa: N802
+        self._called()[k] = v
+
+    def removeKey(self, k):  # noqa: N802
+        del self._called()[k]
+
+    def exists(self):
+        return "v" in self._called()
+
+    def get(self):
+        return self._called()["v"]
+
+    def update(self, v):
+        self._called()["v"] = v
+
+
+def run_journal(batches):
+    """The state machine of one document over batches of facts: its last table for each attempt, sums, entries and the calls that the last batch made."""
+    machine = running._Journal(BUDGET, None)
+    machine.chunks, machine.due, machine.sums = Held(), Held(), Held()
+    last = {}
+    for batch in batches:
+        Held.calls = 0
+        for table in machine.handleInputRows((0,), iter([pd.DataFrame(batch, columns=COLUMNS)]), None):
+            last |= {r.attempt: (r.state, r.charged, r.problem) for r in table.itertuples()}
+    return last, machine.sums["v"], machine.chunks, Held.calls
+
+
+def test_attempts_that_are_far_apart_share_entries_and_full_entries_are_split():
+    rng = random.Random(7)
+    step = COLUMNS.index("attempt")
+    made = [tuple(v * 1500 + 3 if k == step else v for k, v in enumerate(r)) for r in facts_of(rng, 1, 700)]
+    whole, sums, chunks, calls = run_journal([made])
+    assert len(whole) == 700 and len(chunks) <= 16 and calls <= 24  # one entry for each attempt would be 700, and 1400 calls
+    order = list(made)
+    rng.shuffle(order)
+    parts = [order[:5], *(order[5 + k :: 9] for k in range(9)), order[:40]]  # grows from one entry; the last part is replays
+    again, later, pieces, _ = run_journal(parts)
+    assert again == whole and later[1:] == sums[1:]
+    assert sorted(pieces) == sorted(chunks)
+    assert sorted(a for (v,) in pieces.values() for a in running.json.loads(v)) == sorted(str(a) for a in whole)
