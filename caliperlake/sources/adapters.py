@@ -132,7 +132,13 @@ Specs = list[tuple[str, dict[str, str]]]
 
 
 def derived(source: DataFrame, specs: Specs) -> DataFrame:
-    """Rows by fixed rules: each source row gives one row for each (condition, columns) whose condition holds.  Expressions are plain SQL."""
+    """Rows by fixed rules: each source row gives one row for each (condition, columns) whose condition holds.  Expressions are plain SQL.
+
+    One rule is a filter and a projection, so columns that are not asked for are never made.
+    """
+    if len(specs) == 1:
+        [(cond, cols)] = specs
+        return source.where(cond).select(*(F.expr(e).alias(c) for c, e in cols.items()))
     parts = [F.when(F.expr(cond), F.struct(*(F.expr(e).alias(c) for c, e in cols.items()))) for cond, cols in specs]
     return source.select(F.explode(F.array_compact(F.array(*parts))).alias("r")).select("r.*")
 

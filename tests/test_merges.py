@@ -67,3 +67,11 @@ def test_outcomes_of_random_documents(spark):
     for k, w in want.items():
         assert {n: got[k][n] for n in w if n != "existing"} == {n: x for n, x in w.items() if n != "existing"}, k
     assert merge_outcomes(d.limit(0), v, c).count() == 0
+
+
+def test_decisions_are_read_for_their_projections_and_for_the_result_only(spark, tmp_path):
+    spark.createDataFrame([(1, k, f"v{k}", "a", [f"v{k}"], 0.0, 0.0, 1.0, 1.0, "candidate", None, "a", False, None, {"depth": "7"}, "x") for k in range(4)], DECISIONS).write.parquet(str(tmp_path / "d"))
+    out = merge_outcomes(spark.read.parquet(str(tmp_path / "d")), spark.createDataFrame([], "doc_id long, visual_id string, page_index int, y0 double, x0 double"), spark.createDataFrame([(1, "a", {"depth": "5"})], "doc_id long, candidate_id string, fields map<string,string>"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum("Relation [" in line and "disposition#" in line for line in plan) == 1  # the projections are a table of their own
+    assert {(r.decision, r.primary, str(r.fields)) for r in out.collect()} == {(0, True, "{'depth': '7'}"), *((k, False, "None") for k in (1, 2, 3))}

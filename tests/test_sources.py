@@ -42,3 +42,13 @@ def test_sheets_hold_no_formulas(spark, tmp_path):
     assert got == {"'=1+1", "25"}
     S.write_sheet_rows(rows, str(tmp_path / "parquet"))
     assert {r.size for r in spark.read.parquet(str(tmp_path / "parquet")).collect()} == {"=1+1", "25"}
+
+
+def test_one_rule_is_a_projection_and_gives_what_many_give(spark):
+    from caliperlake.sources import adapters as S
+
+    df = spark.range(6).selectExpr("CASE WHEN id < 5 THEN id END AS a")
+    rule = ("a % 2 = 0", {"k": "a + 1", "t": "'x' || CAST(a AS STRING)"})
+    one, many = S.derived(df, [rule]), S.derived(df, [rule, ("false", rule[1])])
+    assert sorted(one.collect()) == sorted(many.collect()) and len(one.collect()) == 3
+    assert "Generate" not in one._jdf.queryExecution().optimizedPlan().toString()
