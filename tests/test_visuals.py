@@ -104,3 +104,32 @@ def test_cycles_of_a_square_with_a_diagonal(spark):
     df = spark.createDataFrame(rows, "doc_id long, drawing_id long, place int, ax double, ay double, bx double, by double")
     r = routing.cycles(routing.clustered_edges(df)).first()
     assert (r.triangles, r.squares) == (2, 1)
+
+
+def test_items_near_texts_are_those_that_trying_all_finds(spark):
+    """Pages of any shape: boxes that touch, equal texts and items, small and wide items, edges beyond the page, rows without a place; no pair is a row of a table."""
+    import hashlib
+
+    rng = random.Random(12)
+    at = lambda: rng.choice([float(rng.randrange(-40, 400)), rng.uniform(0, 400), 12.0])
+    texts, items = [], []
+    for k in range(120):
+        x, y = at(), at()
+        texts += [(1, k % 3, f"t{k}", rng.choice(["A1", "Text", None]), x, y, x + 20, y + 10)] * rng.choice([1, 1, 2])
+        x, y = at(), at()
+        items += [(1, k % 3, f"c{k:03}", rng.choice([True, False, None]), x, y, x + rng.choice([3.0, 40.0, 80.0, 97.0]), y + rng.choice([1.5, 20.0, 50.0]))] * rng.choice([1, 1, 2])
+    texts.append((1, 0, "lost", "A", None, 0.0, 1.0, 1.0))
+    items.append((1, None, "lost", True, 0.0, 0.0, 1.0, 1.0))
+    want = {}
+    for t in set(texts[:-1]):
+        near = [i for i in items[:-1] if i[1] == t[1] and i[6] - i[4] <= 96 and i[7] - i[5] <= 96 and i[4] <= t[6] + 12 and t[4] - 12 <= i[6] and i[5] <= t[7] + 12 and t[5] - 12 <= i[7]] * texts.count(t)
+        if near:
+            near.sort(key=lambda i: (i[5], i[4], i[7], i[6], i[2]))
+            want[t[2]] = (len(near), min(t[4], *(i[4] for i in near)), hashlib.sha256("".join(i[2] for i in near).encode()).hexdigest())
+    t = spark.createDataFrame(texts, "doc_id long, page_index int, observation_id string, raw_text string, x0 double, y0 double, x1 double, y1 double")
+    i = spark.createDataFrame(items, "doc_id long, page_index int, content string, fill boolean, x0 double, y0 double, x1 double, y1 double")
+    found = V.proposals(t.repartition(3), i.repartition(2), 1e6, 1e6)
+    rows = found.collect()
+    assert len(rows) > 20 and len({r.text_id for r in rows}) == len(rows)
+    assert all((r.n_items, r.x0, r.geometry_sha256) == (want[r.text_id][0], max(0.0, want[r.text_id][1]), want[r.text_id][2]) for r in rows if not r.replaced)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
