@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -74,7 +76,7 @@ class WordMemo:
     the memo has a fixed number of entries, so memory is bounded.
     """
 
-    ENTRIES, LONGEST, GROUP = 400_000, 48, 64
+    ENTRIES, LONGEST, GROUP = 700_000, 48, 64
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -86,6 +88,7 @@ class WordMemo:
         self.sep_id, sep = next(iter(sorted((k, t.content) for k, t in added.items())))
         self.sep = sep
         self.memo: dict[str, bytes] = {"": b""}
+        self.stops = self._stops()
 
     @classmethod
     def of(cls, path: str) -> "WordMemo":
@@ -93,6 +96,16 @@ class WordMemo:
             _TOKENIZERS[path] = cls(path)
         return _TOKENIZERS[path]
 
+    def _stops(self) -> str:
+        """The signs that this tokenizer's own pattern parts from the letters before them, none where it has another form."""
+        split = next((s for s in self._rules() if s.get("type") == "Split"), {})
+        pattern = split.get("pattern", {}).get("Regex", "")
+        return ".,;:!?" if pattern.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") and split["behavior"] == "Removed" and split["invert"] else ""
+
+    def _rules(self) -> list[dict]:
+        rules = json.loads(self.tok.to_str())["pre_tokenizer"] or {}
+        return rules.get("pretokenizers", [rules])
+
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
@@ -115,17 +128,22 @@ class WordMemo:
                 split.append(text)
                 continue
             chunks = (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")
-            for c in chunks:
-                if c not in memo:
-                    new[c] = None
+            new.update(dict.fromkeys(set(chunks).difference(memo)))
             split.append(chunks)
         long = [c for c in new if len(c) > self.LONGEST]
         for c in long:
             del new[c]
             memo[c] = self.whole(c)
-        fresh = list(new)
-        if fresh:
-            self._learn(fresh)
+        # A word and the stop after it are never one pre-token, so only the word is asked for.
+        ended = [c for c in new if c[-1] in self.stops and c[:-1].lower().isalpha()]
+        for c in ended:
+            del new[c]
+        asked = [c for c in dict.fromkeys(chain(new, (c[:-1] for c in ended), (c[-1] for c in ended))) if c not in memo]
+        if asked:
+            self._learn(asked)
+        for c in ended:
+            memo[c] = memo[c[:-1]] + memo[c[-1]]
+        fresh = [c for c in chain(asked, ended) if c]
         out = [self.whole(s) if isinstance(s, str) else b"".join(map(memo.__getitem__, s)) for s in split]
         for c in long:
             del memo[c]

@@ -113,3 +113,17 @@ def test_many_blocks_and_islands(spark):
     assert sorted(r.uid for r in rows) == list(range(600))
     total = items.agg({"length": "sum"}).first()[0]
     assert len({r.sequence_id for r in rows}) <= 1.06 * total / 1000 + 2
+
+
+def test_a_word_is_learned_once_whatever_stop_follows_it(monkeypatch):
+    import numpy as np
+
+    from caliperlake.llm.common import WordMemo, tokenizer_path
+
+    memo, asked = WordMemo(tokenizer_path()), []
+    learn = memo._learn
+    monkeypatch.setattr(memo, "_learn", lambda chunks: (asked.extend(chunks), learn(chunks)))
+    texts = ["zebrafish. zebrafish, zebrafish! zebrafish", "Καφές. İ. ΟΔΟΣ. ΟΔΟΣ; é. é é. '. . .. it's. x². ² ı, ﬁ: ῼ. 한국; 하. 9. a9. 東京. ١.", "", ".", " zebrafish?\n.zebrafish"]
+    got = memo.encode(texts)
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [memo.tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [c for c in asked if "zebrafish" in c] == ["zebrafish", ".zebrafish"]
