@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caliperlake.functions.text import canonical_sha
@@ -62,6 +63,21 @@ def review_codes(code: Column) -> dict[str, Column]:
     return {name: _yes(F.instr(code, said) > 0) for name, said in _REVIEW.items()} | {"provider_schema_rejected": code.isNotNull()}
 
 
+# What is said of a candidate, each a bit of one number: by itself, and by its sources, entries and duplicates.  A review says the same things of both.
+_FACTS = (
+    "blank", "repeated", "sourced", "typed", "complete", "complete_by_proxy", "coarse", "unknown", "truth", "known", "confirm", "local_projection_failed", "projection_conflict", "cross_view_conflict", "provider_schema_rejected",
+    "missing", "twice", "invalid", "proxy", "shared", "unassociated", "ambiguous", "copy",
+)
+
+
+def _facts(**said: Column) -> Column:
+    return reduce(Column.bitwiseOR, (F.when(c, F.lit(1 << _FACTS.index(n))).otherwise(F.lit(0)) for n, c in said.items()))
+
+
+def _said(facts: Column, name: str) -> Column:
+    return facts.bitwiseAND(F.lit(1 << _FACTS.index(name))) != 0
+
+
 def confidence_decisions(candidates: DataFrame, entries: DataFrame, duplicates: DataFrame, signals: DataFrame, coverage: DataFrame) -> DataFrame:
     """doc_id, row_id, band, review_disposition and evidence_codes of every candidate.
 
@@ -69,60 +85,79 @@ def confidence_decisions(candidates: DataFrame, entries: DataFrame, duplicates:
     boxed (its coordinates are a box), source_truth, requires_confirmation, balloon_required, review_code.  entries: doc_id, observation_id,
     source_location_id, candidate_id, disposition, requires_confirmation, review_code.  duplicates: doc_id, candidate_id.  signals: doc_id, source, source_type, value.
     coverage: doc_id, checked, blocking.
+
+    A candidate becomes a number of facts before it is dealt.  What concerns a source is dealt once, by source, and what concerns a candidate once, by its id; entries that say nothing are left out.
     """
-    key = ["doc_id", "row_id"]
-    several = candidates.groupBy("doc_id", "candidate_id").agg((F.count("*") > 1).alias("_several"))
-    source = candidates.select(*key, "candidate_id", F.explode(F.array_distinct("source_ids")).alias("source"))
-    owners = source.groupBy("doc_id", "source").agg(F.count("*").alias("owners"))
+    text = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    none, sources = F.lit(None), F.array_compact(F.array_distinct("source_ids"))
+    ids = F.col("source_ids")
+    blank = (F.size(ids) == 0) | F.exists(ids, lambda s: ~text(s))
+    complete = lambda proxy: semantics_complete(F.col("item_type"), F.col, F.col("parts"), F.lit(proxy))
+    identity = text(F.col("candidate_id")) & (F.col("payload_id") == F.col("candidate_id"))
+    reviews = review_codes(F.col("review_code"))
+    own = _facts(
+        blank=blank, repeated=~blank & (F.size(ids) != F.size(F.array_distinct(ids))), sourced=F.size(ids) > 0, typed=~F.col("coarse") & identity & text(F.col("raw_text")) & text(F.col("normalized_text")) & F.col("boxed"),
+        complete=complete(False), complete_by_proxy=complete(True), coarse=F.col("coarse"), unknown=~F.col("coarse") & (F.col("item_type") == "diameter_dimension") & ~_yes(F.col("feature_kind").isin(*FEATURES)),
+        truth=text(F.col("normalized_text")) & F.col("source_truth"), known=F.col("balloon_required").isNotNull(), confirm=~F.col("requires_confirmation").eqNullSafe(F.lit(False)), **reviews,
+    )
+    narrow = candidates.select("doc_id", "row_id", "candidate_id", sources.alias("_sources"), own.alias("own"))
+    alone = narrow.where(~_yes(F.size("_sources") > 0))
+    marked = entries.withColumn("found", _facts(ambiguous=F.col("disposition") == "ambiguous", confirm=F.col("requires_confirmation"), **reviews))
+
+    # By source: its owners, its signals, the entries that name it.
+    place = F.col("source_location_id")
+    by_source = marked.select("doc_id", F.explode(F.array_distinct(F.array_compact(F.array("source_location_id", "observation_id")))).alias("source"), F.when(F.col("disposition") == "candidate", F.col("candidate_id")).alias("candidate_id"), place.alias("_place"), "found")
+    by_source = by_source.withColumn("candidate_id", F.when(F.col("source") == F.col("_place"), F.col("candidate_id"))).where("candidate_id is not null or found <> 0")
     valid = _yes(F.col("source_type").isin("native", "ocr", "visual") & F.col("value").between(0, 1))
-    told = signals.groupBy("doc_id", "source").agg(F.count("*").alias("n"), F.bool_and(valid).alias("ok"), F.min("value").alias("least"), F.bool_or((F.col("source_type") == "native") & (F.col("value") == 1)).alias("proxy"))
-    named = entries.where("disposition = 'candidate'").groupBy("doc_id", F.col("source_location_id").alias("source"), "candidate_id").agg(F.count("*").alias("named"))
-    joined = source.join(owners, ["doc_id", "source"]).join(told, ["doc_id", "source"], "left").join(named, ["doc_id", "source", "candidate_id"], "left")
-    per = joined.groupBy(*key).agg(
-        F.bool_or(F.col("n").isNull()).alias("_missing"), F.bool_or(F.col("n") > 1).alias("_twice"), F.bool_and(_yes(F.col("ok"))).alias("_ok"), F.min("least").alias("_least"), F.bool_or("proxy").alias("_proxy"),
-        F.bool_or(F.col("owners") > 1).alias("_shared"), F.bool_and(_yes(F.col("named") == 1)).alias("_associated"),
+    signal = _facts(invalid=~valid, proxy=(F.col("source_type") == "native") & (F.col("value") == 1))
+    kind = lambda name: F.lit(name).alias("kind")
+    dealt = (
+        narrow.select("doc_id", kind("owner"), "row_id", "candidate_id", "own", F.posexplode("_sources").alias("place", "source")).select("doc_id", "source", "kind", "row_id", "candidate_id", "own", (F.col("place") == 0).alias("first"), F.lit(0).alias("found"), none.cast("double").alias("least"))
+        .unionByName(signals.select("doc_id", "source", kind("signal"), signal.alias("found"), F.col("value").cast("double").alias("least")), allowMissingColumns=True)
+        .unionByName(by_source.select("doc_id", "source", kind("entry"), "candidate_id", "found"), allowMissingColumns=True)
+        .repartition("doc_id", "source")
     )
-    reviews = review_codes(F.col("review_code"))
-    flags = {"_e_ambiguous": F.col("disposition") == "ambiguous", "_e_confirm": F.col("requires_confirmation"), **{f"_e_{n}": c for n, c in reviews.items()}}
-    marked = entries.select("doc_id", "candidate_id", "source_location_id", "observation_id", *(c.alias(n) for n, c in flags.items()))
-    any_of = [F.bool_or(n).alias(n) for n in flags]
-    by_id = marked.groupBy("doc_id", "candidate_id").agg(*any_of)
-    by_source = marked.select("doc_id", F.explode(F.array_distinct(F.array_compact(F.array("source_location_id", "observation_id")))).alias("source"), *flags).groupBy("doc_id", "source").agg(*any_of)
-    linked = candidates.select(*key, "candidate_id").join(by_id, ["doc_id", "candidate_id"]).select(*key, *flags).unionByName(source.join(by_source, ["doc_id", "source"]).select(*key, *flags)).groupBy(*key).agg(*any_of)
-    copies = duplicates.select("doc_id", "candidate_id").distinct().withColumn("_copy", F.lit(True))
-    df = candidates.join(several, ["doc_id", "candidate_id"]).join(per, key, "left").join(linked, key, "left").join(copies, ["doc_id", "candidate_id"], "left").join(coverage, "doc_id", "left")
-
-    said = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
-    ids = F.col("source_ids")
-    blank = (F.size(ids) == 0) | F.exists(ids, lambda s: ~said(s))
-    repeated = ~blank & (F.size(ids) != F.size(F.array_distinct(ids)))
-    shared = _yes(F.col("_shared"))
-    found = ~_yes(F.col("_missing"))
-    signals_ok = (F.size(ids) > 0) & found & ~repeated & ~blank & _yes(F.col("_ok")) & ~_yes(F.col("_twice"))
-    complete = semantics_complete(F.col("item_type"), F.col, F.col("parts"), _yes(F.col("_proxy")))
-    identity = said(F.col("candidate_id")) & (F.col("payload_id") == F.col("candidate_id")) & ~F.col("_several")
-    typed = _yes(~F.col("coarse") & identity & complete & said(F.col("raw_text")) & said(F.col("normalized_text")) & F.col("boxed"))
-    unknown = ~F.col("coarse") & _yes(F.when(F.col("item_type") == "diameter_dimension", ~_yes(F.col("feature_kind").isin(*FEATURES))))
-    truth = said(F.col("normalized_text")) & _yes(F.col("source_truth"))
-    associated = (F.size(ids) > 0) & _yes(F.col("_associated"))
+    of = lambda name: F.col("kind") == name
+    dealt = dealt.withColumn("_named", F.count(F.when(of("entry"), F.col("candidate_id"))).over(Window.partitionBy("doc_id", "source", "candidate_id")))
+    source = Window.partitionBy("doc_id", "source")
+    n, owners = (F.count(F.when(of(k), True)).over(source) for k in ("signal", "owner"))
+    dealt = dealt.select("doc_id", "kind", "row_id", "candidate_id", "own", "first", "_named", n.alias("_n"), owners.alias("_owners"), F.bit_or("found").over(source).alias("_found"), F.min("least").over(source).alias("least"))
+    linked = _facts(missing=F.col("_n") == 0, twice=F.col("_n") > 1, shared=F.col("_owners") > 1, unassociated=F.col("_named") != 1)
+    owned = dealt.where(of("owner")).select("doc_id", "candidate_id", "row_id", "own", "first", F.col("_found").bitwiseOR(linked).alias("found"), "least")
+
+    # By candidate: all that its sources say, its entries, its duplicates, and whether its id is another's too.
+    listed = marked.where("candidate_id is not null and found <> 0").select("doc_id", "candidate_id", "found")
+    copies = duplicates.where("candidate_id is not null").select("doc_id", "candidate_id", _facts(copy=F.lit(True)).alias("found"))
+    dealt = (
+        owned.unionByName(alone.select("doc_id", "candidate_id", "row_id", "own", F.lit(True).alias("first"), F.lit(0).alias("found")), allowMissingColumns=True)
+        .unionByName(listed, allowMissingColumns=True).unionByName(copies, allowMissingColumns=True).repartition("doc_id", "candidate_id")
+    )
+    row, candidate = Window.partitionBy("doc_id", "candidate_id", "row_id"), Window.partitionBy("doc_id", "candidate_id")
+    dealt = dealt.withColumns({"_of_row": F.bit_or("found").over(row), "_least": F.min("least").over(row)})
+    dealt = dealt.withColumns({"_of_id": F.bit_or(F.when(F.col("row_id").isNull(), F.col("found"))).over(candidate), "_rows": F.count(F.when(F.col("first"), True)).over(candidate)})
+    facts = F.col("own").bitwiseOR(F.col("_of_row")).bitwiseOR(F.coalesce("_of_id", F.lit(0)))
+    df = dealt.where("first").select("doc_id", "row_id", facts.alias("facts"), (F.col("_rows") > 1).alias("_several"), "_least").join(coverage, "doc_id", "left")
+
+    said = {n: _said(F.col("facts"), n) for n in _FACTS}
+    found, truth, copy, ambiguous = ~said["missing"], said["truth"], said["copy"], said["ambiguous"]
+    signals_ok = said["sourced"] & found & ~said["repeated"] & ~said["blank"] & ~said["invalid"] & ~said["twice"]
+    typed = said["typed"] & ~F.col("_several") & F.when(said["proxy"], said["complete_by_proxy"]).otherwise(said["complete"])
+    associated = said["sourced"] & ~said["unassociated"]
     checked, blocked = _yes(F.col("checked")), F.coalesce("blocking", F.lit(0)) > 0
-    own = {n: c | _yes(F.col(f"_e_{n}")) for n, c in reviews.items()}
-    ambiguous, copy = _yes(F.col("_e_ambiguous")), _yes(F.col("_copy"))
-    conflict = ambiguous | own["provider_schema_rejected"] | copy
-    confirm = ~F.col("requires_confirmation").eqNullSafe(F.lit(False)) | _yes(F.col("_e_confirm"))
-    known = F.col("balloon_required").isNotNull()
+    conflict = ambiguous | said["provider_schema_rejected"] | copy
     least = F.col("_least")
     level = F.when(~signals_ok, F.lit(None)).when(least >= HIGH, "high").when(least >= MEDIUM, "medium").otherwise("low")
+    owner = ~said["blank"] & ~said["repeated"] & ~said["shared"]
     evidence = {
-        "typed_schema_complete": typed, "typed_schema_incomplete": ~typed, "feature_kind_unknown": unknown, "coarse_fallback": F.col("coarse"), "local_projection_failed": own["local_projection_failed"], "source_truth_preserved": truth, "normalized_value_invalid": ~truth,
-        "single_source_owner": ~blank & ~repeated & ~shared, "source_location_missing": blank, "source_owner_conflict": repeated | shared | _yes(F.col("_twice")), "local_association_complete": associated, "local_association_missing": ~associated,
-        "coverage_clear": checked & ~blocked, "coverage_unchecked": ~checked, "coverage_blocking": blocked, "ambiguous_source": ambiguous, "no_conflict": ~conflict, "possible_duplicate": copy, "cross_view_conflict": own["cross_view_conflict"] | copy, "projection_conflict": own["projection_conflict"],
-        "provider_schema_rejected": own["provider_schema_rejected"], "semantic_confirmation_clear": ~confirm, "semantic_confirmation_required": confirm, "balloon_requirement_known": known, "balloon_requirement_unknown": ~known,
+        "typed_schema_complete": typed, "typed_schema_incomplete": ~typed, "feature_kind_unknown": said["unknown"], "coarse_fallback": said["coarse"], "local_projection_failed": said["local_projection_failed"], "source_truth_preserved": truth, "normalized_value_invalid": ~truth,
+        "single_source_owner": owner, "source_location_missing": said["blank"], "source_owner_conflict": said["repeated"] | said["shared"] | said["twice"], "local_association_complete": associated, "local_association_missing": ~associated,
+        "coverage_clear": checked & ~blocked, "coverage_unchecked": ~checked, "coverage_blocking": blocked, "ambiguous_source": ambiguous, "no_conflict": ~conflict, "possible_duplicate": copy, "cross_view_conflict": said["cross_view_conflict"] | copy, "projection_conflict": said["projection_conflict"],
+        "provider_schema_rejected": said["provider_schema_rejected"], "semantic_confirmation_clear": ~said["confirm"], "semantic_confirmation_required": said["confirm"], "balloon_requirement_known": said["known"], "balloon_requirement_unknown": ~said["known"],
         "source_signal_valid": signals_ok, "source_signal_missing": ~found, "source_signal_invalid": found & ~signals_ok, **{f"source_signal_{b}": _yes(level == b) for b in ("high", "medium", "low")},
     }
-    eligible = ~blank & ~repeated & ~shared & typed & truth & associated & checked & ~blocked & ~conflict & ~confirm & known
+    eligible = owner & typed & truth & associated & checked & ~blocked & ~conflict & ~said["confirm"] & said["known"]
     band = F.when(eligible, F.coalesce(level, F.lit("low"))).otherwise("low")
-    return df.select(*key, band.alias("band"), F.when(band == "high", "auto_accepted").otherwise("review_required").alias("review_disposition"), F.array_compact(F.array(*(F.when(evidence[c], c) for c in CODES))).alias("evidence_codes"))
+    return df.select("doc_id", "row_id", band.alias("band"), F.when(band == "high", "auto_accepted").otherwise("review_required").alias("review_disposition"), F.array_compact(F.array(*(F.when(evidence[c], c) for c in CODES))).alias("evidence_codes"))
 
 
 def decision_problem(band: Column, disposition: Column, version: Column, codes: Column) -> Column:
