@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caliperlake.functions import tolerances as T
-from caliperlake.functions.geometry import Box, centre, expanded, in_padded_frame
-from caliperlake.operators.spatial import PAGE, page_pairs
+from caliperlake.functions.geometry import Box, area, centre, expanded, in_padded_frame
+from caliperlake.operators.spatial import PAGE, by_tables
 from caliperlake.scratch import written
 
 # Fixed values, in points: tolerance of an axis, gap that is bridged, limits of a frame, padding around it.
@@ -37,6 +38,36 @@ def axis_segments(items: DataFrame) -> DataFrame:
     )
 
 
+def _stepwise(first: np.ndarray, last: np.ndarray, c: np.ndarray, s: np.ndarray, e: np.ndarray, begins: np.ndarray, runs: tuple[np.ndarray, ...]) -> None:
+    """Joins the segments of each group [first, last) step by step, a step of all groups at once: marks where runs begin and fills in their coordinate, start and end there."""
+    at, low, high = runs
+    began, group = first.copy(), np.arange(len(first))
+    begins[first] = True
+    x, y, z = (v[first].astype(float) for v in (c, s, e))
+    step = 0
+    while True:
+        step += 1
+        going = first[group] + step < last[group]
+        if not going.all():
+            done = ~going
+            at[began[done]], low[began[done]], high[began[done]] = x[done], y[done], z[done]
+            group, began, x, y, z = group[going], began[going], x[going], y[going], z[going]
+        if not len(group):
+            return
+        k = first[group] + step
+        joins = (np.abs(x - c[k]) <= AXIS) & (s[k] <= z + GAP)
+        ended = ~joins
+        at[began[ended]], low[began[ended]], high[began[ended]] = x[ended], y[ended], z[ended]
+        begins[k] = ended
+        began = np.where(joins, began, k)
+        x = np.where(joins, (x + c[k]) / 2.0, c[k])
+        y = np.where(joins & ~(s[k] < y), y, s[k])
+        z = np.where(joins & ~(e[k] > z), z, e[k])
+
+
+_FEW = 64  # groups for which a step of all at once is no gain
+
+
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Runs of sorted segments of one page and orientation; the coordinate is averaged step by step, so the order counts.  Only the open run is held, over batches too.
 
@@ -65,8 +96,19 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         begins[1:] |= ~(s[1:] <= reach[:-1] + GAP)
         at, low, high = c.astype(float), s.astype(float), e.astype(float)
         last = np.append(first[1:], n)
-        made = []  # runs that were joined step by step: where they begin, coordinate, start and end
-        for a, b in zip(first[stepwise].tolist(), last[stepwise].tolist(), strict=True):
+        made = []  # runs that were joined one by one: where they begin, coordinate, start and end
+        firsts, lasts = first[stepwise], last[stepwise]
+        size = np.sort(lasts - firsts)[::-1]
+        longest = int(size[_FEW]) if len(size) > _FEW else 0  # so each step has more than a few groups
+        alone = lasts - firsts > longest
+        if going is not None:
+            alone[0] = True
+        together = ()
+        if not alone.all():
+            together = (firsts[~alone], lasts[~alone])
+            for a, b in zip(*together, strict=True):
+                begins[a:b] = False
+        for a, b in zip(firsts[alone].tolist(), lasts[alone].tolist(), strict=True):
             run = going if a == 0 and going is not None and going[0] == tuple(k[0] for k in key) else None
             where, begins[a:b] = None, False
             for i, x, y, z in zip(range(a, b), c[a:b].tolist(), s[a:b].tolist(), e[a:b].tolist(), strict=True):
@@ -82,10 +124,20 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 made.append((where, *run[1:]))
             else:
                 going = run
+        filled = at.copy(), low.copy(), high.copy()
+        if together:
+            _stepwise(*together, c, s, e, begins, filled)
         rows = np.flatnonzero(begins)
         if not len(rows):
             continue
         high[rows] = np.maximum.reduceat(e, rows)
+        if together:
+            inside = np.zeros(n + 1, np.int64)
+            np.add.at(inside, together[0], 1)
+            np.add.at(inside, together[1], -1)
+            inside = np.cumsum(inside[:-1]) > 0
+            mine = rows[inside[rows]]
+            at[mine], low[mine], high[mine] = (v[mine] for v in filled)
         for where, *run in made:
             at[where], low[where], high[where] = run
         if going is not None:
@@ -122,42 +174,165 @@ def deduped_positions(positions: Column) -> Column:
     return F.aggregate(F.array_sort(positions), F.array().cast("array<double>"), step)
 
 
-def _bands(low: Column, high: Column) -> Column:
-    return F.sequence(F.floor(low / MOST_HEIGHT), F.floor(high / MOST_HEIGHT))
+def _spread(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ranges: which range each is of, and its place."""
+    of = np.repeat(np.arange(len(count)), count)
+    return of, begin[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _coded(*sides: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """(page, value) of several tables as whole numbers of one order."""
+    known, rank = np.unique(np.concatenate([v for _, v in sides]), return_inverse=True)
+    cuts = np.cumsum([len(v) for _, v in sides])[:-1]
+    return [page * len(known) + r for (page, _), r in zip(sides, np.split(rank, cuts), strict=True)]
+
+
+def _blocks(size: np.ndarray, whole: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about _STEP in size; rows of one number in ``whole`` (sorted) stay together."""
+    starts = np.flatnonzero(np.append(True, whole[1:] != whole[:-1])) if len(whole) else np.zeros(0, np.int64)
+    before = np.cumsum(size) - size
+    step = before[starts] // _STEP
+    cut = np.append(starts[np.append(True, step[1:] != step[:-1])], len(whole)) if len(starts) else np.zeros(1, np.int64)
+    yield from zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)
+
+
+_STEP, _CELL = 1 << 19, 64.0  # rows looked at in one step, side of a grid cell
+_FRAME = "doc_id bigint, page_index int, x0 double, y0 double, x1 double, y1 double, cells array<double>"
 
 
-def frames(joined: DataFrame) -> DataFrame:
-    """Frames of a page: two horizontals at a frame's distance, at least three verticals from one to the other, and no third full-width line.
+def _framed(table: pa.Table) -> pa.Table:
+    """Frames of the pages of a table of sorted segments.
 
-    Lines meet within horizontal bands as high as a frame may be, so a page is no nested loop.  The lines are written once: four joins read them, and each would join the segments again.
+    A frame's verticals end at its two horizontals, so pairs of horizontals are those that verticals name, and a vertical that goes beyond a pair is found by the farthest end of those that begin before it.
     """
-    joined = written(joined, "joined-segments")
-    flat = joined.where("orientation = 'horizontal'").select(*PAGE, "coordinate", "start", "end")
-    top = flat.select(*PAGE, F.col("coordinate").alias("y0"), F.col("start").alias("ts"), F.col("end").alias("te"), F.explode(_bands(F.col("coordinate"), F.col("coordinate") + MOST_HEIGHT)).alias("band"))
-    bottom = flat.select(*PAGE, F.col("coordinate").alias("y1"), F.col("start").alias("bs"), F.col("end").alias("be"), F.floor(F.col("coordinate") / MOST_HEIGHT).alias("band"))
-    pairs = top.join(bottom, [*PAGE, "band"]).where((F.col("y1") - F.col("y0")).between(LEAST_HEIGHT, MOST_HEIGHT)).withColumn("band", F.floor(F.col("y0") / MOST_HEIGHT))
-    steep = joined.where("orientation = 'vertical'").select(*PAGE, F.col("coordinate").alias("x"), "start", "end", F.explode(_bands(F.col("start") - AXIS, F.col("end") + AXIS)).alias("band"))
-    crossing = pairs.join(steep, [*PAGE, "band"]).where((F.col("start") <= F.col("y0") + AXIS) & (F.col("end") >= F.col("y1") - AXIS))
-    outside = F.bool_or((F.col("start") < F.col("y0") - AXIS) | (F.col("end") > F.col("y1") + AXIS))  # such a frame is none, and its verticals need not be put together
-    found = crossing.groupBy(*PAGE, "y0", "y1", "ts", "te", "bs", "be").agg(F.when(~outside, deduped_positions(F.collect_list("x"))).alias("cells"))
-    found = found.where(F.size("cells") >= 3).withColumns({"x0": F.element_at("cells", 1), "x1": F.element_at("cells", -1)})
-    covers = lambda s, e: (F.col(s) <= F.col("x0") + AXIS) & (F.col(e) >= F.col("x1") - AXIS)
-    found = found.where((F.col("x1") - F.col("x0")).between(LEAST_WIDTH, MOST_WIDTH) & covers("ts", "te") & covers("bs", "be"))
-    found = found.select(*PAGE, "x0", "y0", "x1", "y1", "cells").distinct()
-    lines = flat.withColumn("band", F.floor(F.col("coordinate") / MOST_HEIGHT))
-    within = found.withColumn("band", F.explode(_bands(F.col("y0") - AXIS, F.col("y1") + AXIS))).join(lines, [*PAGE, "band"])
-    full = within.where(F.col("coordinate").between(F.col("y0") - AXIS, F.col("y1") + AXIS) & covers("start", "end")).groupBy(*PAGE, "x0", "y0", "x1", "y1", "cells").agg(F.count("*").alias("n"))
+    out = pa.schema([("doc_id", pa.int64()), ("page_index", pa.int32()), *((k, pa.float64()) for k in ("x0", "y0", "x1", "y1")), ("cells", pa.list_(pa.float64()))])
+    runs = pd.concat(list(_runs(iter([table.to_pandas()]))))
+    doc, number, flat = (runs[k].to_numpy() for k in (*PAGE, "orientation"))
+    page = np.cumsum(np.append(True, (doc[1:] != doc[:-1]) | (number[1:] != number[:-1]))) - 1
+    first = np.flatnonzero(np.append(True, page[1:] != page[:-1]))
+    c = runs["coordinate"].to_numpy()
+    s, e = (np.where(np.isnan(v), np.inf, v) for v in (runs["start"].to_numpy(), runs["end"].to_numpy()))  # as in SQL, no number is above all
+    flat = flat.astype(bool)
+    by_place = lambda rows, v: rows[np.lexsort((v[rows], page[rows]))]
+    h, v = by_place(np.flatnonzero(flat), c), by_place(np.flatnonzero(~flat), s)
+    if not len(h) or not len(v):
+        return out.empty_table()
+
+    # Levels: the different coordinates of a page's horizontals.
+    fresh = np.flatnonzero(np.append(True, (page[h[1:]] != page[h[:-1]]) | (c[h[1:]] != c[h[:-1]])))
+    until = np.append(fresh[1:], len(h))
+    on, y = page[h[fresh]], c[h[fresh]]
+    low, high = y - AXIS, y + AXIS
+    low_key, high_key, y_key, begin_key, end_key = _coded((on, low), (on, high), (on, y), (page[v], s[v]), (page[v], e[v]))
+    known, rank = np.unique(e[v], return_inverse=True)
+    reach = known[np.maximum.accumulate(page[v] * len(known) + rank) % len(known)]  # the farthest end of a page's verticals so far
+    page_begin = np.searchsorted(page[v], on)
+
+    # Each vertical with the levels at which it begins, and those at which it ends.
+    near = np.flatnonzero((e[v] - s[v] >= LEAST_HEIGHT - 3 * AXIS) & (e[v] - s[v] <= MOST_HEIGHT + 3 * AXIS))
+    levels = lambda key: (np.searchsorted(high_key, key), np.searchsorted(low_key, key, "right"))
+    (top, top_end), (bottom, bottom_end) = levels(begin_key[near]), levels(end_key[near])
+    some = (top < top_end) & (bottom < bottom_end)
+    near, top, top_end, bottom, bottom_end = (a[some] for a in (near, top, top_end, bottom, bottom_end))
+    of, t = _spread(top, top_end - top)
+    order = np.argsort(t, kind="stable")
+    of, t = of[order], t[order]
+    wide = (bottom_end - bottom)[of]
+    parts = []
+    for a, b in _blocks(wide, t):
+        each, level = _spread(bottom[of[a:b]], wide[a:b])
+        above, line = t[a:b][each], v[near[of[a:b][each]]]
+        tall = y[level] - y[above]
+        fits = (tall >= LEAST_HEIGHT) & (tall <= MOST_HEIGHT)
+        above, level, line = above[fits], level[fits], line[fits]
+        order = np.lexsort((c[line], level, above))
+        above, level, x = above[order], level[order], c[line[order]]
+        parts += _cells(above, level, x, on, low_key, high_key, begin_key, page_begin, reach, low, high)
+    if not parts:
+        return out.empty_table()
+    above, level, sizes, cells = (np.concatenate(q) for q in zip(*parts, strict=True))
+    x0, x1 = cells[np.cumsum(sizes) - sizes], cells[np.cumsum(sizes) - 1]
+
+    # Full lines: those of the pair, and no third.
+    begin, end = fresh[np.searchsorted(y_key, low_key[above])], until[np.searchsorted(y_key, high_key[level], "right") - 1]
+    kept = np.zeros(len(above), bool)
+    for a, b in _blocks(end - begin, np.arange(len(above))):
+        each, row = _spread(begin[a:b], (end - begin)[a:b])
+        row = h[row]
+        covers = (s[row] <= x0[a:b][each] + AXIS) & (e[row] >= x1[a:b][each] - AXIS)
+        count = lambda hit: np.bincount(each[hit], minlength=b - a)  # noqa: E731, B023
+        kept[a:b] = (count(covers) == 2) & (count(covers & (c[row] == y[above[a:b]][each])) > 0) & (count(covers & (c[row] == y[level[a:b]][each])) > 0)
+    above, level, x0, x1, cells, sizes = above[kept], level[kept], x0[kept], x1[kept], cells[np.repeat(kept, sizes)], sizes[kept]
+    row = first[on[above]]
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(cells))
+    return pa.Table.from_arrays([pa.array(doc[row].astype(np.int64)), pa.array(number[row].astype(np.int32)), *(pa.array(q) for q in (x0, y[above], x1, y[level])), lists], schema=out)
+
+
+def _cells(above, level, x, on, low_key, high_key, begin_key, page_begin, reach, low, high) -> list[tuple[np.ndarray, ...]]:
+    """Pairs of levels (sorted, with the positions of their verticals) that no vertical goes beyond, and the edges of their cells: [(above, level, sizes, cells)], if there are any."""
+    if not len(above):
+        return []
+    first = np.flatnonzero(np.append(True, (above[1:] != above[:-1]) | (level[1:] != level[:-1])))
+    sizes = np.diff(np.append(first, len(above)))
+    t, b = above[first], level[first]
+    farthest = lambda last: np.where(last >= page_begin[t], reach[np.maximum(last, 0)], -np.inf)
+    beyond = farthest(np.searchsorted(begin_key, high_key[t], "right") - 1) > high[b]
+    beyond |= farthest(np.searchsorted(begin_key, low_key[t]) - 1) >= low[b]
+    good = (sizes >= 3) & ~beyond
+    x, sizes, t, b = x[np.repeat(good, sizes)], sizes[good], t[good], b[good]
+    if not len(t):
+        return []
+    first = np.cumsum(sizes) - sizes
+    gap = np.append(np.inf, x[1:] - x[:-1])
+    gap[first] = np.inf
+    kept = gap > 0
+    close = np.add.reduceat((gap > 0) & (gap <= AXIS), first) > 0
+    for k in np.flatnonzero(close).tolist():  # positions that are averaged, one after the other
+        positions: list[float] = []
+        for p in x[first[k] : first[k] + sizes[k]].tolist():
+            if positions and not p - positions[-1] > AXIS:
+                positions[-1] = (positions[-1] + p) / 2
+            else:
+                positions.append(p)
+        kept[first[k] : first[k] + sizes[k]] = False
+        kept[first[k] : first[k] + len(positions)] = True
+        x[first[k] : first[k] + len(positions)] = positions
+    sizes, cells = np.add.reduceat(kept.astype(np.int64), first), x[kept]
+    last = np.cumsum(sizes) - 1
+    width = cells[last] - cells[last - sizes + 1]
+    good = (sizes >= 3) & (width >= LEAST_WIDTH) & (width <= MOST_WIDTH)
+    return [(t[good], b[good], sizes[good], cells[np.repeat(good, sizes)])] if good.any() else []
+
+
+def frames(segments: DataFrame) -> DataFrame:
+    """Frames of a page, from its axis segments: two horizontals at a frame's distance, at least three verticals from one to the other, and no third full-width line.
+
+    Segments are dealt by page and joined where their frames are found, so neither joined lines nor pairs of them are rows of a table; a task holds some pages at a time.  The frames are written once for all that read them.
+    """
+    flat = (F.col("orientation") == "horizontal").alias("orientation")
+    rows = segments.where(F.col("doc_id").isNotNull() & F.col("page_index").isNotNull()).select(*PAGE, flat, "coordinate", "start", "end")
+    found = by_tables(rows, list(PAGE), ["orientation", "coordinate", "start", "end"], _framed, _FRAME)
     mils = F.transform(F.concat(F.array("x0", "y0", "x1", "y1"), "cells"), lambda v: F.round(v * 1000).cast("bigint").cast("string"))
     ident = F.substring(F.sha2(F.concat_ws(":", "page_index", F.array_join(mils, ",")), 256), 1, 24)
-    return full.where("n = 2").select(*PAGE, "x0", "y0", "x1", "y1", "cells", ident.alias("frame_id"))
+    return written(found.select(*PAGE, "x0", "y0", "x1", "y1", "cells", ident.alias("frame_id")), "frames")
 
 
 def frame_texts(found: DataFrame, texts: DataFrame) -> DataFrame:
-    """Texts in each frame, with the cell that each one's centre is in and its place in the frame's order."""
+    """Texts in each frame, with the cell that each one's centre is in and its place in the frame's order.
+
+    A text that is half in a frame has its centre there, so texts are dealt once, to the grid cell of their centre, and frames to all cells that they and a point around them cover.
+    """
+    edges = ("x0", "y0", "x1", "y1")
     wide = expanded(Box.of(), PADDING)
-    padded = found.select(*PAGE, "frame_id", "cells", *(v.alias(n) for v, n in zip(wide, ("x0", "y0", "x1", "y1"), strict=True)))
-    pairs = page_pairs(padded, texts.select(*PAGE, "observation_id", "x0", "y0", "x1", "y1"), in_padded_frame(Box.of("r_"), Box.of()))
-    c = centre(Box.of("r_")).x
+    padded = found.select(*PAGE, "frame_id", "cells", *(v.alias(n) for v, n in zip(wide, edges, strict=True)))
+    span = lambda lo, hi: F.explode(F.sequence(F.floor((F.col(lo) - 1) / _CELL), F.floor((F.col(hi) + 1) / _CELL)))
+    padded = padded.withColumn("_gx", span("x0", "x1")).withColumn("_gy", span("y0", "y1"))
+    text = Box.of("r_")
+    middle = centre(text)
+    c = middle.x
+    right = texts.select(*(F.col(k).alias(f"r_{k}") for k in (*PAGE, "observation_id", *edges))).where(area(text) > 0)
+    on = [F.col(k) == F.col(f"r_{k}") for k in PAGE] + [F.col("_gx") == F.floor(middle.x / _CELL), F.col("_gy") == F.floor(middle.y / _CELL)]
+    pairs = padded.join(right, [*on, in_padded_frame(text, Box.of())])
     cell = F.coalesce(F.try_element_at(F.filter(F.sequence(F.lit(0), F.size("cells") - 2), lambda i: c <= F.element_at("cells", (i + 2).cast("int"))), F.lit(1)), F.size("cells") - 2)
     rows = pairs.select(*PAGE, "frame_id", F.col("r_observation_id").alias("text_id"), cell.cast("int").alias("cell"), F.col("r_y0").alias("ty"), F.col("r_x0").alias("tx"))
     place = F.row_number().over(Window.partitionBy(*PAGE, "frame_id").orderBy("cell", "ty", "tx", "text_id"))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from caliperlake.operators import frames as R
 from caliperlake.plans.inspection import OBS
 from caliperlake.plans.register import query
-from caliperlake.scratch import written
 from caliperlake.sources import adapters as S
 
 _SEGMENTS = f"""{S.PATHS_SQL}, lines AS (SELECT doc_id, page_index, ax, ay, bx, "by" FROM paths WHERE op = 'l' UNION ALL SELECT doc_id, page_index, unnest([ax, bx, bx, ax]), unnest([ay, ay, "by", "by"]), unnest([bx, bx, ax, ax]), unnest([ay, "by", "by", ay]) FROM paths WHERE op = 're' AND ax <= bx AND ay <= "by"),
@@ -30,7 +29,7 @@ framed AS (SELECT f.*, left(sha256(page_index || ':' || list_aggregate(list_tran
 
 
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.frames(R.joined_segments(R.axis_segments(S.path_items(spark, sf_dir))))
+    return R.frames(R.axis_segments(S.path_items(spark, sf_dir)))
 
 
 @query(f"WITH {_SEGMENTS} SELECT doc_id, page_index, o AS orientation, count(*) AS segments, sum(c) AS coordinates, sum(e - s) AS length FROM segs GROUP BY ALL")
@@ -68,7 +67,7 @@ def join04_frame_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_PLACED} SELECT doc_id, page_index, frame_id FROM framed f WHERE NOT EXISTS (SELECT 1 FROM inside i JOIN obs o ON o.doc_id = i.doc_id AND o.observation_id = i.observation_id WHERE i.doc_id = f.doc_id AND i.page_index = f.page_index AND i.frame_id = f.frame_id AND o.x0 >= 400)")
 def join36_frames_outside_administration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs, found = S.observations(spark, sf_dir), written(_frames(spark, sf_dir), "frames")  # read by both joins
+    obs, found = S.observations(spark, sf_dir), _frames(spark, sf_dir)
     administrative = obs.where("x0 >= 400").withColumnRenamed("observation_id", "text_id")
     return R.without_administrative(found, R.frame_texts(found, obs), administrative).select("doc_id", "page_index", "frame_id")
 
